@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wardcast.plans import clinical_plans, oracle_clinical
+from wardcast.plans import (clinical_plans, oracle_clinical, oracle_series,
+                            series_plans)
 
-PLAN_MODULES = [(clinical_plans, oracle_clinical)]
+PLAN_MODULES = [(clinical_plans, oracle_clinical), (series_plans, oracle_series)]
 
 
 def all_queries() -> dict:
