@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wardcast.plans import (clinical_plans, oracle_clinical, oracle_series,
-                            series_plans)
+from wardcast.plans import (clinical_plans, feature_plans, oracle_clinical,
+                            oracle_features, oracle_series, series_plans)
 
-PLAN_MODULES = [(clinical_plans, oracle_clinical), (series_plans, oracle_series)]
+PLAN_MODULES = [(clinical_plans, oracle_clinical), (series_plans, oracle_series),
+                (feature_plans, oracle_features)]
 
 
 def all_queries() -> dict:

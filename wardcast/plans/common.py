@@ -12,3 +12,22 @@ def rounded(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     cols = set(cols)
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
+
+
+def round_sig(c, digits: int = 8):
+    """Round to ``digits`` significant digits (for quantities whose scale
+    varies: estimates, standard errors, sums of squares)."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / scale) * scale)
+
+
+def sig_rounded(df: DataFrame, cols, digits: int = 8) -> DataFrame:
+    cols = set(cols)
+    return df.select(*[round_sig(F.col(c), digits).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+def sql_sig(expr: str, digits: int = 8) -> str:
+    """DuckDB form of ``round_sig``."""
+    sc = f"pow(10.0, floor(log10(abs({expr}))) - {digits - 1})"
+    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {sc}) * {sc} END)"
