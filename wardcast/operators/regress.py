@@ -269,12 +269,11 @@ def breusch_godfrey(fitm: OLSFit, order: int) -> DataFrame:
     from wardcast.functions.stats import chi2_sf_udf
     from wardcast.operators.features import distributed_lags
     keys = fitm.keys
-    aug = fitm.augment()
-    lagged = distributed_lags(aug.select(*keys, "t", *fitm.xcols, "residual"), keys,
-                              "residual", order)
-    lag_cols = [f"residual_lag{k}" for k in range(1, order + 1)]
+    aug = fitm.augment().select(*keys, "t", *fitm.xcols, F.col("residual").alias("_e"))
+    lagged = distributed_lags(aug, keys, "_e", order)
+    lag_cols = [f"_e_lag{k}" for k in range(1, order + 1)]
     lagged = lagged.fillna({c: 0.0 for c in lag_cols})
-    aux = fit(lagged, keys, "residual", fitm.xcols + lag_cols, fitm.intercept).glance()
+    aux = fit(lagged, keys, "_e", fitm.xcols + lag_cols, fitm.intercept).glance()
     return aux.select(*keys, "n", F.lit(order).alias("order"),
                       (F.col("n") * F.col("r2")).alias("lm"),
                       chi2_sf_udf(F.col("n") * F.col("r2"), F.lit(float(order))).alias("p_value"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wardcast.plans import (clinical_plans, feature_plans, oracle_clinical,
-                            oracle_features, oracle_series, series_plans)
+from wardcast.plans import (clinical_plans, feature_plans, model_plans,
+                            oracle_clinical, oracle_features, oracle_models,
+                            oracle_series, series_plans)
 
 PLAN_MODULES = [(clinical_plans, oracle_clinical), (series_plans, oracle_series),
-                (feature_plans, oracle_features)]
+                (feature_plans, oracle_features), (model_plans, oracle_models)]
 
 
 def all_queries() -> dict:

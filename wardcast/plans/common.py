@@ -16,9 +16,13 @@ def rounded(df: DataFrame, cols, digits: int = 6) -> DataFrame:
 
 def round_sig(c, digits: int = 8):
     """Round to ``digits`` significant digits (for quantities whose scale
-    varies: estimates, standard errors, sums of squares)."""
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))
-    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / scale) * scale)
+    varies: estimates, standard errors, sums of squares).  Scales only by
+    exact integer powers of ten so every engine yields the same double."""
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
+    up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
+    return (F.when(c == 0, F.lit(0.0))
+             .when(k >= 0, F.round(c * up) / up)
+             .otherwise(F.round(c / down) * down))
 
 
 def sig_rounded(df: DataFrame, cols, digits: int = 8) -> DataFrame:
@@ -29,5 +33,7 @@ def sig_rounded(df: DataFrame, cols, digits: int = 8) -> DataFrame:
 
 def sql_sig(expr: str, digits: int = 8) -> str:
     """DuckDB form of ``round_sig``."""
-    sc = f"pow(10.0, floor(log10(abs({expr}))) - {digits - 1})"
-    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {sc}) * {sc} END)"
+    k = f"({digits - 1} - floor(log10(abs({expr}))))"
+    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {k} >= 0 "
+            f"THEN round(({expr}) * pow(10.0, {k})) / pow(10.0, {k}) "
+            f"ELSE round(({expr}) / pow(10.0, -{k})) * pow(10.0, -{k}) END)")
