@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.functions.stats import t_pvalue_udf
+from wardcast.session import stage_table
 
 INTERCEPT = "(Intercept)"
 ALIAS_TOL = 1e-7
@@ -137,6 +138,7 @@ class OLSFit:
     xcols: list[str]
     intercept: bool
     coef_rows: DataFrame
+    _glance: DataFrame | None = None
 
     @property
     def terms(self) -> list[str]:
@@ -180,7 +182,12 @@ class OLSFit:
     # -- per key ------------------------------------------------------------
     def glance(self) -> DataFrame:
         """One row per key: n, k, r2, adj_r2, sigma, aic, aicc, bic, cv,
-        sum of residuals (R5, R6, R25-R30)."""
+        sum of residuals (R5, R6, R25-R30).  Staged once per fit."""
+        if self._glance is None:
+            self._glance = stage_table(self._glance_plan(), "glance")
+        return self._glance
+
+    def _glance_plan(self) -> DataFrame:
         a = self.augment()
         ybar = F.col("ysum") / F.col("n")
         s = (a.join(self.coef_rows.select(*self.keys, "ysum"), self.keys)
@@ -238,7 +245,7 @@ def fit(df: DataFrame, keys: list[str], y: str, xcols: list[str],
         intercept: bool = True) -> OLSFit:
     """Fit y ~ xcols (+ intercept) separately for every key."""
     g = gram(df, keys, y, xcols, intercept)
-    return OLSFit(df, keys, y, list(xcols), intercept, solve(g, keys))
+    return OLSFit(df, keys, y, list(xcols), intercept, stage_table(solve(g, keys), "coef"))
 
 
 def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
@@ -336,7 +343,7 @@ def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> Dat
                     rows.append(out)
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    models = g.mapInPandas(run, schema)
+    models = stage_table(g.mapInPandas(run, schema), "subsets")
     X = _design_cols(xcols, True)
     d = complete_cases(df, y, xcols)
     j = d.join(models, keys)

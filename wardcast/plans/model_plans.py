@@ -16,7 +16,7 @@ from wardcast.operators import features as X
 from wardcast.operators import forecast as FC
 from wardcast.operators import regress as R
 from wardcast.operators import series as S
-from wardcast.plans.common import sig_rounded
+from wardcast.plans.common import dec_rounded, sig_rounded
 from wardcast.sources import series_inputs as I
 
 K = ["series_id"]
@@ -68,7 +68,7 @@ def model_c_data(spark, sf):
 
 def ols_trend_season(spark, sf):
     c = model_a(spark, sf).coefficients(with_p=False)
-    return sig_rounded(c, ["estimate", "std_error", "t_value"])
+    return sig_rounded(dec_rounded(c, ["estimate", "std_error"], 2), ["t_value"])
 
 
 def coef_pvalues(spark, sf):
@@ -78,13 +78,13 @@ def coef_pvalues(spark, sf):
 
 def fitted_residuals(spark, sf):
     a = model_a(spark, sf).augment().select(*K, "period", "t", "y", "fitted", "residual")
-    return sig_rounded(a, ["y", "fitted", "residual"])
+    return dec_rounded(a, ["y", "fitted", "residual"], 2)
 
 
 def actual_vs_fitted(spark, sf):
     a = model_a(spark, sf).augment().select(*K, "period", "season",
                                             F.col("y").alias("actual"), "fitted")
-    return sig_rounded(a, ["actual", "fitted"])
+    return dec_rounded(a, ["actual", "fitted"], 2)
 
 
 def resid_vs_fitted(spark, sf):
@@ -135,7 +135,7 @@ def _future_a(spark, sf, fitm, end=None):
 def forecast_exante(spark, sf):
     m = model_a(spark, sf)
     f = FC.forecast(m, _future_a(spark, sf, m), intervals=False)
-    return sig_rounded(f.select(*K, "h", "period", "t", "season", "point", "se"), ["point", "se"])
+    return dec_rounded(f.select(*K, "h", "period", "t", "season", "point", "se"), ["point", "se"], 2)
 
 
 def forecast_intervals(spark, sf):
@@ -155,12 +155,12 @@ def _expost(spark, sf):
 def forecast_expost(spark, sf):
     f = _expost(spark, sf).select(*K, "period", F.col("y").alias("actual"), "point",
                                   (F.col("y") - F.col("point")).alias("error"))
-    return sig_rounded(f, ["actual", "point", "error"])
+    return dec_rounded(f, ["actual", "point", "error"], 2)
 
 
 def prediction_eval(spark, sf):
     f = _expost(spark, sf).withColumnRenamed("y", "actual")
-    return sig_rounded(FC.accuracy(f, K), ["me", "rmse", "mae", "mape"], 7)
+    return sig_rounded(dec_rounded(FC.accuracy(f, K), ["me", "rmse", "mae"], 2), ["mape"], 7)
 
 
 def transform_target(spark, sf):
@@ -170,7 +170,7 @@ def transform_target(spark, sf):
     f = FC.forecast(m, fut, intervals=False)
     out = f.select(*K, "h", "period", F.col("point").alias("point_log"),
                    X.back_transform(F.col("point"), "log").alias("point"))
-    return sig_rounded(out, ["point_log", "point"])
+    return sig_rounded(dec_rounded(out, ["point"], 2), ["point_log"], 9)
 
 
 # ---- model B -------------------------------------------------------------------

@@ -13,6 +13,7 @@ Student-t based p-values and interval limits have no DuckDB oracle.
 
 from __future__ import annotations
 
+from wardcast.plans.common import sql_dec as dc
 from wardcast.plans.common import sql_sig as sg
 from wardcast.plans.oracle_series import MONTHLY, MULTI, QWIN, REVENUE
 
@@ -153,14 +154,15 @@ BUCKET = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGIN
 
 ORACLE = {
     "ols_trend_season": f"""WITH {COEF_A}
-SELECT series_id, term, {sg('estimate')} AS estimate, {sg('std_error')} AS std_error,
+SELECT series_id, term, {dc('estimate')} AS estimate, {dc('std_error')} AS std_error,
        {sg('estimate / std_error')} AS t_value
 FROM coef""",
     "fitted_residuals": f"""WITH {A}
-SELECT series_id, period, t, {sg('y')} AS y, {sg('fitted')} AS fitted, {sg('residual')} AS residual
+SELECT series_id, period, t, {dc('y')} AS y, {dc('fitted')} AS fitted,
+       {dc('residual')} AS residual
 FROM fit""",
     "actual_vs_fitted": f"""WITH {A}
-SELECT series_id, period, season, {sg('y')} AS actual, {sg('fitted')} AS fitted FROM fit""",
+SELECT series_id, period, season, {dc('y')} AS actual, {dc('fitted')} AS fitted FROM fit""",
     "resid_vs_fitted": f"""WITH {A}
 SELECT series_id, {sg('corr(abs(residual), fitted)', 6)} AS abs_resid_fitted_corr
 FROM fit GROUP BY 1""",
@@ -194,15 +196,15 @@ SELECT series_id, CAST(n AS BIGINT) AS n, {sg('sd_resid', 7)} AS sd_resid,
   {sg('resid_acf1', 7)} AS resid_acf1
 FROM ac""",
     "forecast_exante": f"""WITH {A}, {_future_a()}
-SELECT series_id, h, period, t, season, {sg('point')} AS point, {sg('se')} AS se FROM fc""",
+SELECT series_id, h, period, t, season, {dc('point')} AS point, {dc('se')} AS se FROM fc""",
     "forecast_expost": f"""WITH {QWIN}, {_model_a(end='2000-04-01')},
 test AS (SELECT series_id, period, t, season, y FROM qw WHERE period > DATE '2000-04-01'),
 ep AS (
   SELECT test.series_id, test.period, test.y AS actual, al.alpha + bb.b * test.t AS point
   FROM test JOIN bb USING (series_id)
   JOIN al ON al.series_id = test.series_id AND al.season = test.season)
-SELECT series_id, period, {sg('actual')} AS actual, {sg('point')} AS point,
-  {sg('actual - point')} AS error
+SELECT series_id, period, {dc('actual')} AS actual, {dc('point')} AS point,
+  {dc('actual - point')} AS error
 FROM ep""",
     "prediction_eval": f"""WITH {QWIN}, {_model_a(end='2000-04-01')},
 test AS (SELECT series_id, period, t, season, y FROM qw WHERE period > DATE '2000-04-01'),
@@ -210,13 +212,13 @@ ep AS (
   SELECT test.series_id, test.y AS actual, test.y - (al.alpha + bb.b * test.t) AS e
   FROM test JOIN bb USING (series_id)
   JOIN al ON al.series_id = test.series_id AND al.season = test.season)
-SELECT series_id, CAST(count(e) AS BIGINT) AS n, {sg('avg(e)', 7)} AS me,
-  {sg('sqrt(avg(e * e))', 7)} AS rmse, {sg('avg(abs(e))', 7)} AS mae,
+SELECT series_id, CAST(count(e) AS BIGINT) AS n, {dc('avg(e)')} AS me,
+  {dc('sqrt(avg(e * e))')} AS rmse, {dc('avg(abs(e))')} AS mae,
   {sg('avg(abs(e / nullif(actual, 0)) * 100)', 7)} AS mape
 FROM ep GROUP BY 1""",
     "transform_target": f"""WITH {QWIN},
 lq AS (SELECT *, ln(y) AS log_y FROM qw), {_model_a(target='log_y', src='lq')}, {_future_a()}
-SELECT series_id, h, period, {sg('point')} AS point_log, {sg('exp(point)')} AS point FROM fc""",
+SELECT series_id, h, period, {sg('point', 9)} AS point_log, {dc('exp(point)')} AS point FROM fc""",
     "ols_simple": f"""WITH {B}
 SELECT series_id, {sg('regr_slope(d_price, d_items)')} AS slope,
   {sg('regr_intercept(d_price, d_items)')} AS intercept,

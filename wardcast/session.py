@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults applied only when the key is not already set on the session.
 _DEFAULTS = {
@@ -56,3 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def stage_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a small derived table (one row per series: coefficients, fit
+    statistics) to the shared checkpoint folder and read it back.
+
+    Computes it exactly once, cuts the lineage so later uses never rescan the
+    source data, and survives executor loss (the files live on shared
+    storage, not in executor memory).
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/wardcast-stage/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

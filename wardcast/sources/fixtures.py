@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions.codes import (FIXTURE_CHART_ITEMS, FIXTURE_CV_ITEMS,
                                       FIXTURE_MV_ITEMS)
+from wardcast.session import stage_table
 from wardcast.sources.tables import read_table
 
 
@@ -37,13 +38,15 @@ def _m(k: int) -> Column:
 
 
 def icustays(spark, sf_dir) -> DataFrame:
+    """One row per stay; staged because every mart step joins to it."""
     ev = _events(spark, sf_dir)
-    return (ev.groupBy(_sid().alias("icustay_id"))
+    return stage_table(ev.groupBy(_sid().alias("icustay_id"))
               .agg(F.min("user_id").alias("user_id"), F.min("ts").alias("t0"))
               .select((F.col("user_id") % 60).cast("bigint").alias("subject_id"),
                       (F.col("icustay_id") + 100000).cast("bigint").alias("hadm_id"),
                       "icustay_id",
-                      (F.col("t0") + F.make_dt_interval(hours=F.lit(12))).alias("intime")))
+                      (F.col("t0") + F.make_dt_interval(hours=F.lit(12))).alias("intime")),
+                       "icustays")
 
 
 def chartevents(spark, sf_dir) -> DataFrame:

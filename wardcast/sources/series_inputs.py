@@ -1,5 +1,10 @@
 """Driver tables -> keyed regular series (FIXTURES.md section 3).
 
+Each builder is the only pass over the large table: the raw rows are
+reduced to one row per (key, period) and that small result is staged in the
+shared checkpoint folder, so every analysis that reuses a series (ACF, lags,
+fits, forecasts) reads the staged table instead of re-aggregating the source.
+
 * monthly / quarterly order value by order priority (seasonal m = 12 / 4),
   the partial month 2001-08 dropped;
 * multivariate monthly line-item series by return flag;
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.operators.series import build_series
+from wardcast.session import stage_table
 from wardcast.sources.tables import read_table
 
 ORDERS_END = "2001-08-01"      # first period with partial data (one day)
@@ -30,7 +36,8 @@ def orders_series(spark: SparkSession, sf_dir: str, unit: str = "month") -> Data
     o = (read_table(spark, sf_dir, "orders")
          .select(F.col("o_orderpriority").alias("series_id"), "o_orderdate", "o_totalprice")
          .filter(_before("o_orderdate", end)))
-    return build_series(o, ["series_id"], "o_orderdate", {"y": F.sum("o_totalprice")}, unit)
+    return stage_table(build_series(o, ["series_id"], "o_orderdate",
+                                    {"y": F.sum("o_totalprice")}, unit), f"orders-{unit}")
 
 
 def lineitem_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,16 +45,17 @@ def lineitem_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
           .select(F.col("l_returnflag").alias("series_id"), "l_shipdate", "l_extendedprice",
                   "l_quantity", "l_discount", "l_tax")
           .filter(_before("l_shipdate", LINEITEM_END)))
-    return build_series(li, ["series_id"], "l_shipdate", {
+    return stage_table(build_series(li, ["series_id"], "l_shipdate", {
         "sum_price": F.sum("l_extendedprice"), "sum_qty": F.sum("l_quantity"),
         "avg_disc": F.avg("l_discount"), "avg_tax": F.avg("l_tax"),
-        "n_items": F.count("*").cast("double")}, "month")
+        "n_items": F.count("*").cast("double")}, "month"), "lineitem-month")
 
 
 def lineitem_revenue_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_extendedprice")
           .filter(_before("l_shipdate", LINEITEM_END)))
-    return build_series(li, [], "l_shipdate", {"x": F.sum("l_extendedprice")}, "month")
+    return stage_table(build_series(li, [], "l_shipdate", {"x": F.sum("l_extendedprice")},
+                                    "month"), "revenue-month")
 
 
 def events_series(spark: SparkSession, sf_dir: str, unit: str = "day",
@@ -55,4 +63,5 @@ def events_series(spark: SparkSession, sf_dir: str, unit: str = "day",
     ev = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("series_id"), "ts", "value")
     agg = F.sum("value") if measure == "sum" else F.count("*").cast("double")
-    return build_series(ev, ["series_id"], "ts", {"y": agg}, unit)
+    return stage_table(build_series(ev, ["series_id"], "ts", {"y": agg}, unit),
+                       f"events-{unit}-{measure}")

@@ -19,10 +19,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of a driver table.  The relation (file listing, footer
+    schema) is built once per session and path; DataFrames are immutable, so
+    every caller can share it and Catalyst still prunes per query."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _SCANS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
+    return df
 
 
 def require_columns(df: DataFrame, cols, where: str = "input") -> DataFrame:
