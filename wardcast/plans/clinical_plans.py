@@ -82,6 +82,16 @@ def sofa(spark, sf):
     return C.sofa(X.clinical_inputs(spark, sf), salt=_salt(spark))
 
 
+def publish_mart(spark, sf):
+    """Publish the score mart as a table in the shared folder (overwrite)
+    and return the read-back relation."""
+    from wardcast.session import ensure_checkpoint_dir
+    from wardcast.sources.publish import publish
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts/sofa"
+    return publish(C.sofa(X.clinical_inputs(spark, sf), salt=_salt(spark), ordered=False),
+                   path, sort_within=["icustay_id"])
+
+
 QUERIES = {
     "hw_raw_convert": hw_raw_convert,
     "hw_first_min_max": hw_first_min_max,
@@ -94,4 +104,5 @@ QUERIES = {
     "sofa_components": sofa_components,
     "sofa_scores": sofa_scores,
     "sofa": sofa,
+    "publish_mart": publish_mart,
 }

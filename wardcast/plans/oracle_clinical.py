@@ -260,6 +260,12 @@ FROM scorecomp""",
     "sofa_scores": _with(SOFA_CTES) + """
 SELECT icustay_id, respiration, coagulation, liver, cardiovascular, cns, renal
 FROM scorecalc""",
+    "publish_mart": _with(SOFA_CTES) + """
+SELECT ie.subject_id, ie.hadm_id, ie.icustay_id,
+  CAST(coalesce(respiration,0) + coalesce(coagulation,0) + coalesce(liver,0)
+     + coalesce(cardiovascular,0) + coalesce(cns,0) + coalesce(renal,0) AS INTEGER) AS SOFA,
+  respiration, coagulation, liver, cardiovascular, cns, renal
+FROM icustays ie LEFT JOIN scorecalc s ON ie.icustay_id = s.icustay_id""",
     "sofa": _with(SOFA_CTES) + """
 SELECT ie.subject_id, ie.hadm_id, ie.icustay_id,
   CAST(coalesce(respiration,0) + coalesce(coagulation,0) + coalesce(liver,0)
