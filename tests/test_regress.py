@@ -233,6 +233,32 @@ def test_stepwise_backward_brute_force(spark, pdf):
         assert mine.aicc.iloc[-1] == pytest.approx(best, rel=1e-9)
 
 
+def test_stepwise_forward_brute_force(spark, pdf):
+    out = R.stepwise(spark.createDataFrame(pdf), ["key"], "y", XS, "forward").toPandas()
+    for k, g in pdf.groupby("key"):
+        cur = []
+        y = g["y"].to_numpy()
+        e0 = y - y.mean()
+        best = _aicc(len(y), e0 @ e0, 1)
+        path = ["(none)"]
+        while len(cur) < len(XS):
+            trials = []
+            for a in XS:
+                if a in cur:
+                    continue
+                cand = [c for c in XS if c in cur + [a]]
+                _, _, _, e2 = ols_np(g, cand)
+                trials.append((_aicc(len(y), e2 @ e2, len(cand) + 1), XS.index(a), cand))
+            val, _, cand = min(trials)
+            if not val < best:
+                break
+            cur, best = cand, val
+            path.append("+".join(cur))
+        mine = out[out.key == k].sort_values("step")
+        assert list(mine.model) == path
+        assert mine.aicc.iloc[-1] == pytest.approx(best, rel=1e-9)
+
+
 def test_simple_regression_builtin(spark, pdf):
     out = {r["key"]: r for r in rows(R.simple_regression(spark.createDataFrame(pdf), ["key"], "y", "x1"))}
     for k, g in pdf.groupby("key"):

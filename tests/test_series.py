@@ -156,3 +156,18 @@ def test_dummies_drop_base_level(spark):
     df = spark.createDataFrame([("A",), ("N",), ("R",)], "f string")
     out = X.dummies(df, "f", ["A", "N", "R"], prefix="flag")
     assert out.columns == ["f", "flag_N", "flag_R"]
+
+
+def test_from_values_and_frequency(spark):
+    s = rows(S.from_values(spark, [123, 39, 78, 52, 110], "2012-01-01", "year"), ["t"])
+    assert [r["y"] for r in s] == [123, 39, 78, 52, 110] and s[-1]["period"] == date(2016, 1, 1)
+    assert S.seasonal_period("month") == 12 and S.seasonal_period("quarter") == 4
+
+
+def test_white_noise_correlogram(spark):
+    wn = S.white_noise(spark, 50, seed=30, keys=40, partitions=4)
+    a = S.acf_bounds(S.acf(wn, ["series_id"], "y", 10))
+    share = a.agg(F.avg(F.when(~F.col("significant"), 1.0).otherwise(0.0))).first()[0]
+    assert 0.9 < share <= 1.0            # about 95% of spikes inside +-2/sqrt(T)
+    again = S.white_noise(spark, 50, seed=30, keys=40, partitions=4)
+    assert wn.exceptAll(again).count() == 0

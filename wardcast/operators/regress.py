@@ -367,15 +367,24 @@ def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> Dat
     return s.withColumn("rank_aicc", F.row_number().over(w).cast("int"))
 
 
-def stepwise_backward(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> DataFrame:
-    """Backward elimination by AICc from the full model (R32): at each step
-    drop the predictor whose removal lowers AICc most; stop when none does.
-    Runs per key on its Gram row (SSE from the Gram matrix, no rescans)."""
+def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
+             direction: str = "backward") -> DataFrame:
+    """Stepwise selection by AICc (R32), per key on its Gram row (SSE from
+    the Gram matrix, no rescans of the data).
+
+    * backward: start from all predictors, drop the one whose removal lowers
+      AICc most, stop when no removal lowers it;
+    * forward: start from the intercept-only model, add the predictor that
+      lowers AICc most, stop when no addition lowers it.
+    Output: one row per step (step 0 = start model) with the changed term.
+    """
+    if direction not in ("backward", "forward"):
+        raise ValueError(direction)
     g = gram(df, keys, y, xcols, True)
     p = len(xcols) + 1
     key_fields = [g.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
-        T.StructField("step", T.IntegerType()), T.StructField("dropped", T.StringType()),
+        T.StructField("step", T.IntegerType()), T.StructField("changed", T.StringType()),
         T.StructField("model", T.StringType()), T.StructField("aicc", T.DoubleType())])
 
     def aicc(n, sse, kp1):
@@ -394,29 +403,37 @@ def stepwise_backward(df: DataFrame, keys: list[str], y: str, xcols: list[str])
                 n = float(r["n"])
 
                 def score(sub):
-                    beta, _, sel = _solve_one(A, xty, (0,) + tuple(sub))
+                    beta, _, sel = _solve_one(A, xty, (0,) + tuple(sorted(sub)))
                     bs = np.nan_to_num(beta)
                     return aicc(n, float(r["yty"] - 2 * bs @ xty + bs @ A @ bs), len(sel))
 
-                cur = list(range(1, p))
+                cur = list(range(1, p)) if direction == "backward" else []
                 best = score(cur)
                 step = 0
-                rows.append({**{k: r[k] for k in keys}, "step": step, "dropped": None,
-                             "model": _subset_label(xcols, [i - 1 for i in cur]), "aicc": best})
-                while cur:
-                    trials = [(score([c for c in cur if c != d]), d) for d in cur]
+                kv = {k: r[k] for k in keys}
+                rows.append({**kv, "step": 0, "changed": None,
+                             "model": _subset_label(xcols, [i - 1 for i in sorted(cur)]),
+                             "aicc": best})
+                while True:
+                    if direction == "backward":
+                        moves = [([c for c in cur if c != d], d) for d in cur]
+                    else:
+                        moves = [(cur + [a], a) for a in range(1, p) if a not in cur]
+                    trials = [(score(m), d, m) for m, d in moves]
                     trials = [t for t in trials if not math.isnan(t[0])]
                     if not trials:
                         break
-                    val, d = min(trials)
+                    val, d, m = min(trials, key=lambda t: (t[0], t[1]))
                     if not val < best:
                         break
-                    cur = [c for c in cur if c != d]
-                    best, step = val, step + 1
-                    rows.append({**{k: r[k] for k in keys}, "step": step,
-                                 "dropped": xcols[d - 1],
-                                 "model": _subset_label(xcols, [i - 1 for i in cur]),
+                    cur, best, step = m, val, step + 1
+                    rows.append({**kv, "step": step, "changed": xcols[d - 1],
+                                 "model": _subset_label(xcols, [i - 1 for i in sorted(cur)]),
                                  "aicc": best})
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return g.mapInPandas(run, schema)
+
+
+def stepwise_backward(df, keys, y, xcols):
+    return stepwise(df, keys, y, xcols, "backward")

@@ -252,3 +252,31 @@ def density(df: DataFrame, keys: list[str], value: str, grid: int = 32) -> DataF
              .select(*keys, F.col("g").cast("int").alias("g"), "x",
                      (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))))
                      .alias("density")))
+
+
+def from_values(spark, values: list[float], start: str, unit: str,
+                series_id: str = "s") -> DataFrame:
+    """A literal regular series (S6): values from ``start`` one per period,
+    e.g. ``from_values(spark, [123, 39, 78, 52, 110], "2012-01-01", "year")``."""
+    from wardcast.functions.calendar import add_periods
+    base = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, y double")
+    per = add_periods(F.lit(start).cast("date"), F.col("i"), unit)
+    return base.select(F.lit(series_id).alias("series_id"), per.alias("period"),
+                       (F.col("i") + 1).cast("int").alias("t"),
+                       season_of(per, unit).alias("season"), cycle_of(per, unit).alias("cycle"), "y")
+
+
+def white_noise(spark, n: int, seed: int, keys: int = 1, partitions: int = 1) -> DataFrame:
+    """Seeded standard-normal series (S7/T14): ``keys`` series of length n,
+    generated in parallel; fixed ``partitions`` keep the draws reproducible.
+    Statistically (not bit-for-bit) equal to other generators."""
+    base = spark.range(0, n * keys, numPartitions=partitions)
+    return base.select((F.col("id") % keys).cast("bigint").alias("series_id"),
+                       (F.floor(F.col("id") / keys) + 1).cast("int").alias("t"),
+                       F.randn(seed).alias("y"))
+
+
+def seasonal_period(unit: str) -> float:
+    """Primary number of observations per cycle for a period unit."""
+    from wardcast.functions.codes import FREQUENCY
+    return FREQUENCY[unit][0]

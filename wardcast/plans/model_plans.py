@@ -199,7 +199,12 @@ def all_subsets(spark, sf):
 
 
 def stepwise(spark, sf):
-    return sig_rounded(R.stepwise_backward(model_b_data(spark, sf), K, "d_price", B_X),
+    return sig_rounded(R.stepwise(model_b_data(spark, sf), K, "d_price", B_X, "backward"),
+                       ["aicc"], 7)
+
+
+def stepwise_forward(spark, sf):
+    return sig_rounded(R.stepwise(model_b_data(spark, sf), K, "d_price", B_X, "forward"),
                        ["aicc"], 7)
 
 
@@ -288,6 +293,7 @@ QUERIES = {
     "resid_vs_x": resid_vs_x,
     "all_subsets": all_subsets,
     "stepwise": stepwise,
+    "stepwise_forward": stepwise_forward,
     "forecast_scenarios": forecast_scenarios,
     "spurious_check": spurious_check,
     "hash_split": hash_split,

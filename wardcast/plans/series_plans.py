@@ -37,7 +37,7 @@ def facet_long(spark, sf):
 
 
 def seasonal_plot(spark, sf):
-    w = S.seasonal_wide(I.orders_series(spark, sf, "month"), K, "y", 12)
+    w = S.seasonal_wide(I.orders_series(spark, sf, "month"), K, "y", int(S.seasonal_period("month")))
     return rounded(w, [f"s{s:02d}" for s in range(1, 13)], 2)
 
 
@@ -86,7 +86,7 @@ def acf_bounds(spark, sf):
 
 
 def acf_signature(spark, sf):
-    sig = S.acf_signature(S.acf_bounds(_acf(spark, sf)), K, 12)
+    sig = S.acf_signature(S.acf_bounds(_acf(spark, sf)), K, int(S.seasonal_period("month")))
     return rounded(sig, ["r1", "rm", "share_inside"], 6)
 
 
