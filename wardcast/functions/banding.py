@@ -28,3 +28,12 @@ def total_with_missing_as_zero(cols: list[str]) -> Column:
     for c in cols:
         out = out + F.coalesce(F.col(c), F.lit(0))
     return out.cast("int")
+
+
+def band_sql(cases: list[tuple[str, int]], null_when: str | None = None,
+             default: int = 0) -> str:
+    """SQL-text form of ``band`` (one expression, parsed once by Spark)."""
+    parts = [f"WHEN {cond} THEN {score}" for cond, score in cases]
+    if null_when is not None:
+        parts.append(f"WHEN {null_when} THEN NULL")
+    return f"CAST(CASE {' '.join(parts)} ELSE {default} END AS INT)"

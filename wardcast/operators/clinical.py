@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.functions.banding import band, total_with_missing_as_zero
+from wardcast.functions.banding import band_sql, total_with_missing_as_zero
 from wardcast.functions.codes import (CV_CODES, CV_DRUGS, HEIGHT_WEIGHT_CODES,
                                       LB_TO_KG, MV_CODES, MV_DRUGS,
                                       MV_REWRITTEN, hw_itemids, weight_itemids)
@@ -201,34 +201,39 @@ def score_components(icustays: DataFrame, cv: DataFrame, mv: DataFrame,
 COMPONENTS = ["respiration", "coagulation", "liver", "cardiovascular", "cns", "renal"]
 
 
+# Organ bands: ordered first-match cascades (NULL comparisons fall through).
+SCORE_BANDS = {
+    "respiration": ([("PaO2FiO2_vent_min < 100", 4), ("PaO2FiO2_vent_min < 200", 3),
+                     ("PaO2FiO2_novent_min < 300", 2), ("PaO2FiO2_novent_min < 400", 1)],
+                    "coalesce(PaO2FiO2_vent_min, PaO2FiO2_novent_min) IS NULL"),
+    "coagulation": ([("Platelet_Min < 20", 4), ("Platelet_Min < 50", 3),
+                     ("Platelet_Min < 100", 2), ("Platelet_Min < 150", 1)],
+                    "Platelet_Min IS NULL"),
+    "liver": ([("Bilirubin_Max >= 12.0", 4), ("Bilirubin_Max >= 6.0", 3),
+               ("Bilirubin_Max >= 2.0", 2), ("Bilirubin_Max >= 1.2", 1)],
+              "Bilirubin_Max IS NULL"),
+    "cardiovascular": (
+        [("rate_dopamine > 15 OR rate_epinephrine > 0.1 OR rate_norepinephrine > 0.1", 4),
+         ("rate_dopamine > 5 OR rate_epinephrine <= 0.1 OR rate_norepinephrine <= 0.1", 3),
+         ("rate_dopamine > 0 OR rate_dobutamine > 0", 2),
+         ("MeanBP_Min < 70", 1)],
+        "coalesce(MeanBP_Min, rate_dopamine, rate_dobutamine, rate_epinephrine,"
+        " rate_norepinephrine) IS NULL"),
+    "cns": ([("MinGCS >= 13 AND MinGCS <= 14", 1), ("MinGCS >= 10 AND MinGCS <= 12", 2),
+             ("MinGCS >= 6 AND MinGCS <= 9", 3), ("MinGCS < 6", 4)],
+            "MinGCS IS NULL"),
+    "renal": ([("Creatinine_Max >= 5.0", 4), ("UrineOutput < 200", 4),
+               ("Creatinine_Max >= 3.5 AND Creatinine_Max < 5.0", 3), ("UrineOutput < 500", 3),
+               ("Creatinine_Max >= 2.0 AND Creatinine_Max < 3.5", 2),
+               ("Creatinine_Max >= 1.2 AND Creatinine_Max < 2.0", 1)],
+              "coalesce(UrineOutput, Creatinine_Max) IS NULL"),
+}
+
+
 def score_calc(comp: DataFrame) -> DataFrame:
     """Per-component 0-4 bands; NULL when the inputs were not measured."""
-    c = F.col
-    vent, novent = c("PaO2FiO2_vent_min"), c("PaO2FiO2_novent_min")
-    plt, bili = c("Platelet_Min"), c("Bilirubin_Max")
-    dopa, epi, nor, dobu = (c("rate_dopamine"), c("rate_epinephrine"),
-                            c("rate_norepinephrine"), c("rate_dobutamine"))
-    mbp, gcs, cr, uo = c("MeanBP_Min"), c("MinGCS"), c("Creatinine_Max"), c("UrineOutput")
-    return comp.select(
-        "*",
-        band([(vent < 100, 4), (vent < 200, 3), (novent < 300, 2), (novent < 400, 1)],
-             F.coalesce(vent, novent).isNull()).alias("respiration"),
-        band([(plt < 20, 4), (plt < 50, 3), (plt < 100, 2), (plt < 150, 1)],
-             plt.isNull()).alias("coagulation"),
-        band([(bili >= 12.0, 4), (bili >= 6.0, 3), (bili >= 2.0, 2), (bili >= 1.2, 1)],
-             bili.isNull()).alias("liver"),
-        band([((dopa > 15) | (epi > 0.1) | (nor > 0.1), 4),
-              ((dopa > 5) | (epi <= 0.1) | (nor <= 0.1), 3),
-              ((dopa > 0) | (dobu > 0), 2),
-              (mbp < 70, 1)],
-             F.coalesce(mbp, dopa, dobu, epi, nor).isNull()).alias("cardiovascular"),
-        band([((gcs >= 13) & (gcs <= 14), 1), ((gcs >= 10) & (gcs <= 12), 2),
-              ((gcs >= 6) & (gcs <= 9), 3), (gcs < 6, 4)],
-             gcs.isNull()).alias("cns"),
-        band([(cr >= 5.0, 4), (uo < 200, 4), ((cr >= 3.5) & (cr < 5.0), 3), (uo < 500, 3),
-              ((cr >= 2.0) & (cr < 3.5), 2), ((cr >= 1.2) & (cr < 2.0), 1)],
-             F.coalesce(uo, cr).isNull()).alias("renal"),
-    )
+    return comp.selectExpr("*", *[f"{band_sql(cases, null_when)} AS {name}"
+                                  for name, (cases, null_when) in SCORE_BANDS.items()])
 
 
 def sofa_from_components(calc: DataFrame, ordered: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import add_periods, cycle_of, season_of
 from wardcast.functions.stats import t_quantile_udf
-from wardcast.operators.regress import OLSFit, _design_cols
+from wardcast.operators.regress import OLSFit, _design_sql
 
 LEVELS = (80, 95)
 
@@ -40,7 +40,7 @@ def forecast(fitm: OLSFit, newdata: DataFrame, levels=LEVELS,
     g = fitm.glance().select(*fitm.keys, "sigma", "df_resid")
     j = (newdata.join(fitm.coef_rows.select(*fitm.keys, "beta", "inv"), fitm.keys)
                 .join(g, fitm.keys))
-    xs = _design_cols(fitm.xcols, fitm.intercept)
+    xs = _design_sql(fitm.xcols, fitm.intercept)
     out = (j.withColumn("point", fitm.linear_predictor(xs))
             .withColumn("se", F.col("sigma") * F.sqrt(1 + fitm.quad_form(xs))))
     if intervals:

@@ -43,15 +43,15 @@ def window_join(events: DataFrame, windows: DataFrame, key: str, ts: str,
     ``events`` and ``windows`` must not share column names besides ``key``.
     Returns event columns + window columns (``key`` once).
     """
-    w = (windows.withColumn("_lo", lo).withColumn("_hi", hi)
-                .withColumn(_BUCKET, F.explode(_day_span(F.col("_lo"), F.col("_hi")))))
+    w = windows.select("*", lo.alias("_lo"), hi.alias("_hi"),
+                       F.explode(_day_span(lo, hi)).alias(_BUCKET))
     e = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
-              .withColumn(_BUCKET, F.to_date(F.col(ts)))
+              .select("*", F.to_date(F.col(ts)).alias(_BUCKET))
     keys = [key, _BUCKET]
     if salt > 1:
-        w = w.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        w = w.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias(_SALT))
         hcols = [F.col(c) for c in (salt_cols or [ts])]
-        e = e.withColumn(_SALT, F.pmod(F.xxhash64(*hcols), F.lit(salt)).cast("int"))
+        e = e.select("*", F.pmod(F.xxhash64(*hcols), F.lit(salt)).cast("int").alias(_SALT))
         keys.append(_SALT)
     t = F.col(ts)
     lo_ok = (t > F.col("_lo")) if lo_open else (t >= F.col("_lo"))
@@ -69,12 +69,12 @@ def point_in_interval_left(points: DataFrame, intervals: DataFrame, key: str,
     Rows multiply by the number of overlapping intervals, exactly as the SQL
     left join does; callers aggregate with min/max (duplicate-insensitive).
     """
-    iv = (intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"),
-                           F.col(end).alias("_e"))
-                   .withColumn(_BUCKET, F.explode(_day_span(F.col("_s"), F.col("_e")))))
-    p = points.withColumn(_BUCKET, F.to_date(F.col(ts)))
+    iv = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"),
+                          F.col(end).alias("_e"),
+                          F.explode(_day_span(F.col(start), F.col(end))).alias(_BUCKET))
+    p = points.select("*", F.to_date(F.col(ts)).alias(_BUCKET))
     cond = ((p[key] == iv["_k"]) & (p[_BUCKET] == iv[_BUCKET])
             & (p[ts] >= iv["_s"]) & (p[ts] <= iv["_e"]))
     j = p.join(iv, cond, "left")
-    return (j.withColumn(flag, F.when(F.col("_k").isNotNull(), 1).otherwise(0))
-             .drop("_k", "_s", "_e", _BUCKET))
+    return j.select(*[p[c] for c in points.columns],
+                    F.when(iv["_k"].isNotNull(), 1).otherwise(0).alias(flag))

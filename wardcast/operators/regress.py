@@ -34,9 +34,22 @@ INTERCEPT = "(Intercept)"
 ALIAS_TOL = 1e-7
 
 
-def _design_cols(xcols: list[str], intercept: bool) -> list[Column]:
-    cols = [F.lit(1.0)] if intercept else []
-    return cols + [F.col(c).cast("double") for c in xcols]
+def _design_sql(xcols: list[str], intercept: bool) -> list[str]:
+    """Design-matrix columns as SQL expressions (built in one call each)."""
+    cols = ["1.0D"] if intercept else []
+    return cols + [f"CAST(`{c}` AS DOUBLE)" for c in xcols]
+
+
+def _dot_sql(xs: list[str], arr: str = "beta") -> str:
+    """x' b with aliased (NULL) coefficients contributing 0."""
+    return " + ".join(f"coalesce({arr}[{i}], 0D) * {x}" for i, x in enumerate(xs))
+
+
+def _quad_sql(xs: list[str], arr: str = "inv") -> str:
+    """x' A x for a row-major p*p array column A."""
+    p = len(xs)
+    return " + ".join(f"{xs[i]} * {xs[j]} * {arr}[{i * p + j}]"
+                      for i in range(p) for j in range(p))
 
 
 def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
@@ -49,21 +62,21 @@ def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
 def gram(df: DataFrame, keys: list[str], y: str, xcols: list[str],
          intercept: bool = True) -> DataFrame:
     """Per-key cross products: n, xtx (p*p row-major), xty (p), yty, ysum."""
-    X = _design_cols(xcols, intercept)
+    X = _design_sql(xcols, intercept)
     p = len(X)
     d = complete_cases(df, y, xcols)
-    yy = F.col(y).cast("double")
-    sums = {}
-    aggs = [F.count("*").alias("n"), F.sum(yy * yy).alias("yty"), F.sum(yy).alias("ysum")]
+    yy = f"CAST(`{y}` AS DOUBLE)"
+    aggs = ["count(*) AS n", f"sum({yy} * {yy}) AS yty", f"sum({yy}) AS ysum"]
+    name = {}
     for i in range(p):
-        aggs.append(F.sum(X[i] * yy).alias(f"_xy{i}"))
+        aggs.append(f"sum({X[i]} * {yy}) AS _xy{i}")
         for j in range(i, p):
-            aggs.append(F.sum(X[i] * X[j]).alias(f"_xx{i}_{j}"))
-            sums[(i, j)] = sums[(j, i)] = f"_xx{i}_{j}"
-    g = d.groupBy(*keys).agg(*aggs)
-    xtx = F.array(*[F.col(sums[(i, j)]) for i in range(p) for j in range(p)])
-    xty = F.array(*[F.col(f"_xy{i}") for i in range(p)])
-    return g.select(*keys, "n", "yty", "ysum", xtx.alias("xtx"), xty.alias("xty"))
+            aggs.append(f"sum({X[i]} * {X[j]}) AS _xx{i}_{j}")
+            name[(i, j)] = name[(j, i)] = f"_xx{i}_{j}"
+    g = d.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    xtx = "array(" + ", ".join(name[(i, j)] for i in range(p) for j in range(p)) + ") AS xtx"
+    xty = "array(" + ", ".join(f"_xy{i}" for i in range(p)) + ") AS xty"
+    return g.selectExpr(*[f"`{k}`" for k in keys], "n", "yty", "ysum", xtx, xty)
 
 
 def _solve_one(A: np.ndarray, b: np.ndarray, subset=None):
@@ -149,35 +162,26 @@ class OLSFit:
         return len(self.terms)
 
     # -- per observation ----------------------------------------------------
-    def _xs(self) -> list[Column]:
-        return _design_cols(self.xcols, self.intercept)
-
-    def linear_predictor(self, xs: list[Column] | None = None) -> Column:
-        xs = xs or self._xs()
-        out = F.lit(0.0)
-        for i, x in enumerate(xs):
-            out = out + F.coalesce(F.col("beta")[i], F.lit(0.0)) * x
-        return out
-
-    def quad_form(self, xs: list[Column] | None = None) -> Column:
-        """x' (X'X)^-1 x as a column expression (leverage for observed x)."""
-        xs = xs or self._xs()
-        p = len(xs)
-        out = F.lit(0.0)
-        for i in range(p):
-            for j in range(p):
-                out = out + xs[i] * xs[j] * F.col("inv")[i * p + j]
-        return out
+    def _xs(self) -> list[str]:
+        return _design_sql(self.xcols, self.intercept)
+
+    def linear_predictor(self, xs: list[str] | None = None) -> Column:
+        """x' b as one SQL expression over the joined ``beta`` array."""
+        return F.expr(_dot_sql(xs or self._xs()))
+
+    def quad_form(self, xs: list[str] | None = None) -> Column:
+        """x' (X'X)^-1 x (leverage for observed x) over the ``inv`` array."""
+        return F.expr(_quad_sql(xs or self._xs()))
 
     def augment(self) -> DataFrame:
         """Observations with fitted, residual and leverage."""
         d = complete_cases(self.data, self.y, self.xcols)
         j = d.join(self.coef_rows.select(*self.keys, "beta", "inv", "n", "rank"), self.keys)
-        fitted = self.linear_predictor()
-        return (j.withColumn("fitted", fitted)
-                 .withColumn("residual", F.col(self.y) - F.col("fitted"))
-                 .withColumn("hat", self.quad_form())
-                 .drop("beta", "inv"))
+        keep = [f"`{c}`" for c in j.columns if c not in ("beta", "inv")]
+        fitted = _dot_sql(self._xs())
+        return j.selectExpr(*keep, f"{fitted} AS fitted",
+                            f"`{self.y}` - ({fitted}) AS residual",
+                            f"{_quad_sql(self._xs())} AS hat")
 
     # -- per key ------------------------------------------------------------
     def glance(self) -> DataFrame:
@@ -344,17 +348,11 @@ def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> Dat
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     models = stage_table(g.mapInPandas(run, schema), "subsets")
-    X = _design_cols(xcols, True)
+    X = _design_sql(xcols, True)
     d = complete_cases(df, y, xcols)
     j = d.join(models, keys)
-    fitted = F.lit(0.0)
-    for i, x in enumerate(X):
-        fitted = fitted + F.col("beta")[i] * x
-    hat = F.lit(0.0)
-    for i in range(p):
-        for jx in range(p):
-            hat = hat + X[i] * X[jx] * F.col("inv")[i * p + jx]
-    e = F.col(y) - fitted
+    hat = F.expr(_quad_sql(X))
+    e = F.expr(f"`{y}` - ({_dot_sql(X)})")
     ybar = F.col("ysum") / F.col("n")
     s = (j.groupBy(*keys, "model")
           .agg(F.first("n").alias("n"), F.first("rank").alias("rank"),

@@ -1,15 +1,16 @@
-"""Driver tables -> the clinical and series inputs of the marts.
+"""Driver tables -> the clinical input views of the marts.
 
 The clinical views are a deterministic mapping of ``events`` (see
 FIXTURES.md): a stay id ``sid`` per user and week of January 2024, codes
 picked by ``event_id`` position, NULL / zero / error cases injected by
-modulo rules.  Projections need no shuffle; the per-stay first-day views are
-one partial aggregate each.
+modulo rules.  Each view is one projection (no shuffle) or one partial
+aggregate, written as SQL expressions so a whole view is built in a single
+call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.functions.codes import (FIXTURE_CHART_ITEMS, FIXTURE_CV_ITEMS,
@@ -17,128 +18,104 @@ from wardcast.functions.codes import (FIXTURE_CHART_ITEMS, FIXTURE_CV_ITEMS,
 from wardcast.session import stage_table
 from wardcast.sources.tables import read_table
 
+SID = "CAST(user_id * 10 + floor((dayofyear(ts) - 1) / 7) AS BIGINT)"
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value")
-
-
-def _sid() -> Column:
-    week = F.floor((F.dayofyear("ts") - 1) / 7).cast("bigint")
-    return (F.col("user_id") * 10 + week).cast("bigint")
 
+def _pick(codes: list[int]) -> str:
+    """Code at position 1 + event_id mod len(codes)."""
+    arr = ", ".join(str(c) for c in codes)
+    return f"CAST(element_at(array({arr}), CAST(pmod(event_id, {len(codes)}) + 1 AS INT)) AS INT)"
 
-def _pick(codes: list[int], eid: Column) -> Column:
-    arr = F.array(*[F.lit(c) for c in codes])
-    return F.element_at(arr, (F.pmod(eid, F.lit(len(codes))) + 1).cast("int")).cast("int")
 
-
-def _m(k: int) -> Column:
-    return F.pmod(F.col("event_id"), F.lit(k)) == 0
+def _events(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value")
+    return ev.filter(where) if where else ev
 
 
 def icustays(spark, sf_dir) -> DataFrame:
     """One row per stay; staged because every mart step joins to it."""
-    ev = _events(spark, sf_dir)
-    return stage_table(ev.groupBy(_sid().alias("icustay_id"))
-              .agg(F.min("user_id").alias("user_id"), F.min("ts").alias("t0"))
-              .select((F.col("user_id") % 60).cast("bigint").alias("subject_id"),
-                      (F.col("icustay_id") + 100000).cast("bigint").alias("hadm_id"),
-                      "icustay_id",
-                      (F.col("t0") + F.make_dt_interval(hours=F.lit(12))).alias("intime")),
-                       "icustays")
+    ev = _events(spark, sf_dir).selectExpr(f"{SID} AS sid", "user_id", "ts")
+    stays = ev.groupBy("sid").agg({"user_id": "min", "ts": "min"}).selectExpr(
+        "CAST(`min(user_id)` % 60 AS BIGINT) AS subject_id",
+        "CAST(sid + 100000 AS BIGINT) AS hadm_id",
+        "sid AS icustay_id",
+        "`min(ts)` + INTERVAL 12 HOURS AS intime")
+    return stage_table(stays, "icustays")
 
 
 def chartevents(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir)
-    eid = F.col("event_id")
-    return ev.select(
-        (F.col("user_id") % 60).cast("bigint").alias("subject_id"),
-        F.when(_m(23), F.lit(None).cast("bigint")).otherwise(_sid()).alias("icustay_id"),
-        F.col("ts").alias("charttime"),
-        _pick(FIXTURE_CHART_ITEMS, eid).alias("itemid"),
-        F.when(_m(19), F.lit(None).cast("double"))
-         .when(_m(29), F.lit(0.0)).otherwise(F.col("value")).alias("valuenum"),
-        F.when(_m(17), F.lit(1)).when(_m(5), F.lit(0)).cast("int").alias("error"),
-    )
+    return _events(spark, sf_dir).selectExpr(
+        "CAST(user_id % 60 AS BIGINT) AS subject_id",
+        f"CASE WHEN pmod(event_id, 23) = 0 THEN CAST(NULL AS BIGINT) ELSE {SID} END AS icustay_id",
+        "ts AS charttime",
+        f"{_pick(FIXTURE_CHART_ITEMS)} AS itemid",
+        "CASE WHEN pmod(event_id, 19) = 0 THEN CAST(NULL AS DOUBLE)"
+        " WHEN pmod(event_id, 29) = 0 THEN 0.0D ELSE value END AS valuenum",
+        "CAST(CASE WHEN pmod(event_id, 17) = 0 THEN 1 WHEN pmod(event_id, 5) = 0 THEN 0 END AS INT)"
+        " AS error")
 
 
 def inputevents_cv(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
-    pos = F.pmod(F.col("event_id"), F.lit(10))
-    rate = (F.when(pos.isin(1, 3, 4), F.col("value") / 500)
-             .when(pos.isin(0, 2), F.col("value") / 10)
-             .otherwise(F.col("value") / 8))
-    return ev.select(
-        _sid().alias("icustay_id"),
-        F.col("ts").alias("charttime"),
-        _pick(FIXTURE_CV_ITEMS, F.col("event_id")).alias("itemid"),
-        F.when(_m(31), F.lit(None).cast("double")).otherwise(rate).alias("rate"),
-    )
+    return _events(spark, sf_dir, "event_type IN ('view', 'click')").selectExpr(
+        f"{SID} AS icustay_id", "ts AS charttime",
+        f"{_pick(FIXTURE_CV_ITEMS)} AS itemid",
+        "CASE WHEN pmod(event_id, 31) = 0 THEN CAST(NULL AS DOUBLE)"
+        " WHEN pmod(event_id, 10) IN (1, 3, 4) THEN value / 500"
+        " WHEN pmod(event_id, 10) IN (0, 2) THEN value / 10"
+        " ELSE value / 8 END AS rate")
 
 
 def inputevents_mv(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == "purchase")
-    pos = F.pmod(F.col("event_id"), F.lit(4))
-    return ev.select(
-        _sid().alias("icustay_id"),
-        F.col("ts").alias("starttime"),
-        _pick(FIXTURE_MV_ITEMS, F.col("event_id")).alias("itemid"),
-        F.when(pos < 2, F.col("value") / 500).otherwise(F.col("value") / 8).alias("rate"),
-        F.when(_m(7), F.lit("Rewritten")).when(_m(11), F.lit(None).cast("string"))
-         .otherwise(F.lit("FinishedRunning")).alias("statusdescription"),
-    )
+    return _events(spark, sf_dir, "event_type = 'purchase'").selectExpr(
+        f"{SID} AS icustay_id", "ts AS starttime",
+        f"{_pick(FIXTURE_MV_ITEMS)} AS itemid",
+        "CASE WHEN pmod(event_id, 4) < 2 THEN value / 500 ELSE value / 8 END AS rate",
+        "CASE WHEN pmod(event_id, 7) = 0 THEN 'Rewritten'"
+        " WHEN pmod(event_id, 11) = 0 THEN CAST(NULL AS STRING)"
+        " ELSE 'FinishedRunning' END AS statusdescription")
 
 
 def echodata(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == "signup")
-    return ev.select((_sid() + 100000).cast("bigint").alias("hadm_id"),
-                     F.col("ts").alias("charttime"),
-                     (F.col("value") + 100).alias("weight"))
+    return _events(spark, sf_dir, "event_type = 'signup'").selectExpr(
+        f"CAST({SID} + 100000 AS BIGINT) AS hadm_id", "ts AS charttime",
+        "value + 100 AS weight")
 
 
 def bloodgasfirstdayarterial(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == "error")
-    return ev.select(_sid().alias("icustay_id"), F.col("ts").alias("charttime"),
-                     (F.col("value") * 5 + 40).alias("PaO2FiO2"))
+    return _events(spark, sf_dir, "event_type = 'error'").selectExpr(
+        f"{SID} AS icustay_id", "ts AS charttime", "value * 5 + 40 AS PaO2FiO2")
 
 
 def ventdurations(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == "signup")
-    return ev.select(_sid().alias("icustay_id"), F.col("ts").alias("starttime"),
-                     (F.col("ts") + F.make_dt_interval(hours=F.lit(36))).alias("endtime"))
+    return _events(spark, sf_dir, "event_type = 'signup'").selectExpr(
+        f"{SID} AS icustay_id", "ts AS starttime", "ts + INTERVAL 36 HOURS AS endtime")
 
 
-def _per_stay(spark, sf_dir, etype: str, agg: Column) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == etype)
-    return ev.groupBy(_sid().alias("icustay_id")).agg(agg)
+def _per_stay(spark, sf_dir, where: str, aggs: list[str]) -> DataFrame:
+    ev = _events(spark, sf_dir, where).selectExpr(f"{SID} AS icustay_id", "*")
+    return ev.groupBy("icustay_id").agg(*[F.expr(a) for a in aggs])
 
 
 def vitalsfirstday(spark, sf_dir) -> DataFrame:
-    return _per_stay(spark, sf_dir, "view",
-                     (F.min("value") * 2 + 60).alias("MeanBP_Min"))
+    return _per_stay(spark, sf_dir, "event_type = 'view'",
+                     ["min(value) * 2 + 60 AS MeanBP_Min"])
 
 
 def labsfirstday(spark, sf_dir) -> DataFrame:
-    ev = _events(spark, sf_dir).filter(
-        F.col("event_type").isin("click", "purchase", "signup"))
-    et = F.col("event_type")
-    v = F.col("value")
-    return ev.groupBy(_sid().alias("icustay_id")).agg(
-        (F.max(F.when(et == "click", v)) / 40).alias("Creatinine_Max"),
-        (F.max(F.when(et == "purchase", v)) / 15).alias("Bilirubin_Max"),
-        (F.min(F.when(et == "signup", v)) * 8).alias("Platelet_Min"))
+    return _per_stay(spark, sf_dir, "event_type IN ('click', 'purchase', 'signup')", [
+        "max(CASE WHEN event_type = 'click' THEN value END) / 40 AS Creatinine_Max",
+        "max(CASE WHEN event_type = 'purchase' THEN value END) / 15 AS Bilirubin_Max",
+        "min(CASE WHEN event_type = 'signup' THEN value END) * 8 AS Platelet_Min"])
 
 
 def uofirstday(spark, sf_dir) -> DataFrame:
-    return _per_stay(spark, sf_dir, "error",
-                     (F.sum("value") * 4).alias("UrineOutput"))
+    return _per_stay(spark, sf_dir, "event_type = 'error'", ["sum(value) * 4 AS UrineOutput"])
 
 
 def gcsfirstday(spark, sf_dir) -> DataFrame:
-    return _per_stay(spark, sf_dir, "purchase",
-                     (F.pmod(F.min(F.pmod(F.col("event_id"), F.lit(40))), F.lit(13)) + 3)
-                     .cast("int").alias("MinGCS"))
+    return _per_stay(spark, sf_dir, "event_type = 'purchase'",
+                     ["CAST(pmod(min(pmod(event_id, 40)), 13) + 3 AS INT) AS MinGCS"])
 
 
 CLINICAL_VIEWS = {
