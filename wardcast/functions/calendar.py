@@ -15,11 +15,19 @@ DATE_UNITS = ("year", "quarter", "month", "week", "day")
 
 def period_start(ts: Column, unit: str) -> Column:
     """Start of the period containing ``ts`` (DATE for day and coarser,
-    TIMESTAMP_NTZ for hours).  Weeks start on Monday."""
+    TIMESTAMP_NTZ for hours).  Weeks start on Monday.
+
+    Pure calendar arithmetic on the wall-clock value: independent of the
+    session time zone (no round trip through a zoned timestamp, so no DST
+    shifts)."""
     if unit not in UNITS:
         raise ValueError(unit)
-    trunc = F.date_trunc(unit, ts)
-    return trunc.cast("date") if unit in DATE_UNITS else trunc.cast("timestamp_ntz")
+    if unit == "day":
+        return F.to_date(ts)
+    if unit in DATE_UNITS:
+        return F.trunc(F.to_date(ts), unit)
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),
+                                F.lit(0), F.lit(0))
 
 
 def step(unit: str) -> Column:
@@ -51,8 +59,7 @@ def periods_between(a: Column, b: Column, unit: str) -> Column:
         return (months / {"year": 12, "quarter": 3, "month": 1}[unit]).cast("int")
     if unit in ("week", "day"):
         return (F.datediff(b, a) / (7 if unit == "week" else 1)).cast("int")
-    secs = F.unix_seconds(b.cast("timestamp")) - F.unix_seconds(a.cast("timestamp"))
-    return (secs / 3600).cast("int")
+    return (F.datediff(F.to_date(b), F.to_date(a)) * 24 + F.hour(b) - F.hour(a)).cast("int")
 
 
 def season_of(period: Column, unit: str) -> Column:
@@ -74,7 +81,7 @@ def cycle_of(period: Column, unit: str) -> Column:
     if unit in ("year", "quarter", "month", "week"):
         return F.make_date(F.year(period), F.lit(1), F.lit(1))
     if unit == "day":
-        return F.date_trunc("week", period).cast("date")
+        return F.trunc(period, "week")
     return F.to_date(period)
 
 

@@ -37,10 +37,15 @@ def build_session(master: str | None = None, app: str = "wardcast",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if os.environ.get("WARDCAST_TZ"):
+        b = b.config("spark.sql.session.timeZone", os.environ["WARDCAST_TZ"])
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -55,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="wardcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - Spark Connect: the conf is enough
+        pass
     return d
 
 

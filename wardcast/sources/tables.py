@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     path = table_path(sf_dir, name)
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    key = (id(spark), spark.conf.get("spark.app.id", ""), path)
     df = _SCANS.get(key)
     if df is None:
         df = spark.read.parquet(path)
