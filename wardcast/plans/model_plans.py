@@ -32,13 +32,14 @@ SCENARIOS = {"up": {"d_items": 1.0, "d_disc": 0.5, "d_tax": 0.0},
 H_SCENARIO = 4
 
 
-def model_a_data(spark, sf, end=None):
-    q = S.time_window(I.orders_series(spark, sf, "quarter"), K, start=WINDOW_START, end=end)
+def model_a_data(spark, sf, end=None, quarterly=None):
+    q = quarterly if quarterly is not None else I.orders_series(spark, sf, "quarter")
+    q = S.time_window(q, K, start=WINDOW_START, end=end)
     return X.season_dummies(X.trend(q), 4)
 
 
-def model_a(spark, sf, end=None, target="y"):
-    return R.fit(model_a_data(spark, sf, end), K, target, A_X)
+def model_a(spark, sf, end=None, target="y", data=None):
+    return R.fit(data if data is not None else model_a_data(spark, sf, end), K, target, A_X)
 
 
 def model_b_data(spark, sf):
@@ -126,30 +127,34 @@ def breusch_godfrey(spark, sf):
     return R.breusch_godfrey(m, R.bg_order(4, 18))
 
 
-def _future_a(spark, sf, fitm, end=None):
-    base = model_a_data(spark, sf, end)
+def _future_a(base):
     fut = FC.future_frame(base, K, "quarter", H_QUARTERS)
     return X.season_dummies(X.trend(fut), 4)
 
 
 def forecast_exante(spark, sf):
-    m = model_a(spark, sf)
-    f = FC.forecast(m, _future_a(spark, sf, m), intervals=False)
+    d = model_a_data(spark, sf)
+    m = model_a(spark, sf, data=d)
+    f = FC.forecast(m, _future_a(d), intervals=False)
     return dec_rounded(f.select(*K, "h", "period", "t", "season", "point", "se"), ["point", "se"], 2)
 
 
 def forecast_intervals(spark, sf):
-    m = model_a(spark, sf)
-    f = FC.forecast(m, _future_a(spark, sf, m))
+    d = model_a_data(spark, sf)
+    m = model_a(spark, sf, data=d)
+    f = FC.forecast(m, _future_a(d))
     return sig_rounded(f.select(*K, "h", "period", "point", "se", "lo80", "hi80", "lo95", "hi95"),
                        ["point", "se", "lo80", "hi80", "lo95", "hi95"], 7)
 
 
 def _expost(spark, sf):
-    m = model_a(spark, sf, end=TRAIN_END)
-    test = model_a_data(spark, sf).filter(F.col("period") > F.lit(TRAIN_END).cast("date"))
-    return FC.forecast(m, test.drop("t").join(
-        model_a_data(spark, sf).select(*K, "period", "t"), [*K, "period"]), intervals=False)
+    """Train through TRAIN_END, forecast the later quarters with their known
+    (realised) predictors: t and season of the full window."""
+    q = I.orders_series(spark, sf, "quarter")
+    m = model_a(spark, sf, data=model_a_data(spark, sf, end=TRAIN_END, quarterly=q))
+    test = model_a_data(spark, sf, quarterly=q).filter(
+        F.col("period") > F.lit(TRAIN_END).cast("date"))
+    return FC.forecast(m, test, intervals=False)
 
 
 def forecast_expost(spark, sf):
@@ -166,7 +171,7 @@ def prediction_eval(spark, sf):
 def transform_target(spark, sf):
     d = X.log_transform(model_a_data(spark, sf), "y", "log", "log_y")
     m = R.fit(d, K, "log_y", A_X)
-    fut = X.season_dummies(X.trend(FC.future_frame(d, K, "quarter", H_QUARTERS)), 4)
+    fut = _future_a(d)
     f = FC.forecast(m, fut, intervals=False)
     out = f.select(*K, "h", "period", F.col("point").alias("point_log"),
                    X.back_transform(F.col("point"), "log").alias("point"))
@@ -209,8 +214,9 @@ def stepwise_forward(spark, sf):
 
 
 def forecast_scenarios(spark, sf):
-    m = model_b(spark, sf)
-    fut = FC.future_frame(model_b_data(spark, sf), K, "month", H_SCENARIO)
+    d = model_b_data(spark, sf)
+    m = R.fit(d, K, "d_price", B_X)
+    fut = FC.future_frame(d, K, "month", H_SCENARIO)
     rows = [(name, *[v[c] for c in B_X]) for name, v in SCENARIOS.items()]
     scen = spark.createDataFrame(rows, ["scenario", *B_X])      # fixed, 2 rows
     nd = fut.crossJoin(F.broadcast(scen))
