@@ -201,7 +201,9 @@ def score_components(icustays: DataFrame, cv: DataFrame, mv: DataFrame,
 COMPONENTS = ["respiration", "coagulation", "liver", "cardiovascular", "cns", "renal"]
 
 
-# Organ bands: ordered first-match cascades (NULL comparisons fall through).
+# --- fixed values: organ-failure bands -------------------------------------
+# Ordered first-match cascades (condition, score); NULL comparisons fall
+# through, then the NULL condition, else 0.
 SCORE_BANDS = {
     "respiration": ([("PaO2FiO2_vent_min < 100", 4), ("PaO2FiO2_vent_min < 200", 3),
                      ("PaO2FiO2_novent_min < 300", 2), ("PaO2FiO2_novent_min < 400", 1)],

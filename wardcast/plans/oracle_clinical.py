@@ -61,142 +61,101 @@ gcsfirstday AS (
   SELECT {SID} AS icustay_id, CAST(3 + min(event_id % 40) % 13 AS INTEGER) AS MinGCS
   FROM events WHERE event_type = 'purchase' GROUP BY {SID})"""
 
-HW_RAW = """
+from wardcast.functions.banding import band_sql  # noqa: E402
+from wardcast.functions.codes import (CV_DRUGS, HEIGHT_WEIGHT_CODES,  # noqa: E402
+                                      MV_DRUGS)
+from wardcast.operators.clinical import SCORE_BANDS  # noqa: E402
+
+# Code tables as VALUES relations (data, joined in), not CASE lists.
+HW_CODES = "code_hw(code, param, factor) AS (VALUES " + ", ".join(
+    f"({c}, '{p}', {f!r})" for c, p, f in HEIGHT_WEIGHT_CODES) + ")"
+CV_CODES_SQL = "code_cv(code, drug, per_weight) AS (VALUES " + ", ".join(
+    [f"({c}, '{d}', true)" for d, spec in CV_DRUGS.items() for c in spec["per_weight"]]
+    + [f"({c}, '{d}', false)" for d, spec in CV_DRUGS.items() for c in spec["per_kg"]]) + ")"
+MV_CODES_SQL = "code_mv(code, drug) AS (VALUES " + ", ".join(
+    f"({c}, '{d}')" for d, c in MV_DRUGS.items()) + ")"
+DRUGS = ["norepinephrine", "epinephrine", "dopamine", "dobutamine"]
+
+HW_RAW = f"""
+{HW_CODES},
 hw_raw AS (
-  SELECT c.charttime, c.itemid, c.subject_id, c.icustay_id,
-    CASE WHEN c.itemid IN (762,763,3723,3580,3581,3582,226512) THEN 'WEIGHT'
-         WHEN c.itemid IN (920,1394,4187,3486,3485,4188,226707) THEN 'HEIGHT' END AS parameter,
-    CASE WHEN c.itemid IN (3581) THEN c.valuenum * 0.45359237
-         WHEN c.itemid IN (3582) THEN c.valuenum * 0.0283495231
-         WHEN c.itemid IN (920,1394,4187,3486,226707) THEN c.valuenum * 2.54
-         ELSE c.valuenum END AS valuenum
-  FROM chartevents c
-  WHERE c.valuenum IS NOT NULL AND c.error IS DISTINCT FROM 1
-    AND c.itemid IN (762,763,3723,3580,3581,3582,920,1394,4187,3486,3485,4188,226707,226512)
-    AND c.valuenum <> 0)"""
+  select ce.charttime, ce.itemid, ce.subject_id, ce.icustay_id, k.param AS parameter,
+         ce.valuenum * k.factor AS valuenum
+  from chartevents ce join code_hw k on k.code = ce.itemid
+  where ce.valuenum is not null and ce.valuenum <> 0 and coalesce(ce.error, 0) <> 1)"""
 
 HW_SINGLE = """
 hw_single AS (
-  SELECT DISTINCT subject_id, icustay_id, parameter,
-    first_value(valuenum) OVER w AS first_valuenum,
-    min(valuenum) OVER w AS min_valuenum,
-    max(valuenum) OVER w AS max_valuenum
-  FROM hw_raw
-  WINDOW w AS (PARTITION BY subject_id, icustay_id, parameter
-               ORDER BY charttime NULLS LAST, itemid, valuenum
-               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+  select subject_id, icustay_id, parameter,
+         arg_min(valuenum, (charttime is null, charttime, itemid, valuenum)) AS first_valuenum,
+         min(valuenum) AS min_valuenum, max(valuenum) AS max_valuenum
+  from hw_raw group by all)"""
 
-SOFA_CTES = """
-wt AS (
-  SELECT ie.icustay_id,
-    avg(CASE WHEN itemid IN (762,763,3723,3580,226512) THEN valuenum
-             WHEN itemid IN (3581) THEN valuenum * 0.45359237
-             WHEN itemid IN (3582) THEN valuenum * 0.0283495231
-             ELSE NULL END) AS weight
-  FROM icustays ie LEFT JOIN chartevents c ON ie.icustay_id = c.icustay_id
-  WHERE valuenum IS NOT NULL
-    AND itemid IN (762,763,3723,3580,3581,3582,226512)
-    AND valuenum != 0
-    AND charttime BETWEEN ie.intime - INTERVAL 1 DAY AND ie.intime + INTERVAL 1 DAY
-    AND c.error IS DISTINCT FROM 1
-  GROUP BY ie.icustay_id),
-echo2 AS (
-  SELECT ie.icustay_id, avg(weight * 0.45359237) AS weight
-  FROM icustays ie LEFT JOIN echodata echo
-    ON ie.hadm_id = echo.hadm_id
-   AND echo.charttime > ie.intime - INTERVAL 7 DAY
-   AND echo.charttime < ie.intime + INTERVAL 1 DAY
-  GROUP BY ie.icustay_id),
-vaso_cv AS (
-  SELECT ie.icustay_id,
-    max(CASE WHEN itemid = 30047 THEN rate / NULLIF(coalesce(wt.weight, ec.weight), 0)
-             WHEN itemid = 30120 THEN rate ELSE NULL END) AS rate_norepinephrine,
-    max(CASE WHEN itemid = 30044 THEN rate / NULLIF(coalesce(wt.weight, ec.weight), 0)
-             WHEN itemid IN (30119,30309) THEN rate ELSE NULL END) AS rate_epinephrine,
-    max(CASE WHEN itemid IN (30043,30307) THEN rate END) AS rate_dopamine,
-    max(CASE WHEN itemid IN (30042,30306) THEN rate END) AS rate_dobutamine
-  FROM icustays ie
-  JOIN inputevents_cv cv ON ie.icustay_id = cv.icustay_id
-   AND cv.charttime BETWEEN ie.intime AND ie.intime + INTERVAL 1 DAY
-  LEFT JOIN wt ON ie.icustay_id = wt.icustay_id
-  LEFT JOIN echo2 ec ON ie.icustay_id = ec.icustay_id
-  WHERE itemid IN (30047,30120,30044,30119,30309,30043,30307,30042,30306)
-    AND rate IS NOT NULL
-  GROUP BY ie.icustay_id),
-vaso_mv AS (
-  SELECT ie.icustay_id,
-    max(CASE WHEN itemid = 221906 THEN rate END) AS rate_norepinephrine,
-    max(CASE WHEN itemid = 221289 THEN rate END) AS rate_epinephrine,
-    max(CASE WHEN itemid = 221662 THEN rate END) AS rate_dopamine,
-    max(CASE WHEN itemid = 221653 THEN rate END) AS rate_dobutamine
-  FROM icustays ie
-  JOIN inputevents_mv mv ON ie.icustay_id = mv.icustay_id
-   AND mv.starttime BETWEEN ie.intime AND ie.intime + INTERVAL 1 DAY
-  WHERE itemid IN (221906,221289,221662,221653)
-    AND statusdescription != 'Rewritten'
-  GROUP BY ie.icustay_id),
-pafi1 AS (
-  SELECT bg.icustay_id, bg.charttime, PaO2FiO2,
-    CASE WHEN vd.icustay_id IS NOT NULL THEN 1 ELSE 0 END AS IsVent
-  FROM bloodgasfirstdayarterial bg
-  LEFT JOIN ventdurations vd ON bg.icustay_id = vd.icustay_id
-   AND bg.charttime >= vd.starttime AND bg.charttime <= vd.endtime),
-pafi2 AS (
-  SELECT icustay_id,
-    min(CASE WHEN IsVent = 0 THEN PaO2FiO2 ELSE NULL END) AS PaO2FiO2_novent_min,
-    min(CASE WHEN IsVent = 1 THEN PaO2FiO2 ELSE NULL END) AS PaO2FiO2_vent_min
-  FROM pafi1 GROUP BY icustay_id),
-scorecomp AS (
-  SELECT ie.subject_id, ie.hadm_id, ie.icustay_id, v.MeanBP_Min,
-    coalesce(cv.rate_norepinephrine, mv.rate_norepinephrine) AS rate_norepinephrine,
-    coalesce(cv.rate_epinephrine, mv.rate_epinephrine) AS rate_epinephrine,
-    coalesce(cv.rate_dopamine, mv.rate_dopamine) AS rate_dopamine,
-    coalesce(cv.rate_dobutamine, mv.rate_dobutamine) AS rate_dobutamine,
-    l.Creatinine_Max, l.Bilirubin_Max, l.Platelet_Min,
-    pf.PaO2FiO2_novent_min, pf.PaO2FiO2_vent_min, uo.UrineOutput, gcs.MinGCS
-  FROM icustays ie
-  LEFT JOIN vaso_cv cv ON ie.icustay_id = cv.icustay_id
-  LEFT JOIN vaso_mv mv ON ie.icustay_id = mv.icustay_id
-  LEFT JOIN pafi2 pf ON ie.icustay_id = pf.icustay_id
-  LEFT JOIN vitalsfirstday v ON ie.icustay_id = v.icustay_id
-  LEFT JOIN labsfirstday l ON ie.icustay_id = l.icustay_id
-  LEFT JOIN uofirstday uo ON ie.icustay_id = uo.icustay_id
-  LEFT JOIN gcsfirstday gcs ON ie.icustay_id = gcs.icustay_id),
-scorecalc AS (
-  SELECT *,
-    CAST(CASE WHEN PaO2FiO2_vent_min < 100 THEN 4
-         WHEN PaO2FiO2_vent_min < 200 THEN 3
-         WHEN PaO2FiO2_novent_min < 300 THEN 2
-         WHEN PaO2FiO2_novent_min < 400 THEN 1
-         WHEN coalesce(PaO2FiO2_vent_min, PaO2FiO2_novent_min) IS NULL THEN NULL
-         ELSE 0 END AS INTEGER) AS respiration,
-    CAST(CASE WHEN Platelet_Min < 20 THEN 4 WHEN Platelet_Min < 50 THEN 3
-         WHEN Platelet_Min < 100 THEN 2 WHEN Platelet_Min < 150 THEN 1
-         WHEN Platelet_Min IS NULL THEN NULL ELSE 0 END AS INTEGER) AS coagulation,
-    CAST(CASE WHEN Bilirubin_Max >= 12.0 THEN 4 WHEN Bilirubin_Max >= 6.0 THEN 3
-         WHEN Bilirubin_Max >= 2.0 THEN 2 WHEN Bilirubin_Max >= 1.2 THEN 1
-         WHEN Bilirubin_Max IS NULL THEN NULL ELSE 0 END AS INTEGER) AS liver,
-    CAST(CASE WHEN rate_dopamine > 15 OR rate_epinephrine > 0.1 OR rate_norepinephrine > 0.1 THEN 4
-         WHEN rate_dopamine > 5 OR rate_epinephrine <= 0.1 OR rate_norepinephrine <= 0.1 THEN 3
-         WHEN rate_dopamine > 0 OR rate_dobutamine > 0 THEN 2
-         WHEN MeanBP_Min < 70 THEN 1
-         WHEN coalesce(MeanBP_Min, rate_dopamine, rate_dobutamine, rate_epinephrine,
-                       rate_norepinephrine) IS NULL THEN NULL
-         ELSE 0 END AS INTEGER) AS cardiovascular,
-    CAST(CASE WHEN (MinGCS >= 13 AND MinGCS <= 14) THEN 1
-         WHEN (MinGCS >= 10 AND MinGCS <= 12) THEN 2
-         WHEN (MinGCS >= 6 AND MinGCS <= 9) THEN 3
-         WHEN MinGCS < 6 THEN 4
-         WHEN MinGCS IS NULL THEN NULL ELSE 0 END AS INTEGER) AS cns,
-    CAST(CASE WHEN (Creatinine_Max >= 5.0) THEN 4
-         WHEN UrineOutput < 200 THEN 4
-         WHEN (Creatinine_Max >= 3.5 AND Creatinine_Max < 5.0) THEN 3
-         WHEN UrineOutput < 500 THEN 3
-         WHEN (Creatinine_Max >= 2.0 AND Creatinine_Max < 3.5) THEN 2
-         WHEN (Creatinine_Max >= 1.2 AND Creatinine_Max < 2.0) THEN 1
-         WHEN coalesce(UrineOutput, Creatinine_Max) IS NULL THEN NULL
-         ELSE 0 END AS INTEGER) AS renal
-  FROM scorecomp)"""
+SOFA_CTES = f"""
+{HW_CODES}, {CV_CODES_SQL}, {MV_CODES_SQL},
+kg_chart AS (
+  select st.icustay_id, avg(ce.valuenum * k.factor) AS weight
+  from icustays st
+  join chartevents ce on ce.icustay_id = st.icustay_id
+  join code_hw k on k.code = ce.itemid and k.param = 'WEIGHT'
+  where ce.valuenum is not null and ce.valuenum <> 0 and coalesce(ce.error, 0) <> 1
+    and ce.charttime >= st.intime - INTERVAL 1 DAY and ce.charttime <= st.intime + INTERVAL 1 DAY
+  group by st.icustay_id),
+kg_echo AS (
+  select st.icustay_id,
+         (select avg(e.weight * {HEIGHT_WEIGHT_CODES[5][2]!r}) from echodata e
+           where e.hadm_id = st.hadm_id
+             and e.charttime > st.intime - INTERVAL 7 DAY
+             and e.charttime < st.intime + INTERVAL 1 DAY) AS weight
+  from icustays st),
+cv_rates AS (
+  select st.icustay_id, k.drug,
+         CASE WHEN k.per_weight
+              THEN ev.rate / nullif(coalesce(kc.weight, ke.weight), 0) ELSE ev.rate END AS r
+  from icustays st
+  join inputevents_cv ev on ev.icustay_id = st.icustay_id
+   and ev.charttime >= st.intime and ev.charttime <= st.intime + INTERVAL 1 DAY
+  join code_cv k on k.code = ev.itemid
+  left join kg_chart kc on kc.icustay_id = st.icustay_id
+  left join kg_echo ke on ke.icustay_id = st.icustay_id
+  where ev.rate is not null),
+cv_max AS (
+  select icustay_id, {", ".join(f"max(r) FILTER (WHERE drug = '{d}') AS rate_{d}" for d in DRUGS)}
+  from cv_rates group by icustay_id),
+mv_max AS (
+  select st.icustay_id, {", ".join(f"max(ev.rate) FILTER (WHERE k.drug = '{d}') AS rate_{d}" for d in DRUGS)}
+  from icustays st
+  join inputevents_mv ev on ev.icustay_id = st.icustay_id
+   and ev.starttime >= st.intime and ev.starttime <= st.intime + INTERVAL 1 DAY
+  join code_mv k on k.code = ev.itemid
+  where ev.statusdescription <> 'Rewritten'
+  group by st.icustay_id),
+gas AS (
+  select g.icustay_id, g.PaO2FiO2,
+         exists (select 1 from ventdurations v where v.icustay_id = g.icustay_id
+                 and g.charttime between v.starttime and v.endtime) AS vented
+  from bloodgasfirstdayarterial g),
+gas_min AS (
+  select icustay_id,
+         min(PaO2FiO2) FILTER (WHERE NOT vented) AS PaO2FiO2_novent_min,
+         min(PaO2FiO2) FILTER (WHERE vented) AS PaO2FiO2_vent_min
+  from gas group by icustay_id),
+inputs AS (
+  select st.subject_id, st.hadm_id, st.icustay_id, vi.MeanBP_Min,
+         {", ".join(f"coalesce(c.rate_{d}, m.rate_{d}) AS rate_{d}" for d in DRUGS)},
+         lb.Creatinine_Max, lb.Bilirubin_Max, lb.Platelet_Min,
+         gm.PaO2FiO2_novent_min, gm.PaO2FiO2_vent_min, u.UrineOutput, gc.MinGCS
+  from icustays st
+  left join cv_max c using (icustay_id)
+  left join mv_max m using (icustay_id)
+  left join gas_min gm using (icustay_id)
+  left join vitalsfirstday vi using (icustay_id)
+  left join labsfirstday lb using (icustay_id)
+  left join uofirstday u using (icustay_id)
+  left join gcsfirstday gc using (icustay_id)),
+bands AS (
+  select *, {", ".join(f"{band_sql(c, n)} AS {name}" for name, (c, n) in SCORE_BANDS.items())}
+  from inputs)"""
 
 
 def _with(*parts: str) -> str:
@@ -223,14 +182,14 @@ SELECT subject_id, icustay_id, parameter,
 FROM hw_single""",
     "heightweight": _with(HW_RAW, HW_SINGLE, """
 hw_pivot AS (
-  SELECT subject_id, icustay_id,
-    max(CASE WHEN parameter = 'HEIGHT' THEN first_valuenum END) AS height_first,
-    max(CASE WHEN parameter = 'HEIGHT' THEN min_valuenum END) AS height_min,
-    max(CASE WHEN parameter = 'HEIGHT' THEN max_valuenum END) AS height_max,
-    max(CASE WHEN parameter = 'WEIGHT' THEN first_valuenum END) AS weight_first,
-    max(CASE WHEN parameter = 'WEIGHT' THEN min_valuenum END) AS weight_min,
-    max(CASE WHEN parameter = 'WEIGHT' THEN max_valuenum END) AS weight_max
-  FROM hw_single GROUP BY subject_id, icustay_id)""") + """
+  select subject_id, icustay_id,
+    any_value(first_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_first,
+    any_value(min_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_min,
+    any_value(max_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_max,
+    any_value(first_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_first,
+    any_value(min_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_min,
+    any_value(max_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_max
+  from hw_single group by subject_id, icustay_id)""") + """
 SELECT icustay_id, subject_id,
   CAST(round(CAST(height_first AS DECIMAL(18,6)), 2) AS DOUBLE) AS height_first,
   CAST(round(CAST(height_min AS DECIMAL(18,6)), 2) AS DOUBLE) AS height_min,
@@ -239,13 +198,13 @@ SELECT icustay_id, subject_id,
   CAST(round(CAST(weight_min AS DECIMAL(18,6)), 2) AS DOUBLE) AS weight_min,
   CAST(round(CAST(weight_max AS DECIMAL(18,6)), 2) AS DOUBLE) AS weight_max
 FROM hw_pivot ORDER BY subject_id NULLS LAST, icustay_id NULLS LAST""",
-    "stay_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM wt",
-    "echo_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM echo2",
-    "vaso_cv": _with(SOFA_CTES) + f"\nSELECT icustay_id, {_r6(RATES)} FROM vaso_cv",
-    "vaso_mv": _with(SOFA_CTES) + f"\nSELECT icustay_id, {_r6(RATES)} FROM vaso_mv",
+    "stay_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM kg_chart",
+    "echo_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM kg_echo",
+    "vaso_cv": _with(SOFA_CTES) + f"\nSELECT icustay_id, {_r6(RATES)} FROM cv_max",
+    "vaso_mv": _with(SOFA_CTES) + f"\nSELECT icustay_id, {_r6(RATES)} FROM mv_max",
     "pafi_vent": _with(SOFA_CTES) + """
 SELECT icustay_id, round(PaO2FiO2_novent_min, 6) AS PaO2FiO2_novent_min,
-       round(PaO2FiO2_vent_min, 6) AS PaO2FiO2_vent_min FROM pafi2""",
+       round(PaO2FiO2_vent_min, 6) AS PaO2FiO2_vent_min FROM gas_min""",
     "sofa_components": _with(SOFA_CTES) + """
 SELECT subject_id, hadm_id, icustay_id, round(MeanBP_Min, 6) AS MeanBP_Min,
   round(rate_norepinephrine, 6) AS rate_norepinephrine,
@@ -256,21 +215,21 @@ SELECT subject_id, hadm_id, icustay_id, round(MeanBP_Min, 6) AS MeanBP_Min,
   round(PaO2FiO2_novent_min, 6) AS PaO2FiO2_novent_min,
   round(PaO2FiO2_vent_min, 6) AS PaO2FiO2_vent_min,
   round(UrineOutput, 6) AS UrineOutput, MinGCS
-FROM scorecomp""",
+FROM inputs""",
     "sofa_scores": _with(SOFA_CTES) + """
 SELECT icustay_id, respiration, coagulation, liver, cardiovascular, cns, renal
-FROM scorecalc""",
+FROM bands""",
     "publish_mart": _with(SOFA_CTES) + """
 SELECT ie.subject_id, ie.hadm_id, ie.icustay_id,
   CAST(coalesce(respiration,0) + coalesce(coagulation,0) + coalesce(liver,0)
      + coalesce(cardiovascular,0) + coalesce(cns,0) + coalesce(renal,0) AS INTEGER) AS SOFA,
   respiration, coagulation, liver, cardiovascular, cns, renal
-FROM icustays ie LEFT JOIN scorecalc s ON ie.icustay_id = s.icustay_id""",
+FROM icustays ie LEFT JOIN bands s ON ie.icustay_id = s.icustay_id""",
     "sofa": _with(SOFA_CTES) + """
 SELECT ie.subject_id, ie.hadm_id, ie.icustay_id,
   CAST(coalesce(respiration,0) + coalesce(coagulation,0) + coalesce(liver,0)
      + coalesce(cardiovascular,0) + coalesce(cns,0) + coalesce(renal,0) AS INTEGER) AS SOFA,
   respiration, coagulation, liver, cardiovascular, cns, renal
-FROM icustays ie LEFT JOIN scorecalc s ON ie.icustay_id = s.icustay_id
+FROM icustays ie LEFT JOIN bands s ON ie.icustay_id = s.icustay_id
 ORDER BY ie.icustay_id""",
 }
