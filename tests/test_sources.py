@@ -47,3 +47,14 @@ def test_publish_overwrites(spark):
     publish(df, f"{work}/t", sort_within=["n_nationkey"], partitions=2)
     out = publish(df.limit(3), f"{work}/t")
     assert out.count() == 3
+
+
+def test_input_contracts(spark):
+    from wardcast.sources.fixtures import clinical_inputs
+    from wardcast.sources.schemas import check, check_all
+    check_all(clinical_inputs(spark, SF_SMALL))
+    bad = spark.createDataFrame([(1, "x")], "icustay_id bigint, MeanBP_Min string")
+    with pytest.raises(ValueError, match="MeanBP_Min"):
+        check("vitalsfirstday", bad)
+    with pytest.raises(ValueError, match="missing intime"):
+        check("icustays", spark.createDataFrame([(1,)], "icustay_id bigint"))

@@ -69,7 +69,8 @@ def _round2(c: Column) -> Column:
 
 def heightweight(chartevents: DataFrame, ordered: bool = True) -> DataFrame:
     """One row per (subject, stay): height/weight first, min, max (cm, kg)."""
-    raw = to_standard_units(chartevents)
+    from wardcast.sources.schemas import check
+    raw = to_standard_units(check("chartevents", chartevents))
     aggs = []
     for p in ("HEIGHT", "WEIGHT"):
         is_p = F.col("parameter") == p
@@ -245,7 +246,10 @@ def sofa_from_components(calc: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 def sofa(inputs: dict[str, DataFrame], salt: int = 1, ordered: bool = True) -> DataFrame:
-    """The full mart from the clinical input views (see sources.fixtures)."""
+    """The full mart from the clinical input views (see sources.fixtures);
+    every input is checked against its contract first."""
+    from wardcast.sources.schemas import check_all
+    check_all(inputs)
     st = inputs["icustays"]
     wt = stay_weight(st, inputs["chartevents"], salt=salt)
     ec = echo_weight(st, inputs["echodata"])
