@@ -19,14 +19,14 @@ def round_sig(c, digits: int = 8):
     criteria whose scale varies).
 
     Two stages keep engines in agreement on exact decimal ties: the value is
-    scaled by an exact power of ten, quantized through DECIMAL(38,4) (this
-    absorbs last-bit float noise), then rounded half-up in decimal arithmetic
+    scaled by an exact power of ten, quantized through DECIMAL(38,2) (this
+    absorbs float noise up to 5e-3 of the last kept digit), then rounded half-up in decimal arithmetic
     and scaled back by the same exact power of ten.
     """
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
     up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
     scaled = F.when(k >= 0, c * up).otherwise(c / down)
-    q = F.round(scaled.cast("decimal(38,4)"), 0).cast("double")
+    q = F.round(scaled.cast("decimal(38,2)"), 0).cast("double")
     return (F.when(c == 0, F.lit(0.0))
              .when(k >= 0, q / up)
              .otherwise(q * down))
@@ -43,18 +43,18 @@ def sql_sig(expr: str, digits: int = 8) -> str:
     k = f"({digits - 1} - floor(log10(abs({expr}))))"
     up, down = f"pow(10.0, {k})", f"pow(10.0, -{k})"
     return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {k} >= 0 "
-            f"THEN CAST(round(CAST(({expr}) * {up} AS DECIMAL(38,4)), 0) AS DOUBLE) / {up} "
-            f"ELSE CAST(round(CAST(({expr}) / {down} AS DECIMAL(38,4)), 0) AS DOUBLE) * {down} END)")
+            f"THEN CAST(round(CAST(({expr}) * {up} AS DECIMAL(38,2)), 0) AS DOUBLE) / {up} "
+            f"ELSE CAST(round(CAST(({expr}) / {down} AS DECIMAL(38,2)), 0) AS DOUBLE) * {down} END)")
 
 
 def dec_rounded(df: DataFrame, cols, digits: int = 2) -> DataFrame:
-    """Round to fixed decimals through DECIMAL(38, digits+4) (money-scale
+    """Round to fixed decimals through DECIMAL(38, digits+2) (money-scale
     outputs whose exact values often sit on decimal ties)."""
     cols = set(cols)
-    t = f"decimal(38,{digits + 4})"
+    t = f"decimal(38,{digits + 2})"
     return df.select(*[F.round(F.col(c).cast(t), digits).cast("double").alias(c)
                        if c in cols else F.col(c) for c in df.columns])
 
 
 def sql_dec(expr: str, digits: int = 2) -> str:
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,{digits + 4})), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,{digits + 2})), {digits}) AS DOUBLE)"
