@@ -276,3 +276,15 @@ def test_distribution_functions():
     assert stats.chi2_sf(18.307038, 10) == pytest.approx(0.05, abs=1e-6)
     assert stats.chi2_sf(0.0, 4) == 1.0
     assert float(stats.t_cdf(0.0, 7)) == pytest.approx(0.5)
+
+
+def test_influence_with_unit_leverage(spark):
+    # the only observation of season 4 has leverage 1
+    t = list(range(1, 10))
+    season = [1, 2, 3, 1, 2, 3, 1, 2, 4]
+    y = [1.0, 2.5, 2.0, 1.4, 3.1, 2.2, 1.9, 3.3, 7.0]
+    df = spark.createDataFrame(pd.DataFrame({"key": "k", "t": t, "season": season, "y": y}))
+    m = R.fit(X.season_dummies(X.trend(df), 4), ["key"], "y", ["trend"] + X.season_dummy_names(4))
+    out = {r["t"]: r for r in rows(R.influence(m))}
+    assert out[9]["hat"] == pytest.approx(1.0) and out[9]["std_resid"] is None
+    assert out[1]["cooks_d"] is not None

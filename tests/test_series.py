@@ -171,3 +171,11 @@ def test_white_noise_correlogram(spark):
     assert 0.9 < share <= 1.0            # about 95% of spikes inside +-2/sqrt(T)
     again = S.white_noise(spark, 50, seed=30, keys=40, partitions=4)
     assert wn.exceptAll(again).count() == 0
+
+
+def test_constant_series_density_is_null_not_error(spark):
+    df = spark.createDataFrame([(3.0,)] * 5, "y double").withColumn("series_id", F.lit("c"))
+    d = rows(S.density(df, ["series_id"], "y", 8))
+    assert len(d) == 8 and all(r["density"] is None for r in d)
+    h = rows(S.histogram(df, ["series_id"], "y", 4), ["bin"])
+    assert h[0]["n"] == 5 and sum(r["n"] for r in h) == 5

@@ -64,7 +64,10 @@ def first_min_max(raw: DataFrame) -> DataFrame:
 
 
 def _round2(c: Column) -> Column:
-    return F.round(c.cast("decimal(18,6)"), 2).cast("double")
+    """ROUND(CAST(x AS NUMERIC), 2): exact decimal, half away from zero.
+    Absurd junk values beyond the decimal range become NULL instead of
+    failing the job under ANSI mode."""
+    return F.round(c.try_cast("decimal(38,6)"), 2).cast("double")
 
 
 def heightweight(chartevents: DataFrame, ordered: bool = True) -> DataFrame:

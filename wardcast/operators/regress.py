@@ -300,10 +300,11 @@ def influence(fitm: OLSFit) -> DataFrame:
     """Leverage, standardized residual and Cook's distance."""
     a = fitm.augment()
     g = fitm.glance().select(*fitm.keys, "sigma")
-    r = F.col("residual") / (F.col("sigma") * F.sqrt(1 - F.col("hat")))
-    return (a.join(g, fitm.keys)
-             .withColumn("std_resid", r)
-             .withColumn("cooks_d", r * r * F.col("hat") / (F.col("rank") * (1 - F.col("hat")))))
+    # leverage 1 (e.g. a season seen once) or a perfect fit: NULL, not an error
+    omh = F.when(1 - F.col("hat") > 1e-10, 1 - F.col("hat"))
+    r = F.try_divide(F.col("residual"), F.col("sigma") * F.sqrt(omh))
+    cook = F.try_divide(r * r * F.col("hat"), F.col("rank") * omh)
+    return a.join(g, fitm.keys).select("*", r.alias("std_resid"), cook.alias("cooks_d"))
 
 
 # ---- model selection -----------------------------------------------------------

@@ -235,6 +235,8 @@ def density(df: DataFrame, keys: list[str], value: str, grid: int = 32) -> DataF
     IQR is 0).  Each observation meets only the ``grid`` points of its own
     key, so work is n * grid, never quadratic in n.
     """
+    if grid < 2:
+        raise ValueError("grid must have at least 2 points")
     obs = df.filter(F.col(value).isNotNull())
     st = obs.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
@@ -245,13 +247,14 @@ def density(df: DataFrame, keys: list[str], value: str, grid: int = 32) -> DataF
     st = st.withColumn("_h", 0.9 * spread * F.pow(F.col("_n").cast("double"), -0.2))
     pts = st.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
         "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("g") / (grid - 1))
-    z = (F.col("x") - F.col(value)) / F.col("_h")
+    # a constant series has zero bandwidth: density undefined (NULL), not an error
+    z = F.try_divide(F.col("x") - F.col(value), F.col("_h"))
     j = pts.join(obs.select(*keys, value), keys)
     return (j.groupBy(*keys, "g", "x", "_h", "_n")
              .agg(F.sum(F.exp(-0.5 * z * z)).alias("_s"))
              .select(*keys, F.col("g").cast("int").alias("g"), "x",
-                     (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))))
-                     .alias("density")))
+                     F.try_divide(F.col("_s"), F.col("_n") * F.col("_h")
+                                  * F.lit(math.sqrt(2 * math.pi))).alias("density")))
 
 
 def from_values(spark, values: list[float], start: str, unit: str,

@@ -191,12 +191,12 @@ hw_pivot AS (
     any_value(max_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_max
   from hw_single group by subject_id, icustay_id)""") + """
 SELECT icustay_id, subject_id,
-  CAST(round(CAST(height_first AS DECIMAL(18,6)), 2) AS DOUBLE) AS height_first,
-  CAST(round(CAST(height_min AS DECIMAL(18,6)), 2) AS DOUBLE) AS height_min,
-  CAST(round(CAST(height_max AS DECIMAL(18,6)), 2) AS DOUBLE) AS height_max,
-  CAST(round(CAST(weight_first AS DECIMAL(18,6)), 2) AS DOUBLE) AS weight_first,
-  CAST(round(CAST(weight_min AS DECIMAL(18,6)), 2) AS DOUBLE) AS weight_min,
-  CAST(round(CAST(weight_max AS DECIMAL(18,6)), 2) AS DOUBLE) AS weight_max
+  CAST(round(TRY_CAST(height_first AS DECIMAL(38,6)), 2) AS DOUBLE) AS height_first,
+  CAST(round(TRY_CAST(height_min AS DECIMAL(38,6)), 2) AS DOUBLE) AS height_min,
+  CAST(round(TRY_CAST(height_max AS DECIMAL(38,6)), 2) AS DOUBLE) AS height_max,
+  CAST(round(TRY_CAST(weight_first AS DECIMAL(38,6)), 2) AS DOUBLE) AS weight_first,
+  CAST(round(TRY_CAST(weight_min AS DECIMAL(38,6)), 2) AS DOUBLE) AS weight_min,
+  CAST(round(TRY_CAST(weight_max AS DECIMAL(38,6)), 2) AS DOUBLE) AS weight_max
 FROM hw_pivot ORDER BY subject_id NULLS LAST, icustay_id NULLS LAST""",
     "stay_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM kg_chart",
     "echo_weight": _with(SOFA_CTES) + "\nSELECT icustay_id, round(weight, 6) AS weight FROM kg_echo",
