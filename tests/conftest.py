@@ -12,7 +12,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from wardcast.session import build_session
-    s = build_session("local[*]", app="wardcast-tests", shuffle_partitions=8)
+    wh = tempfile.mkdtemp(prefix="wardcast-warehouse-")
+    s = build_session("local[*]", app="wardcast-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()

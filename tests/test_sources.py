@@ -58,3 +58,18 @@ def test_input_contracts(spark):
         check("vitalsfirstday", bad)
     with pytest.raises(ValueError, match="missing intime"):
         check("icustays", spark.createDataFrame([(1,)], "icustay_id bigint"))
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from wardcast.sources.fixtures import chartevents, icustays
+    from wardcast.sources.publish import publish_table
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        st = publish_table(icustays(spark, SF_SMALL), "t_stays", bucket_by="icustay_id", buckets=8)
+        ce = publish_table(chartevents(spark, SF_SMALL), "t_chart", bucket_by="icustay_id", buckets=8)
+        j = ce.join(st, "icustay_id")
+        p = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+        assert j.count() == chartevents(spark, SF_SMALL).join(icustays(spark, SF_SMALL), "icustay_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
