@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from wardcast.operators import clinical as C
 from wardcast.plans.common import rounded
