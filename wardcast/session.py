@@ -79,4 +79,5 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/wardcast-stage/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: skip footer inference on the read-back
+    return spark.read.schema(df.schema).parquet(path)
