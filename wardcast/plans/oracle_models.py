@@ -271,3 +271,107 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY score D
 SELECT o_orderpriority, CAST(rnk AS INTEGER) AS rank, o_orderkey, qty, {sg('score')} AS score
 FROM r WHERE rnk <= 10""",
 }
+
+
+def _subsets_sql() -> str:
+    """Every subset of model B's predictors in closed form: centred normal
+    equations with the explicit 1x1 / 2x2 / 3x3 inverse, leverage
+    1/n + (x - m)' A^-1 (x - m) for the leave-one-out CV."""
+    from itertools import combinations
+    names = ["d_items", "d_disc", "d_tax"]
+    means = ["m1", "m2", "m3"]
+
+    def a(j, k):
+        j, k = sorted((j, k))
+        return f"cb.a{j + 1}{k + 1}"
+
+    def inv_entries(S):
+        if len(S) == 1:
+            (j,) = S
+            return {(j, j): f"(1.0 / {a(j, j)})"}
+        if len(S) == 2:
+            j, k = S
+            det = f"({a(j, j)} * {a(k, k)} - {a(j, k)} * {a(j, k)})"
+            return {(j, j): f"({a(k, k)} / {det})", (k, k): f"({a(j, j)} / {det})",
+                    (j, k): f"(-{a(j, k)} / {det})", (k, j): f"(-{a(j, k)} / {det})"}
+        if len(S) == 3:
+            return {(j, k): f"iv.i{min(j, k) + 1}{max(j, k) + 1}" for j in S for k in S}
+        return {}
+
+    ctes, refs = [], []
+    for r in range(4):
+        for S in combinations(range(3), r):
+            label = "+".join(names[i] for i in S) or "(none)"
+            inv = inv_entries(S)
+            u = {j: f"(bc.{names[j]} - mb.{means[j]})" for j in S}
+            b = {j: "(" + " + ".join(f"{inv[(j, k)]} * cb.c{k + 1}" for k in S) + ")" for j in S}
+            fit = " + ".join(f"{b[j]} * {u[j]}" for j in S) or "0.0"
+            quad = " + ".join(f"{u[j]} * {u[k]} * {inv[(j, k)]}" for j in S for k in S) or "0.0"
+            name = f"sub{len(ctes)}"
+            mask = sum(1 << j for j in S)
+            ctes.append(f"""{name} AS (
+  SELECT bc.series_id, '{label}' AS model, {mask} AS mask, {r + 1} AS rnk,
+         bc.d_price - mb.my AS dy,
+         (bc.d_price - mb.my) - ({fit}) AS e, 1.0 / mb.n + ({quad}) AS h
+  FROM bc JOIN mb USING (series_id) JOIN cb USING (series_id) JOIN iv USING (series_id))""")
+            refs.append(f"SELECT * FROM {name}")
+    union = "\n  UNION ALL ".join(refs)
+    return ",\n".join(ctes) + f""",
+subs AS ({union}),
+sg AS (
+  SELECT series_id, model, mask, count(*) AS n, max(rnk) AS rnk, sum(e * e) AS sse,
+         sum(dy * dy) AS sst, avg(pow(e / (1 - h), 2)) AS cv
+  FROM subs GROUP BY series_id, model, mask),
+sc AS (
+  SELECT *, n * ln(sse / n) + 2 * (rnk + 1) AS aic,
+    CASE WHEN n - rnk - 2 > 0 THEN n * ln(sse / n) + 2 * (rnk + 1)
+         + 2.0 * (rnk + 1) * (rnk + 2) / (n - rnk - 2) END AS aicc,
+    n * ln(sse / n) + (rnk + 1) * ln(n) AS bic,
+    1 - (sse / sst) * (n - 1) / (n - rnk) AS adj_r2
+  FROM sg)"""
+
+
+ORACLE["all_subsets"] = f"""WITH {B},
+{_subsets_sql()}
+SELECT series_id, model, CAST(n AS BIGINT) AS n, CAST(rnk - 1 AS INTEGER) AS k,
+  {sg('adj_r2', 7)} AS adj_r2, {sg('cv', 7)} AS cv, {sg('aic', 7)} AS aic,
+  {sg('aicc', 7)} AS aicc, {sg('bic', 7)} AS bic,
+  CAST(row_number() OVER (PARTITION BY series_id ORDER BY aicc NULLS LAST, model) AS INTEGER)
+    AS rank_aicc
+FROM sc"""
+
+
+def _stepwise_sql(direction: str) -> str:
+    """Greedy AICc path over the subset table, unrolled for 3 predictors:
+    each step moves to the best neighbour (one predictor fewer / more; ties
+    by predictor position) and only while AICc strictly improves."""
+    names = ["d_items", "d_disc", "d_tax"]
+    start = 7 if direction == "backward" else 0
+    if direction == "backward":
+        nb = "(c.mask & p.mask) = c.mask AND bit_count(c.mask) = bit_count(p.mask) - 1"
+        bit = "(p.mask - c.mask)"
+    else:
+        nb = "(c.mask & p.mask) = p.mask AND bit_count(c.mask) = bit_count(p.mask) + 1"
+        bit = "(c.mask - p.mask)"
+    changed = "CASE " + " ".join(f"WHEN {bit} = {1 << i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+    steps = [f"""st0 AS (SELECT series_id, 0 AS step, CAST(NULL AS VARCHAR) AS changed, model, mask, aicc
+            FROM sc WHERE mask = {start})"""]
+    for k in range(1, 4):
+        steps.append(f"""st{k} AS (
+  SELECT * FROM (
+    SELECT p.series_id, {k} AS step, {changed} AS changed, c.model, c.mask, c.aicc AS aicc,
+           p.aicc AS prev,
+           row_number() OVER (PARTITION BY p.series_id ORDER BY c.aicc, {bit}) AS pick
+    FROM st{k - 1} p JOIN sc c ON c.series_id = p.series_id AND {nb})
+  WHERE pick = 1 AND aicc < prev)""")
+    union = " UNION ALL ".join(
+        f"SELECT series_id, step, changed, model, aicc FROM st{k}" for k in range(4))
+    return ",\n".join(steps) + f",\npath AS ({union})"
+
+
+for _dir, _name in (("backward", "stepwise"), ("forward", "stepwise_forward")):
+    ORACLE[_name] = f"""WITH {B},
+{_subsets_sql()},
+{_stepwise_sql(_dir)}
+SELECT series_id, CAST(step AS INTEGER) AS step, changed, model, {sg('aicc', 7)} AS aicc
+FROM path"""
