@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wardcast.plans.oracle_series import MONTHLY, MULTI, QUARTERLY
 
-DUMMIES = ", ".join(f"CASE WHEN season = {s} THEN 1.0 ELSE 0.0 END AS season_{s}"
+DUMMIES = ", ".join(f"CASE WHEN season = {s} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS season_{s}"
                     for s in range(2, 13))
 
 
@@ -87,15 +87,15 @@ LEFT JOIN li l3 ON a.series_id = l3.series_id AND l3.t = a.t - 3""",
     "event_dummy": f"""WITH {MONTHLY},
 pk AS (SELECT series_id, arg_max(period, y) AS period FROM ms GROUP BY 1)
 SELECT ms.series_id, ms.period, round(ms.y, 2) AS y,
-  CASE WHEN pk.series_id IS NULL THEN 0.0 ELSE 1.0 END AS outlier
+  CASE WHEN pk.series_id IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS outlier
 FROM ms LEFT JOIN pk ON ms.series_id = pk.series_id AND ms.period = pk.period""",
     "spike_dummy": f"""WITH {MONTHLY}
 SELECT series_id, period, round(y, 2) AS y,
-  CASE WHEN period BETWEEN DATE '2000-01-01' AND DATE '2000-03-01' THEN 1.0 ELSE 0.0 END AS spike
+  CASE WHEN period BETWEEN DATE '2000-01-01' AND DATE '2000-03-01' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS spike
 FROM ms""",
     "category_dummies": f"""WITH {MULTI}
 SELECT series_id, period, round(sum_price, 2) AS sum_price,
-  CASE WHEN series_id = 'N' THEN 1.0 ELSE 0.0 END AS flag_N,
-  CASE WHEN series_id = 'R' THEN 1.0 ELSE 0.0 END AS flag_R
+  CASE WHEN series_id = 'N' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS flag_N,
+  CASE WHEN series_id = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS flag_R
 FROM li""",
 }
