@@ -211,6 +211,18 @@ def corr_matrix(df: DataFrame, keys: list[str], variables: list[str]) -> DataFra
     return agg.select(*keys, stack.alias("_p")).select(*keys, "_p.var_a", "_p.var_b", "_p.r")
 
 
+def pair_scatter(df: DataFrame, ids: list[str], variables: list[str]) -> DataFrame:
+    """Scatter-plot matrix panels (T10): for every observation and every pair
+    of variables a < b, the point (x = a, y = b).  A projection of each row
+    into its k(k-1)/2 pairs - no join, so a key of any size stays local."""
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1:]]
+    pts = F.explode(F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
+                                       F.col(a).cast("double").alias("x"),
+                                       F.col(b).cast("double").alias("y"))
+                              for a, b in pairs]))
+    return df.select(*ids, pts.alias("_p")).select(*ids, "_p.var_x", "_p.var_y", "_p.x", "_p.y")
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram per key between its min and max (A9): bin
     1..bins, [lo, hi), the last bin closed; exact counts, empty bins kept."""

@@ -85,7 +85,13 @@ CORR_UNION = "\nUNION ALL ".join(
     f"FROM li GROUP BY series_id"
     for i, a in enumerate(VARS) for b in VARS[i + 1:])
 
+PAIR_UNION = "\nUNION ALL ".join(
+    f"SELECT series_id, period, '{a}' AS var_x, '{b}' AS var_y, round(CAST({a} AS DOUBLE), 6) AS x, "
+    f"round(CAST({b} AS DOUBLE), 6) AS y FROM li"
+    for i, a in enumerate(VARS) for b in VARS[i + 1:])
+
 ORACLE = {
+    "scatter_matrix": f"WITH {MULTI}\n{PAIR_UNION}",
     "monthly_series": f"WITH {MONTHLY}\nSELECT series_id, period, t, season, cycle, round(y, 2) AS y FROM ms",
     "quarterly_series": f"WITH {QUARTERLY}\nSELECT series_id, period, t, season, cycle, round(y, 2) AS y FROM qs",
     "series_window": f"WITH {QWIN}\nSELECT series_id, period, t, season, cycle, round(y, 2) AS y FROM qw",

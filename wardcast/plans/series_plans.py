@@ -63,6 +63,11 @@ def corr_matrix(spark, sf):
     return rounded(S.corr_matrix(I.lineitem_monthly(spark, sf), K, I.MULTI_VARS), ["r"], 6)
 
 
+def scatter_matrix(spark, sf):
+    m = I.lineitem_monthly(spark, sf)
+    return rounded(S.pair_scatter(m, [*K, "period"], I.MULTI_VARS), ["x", "y"], 6)
+
+
 def histogram(spark, sf):
     h = S.histogram(I.orders_series(spark, sf, "month"), K, "y", 10)
     return rounded(h, ["lo", "hi"], 2)
@@ -105,6 +110,7 @@ QUERIES = {
     "lag_pairs": lag_pairs,
     "scatter_pairs": scatter_pairs,
     "corr_matrix": corr_matrix,
+    "scatter_matrix": scatter_matrix,
     "histogram": histogram,
     "density": density,
     "acf": acf,
