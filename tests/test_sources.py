@@ -73,3 +73,17 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == chartevents(spark, SF_SMALL).join(icustays(spark, SF_SMALL), "icustay_id").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_staging_uses_the_configured_checkpoint_dir(spark):
+    from wardcast.session import ensure_checkpoint_dir, stage_table
+    before = spark.conf.get("spark.checkpoint.dir")
+    shared = tempfile.mkdtemp(prefix="wardcast-shared-")
+    spark.conf.set("spark.checkpoint.dir", shared)
+    try:
+        assert ensure_checkpoint_dir(spark) == shared
+        st = stage_table(read_table(spark, SF_SMALL, "region"), "probe")
+        assert st.count() == 5
+        assert any(shared in f for f in st.inputFiles())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
