@@ -50,20 +50,31 @@ def build_session(master: str | None = None, app: str = "wardcast",
     return spark
 
 
+_FALLBACK_DIR: str | None = None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to shared storage; only when it is unset (tests,
-    local runs) do we create a scratch folder under /tmp.
+    A cluster sets this (a static setting) to shared storage, and it is used
+    as is.  Only when neither the setting nor the SparkContext names a folder
+    (bare local runs) is a scratch folder created once per process; the
+    setting itself is never modified at runtime.
     """
+    global _FALLBACK_DIR
     d = spark.conf.get("spark.checkpoint.dir", None) or ""
-    if not d:
-        d = tempfile.mkdtemp(prefix="wardcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    sc = None
     try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - Spark Connect: the conf is enough
+        sc = spark.sparkContext
+        d = d or (sc.getCheckpointDir() or "")
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
         pass
+    if not d:
+        if _FALLBACK_DIR is None:
+            _FALLBACK_DIR = tempfile.mkdtemp(prefix="wardcast-ckpt-")
+        d = _FALLBACK_DIR
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
