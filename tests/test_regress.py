@@ -288,3 +288,28 @@ def test_influence_with_unit_leverage(spark):
     out = {r["t"]: r for r in rows(R.influence(m))}
     assert out[9]["hat"] == pytest.approx(1.0) and out[9]["std_resid"] is None
     assert out[1]["cooks_d"] is not None
+
+
+def test_wide_design_uses_array_path_and_matches_numpy(spark):
+    # p = 13 design columns (> FLAT_MAX): dot products and leverages via array functions
+    rng = np.random.default_rng(11)
+    n, k = 60, 12
+    x = rng.normal(size=(n, k))
+    y = 0.5 + x @ rng.normal(size=k) + rng.normal(size=n)
+    cols = [f"z{i}" for i in range(k)]
+    pdf = pd.DataFrame(x, columns=cols).assign(key="w", t=np.arange(1, n + 1), y=y)
+    m = R.fit(spark.createDataFrame(pdf), ["key"], "y", cols)
+    assert len(m._xs()) > R.FLAT_MAX
+    Xm = np.column_stack([np.ones(n), x])
+    XtXi = np.linalg.inv(Xm.T @ Xm)
+    b = XtXi @ Xm.T @ y
+    e = y - Xm @ b
+    h = np.einsum("ij,jk,ik->i", Xm, XtXi, Xm)
+    g = rows(m.glance())[0]
+    assert g["cv"] == pytest.approx(np.mean((e / (1 - h)) ** 2), rel=1e-9)
+    a = m.augment().toPandas().sort_values("t")
+    assert np.allclose(a.hat.to_numpy(), h, rtol=1e-9)
+    new = spark.createDataFrame(pdf.iloc[:1].drop(columns=["y", "t"]))
+    f = rows(FC.forecast(m, new, intervals=False))[0]
+    s = math.sqrt(e @ e / (n - k - 1))
+    assert f["se"] == pytest.approx(s * math.sqrt(1 + h[0]), rel=1e-9)

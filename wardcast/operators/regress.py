@@ -40,16 +40,32 @@ def _design_sql(xcols: list[str], intercept: bool) -> list[str]:
     return cols + [f"CAST(`{c}` AS DOUBLE)" for c in xcols]
 
 
+FLAT_MAX = 8   # up to this many design columns, expand sums inline (whole-stage codegen)
+
+
 def _dot_sql(xs: list[str], arr: str = "beta") -> str:
     """x' b with aliased (NULL) coefficients contributing 0."""
-    return " + ".join(f"coalesce({arr}[{i}], 0D) * {x}" for i, x in enumerate(xs))
+    if len(xs) <= FLAT_MAX:
+        return " + ".join(f"coalesce({arr}[{i}], 0D) * {x}" for i, x in enumerate(xs))
+    xv = f"array({', '.join(xs)})"
+    return f"aggregate(zip_with({xv}, {arr}, (xq, bq) -> xq * coalesce(bq, 0D)), 0D, (sq, vq) -> sq + vq)"
 
 
 def _quad_sql(xs: list[str], arr: str = "inv") -> str:
-    """x' A x for a row-major p*p array column A."""
+    """x' A x for a row-major p*p array column A.
+
+    Small p: the p*p products inline.  Larger p (e.g. a seasonal model plus
+    many residual lags): array higher-order functions over the rows of A, so
+    the expression size stays linear in p and the work O(p^2) per row."""
     p = len(xs)
-    return " + ".join(f"{xs[i]} * {xs[j]} * {arr}[{i * p + j}]"
-                      for i in range(p) for j in range(p))
+    if p <= FLAT_MAX:
+        return " + ".join(f"{xs[i]} * {xs[j]} * {arr}[{i * p + j}]"
+                          for i in range(p) for j in range(p))
+    xv = f"array({', '.join(xs)})"
+    row_dot = (f"aggregate(zip_with(slice({arr}, ri * {p} + 1, {p}), {xv}, (aq, xq) -> aq * xq), "
+               f"0D, (sq, vq) -> sq + vq)")
+    ax = f"transform(sequence(0, {p - 1}), ri -> {row_dot})"
+    return f"aggregate(zip_with({xv}, {ax}, (xo, yo) -> xo * yo), 0D, (so, vo) -> so + vo)"
 
 
 def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
