@@ -313,3 +313,9 @@ def test_wide_design_uses_array_path_and_matches_numpy(spark):
     f = rows(FC.forecast(m, new, intervals=False))[0]
     s = math.sqrt(e @ e / (n - k - 1))
     assert f["se"] == pytest.approx(s * math.sqrt(1 + h[0]), rel=1e-9)
+
+
+def test_key_names_colliding_with_outputs_are_rejected(spark, pdf):
+    df = spark.createDataFrame(pdf.rename(columns={"key": "k"}))
+    with pytest.raises(ValueError, match="collide"):
+        R.fit(df, ["k"], "y", XS)

@@ -68,6 +68,19 @@ def _quad_sql(xs: list[str], arr: str = "inv") -> str:
     return f"aggregate(zip_with({xv}, {ax}, (xo, yo) -> xo * yo), 0D, (so, vo) -> so + vo)"
 
 
+RESERVED = {"n", "k", "rank", "yty", "ysum", "xtx", "xty", "beta", "inv", "sse_gram", "sse",
+            "sst", "cv", "r2", "adj_r2", "sigma", "aic", "aicc", "bic", "df_resid",
+            "sum_resid", "fitted", "residual", "hat", "term", "estimate", "std_error",
+            "t_value", "p_value", "model", "rank_aicc", "step", "changed", "point", "se"}
+
+
+def check_keys(keys: list[str], reserved=RESERVED) -> None:
+    """Key columns must not collide with output column names."""
+    bad = sorted(set(keys) & set(reserved))
+    if bad:
+        raise ValueError(f"key column(s) {bad} collide with output columns; rename them")
+
+
 def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
     cond = F.col(y).isNotNull()
     for c in xcols:
@@ -78,6 +91,7 @@ def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
 def gram(df: DataFrame, keys: list[str], y: str, xcols: list[str],
          intercept: bool = True) -> DataFrame:
     """Per-key cross products: n, xtx (p*p row-major), xty (p), yty, ysum."""
+    check_keys(keys)
     X = _design_sql(xcols, intercept)
     p = len(X)
     d = complete_cases(df, y, xcols)
@@ -271,6 +285,7 @@ def fit(df: DataFrame, keys: list[str], y: str, xcols: list[str],
 def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """y = a + b x per key with the built-in regression aggregates (R1, R5,
     R6, A11): slope, intercept, r2, n, residual standard error."""
+    check_keys(keys, {"slope", "intercept", "r2", "n", "sigma"})
     g = df.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"),

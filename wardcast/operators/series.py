@@ -126,6 +126,8 @@ def lagged(series: DataFrame, keys: list[str], value: str, lags: list[int],
     Equi self-join on (keys, t) against the series shifted by k; every t of
     every lag is a separate row, so work spreads over t as well as keys.
     """
+    if "k" in keys or "t" in keys:
+        raise ValueError("key columns named 'k' or 't' collide with the lag / time columns")
     shifted = (series.select(*keys, "t", F.col(value).alias(out))
                      .withColumn("k", F.explode(F.array(*[F.lit(k) for k in lags])))
                      .withColumn("t", (F.col("t") + F.col("k")).cast("int")))
@@ -140,6 +142,8 @@ def acf(series: DataFrame, keys: list[str], value: str, max_lag: int) -> DataFra
     with the full-sample mean and denominator (not corr(y, lag y)).
     Also returns n (observations) for the +-2/sqrt(n) bound.
     """
+    if set(keys) & {"k", "t", "n", "r"}:
+        raise ValueError("key columns named k, t, n or r collide with the ACF output")
     obs = series.filter(F.col(value).isNotNull())
     stats = obs.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("n"))
     dev = obs.join(stats, keys).select(*keys, "t", "n",
