@@ -19,17 +19,20 @@ def round_sig(c, digits: int = 8):
     criteria whose scale varies).
 
     Two stages keep engines in agreement on exact decimal ties: the value is
-    scaled by an exact power of ten, quantized through DECIMAL(38,2) (this
-    absorbs float noise up to 5e-3 of the last kept digit), then rounded half-up in decimal arithmetic
-    and scaled back by the same exact power of ten.
+    scaled by exact powers of ten (split in two factors of at most 10^22, the
+    largest exactly representable), quantized through DECIMAL(38,2) (this
+    absorbs float noise up to 5e-3 of the last kept digit), rounded half-up
+    in decimal arithmetic and scaled back by the same factors.
     """
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
-    up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
-    scaled = F.when(k >= 0, c * up).otherwise(c / down)
+    m = F.abs(k)
+    m1 = F.least(m, F.lit(22))
+    p1, p2 = F.pow(F.lit(10.0), m1), F.pow(F.lit(10.0), m - m1)
+    scaled = F.when(k >= 0, c * p1 * p2).otherwise(c / p1 / p2)
     q = F.round(scaled.cast("decimal(38,2)"), 0).cast("double")
     return (F.when(c == 0, F.lit(0.0))
-             .when(k >= 0, q / up)
-             .otherwise(q * down))
+             .when(k >= 0, q / p1 / p2)
+             .otherwise(q * p1 * p2))
 
 
 def sig_rounded(df: DataFrame, cols, digits: int = 8) -> DataFrame:
@@ -41,10 +44,13 @@ def sig_rounded(df: DataFrame, cols, digits: int = 8) -> DataFrame:
 def sql_sig(expr: str, digits: int = 8) -> str:
     """DuckDB form of ``round_sig``."""
     k = f"({digits - 1} - floor(log10(abs({expr}))))"
-    up, down = f"pow(10.0, {k})", f"pow(10.0, -{k})"
-    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {k} >= 0 "
-            f"THEN CAST(round(CAST(({expr}) * {up} AS DECIMAL(38,2)), 0) AS DOUBLE) / {up} "
-            f"ELSE CAST(round(CAST(({expr}) / {down} AS DECIMAL(38,2)), 0) AS DOUBLE) * {down} END)")
+    m = f"abs({k})"
+    m1 = f"least({m}, 22)"
+    p1, p2 = f"pow(10.0, {m1})", f"pow(10.0, {m} - {m1})"
+    q_up = f"CAST(round(CAST(({expr}) * {p1} * {p2} AS DECIMAL(38,2)), 0) AS DOUBLE)"
+    q_dn = f"CAST(round(CAST(({expr}) / {p1} / {p2} AS DECIMAL(38,2)), 0) AS DOUBLE)"
+    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {k} >= 0 THEN {q_up} / {p1} / {p2} "
+            f"ELSE {q_dn} * {p1} * {p2} END)")
 
 
 def dec_rounded(df: DataFrame, cols, digits: int = 2) -> DataFrame:

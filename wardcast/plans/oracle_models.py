@@ -375,3 +375,51 @@ for _dir, _name in (("backward", "stepwise"), ("forward", "stepwise_forward")):
 {_stepwise_sql(_dir)}
 SELECT series_id, CAST(step AS INTEGER) AS step, changed, model, {sg('aicc', 7)} AS aicc
 FROM path"""
+
+
+def _t_pvalue_sql(src: str, tcol: str, dfcol: str, idcols: list[str]) -> str:
+    """Two-sided Student-t p-value P(|T_df| > |t|) = I_x(df/2, 1/2),
+    x = df / (df + t^2), by the power series of the regularized incomplete
+    beta: I_x(a,b) = x^a (1-x)^b / (a B(a,b)) * sum_n c_n with
+    c_0 = 1, c_{n+1} = c_n (a+b+n)/(a+1+n) x.  When x is large the symmetric
+    form 1 - I_{1-x}(b, a) is summed instead (fast convergence, and small
+    p-values keep their relative accuracy)."""
+    ids = ", ".join(idcols)
+    return f"""
+tp_in AS (
+  SELECT {ids}, {dfcol} / ({dfcol} + {tcol} * {tcol}) AS x0, {dfcol} / 2.0 AS a0, 0.5 AS b0
+  FROM {src}),
+tp_par AS (
+  SELECT {ids}, x0 > (a0 + 1) / (a0 + b0 + 2) AS swap,
+         CASE WHEN x0 > (a0 + 1) / (a0 + b0 + 2) THEN 1 - x0 ELSE x0 END AS xx,
+         CASE WHEN x0 > (a0 + 1) / (a0 + b0 + 2) THEN b0 ELSE a0 END AS aa,
+         CASE WHEN x0 > (a0 + 1) / (a0 + b0 + 2) THEN a0 ELSE b0 END AS bb
+  FROM tp_in),
+tp_terms AS (
+  SELECT {ids}, swap, xx, aa, bb, g.n,
+         sum(CASE WHEN g.n = 0 THEN 0.0
+                  ELSE ln((aa + bb + g.n - 1) / (aa + g.n)) + ln(xx) END)
+           OVER (PARTITION BY {ids} ORDER BY g.n) AS lc
+  FROM tp_par, generate_series(0, 600) AS g(n)),
+tp AS (
+  SELECT {ids},
+    CASE WHEN any_value(swap)
+         THEN 1 - exp(any_value(aa) * ln(any_value(xx)) + any_value(bb) * ln(1 - any_value(xx))
+                      - ln(any_value(aa)) - (lgamma(any_value(aa)) + lgamma(any_value(bb))
+                      - lgamma(any_value(aa) + any_value(bb)))) * sum(exp(lc))
+         ELSE exp(any_value(aa) * ln(any_value(xx)) + any_value(bb) * ln(1 - any_value(xx))
+                  - ln(any_value(aa)) - (lgamma(any_value(aa)) + lgamma(any_value(bb))
+                  - lgamma(any_value(aa) + any_value(bb)))) * sum(exp(lc)) END AS p_value
+  FROM tp_terms GROUP BY {ids})"""
+
+
+ORACLE["coef_pvalues"] = f"""WITH {COEF_A},
+ct AS (
+  SELECT coef.series_id, coef.term, coef.estimate, coef.std_error,
+         coef.estimate / coef.std_error AS t_value, CAST(crit.df_resid AS DOUBLE) AS dfr,
+         CAST(crit.df_resid AS INTEGER) AS df_resid
+  FROM coef JOIN crit USING (series_id)),
+{_t_pvalue_sql('ct', 't_value', 'dfr', ['series_id', 'term'])}
+SELECT ct.series_id, ct.term, {sg('estimate', 6)} AS estimate, {sg('std_error', 6)} AS std_error,
+  {sg('t_value', 6)} AS t_value, ct.df_resid, {sg('tp.p_value', 6)} AS p_value
+FROM ct JOIN tp USING (series_id, term)"""
