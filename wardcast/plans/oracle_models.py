@@ -423,3 +423,57 @@ ct AS (
 SELECT ct.series_id, ct.term, {sg('estimate', 6)} AS estimate, {sg('std_error', 6)} AS std_error,
   {sg('t_value', 6)} AS t_value, ct.df_resid, {sg('tp.p_value', 6)} AS p_value
 FROM ct JOIN tp USING (series_id, term)"""
+
+
+def _t_quantile_sql(src: str, steps: int = 6) -> str:
+    """Upper Student-t quantiles q with P(T <= q) = lvl for every (dfr, lvl)
+    row of ``src``, without recursion: a Cornish-Fisher start refined by
+    ``steps`` Newton steps unrolled as CTEs.  The two-sided tail
+    I_x(df/2, 1/2) is the incomplete-beta power series (terms via lgamma),
+    its derivative -2 * pdf(t)."""
+    parts = [f"""tq0 AS (
+  SELECT dfr, lvl,
+    z + (z*z*z + z) / (4*dfr) + (5*pow(z,5) + 16*z*z*z + 3*z) / (96*dfr*dfr)
+      + (3*pow(z,7) + 19*pow(z,5) + 17*z*z*z - 15*z) / (384*dfr*dfr*dfr) AS t
+  FROM {src})"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""tq{k}_p AS (
+  SELECT dfr, lvl, t, x0 > (a0 + 1) / (a0 + 2.5) AS swap,
+         CASE WHEN x0 > (a0 + 1) / (a0 + 2.5) THEN 1 - x0 ELSE x0 END AS xx,
+         CASE WHEN x0 > (a0 + 1) / (a0 + 2.5) THEN 0.5 ELSE a0 END AS aa,
+         CASE WHEN x0 > (a0 + 1) / (a0 + 2.5) THEN a0 ELSE 0.5 END AS bb
+  FROM (SELECT dfr, lvl, t, dfr / (dfr + t * t) AS x0, dfr / 2.0 AS a0 FROM tq{k - 1})),
+tq{k}_s AS (
+  SELECT dfr, lvl, t, swap, xx, aa, bb,
+         sum(exp(lgamma(aa + bb + g.n) - lgamma(aa + bb) + lgamma(aa + 1) - lgamma(aa + 1 + g.n)
+                 + g.n * ln(xx))) AS s
+  FROM tq{k}_p, range(0, 600) AS g(n) GROUP BY ALL),
+tq{k} AS (
+  SELECT dfr, lvl,
+    t + ((CASE WHEN swap THEN 1 - pre * s ELSE pre * s END) - 2 * (1 - lvl))
+        / (2 * exp(lgamma((dfr + 1) / 2) - lgamma(dfr / 2) - 0.5 * ln(dfr * pi())
+                   - (dfr + 1) / 2 * ln(1 + t * t / dfr))) AS t
+  FROM (SELECT *, exp(aa * ln(xx) + bb * ln(1 - xx) - ln(aa)
+                      - (lgamma(aa) + lgamma(bb) - lgamma(aa + bb))) AS pre FROM tq{k}_s))""")
+    return ",\n".join(parts) + f",\ntq AS (SELECT dfr, lvl, t AS q FROM tq{steps})"
+
+
+# --- fixed values: standard normal quantiles for the Cornish-Fisher start ---
+Z_START = {0.9: 1.2815515655446004, 0.975: 1.959963984540054}
+
+ORACLE["forecast_intervals"] = f"""WITH {A}, {_future_a()},
+lv AS (
+  SELECT DISTINCT CAST(crit.df_resid AS DOUBLE) AS dfr, z.lvl, z.z
+  FROM crit, (VALUES {", ".join(f"(CAST({k} AS DOUBLE), CAST({v!r} AS DOUBLE))"
+                                for k, v in Z_START.items())}) AS z(lvl, z)),
+{_t_quantile_sql('lv')},
+fi AS (
+  SELECT fc.series_id, fc.h, fc.period, fc.point, fc.se,
+         fc.point - q80.q * fc.se AS lo80, fc.point + q80.q * fc.se AS hi80,
+         fc.point - q95.q * fc.se AS lo95, fc.point + q95.q * fc.se AS hi95
+  FROM fc JOIN crit USING (series_id)
+  JOIN tq q80 ON q80.dfr = CAST(crit.df_resid AS DOUBLE) AND q80.lvl = CAST(0.9 AS DOUBLE)
+  JOIN tq q95 ON q95.dfr = CAST(crit.df_resid AS DOUBLE) AND q95.lvl = CAST(0.975 AS DOUBLE))
+SELECT series_id, h, period, {sg('point', 7)} AS point, {sg('se', 7)} AS se,
+  {sg('lo80', 7)} AS lo80, {sg('hi80', 7)} AS hi80, {sg('lo95', 7)} AS lo95, {sg('hi95', 7)} AS hi95
+FROM fi"""
