@@ -124,7 +124,7 @@ def resid_diagnostics(spark, sf):
 
 def breusch_godfrey(spark, sf):
     m = model_a(spark, sf)
-    return R.breusch_godfrey(m, R.bg_order(4, 18))
+    return sig_rounded(R.breusch_godfrey(m, R.bg_order(4, 18)), ["lm", "p_value"], 7)
 
 
 def _future_a(base):

@@ -13,6 +13,8 @@ Student-t based p-values and interval limits have no DuckDB oracle.
 
 from __future__ import annotations
 
+import math
+
 from wardcast.plans.common import sql_dec as dc
 from wardcast.plans.common import sql_sig as sg
 from wardcast.plans.oracle_series import MONTHLY, MULTI, QWIN, REVENUE
@@ -477,3 +479,68 @@ fi AS (
 SELECT series_id, h, period, {sg('point', 7)} AS point, {sg('se', 7)} AS se,
   {sg('lo80', 7)} AS lo80, {sg('hi80', 7)} AS hi80, {sg('lo95', 7)} AS lo95, {sg('hi95', 7)} AS hi95
 FROM fi"""
+
+
+def _bg_sql(order: int) -> str:
+    """Breusch-Godfrey LM for model A without a general solver.
+
+    Residuals e are orthogonal to X (intercept, trend, seasons), so by
+    Frisch-Waugh the auxiliary R^2 is v' G^-1 v / e'e with v_j = sum e_t
+    e_{t-j} (missing lags = 0) and G = L' M_X L, where M_X L are the lag
+    columns with trend and season removed (within-season demeaning).  G is
+    solved by an unrolled Cholesky factorisation; for even order the
+    chi-square tail is exp(-x/2) * sum_{i < order/2} (x/2)^i / i!."""
+    ks = range(1, order + 1)
+    lag_cols = ", ".join(f"coalesce(l{j}.residual, 0.0) AS L{j}" for j in ks)
+    lag_joins = "\n  ".join(
+        f"LEFT JOIN fit l{j} ON l{j}.series_id = f.series_id AND l{j}.t = f.t - {j}" for j in ks)
+    means = ", ".join(f"avg(L{j}) AS mL{j}" for j in ks)
+    slopes = ", ".join(f"sum((lg.t - sm.tbar) * (L{j} - mL{j})) / any_value(bb.stt) AS b{j}" for j in ks)
+    resid = ", ".join(f"L{j} - mL{j} - b{j} * (lg.t - sm.tbar) AS r{j}" for j in ks)
+    gsum = ", ".join([f"sum(e * r{j}) AS v{j}" for j in ks]
+                     + [f"sum(r{j} * r{k}) AS g{j}{k}" for j in ks for k in ks if k >= j])
+    g = lambda j, k: f"g{min(j, k)}{max(j, k)}"
+    layers, cols = [], []
+    # Cholesky, one CTE layer per column of L
+    prev = "bgs"
+    for j in ks:
+        exprs = []
+        diag = " - ".join([g(j, j)] + [f"l{j}{m} * l{j}{m}" for m in range(1, j)])
+        exprs.append(f"sqrt({diag}) AS l{j}{j}")
+        layers.append(f"ch{j}a AS (SELECT *, {', '.join(exprs)} FROM {prev})")
+        below = []
+        for i in range(j + 1, order + 1):
+            num = " - ".join([g(i, j)] + [f"l{i}{m} * l{j}{m}" for m in range(1, j)])
+            below.append(f"({num}) / l{j}{j} AS l{i}{j}")
+        layers.append(f"ch{j} AS (SELECT *{', ' if below else ''}{', '.join(below)} FROM ch{j}a)")
+        prev = f"ch{j}"
+    for i in ks:
+        num = " - ".join([f"v{i}"] + [f"l{i}{m} * w{m}" for m in range(1, i)])
+        layers.append(f"fw{i} AS (SELECT *, ({num}) / l{i}{i} AS w{i} FROM {prev})")
+        prev = f"fw{i}"
+    quad = " + ".join(f"w{i} * w{i}" for i in ks)
+    tail = " + ".join(f"pow(lm / 2, {i}) / {math.factorial(i)}" for i in range(order // 2))
+    return f"""
+lg AS (
+  SELECT f.series_id, f.t, f.season, f.residual AS e, {lag_cols}
+  FROM fit f
+  {lag_joins}),
+lgm AS (SELECT series_id, season, {means} FROM lg GROUP BY series_id, season),
+lgb AS (
+  SELECT lg.series_id, {slopes}
+  FROM lg JOIN lgm USING (series_id, season) JOIN sm USING (series_id, season)
+  JOIN bb USING (series_id) GROUP BY lg.series_id),
+lgr AS (
+  SELECT lg.series_id, lg.e, {resid}
+  FROM lg JOIN lgm USING (series_id, season) JOIN sm USING (series_id, season)
+  JOIN lgb USING (series_id)),
+bgs AS (SELECT series_id, count(*) AS n, sum(e * e) AS ee, {gsum} FROM lgr GROUP BY series_id),
+{",".join(chr(10) + x for x in layers)},
+bgq AS (SELECT series_id, n, n * ({quad}) / ee AS lm FROM {prev}),
+bgp AS (SELECT *, exp(-lm / 2) * ({tail}) AS p_value FROM bgq)"""
+
+
+ORACLE["breusch_godfrey"] = f"""WITH {A}, {_bg_sql(4)}
+SELECT series_id, CAST(n AS BIGINT) AS n, CAST(4 AS INTEGER) AS "order",
+  {sg('lm', 7)} AS lm, {sg('p_value', 7)} AS p_value
+FROM bgp"""
