@@ -56,3 +56,18 @@ def words(c: Column, separators: str) -> Column:
 
 def sha256_utf8(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
+
+
+def cut_spans(text: Column, spans: Column, fill: str = "") -> Column:
+    """``text`` with every [start, end) of the sorted ``spans`` (code points)
+    replaced by ``fill``; a span inside an earlier one adds nothing."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        between = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+        return F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= a["at"], F.concat(a["out"], between, F.lit(fill))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(spans, begin, step, lambda a: F.concat(
+        a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))

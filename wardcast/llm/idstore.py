@@ -20,6 +20,7 @@ store; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -119,6 +120,7 @@ class WordCodec:
     holds it."""
 
     def __init__(self, source: str, cache: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
@@ -136,7 +138,7 @@ class WordCodec:
         new = list(new)
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in cut]

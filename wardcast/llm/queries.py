@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idstore, quality, secrets
+from . import bpe, chat, decontam, idstore, langid, licenses, linededup, ngramjoin, quality, secrets
 from .common import read_documents, sha256_utf8, shared_path
 
 
@@ -14,6 +14,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+    model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))).select("text", "lang"))
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return langid.identify(rows, model, keep=("doc_id", "held_out")).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.deduplicate_units(read_documents(spark, sf_dir))
+    return cleaned.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(
+            ":", s["start"].cast("string"), s["end"].cast("string"), s["keeper_doc"].cast("string"))), ",").alias("removed"),
+        sha256_utf8(F.coalesce("text", F.lit(""))).alias("clean_sha256"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(list(secrets.BASE)))
@@ -26,6 +44,25 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a file tree: source/lang/doc_id."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return licenses.scan(read_documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")).select(
+        "doc_id", "path", "license", "origin", "from_dir", F.round("score", 4).alias("score"), "n_notices")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.match(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.conversations(read_documents(spark, sf_dir, "conversations")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -44,4 +81,6 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op3_secret_scans, op8_quality_rules, op9_bpe, op10_id_store)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_unit_dedup, op3_secret_scans, op4_license_scans, op5_decontamination, op6_ngram_join,
+        op7_chat_formatting, op8_quality_rules, op9_bpe, op10_id_store)}

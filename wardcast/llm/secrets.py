@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import cut_spans, stage
 
 REACH = 200
 MASK = "[SECRET]"
@@ -137,16 +137,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     suspect = has_parts(F.col("text"))
     hot = docs.filter(suspect).withColumn("secret_doc", _doc()).join(
         merged.withColumnRenamed("doc", "secret_doc"), "secret_doc", "left")
-    at0 = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        between = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(a["out"], between, F.lit(mask))).otherwise(a["out"]).alias("out"))
-
-    masked = F.aggregate("secret_spans", at0, step, lambda a: F.concat(
-        a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
+    masked = cut_spans(F.col("text"), F.col("secret_spans"), mask)
     new = F.coalesce(masked, F.col("text"))
     cols = [new.alias("text") if c == "text"
             else F.when(F.col("secret_spans").isNotNull(), F.length(new).cast(t)).otherwise(F.col(c)).alias(c)
