@@ -28,10 +28,10 @@ SYMBOLS = "#*$%&|<>"
 #: denominator, least spread).  The spread keeps a fence open when most
 #: documents of a group share one value.
 MEASURES = (
-    ("avg_word", "word_chars", 100, "n_words", 20),
+    ("avg_word", "word_chars", 100, "n_words", 60),
     ("symbols", "n_symbols", 10_000, "word_chars", 100),
-    ("dup_lines", "n_dup_lines", 1_000, "n_lines", 50),
-    ("repeats", "n_repeat_words", 1_000, "n_words", 20),
+    ("dup_lines", "n_dup_lines", 1_000, "n_lines", 120),
+    ("repeats", "n_repeat_words", 1_000, "n_words", 70),
 )
 FENCE = 3          # fences lie this many interquartile ranges beyond the quartiles
 MIN_ROWS = 100     # a smaller group takes its language's sketch, then the corpus's
