@@ -299,7 +299,7 @@ def test_wide_design_uses_array_path_and_matches_numpy(spark):
     cols = [f"z{i}" for i in range(k)]
     pdf = pd.DataFrame(x, columns=cols).assign(key="w", t=np.arange(1, n + 1), y=y)
     m = R.fit(spark.createDataFrame(pdf), ["key"], "y", cols)
-    assert len(m._xs()) > R.FLAT_MAX
+    assert len(m._xs()) > 8
     Xm = np.column_stack([np.ones(n), x])
     XtXi = np.linalg.inv(Xm.T @ Xm)
     b = XtXi @ Xm.T @ y

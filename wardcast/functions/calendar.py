@@ -77,8 +77,11 @@ def season_of(period: Column, unit: str) -> Column:
 
 def cycle_of(period: Column, unit: str) -> Column:
     """Start date of the seasonal cycle containing the period (year for
-    quarter/month/week, Monday week for days, day for hours)."""
-    if unit in ("year", "quarter", "month", "week"):
+    quarter/month, ISO year - that of the week's Thursday - for weeks, Monday
+    week for days, day for hours)."""
+    if unit == "week":
+        return F.make_date(F.year(F.date_add(period, 3)), F.lit(1), F.lit(1))
+    if unit in ("year", "quarter", "month"):
         return F.make_date(F.year(period), F.lit(1), F.lit(1))
     if unit == "day":
         return F.trunc(period, "week")

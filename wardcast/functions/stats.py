@@ -24,7 +24,13 @@ def _lg(x):
     return _lgamma(np.asarray(x, dtype=float)).astype(float)
 
 
-def _betacf(a, b, x, iters=300):
+class NotConverged(ArithmeticError):
+    """A series or continued fraction did not settle; no value is returned."""
+
+
+def _betacf(a, b, x):
+    # the number of terms needed grows with the square root of a and b
+    iters = int(300 + 10 * math.sqrt(float(np.max(a + b))))
     qab, qap, qam = a + b, a + 1.0, a - 1.0
     c = np.ones_like(x)
     d = 1.0 - qab * x / qap
@@ -48,9 +54,9 @@ def _betacf(a, b, x, iters=300):
         d = 1.0 / d
         delta = d * c
         h = h * delta
-        if np.all(np.abs(delta - 1.0) < _EPS):
-            break
-    return h
+        if np.all(np.abs(delta - 1.0) < 4 * _EPS):
+            return h
+    raise NotConverged("incomplete beta")
 
 
 def betainc(a, b, x):
@@ -89,23 +95,41 @@ def t_cdf(t, df):
     return np.where(t >= 0, 1.0 - p2 / 2.0, p2 / 2.0)
 
 
-def t_quantile(p, df, iters=200):
-    """Quantile of Student t by bisection on the CDF (monotone, robust)."""
+def t_quantile(p, df):
+    """Quantile of Student t by bisection on the CDF.  The bracket grows
+    until it encloses the quantile, and halves until it is as narrow as
+    double precision allows."""
     p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
-    lo = np.full(p.shape, -1e3)
-    hi = np.full(p.shape, 1e3)
-    for _ in range(iters):
+    ok = (df > 0) & (p > 0) & (p < 1)
+    out = np.full(p.shape, np.nan)
+    if not ok.any():
+        return out
+    pk, dk = p[ok], df[ok]
+    # the upper tail is found from the lower one: 1 - p keeps no digits there
+    tail = np.minimum(pk, 1.0 - pk)
+
+    def above(t):    # P(T > t) > tail, for t >= 0
+        return t_two_sided_p(t, dk) / 2.0 > tail
+
+    hi = np.ones(pk.shape)
+    while (wide := above(hi)).any() and np.isfinite(hi).all():
+        hi = np.where(wide, hi * 4.0, hi)
+    lo = np.zeros(pk.shape)
+    while True:
         mid = (lo + hi) / 2.0
-        below = t_cdf(mid, df) < p
-        lo = np.where(below, mid, lo)
-        hi = np.where(below, hi, mid)
+        if ((mid <= lo) | (mid >= hi) | (hi - lo <= 1e-15 * hi)).all():
+            break
+        up = above(mid)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
     q = (lo + hi) / 2.0
-    return np.where((df > 0) & (p > 0) & (p < 1), q, np.nan)
+    out[ok] = np.where(pk == 0.5, 0.0, np.where(pk > 0.5, q, -q))
+    return out
 
 
-def gammainc_upper(s, x, iters=500):
+def gammainc_upper(s, x):
     """Regularized upper incomplete gamma Q(s, x)."""
     s, x = np.broadcast_arrays(np.asarray(s, float), np.asarray(x, float))
+    iters = int(500 + 20 * math.sqrt(float(np.nanmax(np.append(s, 1.0)))))
     out = np.full(x.shape, np.nan)
     ok = (s > 0) & (x >= 0)
     out[ok & (x == 0)] = 1.0
@@ -121,6 +145,8 @@ def gammainc_upper(s, x, iters=500):
             tot = tot + dl
             if np.all(np.abs(dl) < np.abs(tot) * _EPS):
                 break
+        else:
+            raise NotConverged("incomplete gamma series")
         p = tot * np.exp(-xs + ss * np.log(xs) - _lg(ss))
         out[ser] = 1.0 - p
     if cf.any():
@@ -139,8 +165,10 @@ def gammainc_upper(s, x, iters=500):
             d = 1.0 / d
             delta = d * c
             h = h * delta
-            if np.all(np.abs(delta - 1.0) < _EPS):
+            if np.all(np.abs(delta - 1.0) < 4 * _EPS):
                 break
+        else:
+            raise NotConverged("incomplete gamma fraction")
         out[cf] = np.exp(-xc + sc * np.log(xc) - _lg(sc)) * h
     return out
 

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import add_periods, cycle_of, season_of
 from wardcast.functions.stats import t_quantile_udf
-from wardcast.operators.regress import OLSFit, _design_sql
+from wardcast.operators.regress import OLSFit, attach
+from wardcast.session import ship_package, stage_table
 
 LEVELS = (80, 95)
 
@@ -37,20 +38,22 @@ def forecast(fitm: OLSFit, newdata: DataFrame, levels=LEVELS,
              intervals: bool = True) -> DataFrame:
     """Point forecast, standard error and prediction intervals for every row
     of ``newdata`` (keys + the model's predictor columns)."""
-    g = fitm.glance().select(*fitm.keys, "sigma", "df_resid")
-    j = (newdata.join(fitm.coef_rows.select(*fitm.keys, "beta", "inv"), fitm.keys)
-                .join(g, fitm.keys))
-    xs = _design_sql(fitm.xcols, fitm.intercept)
-    out = (j.withColumn("point", fitm.linear_predictor(xs))
-            .withColumn("se", F.col("sigma") * F.sqrt(1 + fitm.quad_form(xs))))
+    g = fitm.summary().select(*fitm.keys, "sigma", "df_resid")
+    quantiles = [f"_q{lv}" for lv in levels] if intervals else []
     if intervals:
-        for lv in levels:
-            q = t_quantile_udf(F.lit(0.5 + lv / 200.0), F.col("df_resid").cast("double"))
-            out = (out.withColumn(f"_q{lv}", q)
-                      .withColumn(f"lo{lv}", F.col("point") - F.col(f"_q{lv}") * F.col("se"))
-                      .withColumn(f"hi{lv}", F.col("point") + F.col(f"_q{lv}") * F.col("se"))
-                      .drop(f"_q{lv}"))
-    return out.drop("beta", "inv", "sigma", "df_resid")
+        # the quantile depends on the level and the degrees of freedom only
+        ship_package(newdata.sparkSession)
+        df = stage_table(g.select("df_resid").distinct(), "df").select("df_resid", *[
+            t_quantile_udf(F.lit(0.5 + lv / 200.0), F.col("df_resid").cast("double")).alias(q)
+            for lv, q in zip(levels, quantiles)])
+        g = g.join(df, "df_resid", "left")
+    rows = stage_table(fitm.predictors().join(g, fitm.keys), "predict")
+    out = (attach(newdata, rows, fitm.keys).withColumn("point", fitm.linear_predictor())
+           .withColumn("se", F.col("sigma") * F.sqrt(1 + fitm.quad_form())))
+    for lv, q in zip(levels if intervals else [], quantiles):
+        out = (out.withColumn(f"lo{lv}", F.col("point") - F.col(q) * F.col("se"))
+                  .withColumn(f"hi{lv}", F.col("point") + F.col(q) * F.col("se")))
+    return out.drop("mid", "betac", "invc", "sigma", "df_resid", *quantiles)
 
 
 def accuracy(df: DataFrame, keys: list[str], actual: str = "actual",

@@ -1,18 +1,21 @@
 """Least squares for many series at once.
 
 Plan per fit:
-1. Gram pass - one ``groupBy(keys)`` with sum(x_i x_j), sum(x_i y), sum(y^2),
-   n.  Partial aggregation makes the shuffle one row per key per task, so a
-   hot series costs no more than a cold one; the size is O(p^2) per key and
-   independent of the number of observations.
+1. Gram pass - one ``groupBy(keys)`` with means and centred co-moments
+   (``avg``, ``covar_pop``, ``var_pop``: mergeable and free of the
+   cancellation that raw sums of x_i x_j suffer when a mean is large against
+   the spread).  Partial aggregation makes the shuffle one row per key per
+   task, so a hot series costs no more than a cold one; the size is O(p^2)
+   per key and independent of the number of observations.
 2. Solve - ``mapInPandas`` over the Gram rows only (one row per series, no
-   shuffle): pivoted elimination flags aliased (collinear) terms as NULL like
-   R's ``lm``, then beta = (X'X)^-1 X'y and the inverse for standard errors
-   and leverages.
-3. Residual pass - the coefficient rows are joined back on the keys and
-   fitted values, residuals and leverages are column expressions; a second
-   partial aggregate gives SSE, R^2, information criteria and the
-   leave-one-out CV statistic.
+   shuffle), all series of a batch at once: the centred system is scaled to
+   correlations and inverted; only series with collinear terms go through
+   the pivoted elimination that flags aliased terms as NULL like R's ``lm``.
+   SSE, sigma, R^2 and the information criteria come from this row.
+3. Residual pass - only where observations are asked for (fitted values,
+   residuals, leverages, leave-one-out CV): the coefficient rows are joined
+   back on the keys, by broadcast while they are few, else over salted keys,
+   so that one long series is spread over many tasks either way.
 """
 
 from __future__ import annotations
@@ -28,39 +31,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.functions.stats import t_pvalue_udf
-from wardcast.session import stage_table
+from wardcast.session import ship_package, stage_table
 
 INTERCEPT = "(Intercept)"
-ALIAS_TOL = 1e-7
+ALIAS_TOL = 1e-9      # a term is aliased below this share of its centred sum of squares
+CONST_TOL = 1e-24     # a column is constant below this share of its raw sum of squares
+BROADCAST_KEYS = 200_000   # coefficient rows that may be broadcast after counting them
+KEY_SALT = 32         # parts a key is split into beyond that
 
 
 def _design_sql(xcols: list[str], intercept: bool) -> list[str]:
-    """Design-matrix columns as SQL expressions (built in one call each)."""
+    """Design-matrix columns, centred by the ``mid`` array of the key."""
     cols = ["1.0D"] if intercept else []
-    return cols + [f"CAST(`{c}` AS DOUBLE)" for c in xcols]
+    at = len(cols)
+    return cols + [f"(CAST(`{c}` AS DOUBLE) - mid[{at + i}])" for i, c in enumerate(xcols)]
 
 
-FLAT_MAX = 8   # up to this many design columns, expand sums inline (whole-stage codegen)
-
-
-def _dot_sql(xs: list[str], arr: str = "beta") -> str:
+def _dot_sql(xs: list[str], arr: str = "betac") -> str:
     """x' b with aliased (NULL) coefficients contributing 0."""
-    if len(xs) <= FLAT_MAX:
-        return " + ".join(f"coalesce({arr}[{i}], 0D) * {x}" for i, x in enumerate(xs))
     xv = f"array({', '.join(xs)})"
     return f"aggregate(zip_with({xv}, {arr}, (xq, bq) -> xq * coalesce(bq, 0D)), 0D, (sq, vq) -> sq + vq)"
 
 
-def _quad_sql(xs: list[str], arr: str = "inv") -> str:
-    """x' A x for a row-major p*p array column A.
-
-    Small p: the p*p products inline.  Larger p (e.g. a seasonal model plus
-    many residual lags): array higher-order functions over the rows of A, so
-    the expression size stays linear in p and the work O(p^2) per row."""
+def _quad_sql(xs: list[str], arr: str = "invc") -> str:
+    """x' A x for a row-major p*p array column A, by array functions over the
+    rows of A: the expression size stays linear in p."""
     p = len(xs)
-    if p <= FLAT_MAX:
-        return " + ".join(f"{xs[i]} * {xs[j]} * {arr}[{i * p + j}]"
-                          for i in range(p) for j in range(p))
     xv = f"array({', '.join(xs)})"
     row_dot = (f"aggregate(zip_with(slice({arr}, ri * {p} + 1, {p}), {xv}, (aq, xq) -> aq * xq), "
                f"0D, (sq, vq) -> sq + vq)")
@@ -68,7 +64,21 @@ def _quad_sql(xs: list[str], arr: str = "inv") -> str:
     return f"aggregate(zip_with({xv}, {ax}, (xo, yo) -> xo * yo), 0D, (so, vo) -> so + vo)"
 
 
-RESERVED = {"n", "k", "rank", "yty", "ysum", "xtx", "xty", "beta", "inv", "sse_gram", "sse",
+def attach(obs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Join one staged row per key to many observations.  Few rows are
+    broadcast; more are joined over salted keys, so a key with a large share
+    of the observations does not end in one task, and an aggregate by key
+    that follows is partial."""
+    if not keys:
+        return obs.crossJoin(F.broadcast(rows))   # one row
+    if rows.count() <= BROADCAST_KEYS:
+        return obs.join(F.broadcast(rows), keys)
+    part = F.pmod(F.xxhash64(*obs.columns), F.lit(KEY_SALT)).cast("int").alias("_part")
+    many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALT - 1))).alias("_part"))
+    return obs.select("*", part).join(many, [*keys, "_part"]).drop("_part")
+
+
+RESERVED = {"n", "k", "rank", "ymean", "syy", "sxx", "sxy", "mid", "beta", "betac", "inv", "invc", "sse",
             "sst", "cv", "r2", "adj_r2", "sigma", "aic", "aicc", "bic", "df_resid",
             "sum_resid", "fitted", "residual", "hat", "term", "estimate", "std_error",
             "t_value", "p_value", "model", "rank_aicc", "step", "changed", "point", "se"}
@@ -90,83 +100,152 @@ def complete_cases(df: DataFrame, y: str, xcols: list[str]) -> DataFrame:
 
 def gram(df: DataFrame, keys: list[str], y: str, xcols: list[str],
          intercept: bool = True) -> DataFrame:
-    """Per-key cross products: n, xtx (p*p row-major), xty (p), yty, ysum."""
+    """Per key: n, ymean, mid (means of the predictors), and the centred
+    sums of squares and products sxx (row-major), sxy, syy.  Without an
+    intercept mid is 0 and the sums are raw."""
     check_keys(keys)
-    X = _design_sql(xcols, intercept)
-    p = len(X)
+    X = [f"CAST(`{c}` AS DOUBLE)" for c in xcols]
     d = complete_cases(df, y, xcols)
     yy = f"CAST(`{y}` AS DOUBLE)"
-    aggs = ["count(*) AS n", f"sum({yy} * {yy}) AS yty", f"sum({yy}) AS ysum"]
+
+    def cross(u, v):
+        if not intercept:
+            return f"sum({u} * {v})"
+        return f"var_pop({u}) * count(*)" if u == v else f"covar_pop({u}, {v}) * count(*)"
+
+    p = len(X)
+    aggs = ["count(*) AS n", f"avg({yy}) AS ymean", f"var_pop({yy}) * count(*) AS syy",
+            f"sum({yy} * {yy}) AS yty"]
     name = {}
     for i in range(p):
-        aggs.append(f"sum({X[i]} * {yy}) AS _xy{i}")
+        aggs += [f"avg({X[i]}) AS _m{i}", f"{cross(X[i], yy)} AS _xy{i}"]
         for j in range(i, p):
-            aggs.append(f"sum({X[i]} * {X[j]}) AS _xx{i}_{j}")
+            aggs.append(f"{cross(X[i], X[j])} AS _xx{i}_{j}")
             name[(i, j)] = name[(j, i)] = f"_xx{i}_{j}"
     g = d.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
-    xtx = "array(" + ", ".join(name[(i, j)] for i in range(p) for j in range(p)) + ") AS xtx"
-    xty = "array(" + ", ".join(f"_xy{i}" for i in range(p)) + ") AS xty"
-    return g.selectExpr(*[f"`{k}`" for k in keys], "n", "yty", "ysum", xtx, xty)
 
+    def arr(items):
+        return f"array({', '.join(items)})" if items else "CAST(array() AS array<double>)"
 
-def _solve_one(A: np.ndarray, b: np.ndarray, subset=None):
-    """Pivoted solve: returns (beta with NaN for aliased, inverse on the kept
-    block, kept index list)."""
-    p = A.shape[0]
-    cand = list(range(p)) if subset is None else list(subset)
+    mids = arr([f"_m{i}" if intercept else "0D" for i in range(p)])
+    return g.selectExpr(*[f"`{k}`" for k in keys], "n", "ymean", "syy", "yty", f"{mids} AS mid",
+                        f"{arr([name[(i, j)] for i in range(p) for j in range(p)])} AS sxx",
+                        f"{arr([f'_xy{i}' for i in range(p)])} AS sxy")
+
+
+def _pivoted(S: np.ndarray, cand) -> list[int]:
+    """Columns kept in order; one that the kept ones explain is aliased."""
     sel: list[int] = []
     for j in cand:
-        ajj = A[j, j]
-        if not np.isfinite(ajj) or ajj <= 0:
+        if not np.isfinite(S[j, j]) or S[j, j] <= 0:
             continue
+        left = S[j, j]
         if sel:
-            As = A[np.ix_(sel, sel)]
-            c = A[sel, j]
-            resid = ajj - c @ np.linalg.solve(As, c)
-        else:
-            resid = ajj
-        if resid > ALIAS_TOL * ajj:
+            c = S[sel, j]
+            left -= c @ np.linalg.solve(S[np.ix_(sel, sel)], c)
+        if left > ALIAS_TOL * S[j, j]:
             sel.append(j)
-    beta = np.full(p, np.nan)
-    inv = np.zeros((p, p))
-    if sel:
-        Ai = np.linalg.inv(A[np.ix_(sel, sel)])
-        beta[sel] = Ai @ b[sel]
-        inv[np.ix_(sel, sel)] = Ai
-    return beta, inv, sel
-
-
-def _solve_schema(keys_schema: list[T.StructField]) -> T.StructType:
-    return T.StructType(keys_schema + [
-        T.StructField("n", T.LongType()), T.StructField("rank", T.IntegerType()),
-        T.StructField("yty", T.DoubleType()), T.StructField("ysum", T.DoubleType()),
-        T.StructField("sse_gram", T.DoubleType()),
-        T.StructField("beta", T.ArrayType(T.DoubleType())),
-        T.StructField("inv", T.ArrayType(T.DoubleType()))])
+    return sel
 
 
-def solve(g: DataFrame, keys: list[str]) -> DataFrame:
+def solve_batch(n, mid, sxx, sxy, subset=None):
+    """Slopes (NaN where aliased), inverse of the kept block (0 elsewhere)
+    and number of kept columns, for a stack of centred systems."""
+    m, p = sxy.shape
+    cand = list(range(p)) if subset is None else list(subset)
+    beta, inv, rank = np.full((m, p), np.nan), np.zeros((m, p, p)), np.zeros(m, dtype=int)
+    if not cand or not m:
+        return beta, inv, rank
+    diag = np.einsum("mii->mi", sxx).copy()
+    diag[diag <= CONST_TOL * (diag + n[:, None] * mid ** 2)] = 0.0
+    scale = np.sqrt(np.where(diag > 0, diag, 1.0))
+    R = sxx / scale[:, :, None] / scale[:, None, :]
+    R[np.broadcast_to((diag <= 0)[:, :, None], R.shape)] = 0.0
+    R = np.where((diag <= 0)[:, None, :], 0.0, R)
+    ix = np.ix_(range(m), cand, cand)
+    sub = R[ix]
+    ok = np.isfinite(sub).all(axis=(1, 2))
+    ok[ok] = np.linalg.eigvalsh(sub[ok])[:, 0] > 1e-7
+    full = np.flatnonzero(ok)
+    if len(full):
+        Ri = np.linalg.inv(sub[full])
+        scaled = Ri / scale[full][:, cand][:, :, None] / scale[full][:, cand][:, None, :]
+        inv[np.ix_(full, cand, cand)] = scaled
+        beta[np.ix_(full, cand)] = np.einsum("mij,mj->mi", scaled, sxy[full][:, cand])
+        rank[full] = len(cand)
+    for r in np.flatnonzero(~ok):
+        sel = _pivoted(np.nan_to_num(R[r]), cand)
+        rank[r] = len(sel)
+        if sel:
+            Ai = np.linalg.inv(R[r][np.ix_(sel, sel)]) / np.outer(scale[r][sel], scale[r][sel])
+            inv[r][np.ix_(sel, sel)] = Ai
+            beta[r, sel] = Ai @ sxy[r, sel]
+    return beta, inv, rank
+
+
+def _stacks(pdf: pd.DataFrame):
+    """n, ymean, total, mid, sxx, sxy of a batch of Gram rows as arrays."""
+    p = len(pdf["sxy"].iloc[0])
+    sxy = np.array([np.asarray(v, float) for v in pdf["sxy"]]).reshape(len(pdf), p)
+    sxx = np.array([np.asarray(v, float) for v in pdf["sxx"]]).reshape(len(pdf), p, p)
+    mid = np.array([np.asarray(v, float) for v in pdf["mid"]]).reshape(len(pdf), p)
+    return pdf["n"].to_numpy(float), mid, sxx, sxy
+
+
+def _sse(total, beta, sxx, sxy):
+    b = np.nan_to_num(beta)
+    return np.maximum(total - 2 * np.einsum("mi,mi->m", b, sxy) + np.einsum("mi,mij,mj->m", b, sxx, b), 0.0)
+
+
+def _coef_rows(pdf: pd.DataFrame, keys: list[str], intercept: bool, subset=None) -> pd.DataFrame:
+    """Coefficient rows of a batch: betac/invc for the centred design, beta
+    and inv for the original one."""
+    n, mid, sxx, sxy = _stacks(pdf)
+    beta, inv, rank = solve_batch(n, mid, sxx, sxy, subset)
+    total = pdf["syy"].to_numpy(float) if intercept else pdf["yty"].to_numpy(float)
+    out = pdf[keys].copy() if keys else pd.DataFrame(index=pdf.index)
+    out["n"], out["rank"] = pdf["n"].to_numpy(), rank + int(intercept)
+    out["ymean"], out["syy"] = pdf["ymean"].to_numpy(float), pdf["syy"].to_numpy(float)
+    out["sse"] = _sse(total, beta, sxx, sxy)
+    if intercept:
+        m, p = beta.shape
+        ymean = pdf["ymean"].to_numpy(float)
+        b0 = ymean - np.einsum("mi,mi->m", np.nan_to_num(beta), mid)
+        cross = -np.einsum("mij,mj->mi", inv, mid)
+        corner = 1.0 / n - np.einsum("mi,mi->m", cross, mid)
+        invf, invc = np.zeros((m, p + 1, p + 1)), np.zeros((m, p + 1, p + 1))
+        invf[:, 1:, 1:] = invc[:, 1:, 1:] = inv
+        invf[:, 0, 1:] = invf[:, 1:, 0] = cross
+        invf[:, 0, 0], invc[:, 0, 0] = corner, 1.0 / n
+        betaf = np.concatenate([b0[:, None], beta], axis=1)
+        betac = np.concatenate([ymean[:, None], beta], axis=1)
+        mid = np.concatenate([np.zeros((m, 1)), mid], axis=1)
+    else:
+        betaf = betac = beta
+        invf = invc = inv
+
+    def lists(a):
+        return [[None if np.isnan(v) else float(v) for v in row.ravel()] for row in a]
+
+    out["mid"], out["beta"], out["betac"] = lists(mid), lists(betaf), lists(betac)
+    out["inv"], out["invc"] = lists(invf), lists(invc)
+    return out
+
+
+_COEF_FIELDS = [("n", T.LongType()), ("rank", T.IntegerType()), ("ymean", T.DoubleType()),
+                ("syy", T.DoubleType()), ("sse", T.DoubleType())] + [
+    (c, T.ArrayType(T.DoubleType())) for c in ("mid", "beta", "betac", "inv", "invc")]
+
+
+def solve(g: DataFrame, keys: list[str], intercept: bool = True) -> DataFrame:
     """Coefficient row per key (runs in tasks over Gram rows only)."""
-    schema = _solve_schema([g.schema[k] for k in keys])
+    ship_package(g.sparkSession)
+    schema = T.StructType([g.schema[k] for k in keys] + [T.StructField(c, t) for c, t in _COEF_FIELDS])
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                xty = np.asarray(r["xty"], float)
-                p = len(xty)
-                A = np.asarray(r["xtx"], float).reshape(p, p)
-                beta, inv, sel = _solve_one(A, xty)
-                bs = np.nan_to_num(beta)
-                sse = float(r["yty"] - 2 * bs @ xty + bs @ A @ bs)
-                out = {k: r[k] for k in keys}
-                out.update(n=int(r["n"]), rank=len(sel), yty=float(r["yty"]),
-                           ysum=float(r["ysum"]), sse_gram=sse,
-                           beta=[None if math.isnan(v) else float(v) for v in beta],
-                           inv=[float(v) for v in inv.ravel()])
-                rows.append(out)
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+            if len(pdf):
+                yield _coef_rows(pdf, keys, intercept)[schema.fieldNames()]
 
     return g.mapInPandas(run, schema)
 
@@ -195,50 +274,53 @@ class OLSFit:
     def _xs(self) -> list[str]:
         return _design_sql(self.xcols, self.intercept)
 
-    def linear_predictor(self, xs: list[str] | None = None) -> Column:
-        """x' b as one SQL expression over the joined ``beta`` array."""
-        return F.expr(_dot_sql(xs or self._xs()))
+    def linear_predictor(self) -> Column:
+        """x' b as one SQL expression over the joined mid and betac arrays."""
+        return F.expr(_dot_sql(self._xs()))
+
+    def quad_form(self) -> Column:
+        """x' (X'X)^-1 x (leverage for observed x) over mid and invc."""
+        return F.expr(_quad_sql(self._xs()))
 
-    def quad_form(self, xs: list[str] | None = None) -> Column:
-        """x' (X'X)^-1 x (leverage for observed x) over the ``inv`` array."""
-        return F.expr(_quad_sql(xs or self._xs()))
+    def predictors(self) -> DataFrame:
+        """What prediction needs of each key: mid, betac, invc."""
+        return self.coef_rows.select(*self.keys, "mid", "betac", "invc")
 
     def augment(self) -> DataFrame:
         """Observations with fitted, residual and leverage."""
         d = complete_cases(self.data, self.y, self.xcols)
-        j = d.join(self.coef_rows.select(*self.keys, "beta", "inv", "n", "rank"), self.keys)
-        keep = [f"`{c}`" for c in j.columns if c not in ("beta", "inv")]
+        j = attach(d, self.coef_rows.select(*self.keys, "mid", "betac", "invc", "n", "rank"), self.keys)
+        keep = [f"`{c}`" for c in j.columns if c not in ("mid", "betac", "invc")]
         fitted = _dot_sql(self._xs())
         return j.selectExpr(*keep, f"{fitted} AS fitted",
                             f"`{self.y}` - ({fitted}) AS residual",
                             f"{_quad_sql(self._xs())} AS hat")
 
     # -- per key ------------------------------------------------------------
+    def summary(self) -> DataFrame:
+        """One row per key from the Gram rows alone: n, k, r2, adj_r2, sigma,
+        aic, aicc, bic, df_resid (R5, R6, R25, R28-R30); no pass over the data."""
+        rows = self.coef_rows.select(*self.keys, "n", "rank", "sse", F.col("syy").alias("sst"))
+        return with_criteria(rows, self.intercept)
+
     def glance(self) -> DataFrame:
-        """One row per key: n, k, r2, adj_r2, sigma, aic, aicc, bic, cv,
-        sum of residuals (R5, R6, R25-R30).  Staged once per fit."""
+        """``summary`` with the leave-one-out CV and the sum of residuals,
+        which need the observations (R26).  Staged once per fit."""
         if self._glance is None:
             self._glance = stage_table(self._glance_plan(), "glance")
         return self._glance
 
     def _glance_plan(self) -> DataFrame:
-        a = self.augment()
-        ybar = F.col("ysum") / F.col("n")
-        s = (a.join(self.coef_rows.select(*self.keys, "ysum"), self.keys)
-              .groupBy(*self.keys)
-              .agg(F.first("n").alias("n"), F.first("rank").alias("rank"),
-                   F.sum(F.col("residual") * F.col("residual")).alias("sse"),
-                   F.sum((F.col(self.y) - ybar) * (F.col(self.y) - ybar)).alias("sst"),
-                   F.sum("residual").alias("sum_resid"),
-                   F.avg(F.pow(F.try_divide(F.col("residual"), 1 - F.col("hat")), 2)).alias("cv")))
-        return with_criteria(s, self.intercept)
+        s = (self.augment().groupBy(*self.keys)
+             .agg(F.sum("residual").alias("sum_resid"),
+                  F.avg(F.pow(F.try_divide(F.col("residual"), 1 - F.col("hat")), 2)).alias("cv")))
+        return self.summary().join(s, self.keys) if self.keys else self.summary().crossJoin(F.broadcast(s))
 
     def coefficients(self, with_p: bool = True) -> DataFrame:
         """Long table: term, estimate, std_error, t_value[, p_value]."""
         p = self.p
         names = F.array(*[F.lit(t) for t in self.terms])
-        g = self.glance().select(*self.keys, "sigma", "df_resid")
-        rows = (self.coef_rows.join(g, self.keys)
+        rows = (with_criteria(self.coef_rows.withColumn("sst", F.col("syy")), self.intercept)
                 .select(*self.keys, "sigma", "df_resid",
                         F.posexplode(names).alias("i", "term"), "beta", "inv"))
         est = F.col("beta")[F.col("i")]
@@ -279,7 +361,7 @@ def fit(df: DataFrame, keys: list[str], y: str, xcols: list[str],
         intercept: bool = True) -> OLSFit:
     """Fit y ~ xcols (+ intercept) separately for every key."""
     g = gram(df, keys, y, xcols, intercept)
-    return OLSFit(df, keys, y, list(xcols), intercept, stage_table(solve(g, keys), "coef"))
+    return OLSFit(df, keys, y, list(xcols), intercept, stage_table(solve(g, keys, intercept), "coef"))
 
 
 def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
@@ -315,7 +397,7 @@ def breusch_godfrey(fitm: OLSFit, order: int) -> DataFrame:
     lagged = distributed_lags(aug, keys, "_e", order)
     lag_cols = [f"_e_lag{k}" for k in range(1, order + 1)]
     lagged = lagged.fillna({c: 0.0 for c in lag_cols})
-    aux = fit(lagged, keys, "_e", fitm.xcols + lag_cols, fitm.intercept).glance()
+    aux = fit(lagged, keys, "_e", fitm.xcols + lag_cols, fitm.intercept).summary()
     return aux.select(*keys, "n", F.lit(order).alias("order"),
                       (F.col("n") * F.col("r2")).alias("lm"),
                       chi2_sf_udf(F.col("n") * F.col("r2"), F.lit(float(order))).alias("p_value"))
@@ -330,12 +412,12 @@ def bg_order(m: int, n_obs: int) -> int:
 def influence(fitm: OLSFit) -> DataFrame:
     """Leverage, standardized residual and Cook's distance."""
     a = fitm.augment()
-    g = fitm.glance().select(*fitm.keys, "sigma")
+    g = stage_table(fitm.summary().select(*fitm.keys, "sigma"), "sigma")
     # leverage 1 (e.g. a season seen once) or a perfect fit: NULL, not an error
     omh = F.when(1 - F.col("hat") > 1e-10, 1 - F.col("hat"))
     r = F.try_divide(F.col("residual"), F.col("sigma") * F.sqrt(omh))
     cook = F.try_divide(r * r * F.col("hat"), F.col("rank") * omh)
-    return a.join(g, fitm.keys).select("*", r.alias("std_resid"), cook.alias("cooks_d"))
+    return attach(a, g, fitm.keys).select("*", r.alias("std_resid"), cook.alias("cooks_d"))
 
 
 # ---- model selection -----------------------------------------------------------
@@ -346,52 +428,36 @@ def _subset_label(names, idx):
 
 def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> DataFrame:
     """Every subset of the predictors (intercept always in) ranked by AICc per
-    key (R31/O4).  One Gram pass is shared by all subsets; the leave-one-out
-    CV needs one more pass in which each observation meets the 2^k subset
-    inverses of its own key (a fixed multiplier, independent of n)."""
+    key (R31/O4).  One Gram pass is shared by all subsets and gives every
+    criterion but the leave-one-out CV; that takes one more pass in which an
+    observation meets the subset inverses of its key and is averaged at once
+    (partial aggregation by key and subset)."""
+    ship_package(df.sparkSession)
     g = gram(df, keys, y, xcols, True)
-    p = len(xcols) + 1
-    subsets = [tuple(c) for r in range(len(xcols) + 1) for c in combinations(range(1, p), r)]
-    key_fields = [g.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("model", T.StringType()), T.StructField("n", T.LongType()),
-        T.StructField("rank", T.IntegerType()), T.StructField("sse_gram", T.DoubleType()),
-        T.StructField("ysum", T.DoubleType()),
-        T.StructField("beta", T.ArrayType(T.DoubleType())),
-        T.StructField("inv", T.ArrayType(T.DoubleType()))])
+    subsets = [tuple(c) for r in range(len(xcols) + 1) for c in combinations(range(len(xcols)), r)]
+    schema = T.StructType([g.schema[k] for k in keys] + [T.StructField("model", T.StringType())]
+                          + [T.StructField(c, t) for c, t in _COEF_FIELDS])
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                xty = np.asarray(r["xty"], float)
-                A = np.asarray(r["xtx"], float).reshape(p, p)
-                for sub in subsets:
-                    beta, inv, sel = _solve_one(A, xty, (0,) + sub)
-                    bs = np.nan_to_num(beta)
-                    out = {k: r[k] for k in keys}
-                    out.update(model=_subset_label(xcols, [i - 1 for i in sub]),
-                               n=int(r["n"]), rank=len(sel), ysum=float(r["ysum"]),
-                               sse_gram=float(r["yty"] - 2 * bs @ xty + bs @ A @ bs),
-                               beta=[0.0 if math.isnan(v) else float(v) for v in beta],
-                               inv=[float(v) for v in inv.ravel()])
-                    rows.append(out)
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+            for sub in subsets if len(pdf) else []:
+                out = _coef_rows(pdf, keys, True, sub)
+                out["model"] = _subset_label(xcols, sub)
+                # columns left out of a subset count with coefficient 0
+                yield out[schema.fieldNames()]
 
     models = stage_table(g.mapInPandas(run, schema), "subsets")
     X = _design_sql(xcols, True)
+    held = stage_table(models.groupBy(*keys).agg(F.collect_list(
+        F.struct("model", "mid", "betac", "invc")).alias("models")), "subsets-by-key")   # 2^k per key
     d = complete_cases(df, y, xcols)
-    j = d.join(models, keys)
+    j = attach(d, held, keys).select(*keys, y, *xcols, F.explode("models").alias("_m"))
+    j = j.select(*keys, y, *xcols, "_m.model", "_m.mid", "_m.betac", "_m.invc")
     hat = F.expr(_quad_sql(X))
     e = F.expr(f"`{y}` - ({_dot_sql(X)})")
-    ybar = F.col("ysum") / F.col("n")
-    s = (j.groupBy(*keys, "model")
-          .agg(F.first("n").alias("n"), F.first("rank").alias("rank"),
-               F.sum(e * e).alias("sse"),
-               F.sum((F.col(y) - ybar) * (F.col(y) - ybar)).alias("sst"),
-               F.avg(F.pow(F.try_divide(e, 1 - hat), 2)).alias("cv")))
-    s = with_criteria(s, True)
+    cv = j.groupBy(*keys, "model").agg(F.avg(F.pow(F.try_divide(e, 1 - hat), 2)).alias("cv"))
+    s = with_criteria(models.select(*keys, "model", "n", "rank", "sse", F.col("syy").alias("sst")), True)
+    s = s.join(cv, [*keys, "model"])
     from pyspark.sql import Window as W
     w = W.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), F.col("model"))
     return s.withColumn("rank_aicc", F.row_number().over(w).cast("int"))
@@ -410,6 +476,7 @@ def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
+    ship_package(df.sparkSession)
     g = gram(df, keys, y, xcols, True)
     p = len(xcols) + 1
     key_fields = [g.schema[k] for k in keys]
@@ -426,16 +493,15 @@ def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
     def run(batches):
         for pdf in batches:
             rows = []
-            for rec in pdf.itertuples(index=False):
+            stacks = _stacks(pdf) if len(pdf) else None
+            for at, rec in enumerate(pdf.itertuples(index=False)):
                 r = rec._asdict()
-                xty = np.asarray(r["xty"], float)
-                A = np.asarray(r["xtx"], float).reshape(p, p)
-                n = float(r["n"])
+                one = [a[at:at + 1] for a in stacks]
 
                 def score(sub):
-                    beta, _, sel = _solve_one(A, xty, (0,) + tuple(sorted(sub)))
-                    bs = np.nan_to_num(beta)
-                    return aicc(n, float(r["yty"] - 2 * bs @ xty + bs @ A @ bs), len(sel))
+                    beta, _, rank = solve_batch(*one, subset=sorted(i - 1 for i in sub))
+                    sse = _sse(np.array([float(r["syy"])]), beta, one[2], one[3])
+                    return aicc(float(r["n"]), float(sse[0]), int(rank[0]) + 1)
 
                 cur = list(range(1, p)) if direction == "backward" else []
                 best = score(cur)
@@ -465,5 +531,6 @@ def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
     return g.mapInPandas(run, schema)
 
 
+
 def stepwise_backward(df, keys, y, xcols):
     return stepwise(df, keys, y, xcols, "backward")

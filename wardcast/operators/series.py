@@ -81,14 +81,16 @@ def time_window(series: DataFrame, keys: list[str], start=None, end=None,
     return out
 
 
-def gaps(series: DataFrame, keys: list[str], value: str, unit: str) -> DataFrame:
+def gaps(series: DataFrame, keys: list[str], value: str, unit: str, zeros: bool = False) -> DataFrame:
     """Runs of missing periods per series (T5): gap_start, gap_end, n_missing.
+    With ``zeros``, the runs of periods that were observed as 0 instead: a
+    different kind of gap (nothing happened, rather than nothing was recorded).
 
     Consecutive missing positions share ``t - rank``; ranking is done only
     over the missing rows of one series (bounded by its calendar).
     """
     from pyspark.sql import Window as W
-    miss = series.filter(F.col(value).isNull()).select(*keys, "period", "t")
+    miss = series.filter(F.col(value) == 0 if zeros else F.col(value).isNull()).select(*keys, "period", "t")
     w = W.partitionBy(*keys).orderBy("t")
     runs = miss.withColumn("_grp", F.col("t") - F.row_number().over(w))
     return (runs.groupBy(*keys, "_grp")

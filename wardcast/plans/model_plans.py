@@ -33,8 +33,9 @@ H_SCENARIO = 4
 
 
 def model_a_data(spark, sf, end=None, quarterly=None):
-    q = quarterly if quarterly is not None else I.orders_series(spark, sf, "quarter")
-    q = S.time_window(q, K, start=WINDOW_START, end=end)
+    q = quarterly if quarterly is not None else I.orders_series(spark, sf, "quarter", start=WINDOW_START)
+    if end is not None:
+        q = S.time_window(q, K, end=end)
     return X.season_dummies(X.trend(q), 4)
 
 
@@ -94,6 +95,12 @@ def resid_vs_fitted(spark, sf):
     return sig_rounded(s, ["abs_resid_fitted_corr"], 6)
 
 
+def resid_fitted_pairs(spark, sf):
+    """The rows of the residuals-against-fitted plot."""
+    a = model_a(spark, sf).augment().select(*K, "period", "fitted", "residual")
+    return dec_rounded(a, ["fitted", "residual"], 2)
+
+
 def model_glance(spark, sf):
     g = model_a(spark, sf).glance().select(*K, "n", "k", "df_resid", "r2", "adj_r2", "sigma",
                                            "aic", "aicc", "bic", "cv")
@@ -102,8 +109,7 @@ def model_glance(spark, sf):
 
 def ols_fourier(spark, sf):
     """trend + Fourier K = m/2 spans the same space as seasonal dummies."""
-    d = X.fourier(X.trend(S.time_window(I.orders_series(spark, sf, "quarter"), K,
-                                        start=WINDOW_START)), 4, 2)
+    d = X.fourier(X.trend(I.orders_series(spark, sf, "quarter", start=WINDOW_START)), 4, 2)
     g = R.fit(d, K, "y", A_FOURIER).glance().select(*K, "n", "k", "r2", "sigma", "aicc")
     return sig_rounded(g, ["r2", "sigma", "aicc"], 7)
 
@@ -123,8 +129,10 @@ def resid_diagnostics(spark, sf):
 
 
 def breusch_godfrey(spark, sf):
+    """Order 2m, at most a fifth of the shortest series (one number is read)."""
     m = model_a(spark, sf)
-    return sig_rounded(R.breusch_godfrey(m, R.bg_order(4, 18)), ["lm", "p_value"], 7)
+    shortest = m.coef_rows.agg(F.min("n").alias("n")).first()["n"] or 0
+    return sig_rounded(R.breusch_godfrey(m, R.bg_order(4, shortest)), ["lm", "p_value"], 7)
 
 
 def _future_a(base):
@@ -150,7 +158,7 @@ def forecast_intervals(spark, sf):
 def _expost(spark, sf):
     """Train through TRAIN_END, forecast the later quarters with their known
     (realised) predictors: t and season of the full window."""
-    q = I.orders_series(spark, sf, "quarter")
+    q = I.orders_series(spark, sf, "quarter", start=WINDOW_START)
     m = model_a(spark, sf, data=model_a_data(spark, sf, end=TRAIN_END, quarterly=q))
     test = model_a_data(spark, sf, quarterly=q).filter(
         F.col("period") > F.lit(TRAIN_END).cast("date"))
@@ -284,6 +292,7 @@ QUERIES = {
     "fitted_residuals": fitted_residuals,
     "actual_vs_fitted": actual_vs_fitted,
     "resid_vs_fitted": resid_vs_fitted,
+    "resid_fitted_pairs": resid_fitted_pairs,
     "model_glance": model_glance,
     "ols_fourier": ols_fourier,
     "influence": influence,

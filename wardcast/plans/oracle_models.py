@@ -168,6 +168,8 @@ SELECT series_id, period, season, {dc('y')} AS actual, {dc('fitted')} AS fitted
     "resid_vs_fitted": f"""WITH {A}
 SELECT series_id, {sg('corr(abs(residual), fitted)', 6)} AS abs_resid_fitted_corr
 FROM fit GROUP BY 1""",
+    "resid_fitted_pairs": f"""WITH {A}
+SELECT series_id, period, {dc('fitted')} AS fitted, {dc('residual')} AS residual FROM fit""",
     "model_glance": f"""WITH {A}
 SELECT series_id, CAST(n AS BIGINT) AS n, CAST(k AS INTEGER) AS k,
   CAST(df_resid AS INTEGER) AS df_resid, {sg('r2')} AS r2, {sg('adj_r2')} AS adj_r2,

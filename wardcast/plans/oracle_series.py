@@ -29,16 +29,21 @@ def _series(name, src, key, ts, aggs, unit, where):
   FROM {name}_sp s LEFT JOIN {name}_agg a ON {keyj}s.period = a.period)"""
 
 
+def _complete(table, ts, unit):
+    """Rows before the period that holds the day after the table's last day."""
+    return (f"{ts} < (SELECT date_trunc('{unit}', CAST(max({ts}) AS DATE) + INTERVAL 1 DAY) FROM {table})")
+
+
 MONTHLY = _series("ms", "orders", "o_orderpriority", "o_orderdate", {"y": "sum(o_totalprice)"},
-                  "month", "o_orderdate < TIMESTAMP '2001-08-01'")
+                  "month", _complete("orders", "o_orderdate", "month"))
 QUARTERLY = _series("qs", "orders", "o_orderpriority", "o_orderdate", {"y": "sum(o_totalprice)"},
-                    "quarter", "o_orderdate < TIMESTAMP '2001-07-01'")
+                    "quarter", _complete("orders", "o_orderdate", "quarter"))
 MULTI = _series("li", "lineitem", "l_returnflag", "l_shipdate", {
     "sum_price": "sum(l_extendedprice)", "sum_qty": "sum(l_quantity)",
     "avg_disc": "avg(l_discount)", "avg_tax": "avg(l_tax)",
-    "n_items": "CAST(count(*) AS DOUBLE)"}, "month", "l_shipdate < TIMESTAMP '2001-11-01'")
+    "n_items": "CAST(count(*) AS DOUBLE)"}, "month", _complete("lineitem", "l_shipdate", "month"))
 REVENUE = _series("rv", "lineitem", None, "l_shipdate", {"x": "sum(l_extendedprice)"},
-                  "month", "l_shipdate < TIMESTAMP '2001-11-01'")
+                  "month", _complete("lineitem", "l_shipdate", "month"))
 QWIN = QUARTERLY + """,
 qw AS (
   SELECT series_id, period, CAST(t - min(t) OVER (PARTITION BY series_id) + 1 AS INTEGER) AS t,
@@ -167,3 +172,20 @@ SELECT series_id, round(r1, 6) AS r1, round(rm, 6) AS rm, round(share_inside, 6)
 FROM g""",
     "series_head": f"WITH {QUARTERLY}\nSELECT series_id, period, t, season, cycle, round(y, 2) AS y FROM qs WHERE t <= 6",
 }
+
+ORACLE["series_zero_runs"] = f"""WITH {HOURLY},
+runs AS (
+  SELECT series_id, period, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS g
+  FROM hr WHERE coalesce(y, 0) = 0)
+SELECT series_id, CAST(min(period) AS TIMESTAMP) AS gap_start,
+       CAST(max(period) AS TIMESTAMP) AS gap_end, CAST(count(*) AS BIGINT) AS n_missing
+FROM runs GROUP BY series_id, g"""
+
+# ISO weeks straight from the rows: isoyear and week, no calendar table
+ORACLE["seasonal_plot_weekly"] = f"""WITH wk AS (
+  SELECT o_orderpriority AS series_id, isoyear(o_orderdate) AS iso, week(o_orderdate) AS w,
+         sum(o_totalprice) AS y
+  FROM orders WHERE {_complete("orders", "o_orderdate", "week")} GROUP BY ALL)
+SELECT series_id, make_date(iso, 1, 1) AS cycle,
+  {", ".join(f"round(max(CASE WHEN w = {s} THEN y END), 2) AS s{s:02d}" for s in range(1, 54))}
+FROM wk GROUP BY series_id, iso"""

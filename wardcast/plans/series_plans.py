@@ -23,14 +23,18 @@ def quarterly_series(spark, sf):
 
 
 def series_window(spark, sf):
-    q = I.orders_series(spark, sf, "quarter")
-    return rounded(S.time_window(q, K, start=WINDOW_START), ["y"], 2)
+    return rounded(I.orders_series(spark, sf, "quarter", start=WINDOW_START), ["y"], 2)
 
 
 def series_gaps(spark, sf):
     return S.gaps(I.events_series(spark, sf, "hour", "count"), K, "y", "hour")
 
 
+def series_zero_runs(spark, sf):
+    """Hours without events count as 0 here; the runs are told from missing ones."""
+    return S.gaps(I.events_series(spark, sf, "hour", "count", fill=0.0), K, "y", "hour", zeros=True)
+
+
 def facet_long(spark, sf):
     m = I.lineitem_monthly(spark, sf)
     return rounded(S.to_long(m, [*K, "period"], I.MULTI_VARS), ["value"], 6)
@@ -41,13 +45,19 @@ def seasonal_plot(spark, sf):
     return rounded(w, [f"s{s:02d}" for s in range(1, 13)], 2)
 
 
+def seasonal_plot_weekly(spark, sf):
+    """Weekly order value, one row per ISO year, 53 weeks."""
+    w = S.seasonal_wide(I.orders_series(spark, sf, "week"), K, "y", 53)
+    return rounded(w, [f"s{s:02d}" for s in range(1, 54)], 2)
+
+
 def seasonal_subseries(spark, sf):
     s = S.seasonal_subseries(I.orders_series(spark, sf, "month"), K, "y")
     return rounded(rounded(s, ["y"], 2), ["season_mean"], 4)
 
 
 def lag_pairs(spark, sf):
-    q = S.time_window(I.orders_series(spark, sf, "quarter"), K, start=WINDOW_START)
+    q = I.orders_series(spark, sf, "quarter", start=WINDOW_START)
     lp = S.lagged(q, K, "y", LAGS_QUARTERLY).select(
         *K, F.col("k").cast("int").alias("k"), "period", "season", "y", "y_lag")
     return rounded(lp, ["y", "y_lag"], 2)
@@ -104,8 +114,10 @@ QUERIES = {
     "quarterly_series": quarterly_series,
     "series_window": series_window,
     "series_gaps": series_gaps,
+    "series_zero_runs": series_zero_runs,
     "facet_long": facet_long,
     "seasonal_plot": seasonal_plot,
+    "seasonal_plot_weekly": seasonal_plot_weekly,
     "seasonal_subseries": seasonal_subseries,
     "lag_pairs": lag_pairs,
     "scatter_pairs": scatter_pairs,
