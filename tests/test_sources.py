@@ -85,3 +85,81 @@ def test_staging_uses_the_configured_checkpoint_dir(spark):
     assert st.count() == 5
     root = shared.replace("file:", "").rstrip("/")
     assert all(root in f for f in st.inputFiles())
+
+
+def _csv(path, rows):
+    import gzip
+    with gzip.open(path, "wt") as f:
+        f.write("user_id,v\n" + "".join(f"{a},{b}\n" for a, b in rows))
+
+
+LOAD = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import types as T
+from wardcast.session import build_session
+from wardcast.streaming.ingest import ingest
+s = build_session("local[2]", shuffle_partitions=2)
+ingest(s, {src!r}, T.StructType.fromDDL("user_id long, v double"), {dest!r})
+print("ROWS", s.read.parquet({dest!r}).count())
+"""
+
+
+def test_ingest_restarts_in_a_second_process():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    work = tempfile.mkdtemp(prefix="wardcast-ingest2-")
+    src, dest = f"{work}/src", f"{work}/dest"
+    os.makedirs(src)
+    code = LOAD.format(root=root, src=src, dest=dest)
+
+    def load():
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+        return out.stdout, out.stderr[-1500:]
+
+    _csv(f"{src}/a.csv.gz", [(1, 0.5), (2, 1.5)])
+    out, err = load()
+    assert "ROWS 2" in out, err
+    _csv(f"{src}/b.csv.gz", [(3, 2.5), (4, 3.5), (5, 4.5)])
+    out, err = load()
+    assert "ROWS 5" in out, err
+
+
+def test_ingest_refuses_a_foreign_checkpoint(spark):
+    import os
+
+    import pytest
+    from pyspark.sql import types as T
+    work = tempfile.mkdtemp(prefix="wardcast-ingest3-")
+    os.makedirs(f"{work}/src")
+    _csv(f"{work}/src/a.csv.gz", [(1, 0.5)])
+    schema = T.StructType.fromDDL("user_id long, v double")
+    ingest(spark, f"{work}/src", schema, f"{work}/dest", checkpoint=f"{work}/ck1")
+    with pytest.raises(ValueError):
+        ingest(spark, f"{work}/src", schema, f"{work}/dest", checkpoint=f"{work}/ck2")
+    with pytest.raises(ValueError):
+        ingest(spark, f"{work}/src", schema, f"{work}/other", checkpoint=f"{work}/ck1")
+
+
+def test_failed_publish_leaves_the_published_version(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from wardcast.sources.publish import read_published
+    path = f"{tempfile.mkdtemp(prefix='wardcast-pub-')}/mart"
+    first = publish(spark.range(10), path, sort_within=["id"])
+    with pytest.raises(Exception):
+        publish(spark.range(5).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert read_published(spark, path).count() == 10
+    publish(spark.range(3), path)
+    assert first.count() == 10 and read_published(spark, path).count() == 3
+
+
+def test_rewritten_table_is_scanned_anew(spark):
+    work = tempfile.mkdtemp(prefix="wardcast-scan-")
+    spark.range(4).write.parquet(f"{work}/region.parquet")
+    assert read_table(spark, work, "region").count() == 4
+    spark.range(7).write.mode("overwrite").parquet(f"{work}/region.parquet")
+    assert read_table(spark, work, "region").count() == 7

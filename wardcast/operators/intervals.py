@@ -69,9 +69,12 @@ def point_in_interval_left(points: DataFrame, intervals: DataFrame, key: str,
     Rows multiply by the number of overlapping intervals, exactly as the SQL
     left join does; callers aggregate with min/max (duplicate-insensitive).
     """
-    iv = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"),
-                          F.col(end).alias("_e"),
-                          F.explode(_day_span(F.col(start), F.col(end))).alias(_BUCKET))
+    # an interval meets the days that have points of its key, and no others:
+    # an episode that is still open (end far in the future) costs no more
+    days = points.select(F.col(key).alias("_k"), F.to_date(F.col(ts)).alias(_BUCKET)).filter(
+        F.col("_k").isNotNull() & F.col(_BUCKET).isNotNull()).distinct()
+    iv = (intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+          .join(days, "_k").filter((F.col(_BUCKET) >= F.to_date("_s")) & (F.col(_BUCKET) <= F.to_date("_e"))))
     p = points.select("*", F.to_date(F.col(ts)).alias(_BUCKET))
     cond = ((p[key] == iv["_k"]) & (p[_BUCKET] == iv[_BUCKET])
             & (p[ts] >= iv["_s"]) & (p[ts] <= iv["_e"]))

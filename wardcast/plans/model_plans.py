@@ -17,6 +17,7 @@ from wardcast.operators import forecast as FC
 from wardcast.operators import regress as R
 from wardcast.operators import series as S
 from wardcast.plans.common import dec_rounded, sig_rounded
+from wardcast.session import stage_table
 from wardcast.sources import series_inputs as I
 
 K = ["series_id"]
@@ -263,24 +264,22 @@ def hash_split(spark, sf, train_pct: int = 80):
 
 def screen_topk(spark, sf, k: int = 10, train_pct: int = 80):
     """Fit price ~ quantity on the training orders, score every test order
-    and keep the k best per priority (two-phase top-k: local per hash
-    bucket, then global over at most k * buckets candidates per group)."""
+    and keep the k best per priority.  The joined, aggregated orders are
+    staged once for both; Spark cuts each group to k before the exchange."""
     from pyspark.sql import Window as W
     from wardcast.sources.tables import read_table
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     qty = (read_table(spark, sf, "lineitem").groupBy("l_orderkey")
            .agg(F.sum("l_quantity").alias("qty")))
-    d = o.join(qty, o.o_orderkey == qty.l_orderkey).drop("l_orderkey") \
-         .withColumn("_b", _bucket("o_orderkey"))
+    d = stage_table(o.join(qty, o.o_orderkey == qty.l_orderkey).drop("l_orderkey")
+                    .withColumn("_b", _bucket("o_orderkey")), "screen")
     model = (d.filter(F.col("_b") < train_pct)
               .agg(F.regr_slope("o_totalprice", "qty").alias("b"),
                    F.regr_intercept("o_totalprice", "qty").alias("a")))
     scored = (d.filter(F.col("_b") >= train_pct).crossJoin(F.broadcast(model))   # 1 row
                .withColumn("score", F.col("a") + F.col("b") * F.col("qty")))
     order = [F.col("score").desc(), F.col("o_orderkey")]
-    local = (scored.withColumn("_r", F.row_number().over(
-        W.partitionBy("o_orderpriority", "_b").orderBy(*order))).filter(F.col("_r") <= k))
-    top = local.withColumn("rank", F.row_number().over(
+    top = scored.withColumn("rank", F.row_number().over(
         W.partitionBy("o_orderpriority").orderBy(*order)).cast("int")).filter(F.col("rank") <= k)
     return sig_rounded(top.select("o_orderpriority", "rank", "o_orderkey", "qty", "score"),
                        ["score"], 8)

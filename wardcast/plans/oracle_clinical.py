@@ -61,21 +61,57 @@ gcsfirstday AS (
   SELECT {SID} AS icustay_id, CAST(3 + min(event_id % 40) % 13 AS INTEGER) AS MinGCS
   FROM events WHERE event_type = 'purchase' GROUP BY {SID})"""
 
-from wardcast.functions.banding import band_sql  # noqa: E402
-from wardcast.functions.codes import (CV_DRUGS, HEIGHT_WEIGHT_CODES,  # noqa: E402
-                                      MV_DRUGS)
-from wardcast.operators.clinical import SCORE_BANDS  # noqa: E402
-
-# Code tables as VALUES relations (data, joined in), not CASE lists.
-HW_CODES = "code_hw(code, param, factor) AS (VALUES " + ", ".join(
-    f"({c}, '{p}', {f!r})" for c, p, f in HEIGHT_WEIGHT_CODES) + ")"
-CV_CODES_SQL = "code_cv(code, drug, per_weight) AS (VALUES " + ", ".join(
-    [f"({c}, '{d}', true)" for d, spec in CV_DRUGS.items() for c in spec["per_weight"]]
-    + [f"({c}, '{d}', false)" for d, spec in CV_DRUGS.items() for c in spec["per_kg"]]) + ")"
-MV_CODES_SQL = "code_mv(code, drug) AS (VALUES " + ", ".join(
-    f"({c}, '{d}')" for d, c in MV_DRUGS.items()) + ")"
+# Fixed values of the marts, stated here on their own: nothing is imported
+# from the code under test, so a wrong code, factor or threshold there shows.
+HW_CODES = """code_hw(code, param, factor) AS (VALUES
+  (762, 'WEIGHT', 1.0), (763, 'WEIGHT', 1.0), (3723, 'WEIGHT', 1.0), (3580, 'WEIGHT', 1.0),
+  (226512, 'WEIGHT', 1.0), (3581, 'WEIGHT', 0.45359237), (3582, 'WEIGHT', 0.0283495231),
+  (920, 'HEIGHT', 2.54), (1394, 'HEIGHT', 2.54), (4187, 'HEIGHT', 2.54), (3486, 'HEIGHT', 2.54),
+  (226707, 'HEIGHT', 2.54), (3485, 'HEIGHT', 1.0), (4188, 'HEIGHT', 1.0))"""
+CV_CODES_SQL = """code_cv(code, drug, per_weight) AS (VALUES
+  (30047, 'norepinephrine', true), (30120, 'norepinephrine', false),
+  (30044, 'epinephrine', true), (30119, 'epinephrine', false), (30309, 'epinephrine', false),
+  (30043, 'dopamine', false), (30307, 'dopamine', false),
+  (30042, 'dobutamine', false), (30306, 'dobutamine', false))"""
+MV_CODES_SQL = """code_mv(code, drug) AS (VALUES
+  (221906, 'norepinephrine'), (221289, 'epinephrine'), (221662, 'dopamine'), (221653, 'dobutamine'))"""
+POUND = "0.45359237"
 DRUGS = ["norepinephrine", "epinephrine", "dopamine", "dobutamine"]
 
+
+def _passed(*tests: str) -> str:
+    """How many of the tests hold (an unknown one does not)."""
+    return "(" + " + ".join(f"coalesce(CAST({t} AS INTEGER), 0)" for t in tests) + ")"
+
+
+def _if(test: str, score: int) -> str:
+    return f"CASE WHEN {test} THEN {score} ELSE 0 END"
+
+
+# One expression per component.  Where the thresholds of one measure are
+# nested, the score is the number of thresholds passed; components of several
+# measures are the worst of their parts.
+BANDS = {
+    "respiration": ("coalesce(PaO2FiO2_vent_min, PaO2FiO2_novent_min)", "greatest("
+                    + ", ".join([_if("PaO2FiO2_vent_min < 100", 4), _if("PaO2FiO2_vent_min < 200", 3),
+                                 _passed("PaO2FiO2_novent_min < 400", "PaO2FiO2_novent_min < 300")]) + ")"),
+    "coagulation": ("Platelet_Min", _passed("Platelet_Min < 150", "Platelet_Min < 100",
+                                            "Platelet_Min < 50", "Platelet_Min < 20")),
+    "liver": ("Bilirubin_Max", _passed("Bilirubin_Max >= 1.2", "Bilirubin_Max >= 2.0",
+                                       "Bilirubin_Max >= 6.0", "Bilirubin_Max >= 12.0")),
+    "cardiovascular": (
+        "coalesce(MeanBP_Min, rate_dopamine, rate_dobutamine, rate_epinephrine, rate_norepinephrine)",
+        "greatest(" + ", ".join([
+            _if("MeanBP_Min < 70", 1), _if("rate_dobutamine > 0", 2),
+            "CASE WHEN rate_dopamine > 15 THEN 4 WHEN rate_dopamine > 5 THEN 3 WHEN rate_dopamine > 0 THEN 2 ELSE 0 END",
+            "CASE WHEN rate_epinephrine IS NULL THEN 0 WHEN rate_epinephrine > 0.1 THEN 4 ELSE 3 END",
+            "CASE WHEN rate_norepinephrine IS NULL THEN 0 WHEN rate_norepinephrine > 0.1 THEN 4 ELSE 3 END"]) + ")"),
+    "cns": ("MinGCS", _passed("MinGCS < 15", "MinGCS < 13", "MinGCS < 10", "MinGCS < 6")),
+    "renal": ("coalesce(UrineOutput, Creatinine_Max)", "greatest(" + ", ".join([
+        _passed("Creatinine_Max >= 1.2", "Creatinine_Max >= 2.0", "Creatinine_Max >= 3.5", "Creatinine_Max >= 5.0"),
+        _if("UrineOutput < 500", 3), _if("UrineOutput < 200", 4)]) + ")"),
+}
+
 HW_RAW = f"""
 {HW_CODES},
 hw_raw AS (
@@ -103,7 +139,7 @@ kg_chart AS (
   group by st.icustay_id),
 kg_echo AS (
   select st.icustay_id,
-         (select avg(e.weight * {HEIGHT_WEIGHT_CODES[5][2]!r}) from echodata e
+         (select avg(e.weight * {POUND}) from echodata e
            where e.hadm_id = st.hadm_id
              and e.charttime > st.intime - INTERVAL 7 DAY
              and e.charttime < st.intime + INTERVAL 1 DAY) AS weight
@@ -154,7 +190,8 @@ inputs AS (
   left join uofirstday u using (icustay_id)
   left join gcsfirstday gc using (icustay_id)),
 bands AS (
-  select *, {", ".join(f"{band_sql(c, n)} AS {name}" for name, (c, n) in SCORE_BANDS.items())}
+  select *, {", ".join(f"CAST(CASE WHEN {known} IS NOT NULL THEN {score} END AS INTEGER) AS {name}"
+                       for name, (known, score) in BANDS.items())}
   from inputs)"""
 
 

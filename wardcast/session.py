@@ -7,6 +7,7 @@ fill in what is unset (tests, bench, local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,8 +35,10 @@ def build_session(master: str | None = None, app: str = "wardcast",
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", os.environ.get("WARDCAST_DRIVER_MEM", "8g")))
+    active = SparkSession.getActiveSession()
     for k, v in _DEFAULTS.items():
-        b = b.config(k, v)
+        if active is None or active.conf.get(k, None) is None:
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if os.environ.get("WARDCAST_TZ"):
@@ -58,9 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets this (a static setting) to shared storage, and it is used
-    as is.  Only when neither the setting nor the SparkContext names a folder
-    (bare local runs) is a scratch folder created once per process; the
-    setting itself is never modified at runtime.
+    as is.  Only in a local run where neither the setting nor the
+    SparkContext names a folder is a scratch folder created, once per process;
+    anywhere else that would be a folder the executors do not share, and it is
+    an error.  The setting itself is never modified at runtime.
     """
     global _FALLBACK_DIR
     d = spark.conf.get("spark.checkpoint.dir", None) or ""
@@ -71,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
         pass
     if not d:
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         if _FALLBACK_DIR is None:
             _FALLBACK_DIR = tempfile.mkdtemp(prefix="wardcast-ckpt-")
         d = _FALLBACK_DIR
@@ -79,6 +86,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the folders this process has staged so far and return their
+    number.  To be called when no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write a small derived table (one row per series: coefficients, fit
     statistics) to the shared checkpoint folder and read it back.
@@ -90,6 +111,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/wardcast-stage/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.mode("overwrite").parquet(path)
     # the schema is known: skip footer inference on the read-back
     return spark.read.schema(df.schema).parquet(path)

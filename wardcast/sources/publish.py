@@ -1,31 +1,73 @@
-"""Publish a mart (S4): the Spark counterpart of DROP ... CASCADE; CREATE
-MATERIALIZED VIEW.
+"""Publish a mart (S4): the Spark counterpart of replacing a materialized view.
 
-The result is written atomically per job to a table folder (overwrite), laid
-out by a key so later joins on that key can prune files, and read back as
-the published relation.  Re-running replaces the whole table.
+A result is written to a new version folder under the mart's path, and only
+when that job has succeeded does the pointer file ``CURRENT`` name it: the
+pointer is renamed into place, which the file system does as one step.  A
+failed job leaves the published version as it was, and readers that hold the
+earlier version keep its files until it is removed as an old one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _switch(spark: SparkSession, path: str, version: str) -> None:
+    jvm, root, fs = _files(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(root, f"_next-{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(new, jvm.org.apache.hadoop.fs.Path(root, POINTER), overwrite)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that ``path`` publishes now."""
+    version = spark.read.text(f"{path.rstrip('/')}/{POINTER}").first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
 def publish(df: DataFrame, path: str, sort_within: list[str] | None = None,
-            partitions: int | None = None) -> DataFrame:
-    """Overwrite ``path`` with ``df`` (parquet) and return the read-back table.
+            partitions: int | None = None, keep: int = 2) -> DataFrame:
+    """Write ``df`` as the new version of ``path`` and return it as published.
 
-    ``sort_within`` clusters rows inside each file (min/max statistics then
-    skip row groups for point lookups by stay or series); ``partitions`` sets
-    the file count via a hash repartition on the same keys.
+    ``sort_within`` lays rows out by ranges of those columns, so min/max
+    statistics skip files and row groups for point lookups by stay or series;
+    ``partitions`` sets the number of ranges.  ``keep`` versions stay.
     """
+    spark = df.sparkSession
+    path = path.rstrip("/")
     out = df
     if sort_within:
-        if partitions:
-            out = out.repartition(partitions, *sort_within)
-        out = out.sortWithinPartitions(*sort_within)
-    out.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        out = (out.repartitionByRange(partitions, *sort_within) if partitions
+               else out.repartitionByRange(*sort_within)).sortWithinPartitions(*sort_within)
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    jvm, root, fs = _files(spark, path)
+    try:
+        out.write.parquet(f"{path}/{version}")
+    except Exception:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, version), True)
+        raise
+    _switch(spark, path, version)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(root)
+                      if s.isDirectory() and s.getPath().getName().startswith("v"))
+    for old in versions[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, old), True)
+    return read_published(spark, path)
 
 
 def publish_table(df: DataFrame, name: str, bucket_by: str | None = None,

@@ -22,19 +22,24 @@ def table_path(sf_dir: str, name: str) -> str:
 _SCANS: dict = {}
 
 
+def _listing(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the table's files (one listing on the driver)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of a driver table.  The relation (file listing, footer
-    schema) is built once per session and path; DataFrames are immutable, so
-    every caller can share it and Catalyst still prunes per query."""
+    """Parquet scan of a driver table.  The relation is shared between calls
+    of one application as long as the table's files are the same; a table
+    that was rewritten is scanned anew."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     path = table_path(sf_dir, name)
-    key = (id(spark), spark.conf.get("spark.app.id", ""), path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
-    return df
+    key, files = (spark.sparkContext.applicationId, path), _listing(spark, path)
+    if key not in _SCANS or _SCANS[key][0] != files:
+        _SCANS[key] = (files, spark.read.parquet(path))
+    return _SCANS[key][1]
 
 
 def require_columns(df: DataFrame, cols, where: str = "input") -> DataFrame:

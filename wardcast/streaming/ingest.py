@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from wardcast.session import ensure_checkpoint_dir
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
@@ -37,14 +40,21 @@ def ingest(spark: SparkSession, src: str, schema: T.StructType, dest: str,
     """Load every file under ``src`` into the parquet table at ``dest``.
 
     Returns the finished StreamingQuery (blocks until all available files are
-    loaded).  ``checkpoint`` defaults to a folder under the session's shared
-    ``spark.checkpoint.dir``.
+    loaded).  The checkpoint lies beside the data, in ``_ingest_checkpoint``
+    under ``dest``, unless a durable folder is named: progress must outlive
+    the process, and belongs to one destination.  A destination whose sink
+    log was written with another checkpoint is refused: the sink would take
+    new batches for old ones and skip them.
     """
     stream = read_export(spark, src, schema, streaming=True, timestamp_format=timestamp_format,
                          max_files_per_trigger=max_files_per_trigger)
     if key and partitions:
         stream = stream.repartition(partitions, key)
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest/{dest.strip('/').replace('/', '_')}"
+    ck = (checkpoint or f"{dest.rstrip('/')}/_ingest_checkpoint").rstrip("/")
+    written, known = _exists(spark, f"{dest.rstrip('/')}/_spark_metadata/0"), _exists(spark, f"{ck}/offsets/0")
+    if written != known:
+        raise ValueError(f"{dest} {'was loaded' if written else 'was not loaded'} with the checkpoint {ck}; "
+                         "use the one it was loaded with, or an empty destination")
     q = (stream.writeStream.format("parquet").option("path", dest)
                .option("checkpointLocation", ck).outputMode("append")
                .trigger(availableNow=True).start())
