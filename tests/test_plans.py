@@ -68,3 +68,30 @@ def test_first_value_is_one_partial_aggregate(spark):
     p = plan(C.heightweight(X.chartevents(spark, SF_SMALL)))
     assert "Window" not in p
     assert p.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["monthly_series", "model_glance", "breusch_godfrey", "all_subsets", "stepwise",
+                                  "forecast_intervals", "forecast_scenarios", "screen_topk", "acf", "publish_mart"])
+def test_plans_of_the_staged_jobs(spark, monkeypatch, name):
+    """The eager jobs of a query are the tables it writes: their plans have
+    no row-at-a-time Python, no cartesian product, and scan what they use."""
+    from pyspark.sql import DataFrameWriter
+    from wardcast.plans.catalog import all_queries
+    seen = []
+    write = DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kw):
+        seen.append(plan(self._df))
+        return write(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    all_queries()[name](spark, SF_SMALL)
+    assert seen, "nothing was staged"
+    for p in seen:
+        assert "BatchEvalPython" not in p and "CartesianProduct" not in p
+        for scan in (ln for ln in p.splitlines() if "FileScan parquet" in ln and "lineitem.parquet" in ln):
+            assert "l_comment" not in scan and "l_shipinstruct" not in scan
+    if name in ("model_glance", "breusch_godfrey", "forecast_intervals"):
+        # the window start and the last complete period cut at the scan
+        scans = [ln for p in seen for ln in p.splitlines() if "FileScan parquet" in ln and "orders.parquet" in ln]
+        assert scans and all("GreaterThanOrEqual(o_orderdate" in s and "LessThan(o_orderdate" in s for s in scans)
