@@ -145,10 +145,19 @@ def distributed_lags(series: DataFrame, keys: list[str], x: str, m: int,
 
 
 def log_transform(df: DataFrame, col: str, kind: str = "log", name: str | None = None) -> DataFrame:
-    """Variance-stabilising transform of the target (P22): log or sqrt."""
-    f = {"log": F.log, "sqrt": F.sqrt}[kind]
-    return df.withColumn(name or f"{kind}_{col}", f(F.col(col)))
+    """Variance-stabilising transform of the target (P22): log or sqrt.  A
+    value outside its domain is an error; it is never dropped from a fit."""
+    f, inside = {"log": (F.log, F.col(col) > 0), "sqrt": (F.sqrt, F.col(col) >= 0)}[kind]
+    bad = F.raise_error(F.concat(F.lit(f"{kind} of {col} = "), F.col(col).cast("string"))).cast("double")
+    value = F.when(F.col(col).isNull(), F.lit(None).cast("double")).when(inside, f(F.col(col))).otherwise(bad)
+    return df.withColumn(name or f"{kind}_{col}", value)
 
 
 def back_transform(c: Column, kind: str = "log") -> Column:
     return F.exp(c) if kind == "log" else c * c
+
+
+def back_transform_limit(c: Column, kind: str = "log") -> Column:
+    """An interval limit on the original scale: the inverse is monotone only
+    over the transform's range, so a limit below 0 of a square root is 0."""
+    return back_transform(F.greatest(c, F.lit(0.0)) if kind == "sqrt" else c, kind)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import (add_periods, cycle_of, period_start,
                                          season_of, step)
+from wardcast.session import stage_table
 
 SERIES_COLS = ("period", "t", "season", "cycle")
 
@@ -146,10 +147,12 @@ def acf(series: DataFrame, keys: list[str], value: str, max_lag: int) -> DataFra
     """
     if set(keys) & {"k", "t", "n", "r"}:
         raise ValueError("key columns named k, t, n or r collide with the ACF output")
-    obs = series.filter(F.col(value).isNotNull())
-    stats = obs.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("n"))
-    dev = obs.join(stats, keys).select(*keys, "t", "n",
-                                       (F.col(value) - F.col("_mean")).alias("_e"))
+    from wardcast.operators.regress import attach
+    # the input plan runs once; a long series meets its mean without one task
+    obs = stage_table(series.filter(F.col(value).isNotNull()).select(*keys, "t", value), "acf")
+    stats = stage_table(obs.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("n")), "acf-stats")
+    dev = attach(obs, stats, keys).select(*keys, "t", "n",
+                                          (F.col(value) - F.col("_mean")).alias("_e"))
     den = dev.groupBy(*keys).agg(F.sum(F.col("_e") * F.col("_e")).alias("_den"))
     pairs = lagged(dev.select(*keys, "t", "_e"), keys, "_e", list(range(1, max_lag + 1)),
                    out="_e_lag")

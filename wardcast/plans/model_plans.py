@@ -136,6 +136,20 @@ def breusch_godfrey(spark, sf):
     return sig_rounded(R.breusch_godfrey(m, R.bg_order(4, shortest)), ["lm", "p_value"], 7)
 
 
+def resid_bundle(spark, sf):
+    """Residual diagnostics in one result (R8): autocorrelations at lags 1-8,
+    a histogram of 10 bins, and the Breusch-Godfrey statistic and p-value."""
+    m = model_a(spark, sf)
+    a = m.augment().select(*K, "t", "residual")
+    r = S.acf(a, K, "residual", 8).select(*K, F.lit("acf").alias("part"), F.col("k").alias("idx"), F.col("r").alias("value"))
+    h = S.histogram(a, K, "residual", 10).select(*K, F.lit("hist").alias("part"), F.col("bin").alias("idx"),
+                                                F.col("n").cast("double").alias("value"))
+    shortest = m.coef_rows.agg(F.min("n").alias("n")).first()["n"] or 0
+    bg = R.breusch_godfrey(m, R.bg_order(4, shortest)).select(*K, F.posexplode(F.array("lm", "p_value")).alias("idx", "value"))
+    bg = bg.select(*K, F.lit("bg").alias("part"), "idx", "value")
+    return sig_rounded(r.unionByName(h).unionByName(bg), ["value"], 7)
+
+
 def _future_a(base):
     fut = FC.future_frame(base, K, "quarter", H_QUARTERS)
     return X.season_dummies(X.trend(fut), 4)
@@ -187,6 +201,15 @@ def transform_target(spark, sf):
     return sig_rounded(dec_rounded(out, ["point"], 2), ["point_log"], 9)
 
 
+def transform_limits(spark, sf):
+    """Square-root target, point and 95 % limits back on the original scale."""
+    d = X.log_transform(model_a_data(spark, sf), "y", "sqrt", "sqrt_y")
+    f = FC.forecast(R.fit(d, K, "sqrt_y", A_X), _future_a(d), levels=(95,))
+    out = f.select(*K, "h", "period", X.back_transform(F.col("point"), "sqrt").alias("point"),
+                   *[X.back_transform_limit(F.col(c), "sqrt").alias(c) for c in ("lo95", "hi95")])
+    return sig_rounded(out, ["point", "lo95", "hi95"], 7)
+
+
 # ---- model B -------------------------------------------------------------------
 
 def ols_simple(spark, sf):
@@ -222,14 +245,33 @@ def stepwise_forward(spark, sf):
                        ["aicc"], 7)
 
 
-def forecast_scenarios(spark, sf):
+def _scenarios(spark, sf, **options):
     d = model_b_data(spark, sf)
     m = R.fit(d, K, "d_price", B_X)
     fut = FC.future_frame(d, K, "month", H_SCENARIO)
     rows = [(name, *[v[c] for c in B_X]) for name, v in SCENARIOS.items()]
     scen = spark.createDataFrame(rows, ["scenario", *B_X])      # fixed, 2 rows
-    nd = fut.crossJoin(F.broadcast(scen))
-    f = FC.forecast(m, nd, intervals=False)
+    return FC.forecast(m, fut.crossJoin(F.broadcast(scen)), **options)
+
+
+def forecast_scenario_limits(spark, sf):
+    f = _scenarios(spark, sf).select(*K, "scenario", "h", "period", "lo80", "hi80", "lo95", "hi95")
+    return sig_rounded(f, ["lo80", "hi80", "lo95", "hi95"], 7)
+
+
+def forecast_expost_realised(spark, sf):
+    """Ex-post forecast of model B: fitted through TRAIN_END, the later months
+    forecast with the predictors that were realised in them (R35)."""
+    d = model_b_data(spark, sf)
+    cut = F.lit(TRAIN_END).cast("date")
+    m = R.fit(d.filter(F.col("period") <= cut), K, "d_price", B_X)
+    f = FC.forecast(m, d.filter(F.col("period") > cut), intervals=False).select(
+        *K, "period", F.col("d_price").alias("actual"), "point", (F.col("d_price") - F.col("point")).alias("error"))
+    return sig_rounded(f, ["actual", "point", "error"], 6)
+
+
+def forecast_scenarios(spark, sf):
+    f = _scenarios(spark, sf, intervals=False)
     return sig_rounded(f.select(*K, "scenario", "h", "period", "point", "se"), ["point", "se"], 7)
 
 
@@ -309,6 +351,10 @@ QUERIES = {
     "stepwise": stepwise,
     "stepwise_forward": stepwise_forward,
     "forecast_scenarios": forecast_scenarios,
+    "forecast_scenario_limits": forecast_scenario_limits,
+    "forecast_expost_realised": forecast_expost_realised,
+    "transform_limits": transform_limits,
+    "resid_bundle": resid_bundle,
     "spurious_check": spurious_check,
     "hash_split": hash_split,
     "screen_topk": screen_topk,

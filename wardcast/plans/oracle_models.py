@@ -7,8 +7,9 @@ for these designs:
   leverage 1/n_s + (t - tbar_s)^2 / S_tt;
 * model B (three predictors): centred normal equations solved by the
   explicit 3x3 inverse (cofactors);
-* simple regressions: the regr_* aggregates.
-Student-t based p-values and interval limits have no DuckDB oracle.
+* simple regressions: the regr_* aggregates;
+* Student-t p-values by the incomplete-beta series, quantiles by unrolled
+  Newton steps.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ coef AS (
   WHERE al.season > 1)"""
 
 
-def _model_b():
+def _model_b(end=None):
+    cut = f" AND period <= DATE '{end}'" if end else ""
     return f"""
 b AS (
   SELECT a.series_id, a.period, a.t,
@@ -94,7 +96,7 @@ b AS (
     100 * (a.avg_disc - p.avg_disc) AS d_disc, 100 * (a.avg_tax - p.avg_tax) AS d_tax
   FROM li a JOIN li p ON a.series_id = p.series_id AND a.t = p.t + 1),
 bc AS (SELECT * FROM b WHERE d_price IS NOT NULL AND d_items IS NOT NULL
-                         AND d_disc IS NOT NULL AND d_tax IS NOT NULL),
+                         AND d_disc IS NOT NULL AND d_tax IS NOT NULL{cut}),
 mb AS (SELECT series_id, count(*) AS n, avg(d_items) AS m1, avg(d_disc) AS m2,
               avg(d_tax) AS m3, avg(d_price) AS my, max(period) AS last FROM bc GROUP BY 1),
 cb AS (
@@ -546,3 +548,55 @@ ORACLE["breusch_godfrey"] = f"""WITH {A}, {_bg_sql(4)}
 SELECT series_id, CAST(n AS BIGINT) AS n, CAST(4 AS INTEGER) AS "order",
   {sg('lm', 7)} AS lm, {sg('p_value', 7)} AS p_value
 FROM bgp"""
+
+
+LEVELS_SQL = ", ".join(f"(CAST({k} AS DOUBLE), CAST({v!r} AS DOUBLE))" for k, v in Z_START.items())
+
+ORACLE["forecast_scenario_limits"] = f"""WITH {B},
+scen AS (SELECT * FROM (VALUES ('up', 1.0, 0.5, 0.0), ('down', -1.0, -0.5, 0.0)) AS s(scenario, x1, x2, x3)),
+lv AS (SELECT DISTINCT CAST(n - 4 AS DOUBLE) AS dfr, z.lvl, z.z FROM cf2, (VALUES {LEVELS_SQL}) AS z(lvl, z)),
+{_t_quantile_sql('lv')},
+fs AS (
+  SELECT cf2.series_id, scenario, CAST(hh AS INTEGER) AS h, CAST(n - 4 AS DOUBLE) AS dfr,
+    CAST(last + to_months(CAST(hh AS INTEGER)) AS DATE) AS period, b0 + b1 * x1 + b2 * x2 + b3 * x3 AS point,
+    sigma * sqrt(1 + 1.0 / n + {_quad('x1', 'x2', 'x3')}) AS se
+  FROM cf2 JOIN sgb USING (series_id), scen, (SELECT unnest(generate_series(1, 4)) AS hh))
+SELECT series_id, scenario, h, period, {sg('point - a.q * se', 7)} AS lo80, {sg('point + a.q * se', 7)} AS hi80,
+  {sg('point - b.q * se', 7)} AS lo95, {sg('point + b.q * se', 7)} AS hi95
+FROM fs JOIN tq a ON a.dfr = fs.dfr AND a.lvl = CAST(0.9 AS DOUBLE)
+JOIN tq b ON b.dfr = fs.dfr AND b.lvl = CAST(0.975 AS DOUBLE)"""
+
+ORACLE["forecast_expost_realised"] = f"""WITH {MULTI},{_model_b(end='2000-04-01')},
+ep AS (
+  SELECT b.series_id, b.period, d_price AS actual, b0 + b1 * d_items + b2 * d_disc + b3 * d_tax AS point
+  FROM b JOIN cf2 USING (series_id) WHERE b.period > DATE '2000-04-01')
+SELECT series_id, period, {sg('actual', 6)} AS actual, {sg('point', 6)} AS point, {sg('actual - point', 6)} AS error
+FROM ep"""
+
+ORACLE["transform_limits"] = f"""WITH {QWIN},
+sq AS (SELECT *, sqrt(y) AS sqrt_y FROM qw), {_model_a(target='sqrt_y', src='sq')}, {_future_a()},
+lv AS (SELECT DISTINCT CAST(df_resid AS DOUBLE) AS dfr, z.lvl, z.z FROM crit, (VALUES {LEVELS_SQL}) AS z(lvl, z)),
+{_t_quantile_sql('lv')},
+li AS (
+  SELECT fc.*, point - q * se AS lo, point + q * se AS hi
+  FROM fc JOIN crit USING (series_id) JOIN tq ON dfr = CAST(df_resid AS DOUBLE) AND lvl = CAST(0.975 AS DOUBLE))
+SELECT series_id, h, period, {sg('point * point', 7)} AS point,
+  {sg('greatest(lo, 0.0) * greatest(lo, 0.0)', 7)} AS lo95, {sg('greatest(hi, 0.0) * greatest(hi, 0.0)', 7)} AS hi95
+FROM li"""
+
+ORACLE["resid_bundle"] = f"""WITH {A}, {_bg_sql(4)},
+em AS (SELECT series_id, avg(residual) AS m, sum(residual * residual) AS ss, min(residual) AS lo, max(residual) AS hi
+       FROM fit GROUP BY 1),
+dv AS (SELECT series_id, t, residual, residual - m AS e FROM fit JOIN em USING (series_id)),
+ks AS (SELECT unnest(generate_series(1, 8)) AS k),
+ac AS (
+  SELECT a.series_id, k, sum(a.e * coalesce(p.e, 0.0)) / (SELECT sum(x.e * x.e) FROM dv x WHERE x.series_id = a.series_id) AS r
+  FROM dv a, ks LEFT JOIN dv p ON p.series_id = a.series_id AND p.t = a.t - k GROUP BY a.series_id, k),
+gr AS (SELECT series_id, lo, hi, unnest(generate_series(1, 10)) AS bin FROM em),
+hs AS (
+  SELECT gr.series_id, bin, count(d.t) AS n FROM gr LEFT JOIN dv d ON d.series_id = gr.series_id
+   AND least(floor((d.residual - lo) / ((hi - lo) / 10)) + 1, 10) = bin GROUP BY gr.series_id, bin)
+SELECT series_id, 'acf' AS part, CAST(k AS INTEGER) AS idx, {sg('r', 7)} AS value FROM ac
+UNION ALL SELECT series_id, 'hist', CAST(bin AS INTEGER), {sg('CAST(n AS DOUBLE)', 7)} FROM hs
+UNION ALL SELECT series_id, 'bg', CAST(0 AS INTEGER), {sg('lm', 7)} FROM bgp
+UNION ALL SELECT series_id, 'bg', CAST(1 AS INTEGER), {sg('p_value', 7)} FROM bgp"""
