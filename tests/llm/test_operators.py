@@ -119,8 +119,8 @@ def test_similarity_join(docs, rows):
 
 
 def test_similarity_join_frequent_classes(spark, docs, rows, monkeypatch):
-    """Nearly every repeated shingle in a frequent class: pairs of shingles carry the join."""
-    monkeypatch.setattr(ngramjoin, "FREQUENT", (2, 4))
+    """Nearly every repeated shingle of the highest level: pairs of shingles carry the join."""
+    monkeypatch.setattr(ngramjoin, "LEVELS", (2, 2, 2))
     got = ngramjoin.join(docs).select("doc_id", "n_shingles", "component_id").collect()
     expected = [(r[0], *e) for r, e in zip(rows, B.similarity_components([(r[0], r[1]) for r in rows]))]
     same(map(tuple, got), expected)
@@ -146,8 +146,11 @@ def test_signatures_of_linked_sets_meet():
             b = nxt
             if rng.random() < 0.05:
                 break
-        classes = np.array([rng.choice([0, 1, 1, 2]) if trial % 3 else 1 for _ in range(1 << 14)], np.uint8)
-        sa, sb = (set(ngramjoin.signatures(np.array(sorted(s), np.uint64), classes).tolist()) for s in (a, b))
+        # found once only what one side has alone; the rest at any level, or all at the highest
+        level = {x: rng.choice([1, 2, 3, 3]) if trial % 3 else 3 for x in a | b}
+        level |= {x: 0 for x in a ^ b if rng.random() < 0.5}
+        sa, sb = (set(ngramjoin.signatures(np.array(sorted(s), np.uint64),
+                                           np.array([level[x] for x in sorted(s)], np.uint8)).tolist()) for s in (a, b))
         assert sa & sb, (sorted(a), sorted(b))
 
 
