@@ -20,6 +20,7 @@ store; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -37,7 +38,7 @@ from .common import broadcast_if_small
 END_ID = 2
 SHARD_DOCS = 4096
 SHARD_IDS = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 BUCKET_KEYS = 4
 
 _WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
@@ -125,9 +126,25 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [a for a in json.loads(source).get("added_tokens", [])]
+        self.added = [a["content"] for a in special]
+        exact = [a for a in special if not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"])]
+        self.mark = exact[0] if exact else None
         self.limit = cache
         self.known: dict[str, bytes] = {}
 
+    def _learn_joined(self, words: list[str]) -> None:
+        """Encode words in one call, an added token between them: those are
+        taken out before anything else, so each word is encoded on its own."""
+        joined = self.tokenizer.encode_batch_fast([self.mark["content"].join(words)], add_special_tokens=False)
+        ids = np.array(joined[0].ids, dtype="<u4")
+        marks = np.flatnonzero(ids == self.mark["id"])
+        if len(marks) != len(words) - 1:
+            raise ValueError("words and marks do not match")
+        raw = ids.tobytes()
+        for w, a, z in zip(words, [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)]):
+            self.known[w] = raw[a:z]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_WORDS(t) for t in texts]
         wanted = set().union(*cut)
@@ -135,9 +152,16 @@ class WordCodec:
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = wanted
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
+        plain, other = list(new), []
+        text = "\n".join(plain)
+        if self.mark is None or any(a in text for a in self.added):
+            marked = [self.mark is None or any(a in w for a in self.added) for w in plain]
+            other = [w for w, m in zip(plain, marked) if m]
+            plain = [w for w, m in zip(plain, marked) if not m]
+        for i in range(0, len(plain), 20_000):
+            self._learn_joined(plain[i:i + 20_000])
+        for i in range(0, len(other), 10_000):
+            part = other[i:i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.known.__getitem__
