@@ -173,6 +173,26 @@ def test_license_cosine_against_plain(spark):
             assert t not in got
 
 
+def test_license_noncommercial_spdx_and_unknown(spark):
+    rows = [(0, "a/LICENSE", "Released under the MIT License."),
+            (1, "a/x", "Licensed under CC BY-NC 4.0.\n" + "code line here\n" * 30),
+            (2, "a/y", "Licensed under CC BY-NC-ND 3.0.\n" + "code line here\n" * 30),
+            (3, "a/z", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                       "International License.\n" + "code line here\n" * 30),
+            (4, "a/v", "// SPDX-License-Identifier: Zlib\n" + "code line here\n" * 30),
+            (5, "a/w", "// SPDX-License-Identifier: MIT OR Apache-2.0\n" + "code line here\n" * 30),
+            (6, "a/u", "Distributed under the Quux Shareware License; ask the author before any use.\n" + "code line here\n" * 30),
+            (7, "a/t", "Sold as is in the shop."), (8, "a/s", "plain"),
+            (9, "a/r", "Licensed under CC BY 4.0."), (10, "b/r", "Licensed under CC BY-NC.\n" + "code line here\n" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got[1] == ("CC-BY-NC-4.0", "notice") and got[2] == ("CC-BY-NC-ND-3.0", "notice")
+    assert got[3] == ("CC-BY-NC-SA-4.0", "notice") and got[4] == ("Zlib", "notice")
+    assert got[5] == ("MIT OR Apache-2.0", "notice") and got[6] == (None, "unknown")
+    assert got[7] == got[8] and got[8][1] == "inherited"
+    assert got[9] == ("CC-BY-4.0", "file") and got[10] == ("CC-BY-NC", "notice")
+
+
 # ------------------------------------------------------------ conversations
 
 def test_quote_linking(spark):

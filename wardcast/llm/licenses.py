@@ -9,7 +9,9 @@ term by term on distinct block texts and the templates, whose number is fixed.
 A file that is (almost) all licence text is the licence file of its
 directory.  A file without a licence of its own inherits from the nearest
 ancestor directory that has one: directories, not files, are joined to their
-ancestors, and the files to their directory.
+ancestors, and the files to their directory.  An SPDX tag names the licence
+by itself.  A file whose notice says that it is licensed, but matches no
+template, is ``unknown`` (null license) and inherits nothing.
 
 Defined results: null or empty text has no block; a null path has no
 ancestors; between templates or licences of equal standing the first in
@@ -30,8 +32,30 @@ FILE_SHARE = (8, 10)   # a licence file: licence words are at least 8/10 of its
 #: lines that can belong to a licence notice
 CUES = (r"(?i)\b(licen[sc]e[ds]?|licensing|copyright|warrant(y|ies)|redistribut\w*|sublicense|spdx|"
         r"public domain|free software|permission is hereby|gnu|apache|mozilla|creative commons|as is)\b")
+#: a line that names the licence by its SPDX identifier, and the identifier or expression
+SPDX = r"(?i)\bSPDX-License-Identifier:[\x20\t]*([a-z0-9.+():-]+(?:[\x20\t]+(?:and|or|with)[\x20\t]+[a-z0-9.+():-]+)*)"
+#: cue lines that say there is a licence, whether or not a template tells which
+EXPLICIT = (r"(?i)(spdx-license-identifier|\b(licen[sc]ed|released|distributed|published|available|provided)\s+under\b|"
+            r"\b(covered|governed)\s+by\b|\blicen[sc]e\s*:|\b(subject to|terms of)\b.*\blicen[sc]e\b|"
+            r"\bcreative commons\b|\bpermission is hereby\b|\bpublic domain\b)")
 TERM_BREAK = r"[^a-z0-9.+-]+|[.+-]+(?=[^a-z0-9]|$)"
 
+#: the Creative Commons licences; each notice exists with and without a version
+CREATIVE_COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+                    "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+                    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _creative_commons():
+    for short, long in CREATIVE_COMMONS.items():
+        for version in ("", " 4.0", " 3.0", " 2.5", " 2.0", " 1.0"):
+            scope = {" 4.0": " International", "": ""}.get(version, " Unported")
+            name = f"CC-{short}{version.replace(' ', '-')}"
+            yield name, f"Licensed under CC {short}{version}."
+            yield name, f"Licensed under CC-{short}{version.replace(' ', '-')}."
+            yield name, f"This work is licensed under a Creative Commons {long}{version}{scope} License."
+
+
 #: (licence, notice or opening of the licence file)
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -64,11 +88,10 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "Creative Commons CC0 1.0 Universal. The person who associated a work with this deed has dedicated "
                 "the work to the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *_creative_commons(),
 )
 
 
@@ -123,14 +146,21 @@ def score_blocks(found: DataFrame) -> DataFrame:
 def own_licenses(files: DataFrame) -> DataFrame:
     """(doc, license, score, n_notices, is_file) of files with a notice."""
     found = stage(blocks(files), "license-blocks")
-    scored = found.join(broadcast_if_small(score_blocks(found), 20_000), "block").select(
-        "doc", "n_words", "license", "score", F.size(_terms(F.col("block"))).alias("size"))
+    tag = F.regexp_extract("block", SPDX, 1)
+    named = F.col("tag") != ""
+    scored = found.join(broadcast_if_small(score_blocks(found), 20_000), "block", "left").withColumn("tag", tag).select(
+        "doc", "n_words", F.when(named, F.col("tag")).otherwise(F.col("license")).alias("license"),
+        F.when(named, F.lit(1.0)).otherwise(F.col("score")).alias("score"),
+        F.size(_terms(F.col("block"))).alias("size"), F.col("block").rlike(EXPLICIT).alias("explicit"))
     share, whole = FILE_SHARE
+    known = F.col("license").isNotNull()
     return scored.groupBy("doc", "n_words").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"), F.count("*").alias("n_notices"),
-        F.sum("size").alias("size")).select(
-        "doc", "m.license", (-F.col("m.s")).alias("score"), "n_notices",
-        (whole * F.col("size") >= share * F.col("n_words")).alias("is_file"))
+        F.min(F.when(known, F.struct((-F.col("score")).alias("s"), "license"))).alias("m"),
+        F.count("license").alias("n_notices"), F.sum(F.when(known, F.col("size"))).alias("size"),
+        F.max("explicit").alias("explicit")).filter("m is not null or explicit").select(
+        "doc", "m.license", F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), "n_notices",
+        F.coalesce(whole * F.col("size") >= share * F.col("n_words"), F.lit(False)).alias("is_file"),
+        F.col("m").isNull().alias("unknown"))
 
 
 def directory(path: Column) -> Column:
@@ -161,25 +191,26 @@ def inherited(files: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame) -> DataFrame:
     """One row per row of ``files`` (doc_id, path, text): doc_id, path,
-    license, origin (notice, file, inherited or none), from_dir, score,
-    n_notices."""
+    license, origin (notice, file, inherited, unknown or none), from_dir,
+    score, n_notices."""
     files = files.select("doc_id", "path", "text")
     own = stage(own_licenses(files), "license-own")
     suspect = F.coalesce(F.col("text").rlike(CUES), F.lit(False))
     bare = files.filter(~suspect).select(
         "doc_id", "path", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"),
-        F.lit(0).cast("long").alias("n_notices"), F.lit(False).alias("is_file"))
+        F.lit(0).cast("long").alias("n_notices"), F.lit(False).alias("is_file"), F.lit(False).alias("unknown"))
     noticed = files.filter(suspect).select(
         "path", F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc")).join(own, "doc", "left").select(
         "doc.doc_id", "path", "license", F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("is_file", F.lit(False)).alias("is_file"))
+        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("is_file", F.lit(False)).alias("is_file"),
+        F.coalesce("unknown", F.lit(False)).alias("unknown"))
     rows = stage(bare.unionByName(noticed), "license-rows")
     above = stage(inherited(rows), "license-dirs").select(
         F.col("dir").alias("own_dir"), "from_dir", F.col("license").alias("from_license"))
     joined = rows.join(broadcast_if_small(above), directory(F.col("path")) == F.col("own_dir"), "left")
-    took = F.col("license").isNull() & F.col("from_license").isNotNull()
+    took = F.col("license").isNull() & ~F.col("unknown") & F.col("from_license").isNotNull()
     return joined.select(
-        "doc_id", "path", F.coalesce("license", "from_license").alias("license"),
-        F.when(took, F.lit("inherited")).when(F.col("license").isNull(), F.lit("none"))
+        "doc_id", "path", F.when(took, F.col("from_license")).otherwise(F.col("license")).alias("license"),
+        F.when(took, F.lit("inherited")).when(F.col("unknown"), F.lit("unknown")).when(F.col("license").isNull(), F.lit("none"))
         .when(F.col("is_file"), F.lit("file")).otherwise(F.lit("notice")).alias("origin"),
         F.when(took, F.col("from_dir")).alias("from_dir"), "score", "n_notices")
