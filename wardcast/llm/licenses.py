@@ -6,8 +6,8 @@ blocks), and a block takes the template with the highest cosine, if it is at
 least ``LEAST_COSINE``.  Equal blocks are scored once: the vectors are joined
 term by term on distinct block texts and the templates, whose number is fixed.
 
-A file that is (almost) all licence text is the licence file of its
-directory.  A file without a licence of its own inherits from the nearest
+A file whose whole text has a high cosine with a full licence text, or that
+is (almost) all scored notices, is the licence file of its directory.  A file without a licence of its own inherits from the nearest
 ancestor directory that has one: directories, not files, are joined to their
 ancestors, and the files to their directory.  An SPDX tag names the licence
 by itself.  A file whose notice says that it is licensed, but matches no
@@ -21,13 +21,18 @@ gives an empty result; other columns are dropped.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
 
 LEAST_COSINE = 0.55
-FILE_SHARE = (8, 10)   # a licence file: licence words are at least 8/10 of its words
+FILE_SHARE = (8, 10)   # a licence file: licence words are at least 8/10 of its words,
+LEAST_FILE_COSINE = 0.9  # or the whole document has this cosine with a full licence text
+FILE_WORDS = 50        # words of a document that can be a full licence text
+FULL_TEXTS = Path(__file__).parent / "license_texts"
 
 #: lines that can belong to a licence notice
 CUES = (r"(?i)\b(licen[sc]e[ds]?|licensing|copyright|warrant(y|ies)|redistribut\w*|sublicense|spdx|"
@@ -115,32 +120,68 @@ def blocks(files: DataFrame) -> DataFrame:
         .alias("block")).select("doc", "n_words", "first_line", "block")
 
 
-def score_blocks(found: DataFrame) -> DataFrame:
-    """(block, license, score): the best template of each distinct block text."""
-    spark: SparkSession = found.sparkSession
-    templates = spark.createDataFrame([(i, lic, t) for i, (lic, t) in enumerate(TEMPLATES)], "t int, license string, text string")
-    texts = stage(found.groupBy("block").agg(F.count("*").alias("copies"))
-                  .select(F.monotonically_increasing_id().alias("b"), "block", "copies"), "license-texts")
-    tf = (texts.select("b", "copies", F.explode(_terms(F.col("block"))).alias("term"))
-          .groupBy("b", "copies", "term").agg(F.count("*").alias("tf")))
-    tt = (templates.select("t", "license", F.explode(_terms(F.col("text"))).alias("term"))
-          .groupBy("t", "license", "term").agg(F.count("*").alias("tf")))
-    total = texts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total"))
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, whole text) of ``license_texts``, read on the driver."""
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(FULL_TEXTS.glob("*.txt"))]
+
+
+def _idf(tf: DataFrame, tt: DataFrame, total: DataFrame) -> DataFrame:
+    """(term, idf) of all terms of the counted texts and of the templates."""
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     vocabulary = tt.select("term").distinct().join(df, "term", "left").unionByName(
         df.join(F.broadcast(tt.select("term").distinct()), "term", "left_anti"))
-    idf = stage(vocabulary.crossJoin(F.broadcast(total)).select(  # total is one row
+    return stage(vocabulary.crossJoin(F.broadcast(total)).select(  # total is one row
         "term", (F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")), "license-idf")
-    bv = tf.join(idf, "term").select("b", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def _best(bv: DataFrame, bn: DataFrame, tt: DataFrame, idf: DataFrame, least: float) -> DataFrame:
+    """(b, license, score): the template with the highest cosine, if ``least``."""
     tv = tt.join(idf, "term").select("t", "license", "term", (F.col("tf") * F.col("idf")).alias("w"))
     tn = tv.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    bn = bv.groupBy("b").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bn"))
     tv = F.broadcast(tv.join(tn, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw")))
     cosine = (bv.join(tv, "term").groupBy("b", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
               .join(bn, "b").select("b", "license", F.round(F.col("dot") / F.col("bn"), 6).alias("score")))
-    best = (cosine.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-            .filter(-F.col("m.s") >= LEAST_COSINE).select("b", "m.license", (-F.col("m.s")).alias("score")))
-    return stage(texts.join(best, "b").select("block", "license", "score"), "license-scores")
+    return (cosine.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+            .filter(-F.col("m.s") >= least).select("b", "m.license", (-F.col("m.s")).alias("score")))
+
+
+def _template_terms(spark: SparkSession, templates) -> DataFrame:
+    rows = spark.createDataFrame([(i, lic, t) for i, (lic, t) in enumerate(templates)], "t int, license string, text string")
+    return (rows.select("t", "license", F.explode(_terms(F.col("text"))).alias("term"))
+            .groupBy("t", "license", "term").agg(F.count("*").alias("tf")))
+
+
+def score_blocks(found: DataFrame) -> DataFrame:
+    """(block, license, score): the best template of each distinct block text."""
+    texts = stage(found.groupBy("block").agg(F.count("*").alias("copies"))
+                  .select(F.monotonically_increasing_id().alias("b"), "block", "copies"), "license-texts")
+    tf = (texts.select("b", "copies", F.explode(_terms(F.col("block"))).alias("term"))
+          .groupBy("b", "copies", "term").agg(F.count("*").alias("tf")))
+    tt = _template_terms(found.sparkSession, TEMPLATES)
+    idf = _idf(tf, tt, texts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total")))
+    bv = tf.join(idf, "term").select("b", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    bn = bv.groupBy("b").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bn"))
+    return stage(texts.join(_best(bv, bn, tt, idf, LEAST_COSINE), "b").select("block", "license", "score"), "license-scores")
+
+
+def score_files(files: DataFrame) -> DataFrame:
+    """(doc, license, score): the full licence text that a whole document
+    with a cue repeats.  A document whose weight on terms of the licence texts
+    cannot reach the least cosine is left out before templates are compared."""
+    docs = files.filter(F.col("text").rlike(CUES)).select(
+        F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("b"), _terms(F.col("text")).alias("terms"))
+    tf = stage(docs.filter(F.size("terms") >= FILE_WORDS).distinct().select("b", F.explode("terms").alias("term"))
+               .groupBy("b", "term").agg(F.count("*").alias("tf")), "license-file-terms")
+    tt = stage(_template_terms(files.sparkSession, full_texts()), "license-full-texts")
+    idf = _idf(tf.withColumn("copies", F.lit(1)), tt, tf.agg(F.countDistinct("b").alias("total")))
+    known = F.broadcast(tt.select("term", F.lit(True).alias("known")).distinct())
+    bv = stage(tf.join(idf, "term").join(known, "term", "left").select(
+        "b", "term", (F.col("tf") * F.col("idf")).alias("w"), F.coalesce("known", F.lit(False)).alias("known")), "license-file-weights")
+    square = F.col("w") * F.col("w")
+    bn = stage(bv.groupBy("b").agg(F.sqrt(F.sum(square)).alias("bn"), F.sqrt(F.sum(F.when(F.col("known"), square))).alias("kn"))
+               .filter(F.col("kn") >= (LEAST_FILE_COSINE - 1e-5) * F.col("bn")).select("b", "bn"), "license-file-norms")
+    near = bv.filter("known").join(broadcast_if_small(bn.select("b")), "b", "left_semi").select("b", "term", "w")
+    return stage(_best(near, bn, tt, idf, LEAST_FILE_COSINE).withColumnRenamed("b", "doc"), "license-files")
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -154,12 +195,16 @@ def own_licenses(files: DataFrame) -> DataFrame:
         F.size(_terms(F.col("block"))).alias("size"), F.col("block").rlike(EXPLICIT).alias("explicit"))
     share, whole = FILE_SHARE
     known = F.col("license").isNotNull()
-    return scored.groupBy("doc", "n_words").agg(
+    whole_text = broadcast_if_small(score_files(files).select(
+        "doc", F.struct((-F.col("score")).alias("s"), "license").alias("f")))
+    notices = scored.groupBy("doc", "n_words").agg(
         F.min(F.when(known, F.struct((-F.col("score")).alias("s"), "license"))).alias("m"),
         F.count("license").alias("n_notices"), F.sum(F.when(known, F.col("size"))).alias("size"),
-        F.max("explicit").alias("explicit")).filter("m is not null or explicit").select(
+        F.max("explicit").alias("explicit"))
+    best = notices.join(whole_text, "doc", "left").withColumn("m", F.coalesce("f", "m"))
+    return best.filter("m is not null or explicit").select(
         "doc", "m.license", F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), "n_notices",
-        F.coalesce(whole * F.col("size") >= share * F.col("n_words"), F.lit(False)).alias("is_file"),
+        (F.col("f").isNotNull() | F.coalesce(whole * F.col("size") >= share * F.col("n_words"), F.lit(False))).alias("is_file"),
         F.col("m").isNull().alias("unknown"))
 
 
