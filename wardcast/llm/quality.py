@@ -7,7 +7,9 @@ bits, so a quantile is off by less than 1/64 of its value).  Two sketches
 merge by adding counts, so a source holding a third of the rows is combined
 map-side, and the sketches of a language and of the whole corpus are sums of
 the smaller ones.  The fences read from the sketches are joined back to the
-measured rows; there are no fixed cutoffs beside the base rule.
+measured rows.  A fence is never nearer to its quartile than ``FENCE`` times
+the measure's least spread, a constant: where a group's interquartile range
+is smaller (every group of 100+ rows of sf0.1), the constant decides.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null lang or source is a group of its own; repeated rows are measured and
