@@ -246,6 +246,15 @@ def test_long_reply_chain(spark):
     assert got[39] == list(range(40)) and got[40] == [0, 1, 2, 40]
 
 
+def test_quote_of_a_passage_first_said_later_in_the_own_conversation(spark):
+    said = "the very same passage stands here"
+    rows = [(1, 0, "user", f"> {said}\nfirst"), (1, 1, "user", said), (2, 5, "user", said), (3, 0, "user", said),
+            (4, 0, "user", f"> {said}\nsecond")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn) for r in chat.conversations(df).collect()}
+    assert got[1, 0] == (2, 5) and got[4, 0] == (1, 1)
+
+
 # ------------------------------------------------------------ pipeline
 
 def test_pipeline(spark, tmp_path):

@@ -10,7 +10,7 @@ and first; its reply path is that message's path and its own turn, so a
 conversation sorted by path is in reply order, each reply after what it
 answers.  Quotes are left out of the texts.
 
-Originals are reduced to one row per hash (and per conversation and hash)
+Originals are reduced to two rows per hash (and one per conversation and hash)
 before the join, so a very common passage never meets all its copies.
 Sorting is by ranges of (conversation, path), which splits a conversation
 of any length; paths are built by pointer doubling over linked messages only.
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_utf8, stage
+from .common import broadcast_if_small, sha256_utf8, stage
 
 MIN_WORDS = 3
 QUOTE = r"^[\x20\t]*>"
@@ -77,6 +77,20 @@ def parse(messages: DataFrame) -> DataFrame:
                         quoted.alias("quoted"), _passages(F.col("lines")).alias("passages"))
 
 
+def _two_least(originals: DataFrame) -> DataFrame:
+    """(hash, o, o2): the two least originals of different conversations."""
+    place = F.struct(F.col("conv_id").alias("conv"), F.col("o_turn").alias("turn"))
+    first = stage(originals.groupBy("hash").agg(F.min(place).alias("o")), "chat-first")
+    other = originals.join(broadcast_if_small(first), "hash").filter(F.col("conv_id") != F.col("o.conv"))
+    return first.join(other.groupBy("hash").agg(F.min(place).alias("o2")), "hash", "left")
+
+
+def _elsewhere() -> Column:
+    """The first of the two least originals that is not in the quoter's conversation."""
+    own = F.coalesce(F.col("o.conv") == F.col("conv_id"), F.lit(False))
+    return F.when(own, F.col("o2")).otherwise(F.col("o"))
+
+
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, n_quotes, n_linked, to_conv, to_turn) of messages with quotes."""
     parsed = parse(messages)
@@ -88,12 +102,12 @@ def link(messages: DataFrame) -> DataFrame:
     wanted = quotes.select("hash").distinct()
     originals = stage(rows.filter("level = 0 and conv_id is not null and turn is not null").join(wanted, "hash", "left_semi")
                       .groupBy("conv_id", "hash").agg(F.min("turn").alias("o_turn")), "chat-originals")
-    first = originals.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("conv"), F.col("o_turn").alias("turn"))).alias("o"))
+    first = _two_least(originals)
     near = originals.select(F.col("conv_id").alias("n_conv"), F.col("hash").alias("n_hash"), "o_turn")
     found = (quotes.join(near, (F.col("conv_id") == F.col("n_conv")) & (F.col("hash") == F.col("n_hash"))
                          & (F.col("o_turn") < F.col("turn")), "left")
              .join(first, "hash", "left"))
-    far = F.when((F.col("o.conv") != F.col("conv_id")) | F.col("conv_id").isNull(), F.col("o"))
+    far = _elsewhere()
     found = found.select("conv_id", "turn", "nth", "level", F.coalesce(
         F.when(F.col("o_turn").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("o_turn").alias("turn"))), far).alias("to"))
     picked = F.min(F.when(F.col("to").isNotNull(), F.struct("level", "nth", "to")))
