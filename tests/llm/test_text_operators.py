@@ -255,6 +255,21 @@ def test_quote_of_a_passage_first_said_later_in_the_own_conversation(spark):
     assert got[1, 0] == (2, 5) and got[4, 0] == (1, 1)
 
 
+def test_quotes_of_lines_and_sentences(spark):
+    recipe = "Boil the water in a pot.\nPut the egg into it. Wait for ten whole minutes.\nTake the egg out again."
+    rows = [(1, 0, "user", recipe), (1, 1, "user", "Take the egg out again."),
+            (1, 2, "user", "> Put the egg into it. Wait for ten whole minutes.\nWhy?"),
+            (1, 3, "user", "> Boil the water in a pot.\n> Take the egg out again.\nOk."),
+            (1, 4, "user", "> Wait for ten\n> whole minutes.\nOk."), (1, 5, "user", "> Wait for eleven minutes.\nNo."),
+            (2, 0, "user", "> Wait for ten whole minutes.\nAnd then?"), (2, 1, "user", "今日は天気がとてもいいです。散歩に行きましょう。"),
+            (2, 2, "user", "> 散歩に行きましょう。\nはい"), (2, 3, "user", "> 今日は天気がとてもいいです。散歩に行きましょう。\nはい")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn, r.n_quotes, r.n_linked) for r in chat.conversations(df).collect()}
+    assert got[1, 2] == (1, 0, 1, 1) and got[1, 3] == (1, 0, 1, 1) and got[1, 4] == (1, 0, 1, 1)
+    assert got[1, 5] == (None, None, 1, 0) and got[2, 0] == (1, 0, 1, 1)
+    assert got[2, 2] == (2, 1, 1, 1) and got[2, 3] == (2, 1, 1, 1)
+
+
 # ------------------------------------------------------------ pipeline
 
 def test_pipeline(spark, tmp_path):

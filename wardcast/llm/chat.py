@@ -5,7 +5,9 @@ Consecutive lines of a level form a passage.  Passages are normalised (lower
 case, white space collapsed) and hashed; unquoted passages of all messages
 are the originals.  A quoted passage is joined to the original it repeats:
 first within its conversation, before its own turn, else the earliest one
-anywhere.  A message answers the message whose passage it quotes outermost
+anywhere.  A quote that repeats no whole passage is split into lines and
+sentences, and joined in the same order to the earliest message that holds
+most of them.  A message answers the message whose passage it quotes outermost
 and first; its reply path is that message's path and its own turn, so a
 conversation sorted by path is in reply order, each reply after what it
 answers.  Quotes are left out of the texts.
@@ -17,8 +19,9 @@ of any length; paths are built by pointer doubling over linked messages only.
 
 Defined results: a null or empty text has no passages; a message repeated
 with the same conv_id and turn is one node (its rows each stay); null conv_id
-or turn cannot be linked to and has the path of its turn; a passage under
-``MIN_WORDS`` words links nothing; an empty table gives an empty result;
+or turn cannot be linked to and has the path of its turn; a passage or piece
+under ``MIN_WORDS`` words (and ``MIN_CHARS`` characters without spaces) links
+nothing; an empty table gives an empty result;
 other columns are dropped.
 """
 
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, sha256_utf8, stage
 
 MIN_WORDS = 3
+#: or so many characters of scripts that put no spaces between words
+MIN_CHARS = 6
+SPACED = (r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]")
+SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？])\s*"
 QUOTE = r"^[\x20\t]*>"
 
 
@@ -66,6 +73,20 @@ def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+def _long(normal: Column) -> Column:
+    return ((F.size(F.split(normal, " ")) >= MIN_WORDS)
+            | (F.length(F.regexp_replace(normal, SPACED, "")) >= MIN_CHARS))
+
+
+def _pieces(body: Column) -> Column:
+    """Digests of the lines of a passage and of its sentences, within the
+    lines and across them."""
+    lines = F.split(body, "\n", -1)
+    within = F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE, -1)))
+    texts = F.transform(F.concat(lines, within, F.split(_normal(body), SENTENCE, -1)), _normal)
+    return F.array_distinct(F.transform(F.filter(texts, _long), lambda x: F.sha2(x, 256)))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, clean text, passages (level, body) of every row."""
     lines = messages.select("conv_id", "turn", "role", "text", _lines(F.col("text")).alias("lines"))
@@ -91,14 +112,41 @@ def _elsewhere() -> Column:
     return F.when(own, F.col("o2")).otherwise(F.col("o"))
 
 
+def _link_pieces(loose: DataFrame, rows: DataFrame) -> DataFrame:
+    """(q, part): the message that holds most of the pieces of a quote, the
+    earliest of them; within the conversation before, else anywhere.
+
+    Messages of a conversation that hold the same wanted pieces are one class,
+    of which the earliest counts; across conversations likewise."""
+    asked = stage(loose.select("q", "conv_id", "turn", F.explode("pieces").alias("piece")), "chat-asked")
+    held = (rows.filter("level = 0 and conv_id is not null and turn is not null")
+            .select("conv_id", "turn", F.explode(_pieces(F.col("body"))).alias("piece"))
+            .join(asked.select("piece").distinct(), "piece", "left_semi"))
+    classes = stage(held.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("piece")).alias("held"))
+                    .groupBy("conv_id", "held").agg(F.min("turn").alias("o_turn"))
+                    .withColumn("hash", F.sha2(F.array_join("held", ","), 256)), "chat-classes")
+    near = classes.select(F.col("conv_id").alias("n_conv"), "o_turn", F.explode("held").alias("n_piece"))
+    best = (asked.join(near, (F.col("conv_id") == F.col("n_conv")) & (F.col("piece") == F.col("n_piece"))
+                       & (F.col("o_turn") < F.col("turn")))
+            .groupBy("q", "conv_id", "o_turn").agg(F.count("*").alias("n"))
+            .groupBy("q", "conv_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "o_turn")).alias("b")))
+    here = stage(best.select("q", F.struct(F.col("conv_id").alias("conv"), F.col("b.o_turn").alias("turn")).alias("part")), "chat-near")
+    sets = classes.groupBy("hash").agg(F.first("held").alias("held"))
+    far = _two_least(classes).join(sets, "hash").select("hash", "o", "o2", F.explode("held").alias("piece"))
+    there = (asked.join(here, "q", "left_anti").join(far, "piece").select("q", "hash", "piece", _elsewhere().alias("part"))
+             .filter("part is not null").groupBy("q", "hash", "part").agg(F.count("*").alias("n"))
+             .groupBy("q").agg(F.min(F.struct((-F.col("n")).alias("n"), "part")).alias("b")).select("q", "b.part"))
+    return here.unionByName(there)
+
+
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, n_quotes, n_linked, to_conv, to_turn) of messages with quotes."""
     parsed = parse(messages)
-    rows = parsed.select("conv_id", "turn", "quoted", F.posexplode("passages").alias("nth", "p")).select(
-        "conv_id", "turn", "quoted", "nth", "p.level", F.sha2(_normal(F.col("p.body")), 256).alias("hash"),
-        F.size(F.split(_normal(F.col("p.body")), " ")).alias("n_words")).filter(F.col("n_words") >= MIN_WORDS)
-    quotes = stage(rows.filter("level > 0").select("conv_id", "turn", "nth", "level", "hash").distinct(),
-                   "chat-quotes")
+    rows = parsed.select("conv_id", "turn", F.posexplode("passages").alias("nth", "p")).select(
+        "conv_id", "turn", "nth", "p.level", "p.body", _normal(F.col("p.body")).alias("normal")).filter(
+        _long(F.col("normal"))).select("conv_id", "turn", "nth", "level", "body", F.sha2("normal", 256).alias("hash"))
+    quotes = stage(rows.filter("level > 0").select("conv_id", "turn", "nth", "level", "hash", _pieces(F.col("body")).alias("pieces"))
+                   .distinct().withColumn("q", F.monotonically_increasing_id()), "chat-quotes")
     wanted = quotes.select("hash").distinct()
     originals = stage(rows.filter("level = 0 and conv_id is not null and turn is not null").join(wanted, "hash", "left_semi")
                       .groupBy("conv_id", "hash").agg(F.min("turn").alias("o_turn")), "chat-originals")
@@ -108,8 +156,12 @@ def link(messages: DataFrame) -> DataFrame:
                          & (F.col("o_turn") < F.col("turn")), "left")
              .join(first, "hash", "left"))
     far = _elsewhere()
-    found = found.select("conv_id", "turn", "nth", "level", F.coalesce(
-        F.when(F.col("o_turn").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("o_turn").alias("turn"))), far).alias("to"))
+    found = stage(found.select("conv_id", "turn", "nth", "level", "q", "pieces", F.coalesce(
+        F.when(F.col("o_turn").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("o_turn").alias("turn"))), far).alias("to")),
+        "chat-found")
+    loose = found.filter("to is null")
+    if loose.take(1):
+        found = found.join(_link_pieces(loose, rows), "q", "left").withColumn("to", F.coalesce("to", "part"))
     picked = F.min(F.when(F.col("to").isNotNull(), F.struct("level", "nth", "to")))
     return found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"), picked.alias("pick")).select(
