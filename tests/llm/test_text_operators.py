@@ -126,6 +126,22 @@ def test_unit_dedup_texts(docs, rows, empty):
     assert linededup.deduplicate_units(empty).count() == 0
 
 
+def test_unit_dedup_runs_of_short_units(spark):
+    passage = "This is the first long sentence here. Oh yes. No! And here the second long sentence stands."
+    menu = "Home\nAbout us\nContact\nSite map"
+    chinese = "今天天气很好我们一起去公园散步吧。"
+    rows = [(0, f"Zero goes before it all.\n{passage}\nYes. No. Why? Go on."), (1, f"{passage} Oh yes."),
+            (2, menu), (3, f"{menu}\nA long sentence that nobody else has. Yes. No. Why? Go on."),
+            (4, chinese), (5, f"前面。{chinese}"), (6, "Oh yes. No! And that is all that I say.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.deduplicate_units(df).collect()}
+    assert got[1].text.split() == ["Oh", "yes."]                         # short, at the end, alone
+    assert got[3].text.strip() == "A long sentence that nobody else has."
+    assert got[5].text == "前面。" and got[6].text == rows[6][1] and got[0].text == rows[0][1]
+    spans = [(s.start, s.end) for s in got[1].removed]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and len(spans) == 3
+
+
 # ------------------------------------------------------------ licences
 
 def test_license_scan(spark, empty):
