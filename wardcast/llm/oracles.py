@@ -143,6 +143,41 @@ SELECT doc_id, path, coalesce(own.license, fl.license) AS license,
 FROM d LEFT JOIN own USING (rid) LEFT JOIN fl USING (dir)"""
 
 
+def _vector_codes() -> str:
+    """Four rounds over the pairs of parts and entries, all of them compared."""
+    def nearest(book):
+        return (f"SELECT rid, p, min(struct_pack(dist := dist, e := e)) AS m FROM (SELECT rid, x.p, e, "
+                f"list_sum(list_transform(list_zip(x.x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist "
+                f"FROM part x JOIN {book} b ON b.p = x.p) GROUP BY rid, p")
+
+    rounds = "".join(f"""near{r} AS MATERIALIZED ({nearest(f'book{r}')}),
+mean{r} AS (
+  SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY pos) AS c FROM (
+    SELECT p, m.e AS e, pos, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM (
+      SELECT n.p, n.m, unnest(x.x) AS v, generate_subscripts(x.x, 1) AS pos
+      FROM near{r} n JOIN part x ON x.rid = n.rid AND x.p = n.p) GROUP BY ALL) GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e),
+""" for r in range(4))
+    return f"""WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid,
+         list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+part AS MATERIALIZED (
+  SELECT rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM part WHERE rid <= 256),
+{rounds}last AS MATERIALIZED ({nearest('book4')}),
+coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, CAST(sum(m.dist) AS BIGINT) AS error
+  FROM last GROUP BY rid),
+digest AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, pos)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM book4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), digest"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {"op4_license_scans": _licenses(), "op5_decontamination": _decontamination(),
-            "op8_quality_rules": _quality()}
+            "op8_quality_rules": _quality(), "op12_vector_codes": _vector_codes()}

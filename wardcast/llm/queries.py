@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idstore, langid, licenses, linededup, ngramjoin, quality, secrets
+from . import (bpe, chat, decontam, idstore, langid, licenses, linededup, ngramjoin, quality, secrets, tokalign,
+               tokencount, vectorcodes)
 from .common import read_documents, sha256_utf8, shared_path
 
 
@@ -80,7 +81,23 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.align(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"),
+                          tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(read_documents(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(vectorcodes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
         op1_language_id, op2_unit_dedup, op3_secret_scans, op4_license_scans, op5_decontamination, op6_ngram_join,
-        op7_chat_formatting, op8_quality_rules, op9_bpe, op10_id_store)}
+        op7_chat_formatting, op8_quality_rules, op9_bpe, op10_id_store, op11_token_alignment,
+        op12_vector_codes, op13_token_counts)}
