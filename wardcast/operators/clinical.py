@@ -20,7 +20,8 @@ from wardcast.functions.banding import band_sql, total_with_missing_as_zero
 from wardcast.functions.codes import (CV_CODES, CV_DRUGS, HEIGHT_WEIGHT_CODES,
                                       LB_TO_KG, MV_CODES, MV_DRUGS,
                                       MV_REWRITTEN, hw_itemids, weight_itemids)
-from wardcast.operators.intervals import point_in_interval_left, window_join
+from wardcast.operators.interval_index import covering_counts
+from wardcast.operators.intervals import window_join
 
 def _days(n: int) -> Column:
     return F.make_dt_interval(days=F.lit(n))
@@ -166,11 +167,11 @@ def pafi(bloodgas: DataFrame, ventdurations: DataFrame) -> DataFrame:
     """Lowest PaO2/FiO2 per stay while not ventilated and while ventilated
     (a gas is 'ventilated' when it lies in any closed ventilation episode)."""
     bg = bloodgas.select("icustay_id", "charttime", "PaO2FiO2")
-    flagged = point_in_interval_left(bg, ventdurations, "icustay_id", "charttime",
-                                     "starttime", "endtime", flag="IsVent")
-    return flagged.groupBy("icustay_id").agg(
-        F.min(F.when(F.col("IsVent") == 0, F.col("PaO2FiO2"))).alias("PaO2FiO2_novent_min"),
-        F.min(F.when(F.col("IsVent") == 1, F.col("PaO2FiO2"))).alias("PaO2FiO2_vent_min"))
+    # a minimum does not mind how many episodes hold a gas: one row per gas is enough
+    counted = covering_counts(bg, ventdurations, "icustay_id", "charttime", "starttime", "endtime", "n_vent")
+    return counted.groupBy("icustay_id").agg(
+        F.min(F.when(F.col("n_vent") == 0, F.col("PaO2FiO2"))).alias("PaO2FiO2_novent_min"),
+        F.min(F.when(F.col("n_vent") > 0, F.col("PaO2FiO2"))).alias("PaO2FiO2_vent_min"))
 
 
 SCORE_INPUTS = ["MeanBP_Min", "rate_norepinephrine", "rate_epinephrine",

@@ -9,9 +9,8 @@ sort-merge (or broadcast hash) join.  Two hazards at scale are handled here:
   deterministic salt spreads it further (the small side is replicated
   ``salt`` times, the large side picks a bucket from a hash of its row, which
   is stable under task retries).  AQE skew-join handling stays on as well.
-* point-in-interval with overlapping intervals multiplies rows; bucketing by
-  day keeps the candidate pairs to intervals overlapping that day, never all
-  pairs of a key.
+* intervals of any length, and points in many overlapping intervals, go
+  through the hierarchical index of ``interval_index``.
 
 All helpers are exact: the residual predicate is always applied, and every
 (event, window) pair can meet in exactly one day bucket.
@@ -22,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcast.operators.interval_index import covering_counts
+
 _BUCKET = "_day"
 _SALT = "_salt"
 
@@ -67,17 +68,10 @@ def point_in_interval_left(points: DataFrame, intervals: DataFrame, key: str,
     that contains ``ts``; adds ``flag`` = 1 when matched else 0.
 
     Rows multiply by the number of overlapping intervals, exactly as the SQL
-    left join does; callers aggregate with min/max (duplicate-insensitive).
+    left join does.  The intervals are counted through the hierarchical index,
+    so neither long nor many overlapping episodes cost candidates; a caller to
+    whom repeats do not matter takes ``covering_counts`` and its one row a point.
     """
-    # an interval meets the days that have points of its key, and no others:
-    # an episode that is still open (end far in the future) costs no more
-    days = points.select(F.col(key).alias("_k"), F.to_date(F.col(ts)).alias(_BUCKET)).filter(
-        F.col("_k").isNotNull() & F.col(_BUCKET).isNotNull()).distinct()
-    iv = (intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-          .join(days, "_k").filter((F.col(_BUCKET) >= F.to_date("_s")) & (F.col(_BUCKET) <= F.to_date("_e"))))
-    p = points.select("*", F.to_date(F.col(ts)).alias(_BUCKET))
-    cond = ((p[key] == iv["_k"]) & (p[_BUCKET] == iv[_BUCKET])
-            & (p[ts] >= iv["_s"]) & (p[ts] <= iv["_e"]))
-    j = p.join(iv, cond, "left")
-    return j.select(*[p[c] for c in points.columns],
-                    F.when(iv["_k"].isNotNull(), 1).otherwise(0).alias(flag))
+    n = covering_counts(points, intervals, key, ts, start, end, "_n")
+    hit = F.when(F.col("_n") > 0, 1).otherwise(0)
+    return n.select(*points.columns, F.explode(F.array_repeat(hit, F.greatest("_n", F.lit(1)).cast("int"))).alias(flag))

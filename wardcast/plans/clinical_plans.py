@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from wardcast.operators import clinical as C
+from wardcast.operators.interval_index import covering_counts
 from wardcast.plans.common import rounded
 from wardcast.sources import fixtures as X
 
@@ -55,6 +56,12 @@ def pafi_vent(spark, sf):
                    ["PaO2FiO2_novent_min", "PaO2FiO2_vent_min"])
 
 
+def vent_overlap(spark, sf):
+    """How many ventilation episodes of its stay hold each blood gas."""
+    return rounded(covering_counts(X.bloodgasfirstdayarterial(spark, sf), X.ventdurations(spark, sf), "icustay_id",
+                                   "charttime", "starttime", "endtime", "n_vent"), ["PaO2FiO2"])
+
+
 def _components(spark, sf):
     inp = X.clinical_inputs(spark, sf)
     st, salt = inp["icustays"], _salt(spark)
@@ -100,6 +107,7 @@ QUERIES = {
     "vaso_cv": vaso_cv,
     "vaso_mv": vaso_mv,
     "pafi_vent": pafi_vent,
+    "vent_overlap": vent_overlap,
     "sofa_components": sofa_components,
     "sofa_scores": sofa_scores,
     "sofa": sofa,

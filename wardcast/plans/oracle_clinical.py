@@ -270,3 +270,9 @@ SELECT ie.subject_id, ie.hadm_id, ie.icustay_id,
 FROM icustays ie LEFT JOIN bands s ON ie.icustay_id = s.icustay_id
 ORDER BY ie.icustay_id""",
 }
+
+ORACLE["vent_overlap"] = _with(SOFA_CTES) + """
+SELECT bg.icustay_id, bg.charttime, round(bg.PaO2FiO2, 6) AS PaO2FiO2,
+       (SELECT count(*) FROM ventdurations v WHERE v.icustay_id = bg.icustay_id
+          AND bg.charttime BETWEEN v.starttime AND v.endtime) AS n_vent
+FROM bloodgasfirstdayarterial bg"""
