@@ -16,7 +16,6 @@ from wardcast.operators import forecast as FC
 from wardcast.operators import regress as R
 from wardcast.operators import series as S
 from wardcast.operators.intervals import point_in_interval_left
-from wardcast.sources.series_inputs import complete_rows
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -80,12 +79,21 @@ def test_large_degrees_of_freedom_converge():
 def test_complete_periods_come_from_the_data(spark):
     days = [(dt.datetime(2004, 1, 1) + dt.timedelta(days=d), 1.0) for d in range(365 + 366 + 40)]
     df = spark.createDataFrame(days, "ts timestamp_ntz, v double")
-    last = complete_rows(df, "ts", "month").agg(F.max("ts")).first()[0]
-    assert last == dt.datetime(2006, 1, 31)          # 2006-02-09 is mid-month
+    def kept(rows, unit, last="drop"):
+        return S.build_series(rows, [], "ts", {"y": F.sum("v")}, unit, last=last)
+
+    def last_period(series):
+        return series.agg(F.max("period")).first()[0]
+
+    assert last_period(kept(df, "month")) == dt.date(2006, 1, 1)          # 2006-02-09 is mid-month
     whole = df.filter(F.col("ts") < F.lit("2005-07-01").cast("timestamp_ntz"))
-    assert complete_rows(whole, "ts", "month").count() == whole.count()
-    assert complete_rows(whole, "ts", "year").agg(F.max("ts")).first()[0] == dt.datetime(2004, 12, 31)
-    assert complete_rows(df.limit(0), "ts", "month").count() == 0
+    assert kept(whole, "month").agg(F.sum("y")).first()[0] == whole.count()
+    assert last_period(kept(whole, "year")) == dt.date(2004, 1, 1)
+    assert kept(df.limit(0), "month").count() == 0
+    flags = {r.period: r.is_complete for r in kept(df, "month", "flag").collect()}
+    assert len(flags) == 26 and [p for p, f in flags.items() if not f] == [dt.date(2006, 2, 1)]
+    with pytest.raises(ValueError, match="no last day"):
+        kept(df, "hour")
 
 
 def test_weekly_seasons_keep_every_week(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import add_periods, easter_sunday, period_start
+from wardcast.operators.blocks import with_lags
 
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
@@ -124,19 +125,13 @@ def distributed_lags(series: DataFrame, keys: list[str], x: str, m: int,
     """x lagged 1..m periods (R22/W4), or with ``cumulative`` the trailing
     sums over the previous 1..m periods (W6).  Missing history -> NULL.
 
-    Built as one self-join on (keys, t) with all shifts exploded, then a
-    pivot on k - no window over a whole series."""
-    shifted = (series.select(*keys, "t", F.col(x).alias("_x"))
-                     .withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(m))))
-                     .withColumn("t", (F.col("t") + F.col("k")).cast("int")))
-    wide = shifted.groupBy(*keys, "t").pivot("k", list(range(1, m + 1))).agg(F.first("_x"))
-    out = series.join(wide, [*keys, "t"], "left")
+    Blocks with halos: no window over a whole series, no self-join."""
+    out = with_lags(series, keys, list(range(1, m + 1)), F.col(x))
     if not cumulative:
-        return out.select(*series.columns, *[F.col(str(k)).alias(f"{x}_lag{k}")
-                                             for k in range(1, m + 1)])
+        return out.select(*series.columns, *[F.col(f"_lag{k}").alias(f"{x}_lag{k}") for k in range(1, m + 1)])
     cols = []
     for k in range(1, m + 1):
-        parts = [F.col(str(i)) for i in range(1, k + 1)]
+        parts = [F.col(f"_lag{i}") for i in range(1, k + 1)]
         total = parts[0]
         for p in parts[1:]:
             total = total + p

@@ -7,9 +7,9 @@ Conventions: a series frame has the key columns, ``period`` (period start),
 
 Scale notes: raw rows are reduced to periods by a partial aggregate (hot keys
 combine map-side); the calendar spine holds one row per period, so its size
-is set by the calendar, not by the data.  Lags and autocorrelations use an
-equi self-join on ``(keys, t)`` instead of a window over a whole series, so a
-single long series is still spread over many tasks.
+is set by the calendar, not by the data.  Lags and autocorrelations run over
+blocks of positions with halos (``blocks``) instead of a window over a whole
+series, so a single long series is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.functions.calendar import (add_periods, cycle_of, period_start,
+from wardcast.functions.calendar import (DATE_UNITS, add_periods, cycle_of, period_start,
                                          season_of, step)
+from wardcast.operators.blocks import with_lags
+from wardcast.operators.quantiles import quantiles, sketch_agg
 from wardcast.session import stage_table
 
 SERIES_COLS = ("period", "t", "season", "cycle")
@@ -36,17 +38,34 @@ def spine(bounds: DataFrame, keys: list[str], unit: str,
 
 
 def build_series(df: DataFrame, keys: list[str], ts: str, values: dict[str, Column],
-                 unit: str, start=None, end=None, fill=None) -> DataFrame:
+                 unit: str, start=None, end=None, fill=None, last: str = "keep") -> DataFrame:
     """Aggregate raw rows to a regular series per key.
 
     ``values`` maps output names to aggregate expressions.  Periods without
     rows are kept (values NULL, or ``fill``) so lags and ``t`` stay aligned
     to the calendar.  ``start``/``end`` (period starts, inclusive) override
     the per-key observed range.
+
+    ``last``: what becomes of a last period that the data do not cover to its
+    end (no row on its last day): "keep" it, "drop" it, or "flag" every period
+    in a column ``is_complete``.  The bound is taken from the aggregated rows,
+    which are staged for it: the raw rows are read once.
     """
+    if last not in ("keep", "drop", "flag"):
+        raise ValueError(last)
+    if last != "keep" and unit not in DATE_UNITS:
+        raise ValueError(f"periods of unit {unit} have no last day")
     per = period_start(F.col(ts), unit)
+    seen = [] if last == "keep" else [F.max(F.to_date(F.col(ts))).alias("_seen")]
     agg = df.groupBy(*keys, per.alias("period")).agg(
-        *[e.alias(n) for n, e in values.items()])
+        *[e.alias(n) for n, e in values.items()], *seen)
+    if seen:
+        agg = stage_table(agg, "periods")
+        # the period that holds the day after the last one is not complete
+        cut = agg.agg(period_start(F.date_add(F.max("_seen"), 1), unit)).scalar()
+        if last == "drop":
+            agg = agg.filter(F.col("period") < cut)
+        agg = agg.drop("_seen")
     if start is not None:
         agg = agg.filter(F.col("period") >= F.lit(start).cast(agg.schema["period"].dataType))
     if end is not None:
@@ -60,9 +79,10 @@ def build_series(df: DataFrame, keys: list[str], ts: str, values: dict[str, Colu
     out = sp.join(agg, [*keys, "period"], "left")
     if fill is not None:
         out = out.fillna({n: fill for n in values})
+    flag = [(F.col("period") < cut).alias("is_complete")] if last == "flag" else []
     return out.select(*keys, "period", "t",
                       season_of(F.col("period"), unit).alias("season"),
-                      cycle_of(F.col("period"), unit).alias("cycle"), *values.keys())
+                      cycle_of(F.col("period"), unit).alias("cycle"), *values.keys(), *flag)
 
 
 def time_window(series: DataFrame, keys: list[str], start=None, end=None,
@@ -126,15 +146,17 @@ def lagged(series: DataFrame, keys: list[str], value: str, lags: list[int],
            out: str = "y_lag") -> DataFrame:
     """Lag pairs (T8/J9/W4): one row per (series, t, k) with y_t and y_{t-k}.
 
-    Equi self-join on (keys, t) against the series shifted by k; every t of
-    every lag is a separate row, so work spreads over t as well as keys.
+    Blocks with halos: a row is shuffled once (twice near a block's end),
+    whatever the number of lags, and multiplies only afterwards.
     """
     if "k" in keys or "t" in keys:
         raise ValueError("key columns named 'k' or 't' collide with the lag / time columns")
-    shifted = (series.select(*keys, "t", F.col(value).alias(out))
-                     .withColumn("k", F.explode(F.array(*[F.lit(k) for k in lags])))
-                     .withColumn("t", (F.col("t") + F.col("k")).cast("int")))
-    return series.join(shifted, [*keys, "t"], "inner")
+    rest = [c for c in series.columns if c not in (*keys, "t")]
+    # a struct tells a missing row (NULL) from a row with a missing value
+    wide = with_lags(series, keys, lags, F.struct(F.col(value).alias(out)))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_lag{k}").alias("row")) for k in lags]))
+    return (wide.select(*keys, "t", *rest, pairs.alias("_p")).filter(F.col("_p.row").isNotNull())
+                .select(*keys, "t", *rest, F.col(f"_p.row.{out}").alias(out), F.col("_p.k").alias("k")))
 
 
 def acf(series: DataFrame, keys: list[str], value: str, max_lag: int) -> DataFrame:
@@ -144,25 +166,28 @@ def acf(series: DataFrame, keys: list[str], value: str, max_lag: int) -> DataFra
 
     with the full-sample mean and denominator (not corr(y, lag y)).
     Also returns n (observations) for the +-2/sqrt(n) bound.
+
+    One pass: blocks with halos give every y_t its earlier values, and all sums
+    are mergeable moments (centred about their own means, then moved to the
+    series mean), so neither an exploded self-join nor a pass for the mean is
+    needed, and one long series is summed by many tasks.
     """
     if set(keys) & {"k", "t", "n", "r"}:
         raise ValueError("key columns named k, t, n or r collide with the ACF output")
-    from wardcast.operators.regress import attach
-    # the input plan runs once; a long series meets its mean without one task
-    obs = stage_table(series.filter(F.col(value).isNotNull()).select(*keys, "t", value), "acf")
-    stats = stage_table(obs.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("n")), "acf-stats")
-    dev = attach(obs, stats, keys).select(*keys, "t", "n",
-                                          (F.col(value) - F.col("_mean")).alias("_e"))
-    den = dev.groupBy(*keys).agg(F.sum(F.col("_e") * F.col("_e")).alias("_den"))
-    pairs = lagged(dev.select(*keys, "t", "_e"), keys, "_e", list(range(1, max_lag + 1)),
-                   out="_e_lag")
-    num = pairs.groupBy(*keys, "k").agg(F.sum(F.col("_e") * F.col("_e_lag")).alias("_num"))
-    ks = stats.select(*keys, "n").withColumn(
-        "k", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
-    return (ks.join(num, [*keys, "k"], "left").join(den, keys)
-              .select(*keys, F.col("k").cast("int").alias("k"),
-                      F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)), F.col("_den")).alias("r"),
-                      F.col("n").cast("bigint").alias("n")))
+    lags = list(range(1, max_lag + 1))
+    y = F.col("_y")
+    obs = series.filter(F.col(value).isNotNull()).select(*keys, "t", F.col(value).cast("double").alias("_y"))
+    aggs = [F.count("*").alias("n"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_var")]
+    for k in lags:
+        z = F.col(f"_lag{k}")
+        aggs += [F.count(z).alias(f"_m{k}"), F.covar_pop(y, z).alias(f"_c{k}"),
+                 F.avg(F.when(z.isNotNull(), y)).alias(f"_a{k}"), F.avg(z).alias(f"_b{k}")]
+    g = with_lags(obs, keys, lags, y).groupBy(*keys).agg(*aggs)
+    # sum of (y - mean)(z - mean) over the pairs, from their own centred moment
+    num = [F.struct(F.lit(k).alias("k"), F.coalesce(F.col(f"_m{k}") * (F.col(f"_c{k}") + (
+        F.col(f"_a{k}") - F.col("_mean")) * (F.col(f"_b{k}") - F.col("_mean"))), F.lit(0.0)).alias("s")) for k in lags]
+    return g.select(*keys, "n", "_var", F.explode(F.array(*num)).alias("_p")).select(
+        *keys, F.col("_p.k").alias("k"), F.try_divide(F.col("_p.s"), F.col("n") * F.col("_var")).alias("r"), "n")
 
 
 def acf_bounds(acf_df: DataFrame) -> DataFrame:
@@ -235,12 +260,14 @@ def pair_scatter(df: DataFrame, ids: list[str], variables: list[str]) -> DataFra
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram per key between its min and max (A9): bin
     1..bins, [lo, hi), the last bin closed; exact counts, empty bins kept."""
-    stats = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    from wardcast.operators.regress import attach
+    stats = stage_table(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "bounds")
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width) + 1, F.lit(bins))).cast("int")
-    counts = (df.filter(F.col(value).isNotNull()).join(stats, keys)
-                .groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n")))
+    # a key with many rows meets its bounds in many tasks, and is counted partially
+    counts = (attach(df.filter(F.col(value).isNotNull()).select(*keys, value), stats, keys)
+              .groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n")))
     grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     return (grid.join(counts, [*keys, "bin"], "left")
                 .select(*keys, F.col("bin").cast("int"),
@@ -253,29 +280,33 @@ def density(df: DataFrame, keys: list[str], value: str, grid: int = 32) -> DataF
     """Gaussian kernel density per key on an even grid over [min, max] (A10).
 
     Bandwidth: 0.9 * min(sd, IQR/1.34) * n^(-1/5) (falls back to sd when the
-    IQR is 0).  Each observation meets only the ``grid`` points of its own
-    key, so work is n * grid, never quadratic in n.
+    IQR is 0); the quartiles come from a mergeable sketch, so no key's distinct
+    values are held together.  Each observation meets only the ``grid`` points
+    of its own key, so work is n * grid, never quadratic in n, and a key with
+    many rows is spread over many tasks and summed partially.
     """
     if grid < 2:
         raise ValueError("grid must have at least 2 points")
+    from wardcast.operators.regress import attach
     obs = df.filter(F.col(value).isNotNull())
     st = obs.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.stddev_samp(value).alias("_sd"), F.count("*").alias("_n"),
-        F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+        F.stddev_samp(value).alias("_sd"), F.count("*").alias("_rows"),
+        sketch_agg(F.col(value)).alias("_sk"))
+    st = quantiles(st, "_sk", {"_q1": 0.25, "_q3": 0.75}).drop("_sk")
     iqr = (F.col("_q3") - F.col("_q1")) / 1.34
     spread = F.when(iqr > 0, F.least(F.col("_sd"), iqr)).otherwise(F.col("_sd"))
-    st = st.withColumn("_h", 0.9 * spread * F.pow(F.col("_n").cast("double"), -0.2))
-    pts = st.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("g") / (grid - 1))
+    st = st.withColumn("_h", 0.9 * spread * F.pow(F.col("_rows").cast("double"), -0.2))
+    st = stage_table(st.select(*keys, "_lo", "_hi", "_h", F.col("_rows").alias("_n")), "bandwidths")
+    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("g") / (grid - 1)
     # a constant series has zero bandwidth: density undefined (NULL), not an error
-    z = F.try_divide(F.col("x") - F.col(value), F.col("_h"))
-    j = pts.join(obs.select(*keys, value), keys)
-    return (j.groupBy(*keys, "g", "x", "_h", "_n")
-             .agg(F.sum(F.exp(-0.5 * z * z)).alias("_s"))
-             .select(*keys, F.col("g").cast("int").alias("g"), "x",
-                     F.try_divide(F.col("_s"), F.col("_n") * F.col("_h")
-                                  * F.lit(math.sqrt(2 * math.pi))).alias("density")))
+    z = F.try_divide(x - F.col("_v"), F.col("_h"))
+    j = attach(obs.select(*keys, F.col(value).alias("_v")), st, keys).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
+    sums = j.groupBy(*keys, "g").agg(F.sum(F.exp(-0.5 * z * z)).alias("_s"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
+                                     F.first("_h").alias("_h"), F.first("_n").alias("_n"))
+    return sums.select(*keys, F.col("g").cast("int").alias("g"), x.alias("x"),
+                       F.try_divide(F.col("_s"), F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))).alias("density"))
 
 
 def from_values(spark, values: list[float], start: str, unit: str,

@@ -189,3 +189,20 @@ ORACLE["seasonal_plot_weekly"] = f"""WITH wk AS (
 SELECT series_id, make_date(iso, 1, 1) AS cycle,
   {", ".join(f"round(max(CASE WHEN w = {s} THEN y END), 2) AS s{s:02d}" for s in range(1, 54))}
 FROM wk GROUP BY series_id, iso"""
+
+ORACLE["monthly_series_flagged"] = f"""WITH {_series("ms", "orders", "o_orderpriority", "o_orderdate", {"y": "sum(o_totalprice)"}, "month", "true")}
+SELECT series_id, period, t, season, cycle, round(y, 2) AS y,
+       period < (SELECT date_trunc('month', CAST(max(o_orderdate) AS DATE) + INTERVAL 1 DAY) FROM orders) AS is_complete
+FROM ms"""
+
+# the sketch's quartiles are checked by their true ranks; the ends are exact
+ORACLE["price_quartiles"] = """SELECT l_returnflag AS series_id, count(*) AS n,
+  round(min(l_extendedprice), 2) AS lowest, round(max(l_extendedprice), 2) AS highest,
+  true AS q1_near, true AS median_near, true AS q3_near
+FROM lineitem GROUP BY 1"""
+
+ORACLE["discount_quartiles"] = f"""WITH {MULTI}
+SELECT series_id, count(avg_disc) AS n, round(min(avg_disc), 9) AS lowest, round(quantile_cont(avg_disc, 0.25), 9) AS q1,
+  round(quantile_cont(avg_disc, 0.5), 9) AS median, round(quantile_cont(avg_disc, 0.75), 9) AS q3,
+  round(max(avg_disc), 9) AS highest
+FROM li GROUP BY series_id"""

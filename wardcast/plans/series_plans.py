@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardcast.operators import quantiles as Q
 from wardcast.operators import series as S
 from wardcast.plans.common import rounded
+from wardcast.session import stage_table
 from wardcast.sources import series_inputs as I
+from wardcast.sources.tables import read_table
 
 K = ["series_id"]
 WINDOW_START = "1997-01-01"
@@ -105,6 +108,32 @@ def acf_signature(spark, sf):
     return rounded(sig, ["r1", "rm", "share_inside"], 6)
 
 
+def monthly_series_flagged(spark, sf):
+    """Every month with its state: the last one may not be over."""
+    return rounded(I.orders_series(spark, sf, "month", last="flag"), ["y"], 2)
+
+
+def price_quartiles(spark, sf):
+    """Box-plot data of the line items' prices per return flag from one sketch
+    per month, merged (T10).  The quartiles' true ranks are counted in one
+    more pass and must lie within three times the stated error; lowest and
+    highest are exact."""
+    li = read_table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("series_id"), F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice")
+    monthly = stage_table(Q.sketches(li, [*K, "month"], "l_extendedprice"), "price-sketches")
+    box = stage_table(Q.five_numbers(Q.merge(monthly, K), K), "price-quartiles")
+    ranks = Q.true_ranks(li, K, "l_extendedprice", box, ["q1", "median", "q3"])
+    near = [((F.col(f"{c}_below") <= p + 3 * Q.rank_error()) & (F.col(f"{c}_upto") >= p - 3 * Q.rank_error())).alias(f"{c}_near")
+            for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    return rounded(box.join(ranks, K).select(*K, "n", "lowest", "highest", *near), ["lowest", "highest"], 2)
+
+
+def discount_quartiles(spark, sf):
+    """Quartiles of monthly average discounts: fewer values than a sketch keeps, so exact."""
+    s = Q.sketches(I.lineitem_monthly(spark, sf), K, "avg_disc")
+    return rounded(Q.five_numbers(s, K), ["lowest", "q1", "median", "q3", "highest"], 9)
+
+
 def series_head(spark, sf):
     return rounded(S.head(I.orders_series(spark, sf, "quarter"), K, 6), ["y"], 2)
 
@@ -129,4 +158,7 @@ QUERIES = {
     "acf_bounds": acf_bounds,
     "acf_signature": acf_signature,
     "series_head": series_head,
+    "monthly_series_flagged": monthly_series_flagged,
+    "price_quartiles": price_quartiles,
+    "discount_quartiles": discount_quartiles,
 }

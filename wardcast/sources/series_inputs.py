@@ -6,7 +6,7 @@ shared checkpoint folder, so every analysis that reuses a series (ACF, lags,
 fits, forecasts) reads the staged table instead of re-aggregating the source.
 
 * monthly / quarterly order value by order priority (seasonal m = 12 / 4),
-  an incomplete last period dropped (see complete_rows);
+  an incomplete last period dropped or flagged (see build_series);
 * multivariate monthly line-item series by return flag;
 * daily (m = 7) and hourly (m = 24) event series by event type.
 """
@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.functions.calendar import period_start
 from wardcast.operators.series import build_series
 from wardcast.session import stage_table
 from wardcast.sources.tables import read_table
@@ -24,48 +23,34 @@ from wardcast.sources.tables import read_table
 MULTI_VARS = ["sum_price", "sum_qty", "avg_disc", "avg_tax", "n_items"]
 
 
-def complete_rows(df: DataFrame, ts: str, unit: str, start: str | None = None) -> DataFrame:
-    """Rows from ``start`` to the end of the last complete period.
-
-    The last period is complete if the table has a row on its last day; the
-    bound comes from the data (one maximum) and, like ``start``, is a plain
-    filter on the timestamp that reaches the scan."""
-    after = period_start(F.date_add(F.to_date(F.max(ts)), 1), unit)
-    cut = df.agg(after.alias("cut")).first()["cut"]
-    kind = df.schema[ts].dataType
-    if cut is not None:
-        df = df.filter(F.col(ts) < F.lit(cut).cast(kind))
-    if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(start).cast(kind))
-    return df
+def _from(df: DataFrame, ts: str, start: str | None) -> DataFrame:
+    """Rows from ``start``: a plain filter that reaches the scan."""
+    return df if start is None else df.filter(F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
 
 
 def orders_series(spark: SparkSession, sf_dir: str, unit: str = "month",
-                  start: str | None = None) -> DataFrame:
+                  start: str | None = None, last: str = "drop") -> DataFrame:
     """Order value per priority; ``start`` (a period start) cuts at the scan,
-    and t counts from it."""
-    o = complete_rows(read_table(spark, sf_dir, "orders")
-                      .select(F.col("o_orderpriority").alias("series_id"), "o_orderdate", "o_totalprice"),
-                      "o_orderdate", unit, start)
-    return stage_table(build_series(o, ["series_id"], "o_orderdate",
-                                    {"y": F.sum("o_totalprice")}, unit, start=start), f"orders-{unit}")
+    and t counts from it.  ``last`` as in ``build_series``."""
+    o = _from(read_table(spark, sf_dir, "orders")
+              .select(F.col("o_orderpriority").alias("series_id"), "o_orderdate", "o_totalprice"), "o_orderdate", start)
+    return stage_table(build_series(o, ["series_id"], "o_orderdate", {"y": F.sum("o_totalprice")},
+                                    unit, start=start, last=last), f"orders-{unit}")
 
 
 def lineitem_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = complete_rows(read_table(spark, sf_dir, "lineitem")
-                       .select(F.col("l_returnflag").alias("series_id"), "l_shipdate", "l_extendedprice",
-                               "l_quantity", "l_discount", "l_tax"), "l_shipdate", "month")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("series_id"), "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     return stage_table(build_series(li, ["series_id"], "l_shipdate", {
         "sum_price": F.sum("l_extendedprice"), "sum_qty": F.sum("l_quantity"),
         "avg_disc": F.avg("l_discount"), "avg_tax": F.avg("l_tax"),
-        "n_items": F.count("*").cast("double")}, "month"), "lineitem-month")
+        "n_items": F.count("*").cast("double")}, "month", last="drop"), "lineitem-month")
 
 
 def lineitem_revenue_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = complete_rows(read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_extendedprice"),
-                       "l_shipdate", "month")
+    li = read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_extendedprice")
     return stage_table(build_series(li, [], "l_shipdate", {"x": F.sum("l_extendedprice")},
-                                    "month"), "revenue-month")
+                                    "month", last="drop"), "revenue-month")
 
 
 def events_series(spark: SparkSession, sf_dir: str, unit: str = "day",
