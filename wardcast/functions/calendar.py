@@ -52,6 +52,18 @@ def add_periods(period: Column, n: Column, unit: str) -> Column:
     return period + F.make_dt_interval(hours=n.cast("int"))
 
 
+def micros(c: Column, kind) -> Column:
+    """Microseconds on a line that keeps distances between wall-clock times
+    (TIMESTAMP_NTZ) or instants (TIMESTAMP), in any session time zone."""
+    if kind.typeName() == "timestamp":
+        return F.unix_micros(c)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    if kind.typeName() == "date":
+        return days * 86_400_000_000
+    seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000
+    return days * 86_400_000_000 + seconds + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def periods_between(a: Column, b: Column, unit: str) -> Column:
     """Whole periods from a to b (both period starts), as int."""
     if unit in ("year", "quarter", "month"):
@@ -88,21 +100,26 @@ def cycle_of(period: Column, unit: str) -> Column:
     return F.to_date(period)
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (and not copied into every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def easter_sunday(year: Column) -> Column:
     """Gregorian Easter Sunday of ``year`` (anonymous Gregorian computus)."""
-    y = year.cast("int")
-    a = F.pmod(y, F.lit(19))
-    b = F.floor(y / 100).cast("int")
-    c = F.pmod(y, F.lit(100))
-    d = F.floor(b / 4).cast("int")
-    e = F.pmod(b, F.lit(4))
-    f = F.floor((b + 8) / 25).cast("int")
-    g = F.floor((b - f + 1) / 3).cast("int")
-    h = F.pmod(19 * a + b - d - g + 15, F.lit(30))
-    i = F.floor(c / 4).cast("int")
-    k = F.pmod(c, F.lit(4))
-    ll = F.pmod(32 + 2 * e + 2 * i - h - k, F.lit(7))
-    m = F.floor((a + 11 * h + 22 * ll) / 451).cast("int")
-    month = F.floor((h + ll - 7 * m + 114) / 31).cast("int")
-    day = F.pmod(h + ll - 7 * m + 114, F.lit(31)) + 1
-    return F.make_date(y, month, day)
+    def div(x, n: int) -> Column:
+        return F.floor(x / n).cast("int")
+
+    def epact(y):
+        b = div(y, 100)
+        return F.pmod(19 * F.pmod(y, F.lit(19)) + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15, F.lit(30))
+
+    def weekday_shift(y, h):
+        c = F.pmod(y, F.lit(100))
+        return F.pmod(32 + 2 * F.pmod(div(y, 100), F.lit(4)) + 2 * div(c, 4) - h - F.pmod(c, F.lit(4)), F.lit(7))
+
+    def day(y, h, w):
+        late = div(F.pmod(y, F.lit(19)) + 11 * h + 22 * w, 451)
+        return once(h + w - 7 * late + 114, lambda n: F.make_date(y, div(n, 31), F.pmod(n, F.lit(31)) + 1))
+
+    return once(year.cast("int"), lambda y: once(epact(y), lambda h: once(weekday_shift(y, h), lambda w: day(y, h, w))))

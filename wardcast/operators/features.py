@@ -7,11 +7,13 @@ table whose size is set by the number of distinct periods, never by the data.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardcast.functions.calendar import add_periods, easter_sunday, period_start
+from wardcast.functions.calendar import add_periods, easter_sunday, micros, once, period_start, step
 from wardcast.operators.blocks import with_lags
 
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
@@ -64,6 +66,47 @@ def fourier(df: DataFrame, m: float, K: int, t: str = "t") -> DataFrame:
     return df.select("*", *cols)
 
 
+def fourier_frequencies(periods: dict[float, int]) -> list[tuple[str, str, Fraction]]:
+    """(period, j, frequency) of the harmonics j = 1..K of all ``periods``
+    {period: K}, without those that repeat an earlier one on whole t (R24, T2).
+
+    Periods may be fractions (365.25).  At whole t a frequency f cannot be told
+    from 1 - f, nor from f + 1: each is folded into [0, 1/2]; 0 is the
+    intercept.  Exact arithmetic decides what coincides."""
+    out, seen = [], {Fraction(0)}
+    for m, K in periods.items():
+        period = Fraction(str(m))
+        if K > period / 2:
+            raise ValueError(f"K must be <= m/2, not {K} for period {m}")
+        for j in range(1, K + 1):
+            f = (Fraction(j) / period) % 1
+            f = min(f, 1 - f)
+            if f not in seen:
+                seen.add(f)
+                out.append((str(m).replace(".", "_"), str(j), f))
+    return out
+
+
+def fourier_multi_names(periods: dict[float, int]) -> list[str]:
+    return [f"{part}_{m}_{j}" for m, j, f in fourier_frequencies(periods)
+            for part in (("sin", "cos") if f != Fraction(1, 2) else ("cos",))]
+
+
+def fourier_multi(df: DataFrame, periods: dict[float, int], t: str = "t") -> DataFrame:
+    """Joint Fourier basis of several periods at once, such as {7: 3, 365.25: 4}
+    for daily data: columns sin_{period}_{j}, cos_{period}_{j} that are
+    linearly independent on whole t.  The phase is taken from t modulo the
+    frequency's denominator, so late t lose no digits."""
+    cols = []
+    for m, j, f in fourier_frequencies(periods):
+        turn = F.pmod(F.col(t).cast("bigint") * F.lit(f.numerator), F.lit(f.denominator)) / F.lit(float(f.denominator))
+        ang = F.lit(2 * math.pi) * turn
+        if f != Fraction(1, 2):
+            cols.append(F.sin(ang).alias(f"sin_{m}_{j}"))
+        cols.append(F.cos(ang).alias(f"cos_{m}_{j}"))
+    return df.select("*", *cols)
+
+
 def event_dummy(df: DataFrame, events: DataFrame, on: list[str], name: str = "event") -> DataFrame:
     """1 on the periods listed in ``events`` (keys + period), else 0.
     ``events`` is small (one row per event); the join is on the full key."""
@@ -78,6 +121,122 @@ def spike_dummy(df: DataFrame, start, end, name: str = "spike") -> DataFrame:
     return df.withColumn(name, F.when(inside, 1.0).otherwise(0.0))
 
 
+def merged_spans(spans: DataFrame, keys: list[str], start: str, end: str, unit: str) -> DataFrame:
+    """(keys, period, lo, hi): half-open spans [start, end) cut at the periods
+    and merged within each where they overlap or touch.
+
+    Cutting comes first: a merge then looks at the spans of one key and one
+    period only, so a key with very many or very long spans is spread over its
+    periods.  Spans with a null or an end that is not after the start count for
+    nothing."""
+    fit = spans.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    kind = fit.schema["_s"].dataType
+    first = period_start(F.col("_s"), unit)
+    # an end on a period's start does not reach into that period
+    periods = F.sequence(first, period_start(F.col("_e") - F.make_dt_interval(secs=F.lit(0.000001)), unit), step(unit))
+    cut = fit.select("*", F.explode(periods).alias("period")).select(
+        *keys, "period", F.greatest("_s", F.col("period").cast(kind)).alias("lo"),
+        F.least("_e", add_periods(F.col("period"), F.lit(1), unit).cast(kind)).alias("hi"))
+    w = W.partitionBy(*keys, "period").orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0)
+    return (cut.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w))
+               .groupBy(*keys, "period", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run"))
+
+
+def event_shares(df: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, unit: str,
+                 name: str = "event_share") -> DataFrame:
+    """``df`` (keys, period, ...) with the share of each period that the
+    events of an interval table cover (R18, R19): 0 without any, 1 where they
+    cover it whole, overlapping events counted once.  A spike or a level shift
+    is the special case of one long span."""
+    cut, kind = merged_spans(spans, keys, start, end, unit), spans.schema[start].dataType
+    covered = cut.groupBy(*keys, "period").agg(
+        F.sum(micros(F.col("hi"), kind) - micros(F.col("lo"), kind)).alias("_covered"))
+    days = F.datediff(F.to_date(add_periods(F.col("period"), F.lit(1), unit)), F.to_date("period"))
+    whole = F.lit(3_600_000_000) if unit == "hour" else days * F.lit(86_400_000_000)
+    out = df.join(covered, [*keys, "period"], "left")
+    return out.select(*df.columns, (F.coalesce("_covered", F.lit(0)) / whole).alias(name))
+
+
+# ---- holiday calendars ---------------------------------------------------------
+
+HOLIDAY_SCHEMA = ("region string, name string, kind string, month int, day int, nth int, weekday int, "
+                  "easter_offset int, observed string, first_year int, last_year int")
+
+
+def holidays(rules: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(region, name, day): the holidays of a rule table from ``first_year`` to
+    ``last_year`` (R20), generated on the executors.
+
+    A rule (columns of ``HOLIDAY_SCHEMA``) is of one kind:
+
+    * ``fixed``: month and day (a 29 February exists in leap years only);
+    * ``nth``: the nth weekday (0 = Monday) of the month, from the end if
+      negative; a fifth that a month does not have is no holiday;
+    * ``easter``: days after Easter Sunday.
+
+    ``observed`` says what a Saturday or Sunday becomes: NULL or ``none`` stays,
+    ``nearest`` Friday or Monday, ``monday`` the next Monday, ``skip`` no
+    holiday.  Where two holidays of a region would be observed on one day, both
+    are listed; counting days takes them once.  first_year and last_year of a
+    rule bound it (NULL: open)."""
+    years = F.sequence(F.greatest(F.coalesce("first_year", F.lit(first_year)), F.lit(first_year)),
+                       F.least(F.coalesce("last_year", F.lit(last_year)), F.lit(last_year)))
+    some = F.when(F.coalesce("first_year", F.lit(first_year)) <= F.lit(last_year), years)
+    r = rules.filter((F.coalesce("last_year", F.lit(last_year)) >= first_year)
+                     & (F.coalesce("first_year", F.lit(first_year)) <= F.coalesce("last_year", F.lit(last_year)))
+                     ).select("*", F.explode(some).alias("yr"))
+    day = F.when(F.col("kind") == "easter", F.date_add(easter_sunday(F.col("yr")), F.coalesce("easter_offset", F.lit(0)))
+                 ).otherwise(once(F.make_date("yr", F.coalesce("month", F.lit(1)), F.lit(1)), _day_of_month))
+    return (r.select("region", "name", once(day, _observed).alias("day")).filter("day is not null"))
+
+
+def _day_of_month(month1: Column) -> Column:
+    """The day of a ``fixed`` or ``nth`` rule in the month that starts on
+    ``month1``; NULL if the month does not have it (counted on from its first
+    day, since a date that does not exist cannot be made)."""
+    fixed = F.date_add(month1, F.coalesce("day", F.lit(1)) - 1)
+    ahead = F.date_add(month1, F.pmod(F.col("weekday") - F.weekday(month1), F.lit(7)) + 7 * (F.col("nth") - 1))
+    last = F.last_day(month1)
+    back = F.date_sub(last, F.pmod(F.weekday(last) - F.col("weekday"), F.lit(7)) + 7 * (-F.col("nth") - 1))
+    nth = F.when(F.col("nth") > 0, ahead).when(F.col("nth") < 0, back)
+    found = F.when(F.col("kind") == "fixed", fixed).when(F.col("kind") == "nth", nth)
+    return F.when(F.month(found) == F.month(month1), found)
+
+
+def _observed(day: Column) -> Column:
+    """When a holiday is observed; NULL if it is not."""
+    wd, rule = F.weekday(day), F.col("observed")
+    return (F.when((rule == "skip") & (wd >= 5), F.lit(None).cast("date"))
+             .when((rule == "nearest") & (wd == 5), F.date_sub(day, 1))
+             .when((rule == "nearest") & (wd == 6), F.date_add(day, 1))
+             .when((rule == "monday") & (wd >= 5), F.date_add(day, 7 - wd))
+             .otherwise(day))
+
+
+def regional_trading_days(df: DataFrame, region: str, rules: DataFrame, unit: str = "month",
+                          name: str = "trading_days", holiday_name: str = "holidays") -> DataFrame:
+    """``df`` (``region``, period, ...) with the business days (Mon-Fri) of
+    each period that are no holiday of its region, and the number of weekdays
+    lost to holidays (R20).  The grid is one row per region, distinct period
+    and day: the calendar's size, not the data's."""
+    grid = df.select(F.col(region).alias("_region"), "period").distinct()
+    span = grid.agg(F.min(F.year("period")).alias("lo"), F.max(F.year("period")).alias("hi")).first()
+    if span.lo is None:
+        return df.select("*", F.lit(0).alias(name), F.lit(0).alias(holiday_name))
+    # a holiday may be observed in the year before or after its own
+    off = holidays(rules, span.lo - 1, span.hi + 1).select(F.col("region").alias("_region"), "day").distinct().withColumn("_off", F.lit(1))
+    end = F.date_sub(add_periods(F.col("period"), F.lit(1), unit), 1)
+    days = grid.select("*", F.explode(F.sequence("period", end)).alias("day")).filter(F.weekday("day") < 5)
+    n = days.join(off, ["_region", "day"], "left").groupBy("_region", F.col("period").alias("_period")).agg(
+        F.sum(F.when(F.col("_off").isNull(), 1).otherwise(0)).cast("int").alias("_work"),
+        F.count("_off").cast("int").alias("_lost"))
+    j = df.join(n, F.col(region).eqNullSafe(F.col("_region")) & (F.col("period") == F.col("_period")), "left")
+    return j.select(*df.columns, F.coalesce("_work", F.lit(0)).alias(name),
+                    F.coalesce("_lost", F.lit(0)).alias(holiday_name))
+
+
 def _days_of_period(periods: DataFrame, unit: str) -> DataFrame:
     """(period, day) for every calendar day of each distinct period."""
     last = F.date_sub(add_periods(F.col("period"), F.lit(1), unit), 1)

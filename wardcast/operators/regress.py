@@ -37,6 +37,7 @@ INTERCEPT = "(Intercept)"
 ALIAS_TOL = 1e-9      # a term is aliased below this share of its centred sum of squares
 CONST_TOL = 1e-24     # a column is constant below this share of its raw sum of squares
 BROADCAST_KEYS = 200_000   # coefficient rows that may be broadcast after counting them
+BROADCAST_BYTES = 32 << 20   # and their size in files
 KEY_SALT = 32         # parts a key is split into beyond that
 
 
@@ -64,14 +65,19 @@ def _quad_sql(xs: list[str], arr: str = "invc") -> str:
     return f"aggregate(zip_with({xv}, {ax}, (xo, yo) -> xo * yo), 0D, (so, vo) -> so + vo)"
 
 
+def _bytes(staged: DataFrame) -> int:
+    """Size of a staged table by its files, as the optimizer knows it."""
+    return int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def attach(obs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Join one staged row per key to many observations.  Few rows are
-    broadcast; more are joined over salted keys, so a key with a large share
+    """Join staged rows per key to many observations.  Rows that are few and
+    small are broadcast; others are joined over salted keys, so a key with a large share
     of the observations does not end in one task, and an aggregate by key
     that follows is partial."""
     if not keys:
         return obs.crossJoin(F.broadcast(rows))   # one row
-    if rows.count() <= BROADCAST_KEYS:
+    if rows.count() <= BROADCAST_KEYS and _bytes(rows) <= BROADCAST_BYTES:
         return obs.join(F.broadcast(rows), keys)
     part = F.pmod(F.xxhash64(*obs.columns), F.lit(KEY_SALT)).cast("int").alias("_part")
     many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALT - 1))).alias("_part"))
@@ -198,18 +204,21 @@ def _sse(total, beta, sxx, sxy):
 
 
 def _coef_rows(pdf: pd.DataFrame, keys: list[str], intercept: bool, subset=None) -> pd.DataFrame:
-    """Coefficient rows of a batch: betac/invc for the centred design, beta
-    and inv for the original one."""
+    """Coefficient rows of a batch of Gram rows."""
     n, mid, sxx, sxy = _stacks(pdf)
     beta, inv, rank = solve_batch(n, mid, sxx, sxy, subset)
     total = pdf["syy"].to_numpy(float) if intercept else pdf["yty"].to_numpy(float)
+    return coefficient_frame(pdf, keys, n, mid, beta, inv, rank, pdf["ymean"].to_numpy(float),
+                             pdf["syy"].to_numpy(float), _sse(total, beta, sxx, sxy), intercept)
+
+
+def coefficient_frame(pdf, keys, n, mid, beta, inv, rank, ymean, syy, sse, intercept) -> pd.DataFrame:
+    """betac/invc for the centred design, beta and inv for the original one."""
     out = pdf[keys].copy() if keys else pd.DataFrame(index=pdf.index)
     out["n"], out["rank"] = pdf["n"].to_numpy(), rank + int(intercept)
-    out["ymean"], out["syy"] = pdf["ymean"].to_numpy(float), pdf["syy"].to_numpy(float)
-    out["sse"] = _sse(total, beta, sxx, sxy)
+    out["ymean"], out["syy"], out["sse"] = ymean, syy, sse
     if intercept:
         m, p = beta.shape
-        ymean = pdf["ymean"].to_numpy(float)
         b0 = ymean - np.einsum("mi,mi->m", np.nan_to_num(beta), mid)
         cross = -np.einsum("mij,mj->mi", inv, mid)
         corner = 1.0 / n - np.einsum("mi,mi->m", cross, mid)
@@ -386,21 +395,41 @@ def residual_acf1(aug: DataFrame, keys: list[str], resid: str = "residual") -> D
         *keys, F.col("r").alias("resid_acf1"))
 
 
-def breusch_godfrey(fitm: OLSFit, order: int) -> DataFrame:
+def breusch_godfrey(fitm: OLSFit, order: int | None = None, m: int = 1) -> DataFrame:
     """Breusch-Godfrey LM test for residual autocorrelation up to ``order``
     (R9): regress e_t on X and e_{t-1..t-order} (missing lags = 0);
-    LM = n R^2 ~ chi2(order)."""
+    LM = n R^2 ~ chi2(order).
+
+    Without ``order`` every key takes its own: ``bg_order`` of its length for
+    data with ``m`` periods a season.  One Gram pass with as many lags as the
+    longest key needs serves all orders; each key is solved on its share."""
     from wardcast.functions.stats import chi2_sf_udf
     from wardcast.operators.features import distributed_lags
     keys = fitm.keys
+    if order is None:
+        longest = fitm.coef_rows.agg(F.max("n").alias("n")).first()["n"] or 0
+    most = order or bg_order(m, longest)
+    ship_package(fitm.data.sparkSession)
     aug = fitm.augment().select(*keys, "t", *fitm.xcols, F.col("residual").alias("_e"))
-    lagged = distributed_lags(aug, keys, "_e", order)
-    lag_cols = [f"_e_lag{k}" for k in range(1, order + 1)]
-    lagged = lagged.fillna({c: 0.0 for c in lag_cols})
-    aux = fit(lagged, keys, "_e", fitm.xcols + lag_cols, fitm.intercept).summary()
-    return aux.select(*keys, "n", F.lit(order).alias("order"),
-                      (F.col("n") * F.col("r2")).alias("lm"),
-                      chi2_sf_udf(F.col("n") * F.col("r2"), F.lit(float(order))).alias("p_value"))
+    lag_cols = [f"_e_lag{k}" for k in range(1, most + 1)]
+    lagged = distributed_lags(aug, keys, "_e", most).fillna({c: 0.0 for c in lag_cols})
+    g = gram(lagged, keys, "_e", fitm.xcols + lag_cols, fitm.intercept)
+    schema = T.StructType([g.schema[k] for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("order", T.IntegerType()), T.StructField("r2", T.DoubleType())])
+    x, with_mean, fixed = len(fitm.xcols), fitm.intercept, order
+
+    def run(batches):
+        for pdf in batches:
+            orders = pdf["n"].map(lambda n: fixed or bg_order(m, n))
+            for o, part in pdf.groupby(orders):
+                out = _coef_rows(part, keys, with_mean, range(x + o))
+                out["order"] = np.int32(o)
+                out["r2"] = 1 - out["sse"] / out["syy"].where(out["syy"] > 0)
+                yield out[schema.fieldNames()]
+
+    lm = F.col("n") * F.col("r2")
+    return g.mapInPandas(run, schema).select(*keys, "n", "order", lm.alias("lm"),
+                                             chi2_sf_udf(lm, F.col("order").cast("double")).alias("p_value"))
 
 
 def bg_order(m: int, n_obs: int) -> int:
@@ -448,11 +477,8 @@ def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> Dat
 
     models = stage_table(g.mapInPandas(run, schema), "subsets")
     X = _design_sql(xcols, True)
-    held = stage_table(models.groupBy(*keys).agg(F.collect_list(
-        F.struct("model", "mid", "betac", "invc")).alias("models")), "subsets-by-key")   # 2^k per key
-    d = complete_cases(df, y, xcols)
-    j = attach(d, held, keys).select(*keys, y, *xcols, F.explode("models").alias("_m"))
-    j = j.select(*keys, y, *xcols, "_m.model", "_m.mid", "_m.betac", "_m.invc")
+    d = complete_cases(df, y, xcols).select(*keys, y, *xcols)
+    j = attach(d, models.select(*keys, "model", "mid", "betac", "invc"), keys)
     hat = F.expr(_quad_sql(X))
     e = F.expr(f"`{y}` - ({_dot_sql(X)})")
     cv = j.groupBy(*keys, "model").agg(F.avg(F.pow(F.try_divide(e, 1 - hat), 2)).alias("cv"))

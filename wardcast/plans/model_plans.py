@@ -16,6 +16,8 @@ from wardcast.operators import features as X
 from wardcast.operators import forecast as FC
 from wardcast.operators import regress as R
 from wardcast.operators import series as S
+from wardcast.operators import tsqr
+from wardcast.operators.subsets import best_subsets as best
 from wardcast.plans.common import dec_rounded, sig_rounded
 from wardcast.session import stage_table
 from wardcast.sources import series_inputs as I
@@ -130,10 +132,8 @@ def resid_diagnostics(spark, sf):
 
 
 def breusch_godfrey(spark, sf):
-    """Order 2m, at most a fifth of the shortest series (one number is read)."""
-    m = model_a(spark, sf)
-    shortest = m.coef_rows.agg(F.min("n").alias("n")).first()["n"] or 0
-    return sig_rounded(R.breusch_godfrey(m, R.bg_order(4, shortest)), ["lm", "p_value"], 7)
+    """Order 2m, at most a fifth of the series: each key's own."""
+    return sig_rounded(R.breusch_godfrey(model_a(spark, sf), m=4), ["lm", "p_value"], 7)
 
 
 def resid_bundle(spark, sf):
@@ -144,8 +144,7 @@ def resid_bundle(spark, sf):
     r = S.acf(a, K, "residual", 8).select(*K, F.lit("acf").alias("part"), F.col("k").alias("idx"), F.col("r").alias("value"))
     h = S.histogram(a, K, "residual", 10).select(*K, F.lit("hist").alias("part"), F.col("bin").alias("idx"),
                                                 F.col("n").cast("double").alias("value"))
-    shortest = m.coef_rows.agg(F.min("n").alias("n")).first()["n"] or 0
-    bg = R.breusch_godfrey(m, R.bg_order(4, shortest)).select(*K, F.posexplode(F.array("lm", "p_value")).alias("idx", "value"))
+    bg = R.breusch_godfrey(m, m=4).select(*K, F.posexplode(F.array("lm", "p_value")).alias("idx", "value"))
     bg = bg.select(*K, F.lit("bg").alias("part"), "idx", "value")
     return sig_rounded(r.unionByName(h).unionByName(bg), ["value"], 7)
 
@@ -235,6 +234,34 @@ def all_subsets(spark, sf):
                                 "rank_aicc"), ["adj_r2", "cv", "aic", "aicc", "bic"], 7)
 
 
+def best_subsets(spark, sf):
+    """The four best of model B's subsets, by branch and bound."""
+    s = best(model_b_data(spark, sf), K, "d_price", B_X, top=4)
+    return sig_rounded(s.select(*K, "model", "k", "aicc", "rank_aicc"), ["aicc"], 7)
+
+
+def best_lag_subsets(spark, sf):
+    """The ten best of 2^15 models: changes of price on the three predictors and four lags of each."""
+    d = model_b_data(spark, sf)
+    for x in B_X:
+        d = X.distributed_lags(d, K, x, 4)
+    xs = B_X + [f"{x}_lag{k}" for x in B_X for k in range(1, 5)]
+    s = best(stage_table(d, "lagged-b"), K, "d_price", xs, top=10)
+    return sig_rounded(s.select(*K, "model", "k", "sse", "aicc", "rank_aicc"), ["sse", "aicc"], 6)
+
+
+def ols_polynomial(spark, sf):
+    """Monthly order value on raw powers of the calendar year (1995.0833, ...):
+    a design whose normal equations lose every digit, fitted by QR."""
+    year = F.year("period") + (F.month("period") - 1) / 12.0
+    d = I.orders_series(spark, sf, "month").select(*K, "y", year.alias("year"))
+    d = d.select("*", F.pow("year", F.lit(2.0)).alias("year2"), F.pow("year", F.lit(3.0)).alias("year3"))
+    m = tsqr.fit(d, K, "y", ["year", "year2", "year3"])
+    b = m.coef_rows.select(*K, *[F.col("beta")[i].alias(f"b{i}") for i in range(4)])
+    out = m.summary().select(*K, "n", "k", "r2", "sigma").join(b, K)
+    return sig_rounded(sig_rounded(out, ["r2", "sigma"], 6), [f"b{i}" for i in range(4)], 3)
+
+
 def stepwise(spark, sf):
     return sig_rounded(R.stepwise(model_b_data(spark, sf), K, "d_price", B_X, "backward"),
                        ["aicc"], 7)
@@ -348,6 +375,9 @@ QUERIES = {
     "ols_multi": ols_multi,
     "resid_vs_x": resid_vs_x,
     "all_subsets": all_subsets,
+    "best_subsets": best_subsets,
+    "best_lag_subsets": best_lag_subsets,
+    "ols_polynomial": ols_polynomial,
     "stepwise": stepwise,
     "stepwise_forward": stepwise_forward,
     "forecast_scenarios": forecast_scenarios,

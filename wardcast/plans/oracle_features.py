@@ -99,3 +99,61 @@ SELECT series_id, period, round(sum_price, 2) AS sum_price,
   CASE WHEN series_id = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS flag_R
 FROM li""",
 }
+
+_TURNS = [("7_1", "1 / 7.0", True), ("7_2", "2 / 7.0", True), ("7_3", "3 / 7.0", True),
+          ("365_25_1", "1 / 365.25", True), ("365_25_2", "2 / 365.25", True)]
+ORACLE["fourier_daily"] = f"""WITH d AS (
+  SELECT event_type AS series_id, CAST(ts AS DATE) AS day FROM events GROUP BY ALL),
+b AS (SELECT series_id, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
+g AS (SELECT series_id, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM b),
+n AS (SELECT series_id, period, CAST(period - lo + 1 AS INTEGER) AS t FROM g)
+SELECT series_id, period, t,
+  {", ".join(f"round({f}(2 * pi() * t * {w}), 9) AS {f}_{m}" for m, w, _ in _TURNS for f in ("sin", "cos"))}
+FROM n"""
+
+# islands over the whole time line first, days cut out of them afterwards
+ORACLE["event_shares"] = """WITH sp AS (
+  SELECT event_type AS series_id, ts AS s, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS e
+  FROM events WHERE value > 0),
+m AS (SELECT *, max(e) OVER (PARTITION BY series_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sp),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM m),
+isl AS (SELECT series_id, min(s) AS s, max(e) AS e FROM r GROUP BY series_id, run),
+d AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL),
+b AS (SELECT series_id, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
+g AS (SELECT series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM b),
+c AS (
+  SELECT g.series_id, g.period, sum(date_diff('microsecond', greatest(s, CAST(g.period AS TIMESTAMP)),
+                                       least(e, CAST(g.period + INTERVAL 1 DAY AS TIMESTAMP)))) AS us
+  FROM g JOIN isl ON isl.series_id = g.series_id AND s < g.period + INTERVAL 1 DAY AND e > g.period GROUP BY ALL)
+SELECT g.series_id, g.period, d.n, round(coalesce(us, 0) / 86400000000.0, 9) AS busy
+FROM g LEFT JOIN c ON c.series_id = g.series_id AND c.period = g.period
+LEFT JOIN d ON d.series_id = g.series_id AND d.day = g.period"""
+
+# holidays told from the dates themselves: a fourth Thursday is a Thursday from the 22nd to the 28th
+ORACLE["holiday_trading_days"] = """WITH y AS (
+  SELECT r_name AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS y
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  JOIN region ON r_regionkey = n_regionkey GROUP BY ALL),
+dates AS (SELECT CAST(unnest(generate_series(DATE '1993-12-25', DATE '2003-01-05', INTERVAL 1 DAY)) AS DATE) AS day),
+ms AS (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) AS period FROM dates),""" + \
+    EASTER.format(src="ms", unit="month") + """,
+nat AS (
+  SELECT *, month(day) AS m, day(day) AS d, isodow(day) AS w, year(day) AS y FROM dates),
+hol AS (
+  SELECT 'AFRICA' AS region, day AS observed FROM nat WHERE (m = 2 AND d = 29) OR (m = 12 AND d = 25 AND w <= 5)
+  UNION ALL
+  SELECT 'AMERICA', CASE w WHEN 6 THEN day - 1 WHEN 7 THEN day + 1 ELSE day END FROM nat
+  WHERE (m, d) IN ((1, 1), (7, 4), (12, 25))
+  UNION ALL SELECT 'AMERICA', day FROM nat WHERE (m = 5 AND w = 1 AND d >= 25) OR (m = 11 AND w = 4 AND d BETWEEN 22 AND 28)
+  UNION ALL SELECT 'ASIA', CASE w WHEN 6 THEN day + 2 WHEN 7 THEN day + 1 ELSE day END FROM nat WHERE m = 1 AND d = 1
+  UNION ALL SELECT 'ASIA', day FROM nat WHERE m = 10 AND d = 1 AND y BETWEEN 1997 AND 2000
+  UNION ALL SELECT 'EUROPE', day FROM nat WHERE (m, d) IN ((1, 1), (5, 1))
+  UNION ALL SELECT 'EUROPE', CAST(sunday - INTERVAL 2 DAY AS DATE) FROM es
+  UNION ALL SELECT 'EUROPE', CAST(sunday + INTERVAL 1 DAY AS DATE) FROM es
+  UNION ALL SELECT 'EUROPE', CASE w WHEN 6 THEN day + 2 WHEN 7 THEN day + 1 ELSE day END FROM nat WHERE m = 12 AND d IN (25, 26)),
+grid AS (
+  SELECT y.series_id, y.period, n.day, EXISTS (SELECT 1 FROM hol WHERE region = y.series_id AND observed = n.day) AS is_off
+  FROM y JOIN nat n ON date_trunc('month', n.day) = y.period WHERE n.w <= 5)
+SELECT y.series_id, y.period, round(any_value(y.y), 2) AS y, CAST(count(*) FILTER (WHERE NOT is_off) AS INTEGER) AS trading_days,
+  CAST(count(*) FILTER (WHERE is_off) AS INTEGER) AS holidays
+FROM y JOIN grid g ON g.series_id = y.series_id AND g.period = y.period GROUP BY y.series_id, y.period"""

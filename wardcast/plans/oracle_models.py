@@ -600,3 +600,32 @@ SELECT series_id, 'acf' AS part, CAST(k AS INTEGER) AS idx, {sg('r', 7)} AS valu
 UNION ALL SELECT series_id, 'hist', CAST(bin AS INTEGER), {sg('CAST(n AS DOUBLE)', 7)} FROM hs
 UNION ALL SELECT series_id, 'bg', CAST(0 AS INTEGER), {sg('lm', 7)} FROM bgp
 UNION ALL SELECT series_id, 'bg', CAST(1 AS INTEGER), {sg('p_value', 7)} FROM bgp"""
+
+ORACLE["best_subsets"] = f"""SELECT series_id, model, k, aicc, rank_aicc FROM ({ORACLE["all_subsets"]}) WHERE rank_aicc <= 4"""
+
+# the same polynomial through orthogonal columns about 1998, moved to the raw powers in closed form
+ORACLE["ols_polynomial"] = f"""WITH {MONTHLY},
+d AS (SELECT series_id, y, year(period) + (month(period) - 1) / 12.0 - 1998 AS s FROM ms WHERE y IS NOT NULL),
+m AS (SELECT series_id, count(*) AS n, avg(s) AS m1, avg(s * s) AS m2, avg(s * s * s) AS m3, avg(y) AS my FROM d GROUP BY 1),
+q1 AS (SELECT d.*, n, m1, m2, m3, my, s - m1 AS q1, s * s - m2 AS r2, s * s * s - m3 AS r3 FROM d JOIN m USING (series_id)),
+c1 AS (SELECT series_id, sum(q1 * r2) / sum(q1 * q1) AS b, sum(q1 * r3) / sum(q1 * q1) AS dd FROM q1 GROUP BY 1),
+q2 AS (SELECT q1.*, b, dd, r2 - b * q1 AS q2 FROM q1 JOIN c1 USING (series_id)),
+c2 AS (SELECT series_id, sum(q2 * r3) / sum(q2 * q2) AS ee FROM q2 GROUP BY 1),
+q3 AS (SELECT q2.*, ee, r3 - dd * q1 - ee * q2 AS q3 FROM q2 JOIN c2 USING (series_id)),
+th AS (
+  SELECT series_id, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, any_value(my) AS my,
+    any_value(b) AS b, any_value(dd) AS dd, any_value(ee) AS ee,
+    sum(q1 * (y - my)) / sum(q1 * q1) AS t1, sum(q2 * (y - my)) / sum(q2 * q2) AS t2, sum(q3 * (y - my)) / sum(q3 * q3) AS t3,
+    sum((y - my) * (y - my)) AS sst FROM q3 GROUP BY 1),
+sse AS (
+  SELECT series_id, sum((q3.y - q3.my - t1 * q1 - t2 * q2 - t3 * q3) ** 2) AS sse FROM q3 JOIN th USING (series_id) GROUP BY 1),
+cs AS (
+  SELECT *, t3 AS c3, t2 - t3 * ee AS c2, t1 - t2 * b + t3 * (ee * b - dd) AS c1,
+    my - t1 * m1 + t2 * (b * m1 - m2) + t3 * (dd * m1 - m3 + ee * m2 - ee * b * m1) AS c0
+  FROM th JOIN sse USING (series_id)),
+raw AS (
+  SELECT *, c3 AS b3, c2 - 3 * c3 * 1998 AS b2, c1 - 2 * c2 * 1998 + 3 * c3 * 1998.0 * 1998 AS b1,
+    c0 - c1 * 1998 + c2 * 1998.0 * 1998 - c3 * 1998.0 * 1998 * 1998 AS b0 FROM cs)
+SELECT series_id, n, CAST(3 AS INTEGER) AS k, {sg('1 - sse / sst', 6)} AS r2, {sg('sqrt(sse / (n - 4))', 6)} AS sigma,
+  {sg('b0', 3)} AS b0, {sg('b1', 3)} AS b1, {sg('b2', 3)} AS b2, {sg('b3', 3)} AS b3
+FROM raw"""
