@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.sql import functions as F
 
 from wardcast.operators import clinical as C
 from wardcast.operators.interval_index import covering_counts
 from wardcast.plans.common import rounded
+from wardcast.session import ensure_checkpoint_dir
 from wardcast.sources import fixtures as X
+from wardcast.sources.publish import drop_published, publish, read_published
 
 RATES = ["rate_norepinephrine", "rate_epinephrine", "rate_dopamine", "rate_dobutamine"]
 
@@ -88,14 +94,31 @@ def sofa(spark, sf):
     return C.sofa(X.clinical_inputs(spark, sf), salt=_salt(spark))
 
 
+def _marts(spark, sf, run: str) -> str:
+    """The folder of a data set's marts: other data sets publish elsewhere."""
+    data = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts/{run}-{data}"
+
+
 def publish_mart(spark, sf):
     """Publish the score mart as a table in the shared folder (overwrite)
     and return the read-back relation."""
-    from wardcast.session import ensure_checkpoint_dir
-    from wardcast.sources.publish import publish
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts/sofa"
     return publish(C.sofa(X.clinical_inputs(spark, sf), salt=_salt(spark), ordered=False),
-                   path, sort_within=["icustay_id"])
+                   f"{_marts(spark, sf, 'scores')}/sofa", sort_within=["icustay_id"])
+
+
+def mart_cascade(spark, sf):
+    """Three marts, the second made from the first and the third from both;
+    dropping the first takes them in order.  Rows of each when it was published,
+    and its place in the drop."""
+    root = _marts(spark, sf, f"cascade-{uuid.uuid4().hex}")
+    weights = publish(C.heightweight(X.chartevents(spark, sf), ordered=False), f"{root}/heightweight", depends_on=[])
+    tall = publish(weights.groupBy("subject_id").agg(F.max("height_max").alias("height_max")), f"{root}/tallest",
+                   depends_on=["heightweight"])
+    publish(weights.join(tall, ["subject_id", "height_max"]), f"{root}/tallest_stays", depends_on=["heightweight", "tallest"])
+    n = {m: read_published(spark, f"{root}/{m}").count() for m in ("heightweight", "tallest", "tallest_stays")}
+    order = drop_published(spark, root, "heightweight", cascade=True)
+    return spark.createDataFrame([(m, n[m], i) for i, m in enumerate(order, 1)], "mart string, n_rows bigint, dropped int")
 
 
 QUERIES = {
@@ -112,4 +135,5 @@ QUERIES = {
     "sofa_scores": sofa_scores,
     "sofa": sofa,
     "publish_mart": publish_mart,
+    "mart_cascade": mart_cascade,
 }

@@ -208,6 +208,17 @@ def _r6(cols):
 
 RATES = ["rate_norepinephrine", "rate_epinephrine", "rate_dopamine", "rate_dobutamine"]
 
+HW_PIVOT = """
+hw_pivot AS (
+  select subject_id, icustay_id,
+    any_value(first_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_first,
+    any_value(min_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_min,
+    any_value(max_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_max,
+    any_value(first_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_first,
+    any_value(min_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_min,
+    any_value(max_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_max
+  from hw_single group by subject_id, icustay_id)"""
+
 ORACLE = {
     "hw_raw_convert": _with(HW_RAW) + """
 SELECT charttime, itemid, subject_id, icustay_id, parameter, round(valuenum, 6) AS valuenum
@@ -217,16 +228,7 @@ SELECT subject_id, icustay_id, parameter,
        round(first_valuenum, 6) AS first_valuenum,
        round(min_valuenum, 6) AS min_valuenum, round(max_valuenum, 6) AS max_valuenum
 FROM hw_single""",
-    "heightweight": _with(HW_RAW, HW_SINGLE, """
-hw_pivot AS (
-  select subject_id, icustay_id,
-    any_value(first_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_first,
-    any_value(min_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_min,
-    any_value(max_valuenum) FILTER (WHERE parameter = 'HEIGHT') AS height_max,
-    any_value(first_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_first,
-    any_value(min_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_min,
-    any_value(max_valuenum) FILTER (WHERE parameter = 'WEIGHT') AS weight_max
-  from hw_single group by subject_id, icustay_id)""") + """
+    "heightweight": _with(HW_RAW, HW_SINGLE, HW_PIVOT) + """
 SELECT icustay_id, subject_id,
   CAST(round(TRY_CAST(height_first AS DECIMAL(38,6)), 2) AS DOUBLE) AS height_first,
   CAST(round(TRY_CAST(height_min AS DECIMAL(38,6)), 2) AS DOUBLE) AS height_min,
@@ -276,3 +278,10 @@ SELECT bg.icustay_id, bg.charttime, round(bg.PaO2FiO2, 6) AS PaO2FiO2,
        (SELECT count(*) FROM ventdurations v WHERE v.icustay_id = bg.icustay_id
           AND bg.charttime BETWEEN v.starttime AND v.endtime) AS n_vent
 FROM bloodgasfirstdayarterial bg"""
+
+ORACLE["mart_cascade"] = _with(HW_RAW, HW_SINGLE, HW_PIVOT) + """,
+hw AS (SELECT subject_id, round(TRY_CAST(height_max AS DECIMAL(38,6)), 2) AS h FROM hw_pivot),
+tall AS (SELECT subject_id, max(h) AS h FROM hw GROUP BY 1)
+SELECT 'tallest_stays' AS mart, count(*) AS n_rows, CAST(1 AS INTEGER) AS dropped FROM hw JOIN tall USING (subject_id, h)
+UNION ALL SELECT 'tallest', count(*), 2 FROM tall
+UNION ALL SELECT 'heightweight', count(*), 3 FROM hw"""
