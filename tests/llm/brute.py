@@ -92,7 +92,12 @@ def shingle_set(text):
 
 
 def similarity_components(docs):
-    """{index: (n_shingles, component_id)} for (doc_id, text) rows, all pairs compared."""
+    """[(n_shingles, component_id)] for (doc_id, text) rows, all pairs compared."""
+    return [r[:2] for r in similarity_groups(docs)]
+
+
+def similarity_groups(docs):
+    """[(n_shingles, component_id, number of the component)]."""
     sets = [shingle_set(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -118,7 +123,7 @@ def similarity_components(docs):
     for i in range(len(docs)):
         groups.setdefault(find(i), []).append(i)
     least = {r: min((docs[i][0] for i in m if docs[i][0] is not None), default=None) for r, m in groups.items()}
-    return [(len(sets[i]), least[find(i)] if sets[i] else docs[i][0]) for i in range(len(docs))]
+    return [(len(sets[i]), least[find(i)] if sets[i] else docs[i][0], find(i)) for i in range(len(docs))]
 
 
 # ------------------------------------------------------------ tokens

@@ -154,17 +154,50 @@ def test_signatures_of_linked_sets_meet():
         assert sa & sb, (sorted(a), sorted(b))
 
 
+def kept_ids(rows):
+    """How many rows of each doc_id stay: one of each component, all without words, and all of components without ids."""
+    want = Counter()
+    told = set()
+    for r, (n, c, g) in zip(rows, B.similarity_groups([(r[0], r[1]) for r in rows])):
+        if r[0] == c and (n == 0 or c is None or g not in told):
+            want[r[0]] += 1
+            told.add(g)
+    return want
+
+
 def test_deduplicate(docs, rows):
     kept = ngramjoin.deduplicate(docs)
     assert kept.columns == docs.columns
-    comp = B.similarity_components([(r[0], r[1]) for r in rows])
-    want = Counter()
-    for r, (n, c) in zip(rows, comp):
-        if r[0] == c:
-            want[r[0]] += 1
-    blank = {r[0] for r, (n, _) in zip(rows, comp) if n == 0}
-    want = Counter({i: (k if i in blank or i is None else 1) for i, k in want.items()})
-    assert Counter(r.doc_id for r in kept.collect()) == want
+    assert Counter(r.doc_id for r in kept.collect()) == kept_ids(rows)
+
+
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (2, one), (3, two + " end"), (1, ""), (1, one), (4, "c d e f g h")]
+    kept = ngramjoin.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (1, two), (1, ""), (4, "c d e f g h")])
+
+
+#: names that the operators themselves use for what they add to a table
+OWN_NAMES = ("gone_id", "gone_text", "again_id", "rej_id", "bad_id", "bad_text", "secret_doc", "secret_spans", "units_id",
+             "units_text", "units_removed", "langid_text", "doc", "c", "text_key", "component", "m_repeats", "uid", "kept", "first")
+
+
+def test_columns_named_like_the_operators_own(spark, rows):
+    """Every operator that keeps a table's columns keeps those, with their values."""
+    from wardcast.llm import langid, linededup
+    plain = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = plain.select("*", *[F.xxhash64("doc_id", F.lit(n)).alias(n) for n in OWN_NAMES]).repartition(3)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for run in (quality.quality_filter, ngramjoin.deduplicate, lambda d: decontam.decontaminate(d, bench), secrets.redact,
+                linededup.deduplicate_units):
+        got, want = run(extra), run(plain)
+        assert set(extra.columns) <= set(got.columns)
+        cols = [c for c in want.columns if c != "removed"]
+        same(map(tuple, got.select(*cols).collect()), map(tuple, want.select(*cols).collect()))
+        assert got.filter(" or ".join(f"not ({n} <=> xxhash64(doc_id, '{n}'))" for n in OWN_NAMES)).count() == 0
+    model = langid.train(plain.select("text", "lang"))
+    assert langid.identify(extra, model, keep=("doc_id", "langid_text")).count() == len(rows)
 
 
 def test_bpe_round_trip(docs, rows):

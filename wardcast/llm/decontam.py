@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, lower_ascii, sha256_utf8, stage, words
+from .common import apart, broadcast_if_small, let, lower_ascii, sha256_utf8, stage, words
 
 #: characters that are no part of a word (fixed by the rule)
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -154,8 +154,10 @@ def digest(matched: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns
+    (whatever their names)."""
+    i, t = apart(docs, "bad_id", "bad_text")
     bad = stage(match(docs, benchmark).filter("contaminated").select(
-        F.col("doc.doc_id").alias("bad_id"), F.col("doc.text_key").alias("bad_text")).distinct(), "decontam-bad")
-    return docs.join(broadcast_if_small(bad), docs["doc_id"].eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("bad_text")), "left_anti")
+        F.col("doc.doc_id").alias(i), F.col("doc.text_key").alias(t)).distinct(), "decontam-bad")
+    return docs.join(broadcast_if_small(bad), docs["doc_id"].eqNullSafe(F.col(i))
+                     & (F.xxhash64(docs["text"]) == F.col(t)), "left_anti")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .common import apart
 
 UNKNOWN = "und"
 TABLE = 1 << 16
@@ -261,7 +262,9 @@ def identify(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text"
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("langid_text"))
+    if clash := sorted({k.lower() for k in keep} & {"lang_pred", "score", "spans"}):
+        raise ValueError(f"kept column(s) {clash} collide with output columns; rename them")
+    rows = docs.select(*keep, F.col(text).alias(*apart(docs, "langid_text")))
     schema = T.StructType([f for f in rows.schema.fields if f.name in keep] + [
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("spans", SPANS)])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import broadcast_if_small, cut_spans, stage
+from .common import apart, broadcast_if_small, cut_spans, stage
 
 MIN_WORDS = 5
 #: narrow (one long) rows that may be broadcast after counting them
@@ -166,16 +166,17 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", cut=units) -> DataFr
 
 def deduplicate_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
     """All columns of the input, text without its repeated units, and
-    removed (array of start, end, keeper_doc in the original text)."""
+    removed (array of start, end, keeper_doc in the original text), which takes
+    the place of an input column of that name."""
+    i, t, cut = apart(docs, "units_id", "units_text", "units_removed")
     spans = (repeated_units(docs, unit, runs).groupBy("doc_id", "text_key")
              .agg(F.array_sort(F.collect_list(F.struct(
                  F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
-                 F.col("keeper.doc_id").alias("keeper_doc")))).alias("units_removed"))
-             .select(F.col("doc_id").alias("units_id"), F.col("text_key").alias("units_text"), "units_removed"))
+                 F.col("keeper.doc_id").alias("keeper_doc")))).alias(cut))
+             .select(F.col("doc_id").alias(i), F.col("text_key").alias(t), cut))
     none = F.array().cast("array<struct<start:bigint,end:bigint,keeper_doc:bigint>>")
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("units_id"))
-                       & (F.xxhash64(docs["text"]) == F.col("units_text")), "left")
-    cleaned = F.when(F.col("units_removed").isNull(), F.col("text")) \
-        .otherwise(cut_spans(F.col("text"), F.col("units_removed")))
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col(i))
+                       & (F.xxhash64(docs["text"]) == F.col(t)), "left")
+    cleaned = F.when(F.col(cut).isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col(cut)))
     kept = [c for c in docs.columns if c not in ("text", "removed")]
-    return joined.select(*kept, cleaned.alias("text"), F.coalesce("units_removed", none).alias("removed"))
+    return joined.select(*kept, cleaned.alias("text"), F.coalesce(cut, none).alias("removed"))

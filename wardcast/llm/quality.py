@@ -95,12 +95,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lang, source, counts, measures), one row per input
-    row, staged: measuring is the only pass over the texts."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "lang", "source",
+def measure(docs: DataFrame, carry=()) -> DataFrame:
+    """(doc_id, text_key, lang, source, ``carry``, counts, measures), one row
+    per input row, staged: measuring is the only pass over the texts."""
+    own = ("doc_id", "text_key", "lang", "source", *carry)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "lang", "source", *carry,
                        counts(F.col("text")).alias("c"))
-    rows = rows.select("doc_id", "text_key", "lang", "source", *[f"c.{c}" for c in COUNTS])
+    rows = rows.select(*own, *[f"c.{c}" for c in COUNTS])
     ratios = [F.when(F.col(den) > 0, F.floor(scale * F.col(num) / F.col(den))).otherwise(F.lit(0))
               .cast("long").alias(f"m_{name}") for name, num, scale, den, _ in MEASURES]
     return stage(rows.select("*", *ratios), "quality-measures")
@@ -164,7 +165,10 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Measured rows with base_failed, the fences of their group, and kept."""
-    measured = measure(docs)
+    return judged(measure(docs))
+
+
+def judged(measured: DataFrame) -> DataFrame:
     fences = broadcast_if_small(thresholds(measured))
     joined = (measured.alias("m").join(
         fences.alias("t"), F.expr("m.lang <=> t.lang and m.source <=> t.source"), "left")
@@ -178,12 +182,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns.  The rejected rows'
-    keys are staged and anti-joined (broadcast only while they are few)."""
-    rejected = stage(judge(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("rej_id"), F.col("text_key").alias("rej_text"),
-        F.col("lang").alias("rej_lang"), F.col("source").alias("rej_source")).distinct(), "quality-rejected")
-    return docs.join(broadcast_if_small(rejected), (docs["doc_id"].eqNullSafe(F.col("rej_id")))
-                     & (F.xxhash64(docs["text"]) == F.col("rej_text"))
-                     & docs["lang"].eqNullSafe(F.col("rej_lang"))
-                     & docs["source"].eqNullSafe(F.col("rej_source")), "left_anti")
+    """The documents that pass, with all their columns.  Rows and their
+    measures are written together once, so that the filter meets nothing but
+    the fences (one row per group): no text is shuffled, whatever share is
+    rejected.  Columns of any name are kept: a row travels as one struct."""
+    rows = measure(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "doc_id", "text", "lang", "source"),
+                   carry=("doc",))
+    return judged(rows).filter("kept").select("doc.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_spans, stage
+from .common import apart, cut_spans, stage
 
 REACH = 200
 MASK = "[SECRET]"
@@ -132,14 +132,14 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents with every reported span replaced by ``mask`` and
     n_chars set to the new length where anything was replaced.  Only
     documents that may have parts are shuffled."""
+    key, found = apart(docs, "secret_doc", "secret_spans")     # names the table does not have
     merged = (find_parts(docs).groupBy("doc")
-              .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("secret_spans")))
+              .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found)))
     suspect = has_parts(F.col("text"))
-    hot = docs.filter(suspect).withColumn("secret_doc", _doc()).join(
-        merged.withColumnRenamed("doc", "secret_doc"), "secret_doc", "left")
-    masked = cut_spans(F.col("text"), F.col("secret_spans"), mask)
+    hot = docs.filter(suspect).withColumn(key, _doc()).join(merged.withColumnRenamed("doc", key), key, "left")
+    masked = cut_spans(F.col("text"), F.col(found), mask)
     new = F.coalesce(masked, F.col("text"))
     cols = [new.alias("text") if c == "text"
-            else F.when(F.col("secret_spans").isNotNull(), F.length(new).cast(t)).otherwise(F.col(c)).alias(c)
+            else F.when(F.col(found).isNotNull(), F.length(new).cast(t)).otherwise(F.col(c)).alias(c)
             if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return docs.filter(~suspect).unionByName(hot.select(*cols))
