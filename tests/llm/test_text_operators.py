@@ -213,7 +213,7 @@ def test_license_whole_texts(spark):
     texts = dict(licenses.full_texts())
     mit = "Copyright (c) 2021 Jane Roe and others\n\n" + texts["MIT"]
     rows = [(0, "a/LICENSE", mit), (1, "a/x", "plain"), (2, "b/COPYING", texts["GPL-3.0"].replace("\n", "\n# ")),
-            (3, "b/c/x", "plain"), (4, "d/LICENSE", texts["CC-BY-NC-4.0"]), (5, "d/x", "plain"),
+            (3, "b/c/x", "plain"), (4, "d/LICENSE", texts["CC-BY-SA-4.0"]), (5, "d/x", "plain"),
             (6, "e/LICENSE", texts["BSD-3-Clause"].replace("copyright holder", "Example Institute")), (7, "e/x", None),
             (8, "f/x.c", mit.replace("\n", "\n * ") + "\nint add a b return sum of values here" * 200), (9, "f/y.c", "plain")]
     rows += [(100 + i, f"g{i}/LICENSE", t) for i, t in enumerate(texts.values())]
@@ -221,12 +221,26 @@ def test_license_whole_texts(spark):
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df).collect()}
     assert got[0] == ("MIT", "file") and got[1] == ("MIT", "inherited")
     assert got[2] == ("GPL-3.0", "file") and got[3] == ("GPL-3.0", "inherited")
-    assert got[4] == ("CC-BY-NC-4.0", "file") and got[5] == ("CC-BY-NC-4.0", "inherited")
+    assert got[4] == ("CC-BY-SA-4.0", "file") and got[5] == ("CC-BY-SA-4.0", "inherited")
     assert got[6] == ("BSD-3-Clause", "file") and got[7] == ("BSD-3-Clause", "inherited")
     assert got[8][1] == "notice" and got[9] == (None, "none")
     assert [got[100 + i] for i in range(len(texts))] == [(name, "file") for name in texts]
 
 
+def test_whole_texts_of_licenses_that_are_not_here(spark):
+    """A text that differs from a known one by its name is not that licence: unknown, and nothing inherits."""
+    texts = dict(licenses.full_texts())
+    assert not {"AGPL-3.0", "CC-BY-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"} & set(texts)
+    rows = [(0, "a/LICENSE", texts["GPL-3.0"].replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC", 1)), (1, "a/x", "plain")]
+    for i, name in enumerate(("", "-NonCommercial", "-NoDerivatives", "-NonCommercial-ShareAlike", "-NonCommercial-NoDerivatives"), 1):
+        rows += [(10 * i, f"b{i}/LICENSE", texts["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", f"Attribution{name}", 1)),
+                 (10 * i + 1, f"b{i}/x", "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert all(got[10 * i] == (None, "unknown") and got[10 * i + 1] == (None, "none") for i in range(6) if i)
+    assert got[0] == (None, "unknown") and got[1] == (None, "none")
+
+
 # ------------------------------------------------------------ conversations
 
 def test_quote_linking(spark):

@@ -32,6 +32,10 @@ LEAST_COSINE = 0.55
 FILE_SHARE = (8, 10)   # a licence file: licence words are at least 8/10 of its words,
 LEAST_FILE_COSINE = 0.9  # or the whole document has this cosine with a full licence text
 FILE_WORDS = 50        # words of a document that can be a full licence text
+#: how a text is titled that is nearly another's: it has no text here, and is not that other licence
+OTHER_TITLES = {"GPL-3.0": r"(?i)\bgnu[\x20\t]+affero[\x20\t]+general[\x20\t]+public[\x20\t]+license\b",
+                "CC-BY-SA-4.0": r"(?i)\battribution(?!-sharealike[\x20\t])[a-z-]*[\x20\t]+4\.0[\x20\t]+international\b"}
+TITLE_CHARS = 1000     # a title stands in the first characters of a text
 FULL_TEXTS = Path(__file__).parent / "license_texts"
 
 #: lines that can belong to a licence notice
@@ -166,7 +170,8 @@ def score_blocks(found: DataFrame) -> DataFrame:
 
 def score_files(files: DataFrame) -> DataFrame:
     """(doc, license, score): the full licence text that a whole document
-    with a cue repeats.  A document whose weight on terms of the licence texts
+    with a cue repeats; license is null where the document's title names
+    another licence, whose text is not here.  A document whose weight on terms of the licence texts
     cannot reach the least cosine is left out before templates are compared."""
     docs = files.filter(F.col("text").rlike(CUES)).select(
         F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("b"), _terms(F.col("text")).alias("terms"))
@@ -181,7 +186,13 @@ def score_files(files: DataFrame) -> DataFrame:
     bn = stage(bv.groupBy("b").agg(F.sqrt(F.sum(square)).alias("bn"), F.sqrt(F.sum(F.when(F.col("known"), square))).alias("kn"))
                .filter(F.col("kn") >= (LEAST_FILE_COSINE - 1e-5) * F.col("bn")).select("b", "bn"), "license-file-norms")
     near = bv.filter("known").join(broadcast_if_small(bn.select("b")), "b", "left_semi").select("b", "term", "w")
-    return stage(_best(near, bn, tt, idf, LEAST_FILE_COSINE).withColumnRenamed("b", "doc"), "license-files")
+    best = _best(near, bn, tt, idf, LEAST_FILE_COSINE)
+    head = F.substring("text", 1, TITLE_CHARS)
+    titled = F.array_compact(F.array(*[F.when(head.rlike(p), F.lit(lic)) for lic, p in OTHER_TITLES.items()]))
+    other = files.filter(F.col("text").rlike(CUES)).select(
+        F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("b"), titled.alias("not")).filter(F.size("not") > 0).distinct()
+    named = F.when(~F.coalesce(F.array_contains("not", F.col("license")), F.lit(False)), F.col("license"))
+    return stage(best.join(other, "b", "left").select(F.col("b").alias("doc"), named.alias("license"), "score"), "license-files")
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -204,8 +215,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
     best = notices.join(whole_text, "doc", "left").withColumn("m", F.coalesce("f", "m"))
     return best.filter("m is not null or explicit").select(
         "doc", "m.license", F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), "n_notices",
-        (F.col("f").isNotNull() | F.coalesce(whole * F.col("size") >= share * F.col("n_words"), F.lit(False))).alias("is_file"),
-        F.col("m").isNull().alias("unknown"))
+        (F.col("f.license").isNotNull() | F.coalesce(whole * F.col("size") >= share * F.col("n_words"), F.lit(False)) & F.col("f").isNull()).alias("is_file"),
+        F.col("m.license").isNull().alias("unknown"))
 
 
 def directory(path: Column) -> Column:
