@@ -283,3 +283,52 @@ def test_regional_trading_days(spark):
         assert (got[r, p].trading_days, got[r, p].holidays) == (len(week) - len(lost), len(lost))
     assert got["AMERICA", dt.date(1999, 12, 1)].holidays == 2          # the 24th and, for 2000, the 31st
     assert X.regional_trading_days(df.limit(0), "reg", rules).collect() == []
+
+
+# ---- stepwise ----
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_stepwise_of_many_keys_at_once(spark, direction):
+    """Each key's path equals that of refitting every trial, whatever the others do."""
+    rng = np.random.default_rng(11)
+    xs, rows = [f"x{i}" for i in range(6)], []
+    for key in range(40):
+        x, y = made(int(rng.integers(12, 60)), 6, int(rng.integers(0, 6)), float(rng.random()), 100 + key)
+        rows += [(f"k{key}", *map(float, r), float(v)) for r, v in zip(x, y)]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} double" for c in xs) + ", y double")
+    got = {}
+    for r in R.stepwise(df, ["key"], "y", xs, direction).orderBy("key", "step").collect():
+        got.setdefault(r.key, []).append((r.changed, r.model, r.aicc))
+
+    def score(x, y, cols):
+        d = np.column_stack([np.ones(len(y)), x[:, sorted(cols)]])
+        e = y - d @ np.linalg.lstsq(d, y, rcond=None)[0]
+        return B.aicc(float(e @ e), len(y), len(cols))
+
+    for key in got:
+        data = np.array([r[1:] for r in rows if r[0] == key])
+        x, y = data[:, :6], data[:, 6]
+        now = list(range(6)) if direction == "backward" else []
+        path = [(None, "+".join(f"x{j}" for j in now) or "(none)", score(x, y, now))]
+        while True:
+            trials = [(score(x, y, set(now) ^ {j}), j) for j in range(6) if (j in now) == (direction == "backward")]
+            if not trials or not min(trials)[0] < path[-1][2]:
+                break
+            value, j = min(trials)
+            now = sorted(set(now) ^ {j})
+            path.append((f"x{j}", "+".join(f"x{i}" for i in now) or "(none)", value))
+        assert [p[:2] for p in got[key]] == [p[:2] for p in path]
+        assert [p[2] for p in got[key]] == pytest.approx([p[2] for p in path], rel=1e-8)
+
+
+def test_stepwise_leaves_dependent_predictors_out(spark):
+    x, y = made(50, 3, 2, 0.0, 4)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "x0 double, x1 double, x2 double, y double")
+    more = df.withColumn("one", F.lit(2.0)).withColumn("copy", F.col("x0") - F.col("x1"))
+    for direction in ("backward", "forward"):
+        plain = R.stepwise(df, [], "y", ["x0", "x1", "x2"], direction).orderBy("step").collect()
+        wide = R.stepwise(more, [], "y", ["one", "x0", "x1", "copy", "x2"], direction).orderBy("step").collect()
+        if direction == "backward":
+            assert [r.model for r in wide] == [r.model for r in plain]
+        assert wide[-1].aicc <= plain[-1].aicc + 1e-9
+    assert R.stepwise(df.withColumn("y", F.lit(1.0)), [], "y", ["x0"], "forward").count() == 1

@@ -20,7 +20,6 @@ Plan per fit:
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -491,8 +490,8 @@ def all_subsets(df: DataFrame, keys: list[str], y: str, xcols: list[str]) -> Dat
 
 def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
              direction: str = "backward") -> DataFrame:
-    """Stepwise selection by AICc (R32), per key on its Gram row (SSE from
-    the Gram matrix, no rescans of the data).
+    """Stepwise selection by AICc (R32) on the Gram rows (no rescans of the
+    data), all keys of a batch at each step together.
 
     * backward: start from all predictors, drop the one whose removal lowers
       AICc most, stop when no removal lowers it;
@@ -504,59 +503,98 @@ def stepwise(df: DataFrame, keys: list[str], y: str, xcols: list[str],
         raise ValueError(direction)
     ship_package(df.sparkSession)
     g = gram(df, keys, y, xcols, True)
-    p = len(xcols) + 1
-    key_fields = [g.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [
+    schema = T.StructType([g.schema[k] for k in keys] + [
         T.StructField("step", T.IntegerType()), T.StructField("changed", T.StringType()),
         T.StructField("model", T.StringType()), T.StructField("aicc", T.DoubleType())])
 
-    def aicc(n, sse, kp1):
-        if sse <= 0 or n - kp1 - 2 <= 0:
-            return float("nan")
-        a = n * math.log(sse / n) + 2 * (kp1 + 1)
-        return a + 2 * (kp1 + 1) * (kp1 + 2) / (n - kp1 - 2)
-
     def run(batches):
         for pdf in batches:
-            rows = []
-            stacks = _stacks(pdf) if len(pdf) else None
-            for at, rec in enumerate(pdf.itertuples(index=False)):
-                r = rec._asdict()
-                one = [a[at:at + 1] for a in stacks]
-
-                def score(sub):
-                    beta, _, rank = solve_batch(*one, subset=sorted(i - 1 for i in sub))
-                    sse = _sse(np.array([float(r["syy"])]), beta, one[2], one[3])
-                    return aicc(float(r["n"]), float(sse[0]), int(rank[0]) + 1)
-
-                cur = list(range(1, p)) if direction == "backward" else []
-                best = score(cur)
-                step = 0
-                kv = {k: r[k] for k in keys}
-                rows.append({**kv, "step": 0, "changed": None,
-                             "model": _subset_label(xcols, [i - 1 for i in sorted(cur)]),
-                             "aicc": best})
-                while True:
-                    if direction == "backward":
-                        moves = [([c for c in cur if c != d], d) for d in cur]
-                    else:
-                        moves = [(cur + [a], a) for a in range(1, p) if a not in cur]
-                    trials = [(score(m), d, m) for m, d in moves]
-                    trials = [t for t in trials if not math.isnan(t[0])]
-                    if not trials:
-                        break
-                    val, d, m = min(trials, key=lambda t: (t[0], t[1]))
-                    if not val < best:
-                        break
-                    cur, best, step = m, val, step + 1
-                    rows.append({**kv, "step": step, "changed": xcols[d - 1],
-                                 "model": _subset_label(xcols, [i - 1 for i in sorted(cur)]),
-                                 "aicc": best})
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+            if not len(pdf):
+                continue
+            n, mid, sxx, sxy = _stacks(pdf)
+            syy = pdf["syy"].to_numpy(float)
+            at, step, changed, inside, value = _steps(n, mid, sxx, sxy, syy, direction)
+            out = pdf[keys].iloc[at].reset_index(drop=True) if keys else pd.DataFrame(index=range(len(at)))
+            out["step"] = step.astype(np.int32)
+            out["changed"] = [None if j < 0 else xcols[j] for j in changed]
+            out["model"] = [_subset_label(xcols, np.flatnonzero(m).tolist()) for m in inside]
+            out["aicc"] = value
+            yield out[schema.fieldNames()]
 
     return g.mapInPandas(run, schema)
 
 
+def _aicc_of(sse: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """AICc of models with k predictors and an intercept, NaN where undefined."""
+    room = n - k - 3
+    ok = (sse > 0) & (room > 0)
+    safe = np.where(ok, sse, 1.0)
+    return np.where(ok, n * np.log(safe / n) + 2 * (k + 2) + 2 * (k + 2) * (k + 3) / np.where(ok, room, 1.0), np.nan)
+
+
+def _sweep(a: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sweep each matrix of a stack on its own row ``at``: the predictor comes
+    in, or where ``out`` goes out again."""
+    i = np.arange(len(a))
+    col, pivot = a[i, :, at], a[i, at, at]
+    b = a - col[:, :, None] * col[:, None, :] / pivot[:, None, None]
+    edge = np.where(out, -1.0, 1.0)[:, None] * col / pivot[:, None]
+    b[i, :, at], b[i, at, :] = edge, edge
+    b[i, at, at] = -1.0 / pivot
+    return b
+
+
+def _steps(n, mid, sxx, sxy, syy, direction: str):
+    """The steps of all keys of a batch: row of the key, number of the step,
+    column changed (-1 at the start), predictors in the model, AICc.
+
+    All keys take a step together: on the swept correlation matrices of
+    predictors and y, the error without or with a predictor is its own minus
+    or plus b_j^2 / a_jj.  Predictors that are constant or follow from earlier
+    ones stay out of the arithmetic: they add nothing to a model's error or
+    rank.  So a key whose predictors are dependent starts from (backward) and
+    chooses among (forward) the independent ones it has in order; those left
+    out are in no model."""
+    m, p = sxy.shape
+    diag = np.einsum("mii->mi", sxx).copy()
+    diag[diag <= CONST_TOL * (diag + n[:, None] * mid ** 2)] = 0.0
+    scale = np.sqrt(np.where(diag > 0, diag, 1.0))
+    total = np.where(syy > 0, syy, 1.0)
+    live = (diag > 0)[:, :, None] & (diag > 0)[:, None, :]
+    a = np.zeros((m, p + 1, p + 1))
+    a[:, :p, :p] = np.where(live, sxx / scale[:, :, None] / scale[:, None, :], 0.0)
+    a[:, :p, p] = a[:, p, :p] = np.where(diag > 0, sxy / scale / np.sqrt(total)[:, None], 0.0)
+    a[:, p, p] = np.where(syy > 0, 1.0, 0.0)
+    usable = diag > 0
+    full = a.copy()
+    for j in range(p):                       # what the columns before leave of column j
+        usable[:, j] &= full[:, j, j] > ALIAS_TOL
+        rows = np.flatnonzero(usable[:, j])
+        full[rows] = _sweep(full[rows], np.full(len(rows), j), np.zeros(len(rows), bool))
+    inside = usable.copy() if direction == "backward" else np.zeros((m, p), bool)
+    a = full if direction == "backward" else a
+    best = _aicc_of(a[:, p, p] * total, n, inside.sum(axis=1))
+    found = [(np.arange(m), np.zeros(m, int), np.full(m, -1), inside.copy(), best.copy())]
+    open_, step = np.arange(m), 0
+    while len(open_) and p:
+        step += 1
+        now, d, c = inside[open_], np.einsum("mii->mi", a[open_])[:, :p], a[open_][:, :p, p]
+        may = now if direction == "backward" else usable[open_] & ~now & (d > ALIAS_TOL)
+        change = np.where(may, c ** 2 / np.where(may, -d if direction == "backward" else d, 1.0), 0.0)
+        sign = 1 if direction == "backward" else -1
+        k = now.sum(axis=1)[:, None] - sign
+        value = np.where(may, _aicc_of((a[open_, p, p][:, None] + sign * change) * total[open_][:, None], n[open_][:, None], k), np.nan)
+        ranked = np.where(np.isnan(value), np.inf, value)
+        pick = ranked.argmin(axis=1)
+        won = ranked[np.arange(len(open_)), pick]
+        go = np.isfinite(won) & (won < best[open_])
+        open_, pick, won = open_[go], pick[go], won[go]
+        a[open_] = _sweep(a[open_], pick, inside[open_, pick])
+        inside[open_, pick] ^= True
+        best[open_] = won
+        found.append((open_, np.full(len(open_), step), pick, inside[open_].copy(), won))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
 
 def stepwise_backward(df, keys, y, xcols):
     return stepwise(df, keys, y, xcols, "backward")
