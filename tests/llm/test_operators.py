@@ -292,3 +292,28 @@ def test_empty_tables(spark, empty, tmp_path):
     assert bpe.encode(empty, queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
     idstore.write_store(empty, f"{tmp_path}/e", queries.tokenizer_path("word_bpe_49k.json"))
     assert idstore.read_store(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_id_store_numbers_occurrences_over_all_parts(spark, monkeypatch, tmp_path):
+    """One doc_id over many parts and shards: every row has its own number, and each is found by it."""
+    rows = [(7, f"word{i} and some more {i % 13}") for i in range(900)] + [(None, f"nothing {i}") for i in range(40)]
+    rows += [(i, f"single {i}") for i in (1, 2, 6, 8, 9, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(idstore, "SHARD_DOCS", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        idstore.write_store(df, f"{tmp_path}/n", queries.tokenizer_path("word_bpe_49k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/n/parts").count() > 3
+    got = {(r.doc_id, r.nth): r for r in idstore.read_store(spark, f"{tmp_path}/n").collect()}
+    assert set(got) == {(7, i) for i in range(900)} | {(None, i) for i in range(40)} | {(i, 0) for i in (1, 2, 6, 8, 9, 300)}
+    asked = [*got, (7, 900), (7, -1), (5, 0), (None, 40), (999, 0), (-1, 0)]
+    keys = spark.createDataFrame(asked * 2, "doc_id long, nth long")
+    hit = idstore.lookup(spark, f"{tmp_path}/n", keys)
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rows = hit.collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        assert got[r.doc_id, r.nth].start == r.start and got[r.doc_id, r.nth].n_tokens == len(r.ids)

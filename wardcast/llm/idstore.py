@@ -13,12 +13,13 @@ id (a running sum over one row per part) plus its start in the part.
 
 Defined results: null text is empty and holds the end id only; null doc_id
 sorts first; rows with the same doc_id follow each other by text hash and
-are separate entries (doc_id, occurrence); an empty table gives an empty
+are separate entries (doc_id, nth), numbered from 0 over all parts; an empty table gives an empty
 store; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import os
@@ -47,12 +48,14 @@ _U64 = np.uint64
 SHARD_FIELDS = [("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()),
                 ("n_docs", pa.int32()), ("n_ids", pa.int64()),
                 ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("first_text", pa.int64()),
+                ("first_nth", pa.int64()), ("n_last", pa.int64()),
                 ("keys", pa.binary()), ("seeds", pa.binary()), ("prints", pa.binary()),
                 ("offsets", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())]
 SHARD_DDL = ("part int, seq int, start bigint, n_docs int, n_ids bigint, first_doc bigint, last_doc bigint, "
-             "first_text bigint, keys binary, seeds binary, prints binary, offsets binary, counts binary, "
+             "first_text bigint, first_nth bigint, n_last bigint, keys binary, seeds binary, prints binary, offsets binary, counts binary, "
              "payload binary")
-#: one document in ``keys``: doc_id (0 if null), occurrence, null flag
+PARTS_DDL = "part int, part_start bigint, part_first bigint, base bigint"
+#: one document in ``keys``: doc_id (0 if null), occurrence in the part, null flag
 KEY = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("null", "<u4")])
 
 
@@ -194,7 +197,8 @@ def make_shard(part: int, seq: int, start: int, docs: list, nths: list, hashes:
     prints, offsets, counts = (np.zeros(len(h), dtype=t) for t in ("<u4", "<u8", "<u4"))
     prints[at], offsets[at], counts[at] = fingerprint(h), before, lengths
     return {"part": part, "seq": seq, "start": start, "n_docs": len(docs), "n_ids": int(lengths.sum()),
-            "first_doc": docs[0], "last_doc": docs[-1], "first_text": hashes[0], "keys": keys.tobytes(),
+            "first_doc": docs[0], "last_doc": docs[-1], "first_text": hashes[0], "first_nth": nths[0],
+            "n_last": docs.count(docs[-1]), "keys": keys.tobytes(),
             "seeds": seeds.tobytes(), "prints": prints.tobytes(), "offsets": offsets.tobytes(),
             "counts": counts.tobytes(), "payload": b"".join(payloads)}
 
@@ -256,14 +260,30 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
                 [make_shard(part, seq, start, docs_, nths, hashes, payloads)], schema=schema)
 
     (dealt.mapInArrow(run, SHARD_DDL).write.option("compression", "zstd").parquet(f"{path}/shards"))
-    parts = (spark.read.schema(SHARD_DDL).parquet(f"{path}/shards").groupBy("part")
-             .agg(F.sum("n_ids").alias("n"), F.min(F.struct("seq", "first_doc", "first_text")).alias("f")))
-    order = Window.orderBy(F.col("f.first_doc").asc_nulls_first(), F.col("f.first_text"), "part")
-    parts.select("part", (F.sum("n").over(order) - F.col("n")).alias("part_start")).write.parquet(f"{path}/parts")
+    _parts(spark.read.schema(SHARD_DDL).parquet(f"{path}/shards")).write.parquet(f"{path}/parts")
+
+
+def _parts(shards: DataFrame) -> DataFrame:
+    """One row per part: its first id, its first doc_id, and ``base``, the
+    number of rows of that doc_id in the parts before.  A part counts
+    occurrences from 0; only its first doc_id can have begun earlier."""
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct("seq", "first_doc", "first_text")).alias("f"),
+                                       F.max(F.struct("seq", "last_doc")).alias("l"))
+    order = Window.orderBy(F.col("f.first_doc").asc_nulls_first(), F.col("f.first_text"), "part")   # one row a part
+    parts = parts.select("part", F.col("f.first_doc").alias("part_first"), F.col("l.last_doc").alias("part_last"),
+                         (F.sum("n").over(order) - F.col("n")).alias("part_start"), F.row_number().over(order).alias("place"))
+    ends = shards.join(parts.select("part", "part_last"), "part").filter(F.col("last_doc").eqNullSafe(F.col("part_last"))).groupBy(
+        "part").agg(F.sum("n_last").alias("tail"))
+    # along the parts of one doc_id: what each asks for stands before what it adds
+    asks = parts.select(F.col("part_first").alias("doc"), "part", "place", F.lit(0).alias("adds"), F.lit(0).cast("long").alias("tail"))
+    adds = parts.join(ends, "part").select(F.col("part_last").alias("doc"), "part", "place", F.lit(1).alias("adds"), "tail")
+    before = Window.partitionBy("doc").orderBy("place", "adds").rowsBetween(Window.unboundedPreceding, -1)
+    base = asks.unionByName(adds).withColumn("base", F.coalesce(F.sum("tail").over(before), F.lit(0))).filter("adds = 0")
+    return parts.join(base.select("part", "base"), "part").select("part", "part_start", "part_first", "base")
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.schema("part int, part_start bigint").parquet(f"{path}/parts")
+    parts = spark.read.schema(PARTS_DDL).parquet(f"{path}/parts")
     return spark.read.schema(SHARD_DDL).parquet(f"{path}/shards").join(broadcast_if_small(parts), "part")
 
 
@@ -283,9 +303,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 if not found.all():
                     raise ValueError(f"shard {row['part']}/{row['seq']}: fingerprints do not match the keys")
                 crc = [zlib.crc32(s.ids(o, n)) for o, n in zip(offset, count)]
+                first = row["part_first"]
+                went_on = (s.keys["null"] == 1) if first is None else (s.keys["null"] == 0) & (s.keys["doc"] == first)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(s.keys["doc"], mask=s.keys["null"].astype(bool), type=pa.int64()),
-                    pa.array(s.keys["nth"].astype(np.int64)),
+                    pa.array(s.keys["nth"].astype(np.int64) + np.where(went_on, row["base"], 0)),
                     pa.array(offset.astype(np.int64) + row["part_start"] + row["start"]),
                     pa.array(count.astype(np.int64)), pa.array(crc, type=pa.int64())],
                     names=[n for n, _ in fields])
@@ -294,30 +316,70 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         run, "doc_id bigint, nth bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def _place(doc, nth) -> tuple:
+    """Sort key of an entry: doc_id with null first, then its occurrence."""
+    return (doc is not None, doc or 0, nth)
+
+
+def _routed(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(part, seq, doc_id, nth, local): the one shard that can hold each key.
+
+    Parts, and shards within a part, follow each other in the order of their
+    first entries, so a key belongs to the last one that begins at or before
+    it: a binary search over the parts' beginnings (one per part, sent to the
+    tasks) and one over the beginnings of the part's shards, which come by a
+    join on the part."""
+    parts = spark.read.schema(PARTS_DDL).parquet(f"{path}/parts").collect()     # one row per part
+    begins = sorted((_place(p.part_first, p.base), p.part, p.base) for p in parts)
+    sent = spark.sparkContext.broadcast(([b[0] for b in begins], [b[1] for b in begins], [b[2] for b in begins]))
+    names = ["part", "doc_id", "nth", "local"]
+
+    def to_part(batches):
+        first, part, base = sent.value
+        for b in batches:
+            out = []
+            for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = bisect.bisect_right(first, _place(d, n)) - 1
+                if n >= 0 and at >= 0:
+                    out.append((part[at], d, n, n - (base[at] if first[at][:2] == _place(d, n)[:2] else 0)))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
+
+    def to_shard(batches):
+        for b in batches:
+            seqs = []
+            for d, n, shards in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))):
+                first = [_place(x["first_doc"], x["first_nth"]) for x in shards]
+                seqs.append(shards[max(bisect.bisect_right(first, _place(d, n)) - 1, 0)]["seq"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.int32()), *b.columns[1:4]],
+                                             names=["part", "seq", "doc_id", "nth", "local"])
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("nth").cast("long").alias("nth")).distinct()
+    dealt = wanted.mapInArrow(to_part, "part int, doc_id bigint, nth bigint, local bigint")
+    shards = spark.read.schema(SHARD_DDL).parquet(f"{path}/shards").groupBy("part").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "first_doc", "first_nth"))).alias("shards"))   # no payload is read
+    return dealt.join(shards, "part").select(*names, "shards").mapInArrow(
+        to_shard, "part int, seq int, doc_id bigint, nth bigint, local bigint")
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Keyed access: (doc_id, nth, start, ids) for every (doc_id, nth) of
-    ``keys`` that is stored.  Keys are routed to shards by the shards' key
-    ranges (metadata only), gathered per shard, and probed in its index."""
+    ``keys`` that is stored.  Each key goes to the one shard that can hold it,
+    by joins on part and shard, and is probed in its index."""
     ship_package(spark)
     shards = _shards(spark, path)
-    ranges = shards.select("part", "seq", "first_doc", "last_doc")
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("nth").cast("long").alias("nth"))
-    routed = wanted.distinct().join(
-        broadcast_if_small(ranges),
-        (F.coalesce(F.col("doc_id") >= F.col("first_doc"), F.col("first_doc").isNull())
-         & F.coalesce(F.col("doc_id") <= F.col("last_doc"), F.col("doc_id").isNull())))
-    asked = routed.groupBy("part", "seq", "doc_id").agg(F.collect_list("nth").alias("nths"))
-    asked = asked.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "nths")).alias("asked"))
+    asked = _routed(spark, path, keys).groupBy("part", "seq").agg(
+        F.collect_list(F.struct("doc_id", "nth", "local")).alias("asked"))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                pairs = [(q["doc_id"], n) for q in row["asked"] for n in q["nths"]]
+                pairs = [(q["doc_id"], q["nth"]) for q in row["asked"]]
                 probe = np.zeros(len(pairs), dtype=KEY)
                 probe["doc"] = [0 if d is None else d for d, _ in pairs]
                 probe["null"] = [d is None for d, _ in pairs]
-                probe["nth"] = [n for _, n in pairs]
+                probe["nth"] = [q["local"] for q in row["asked"]]
                 s = Shard(row)
                 found, offset, count = s.find(probe)
                 out = [{"doc_id": d, "nth": n, "start": row["part_start"] + row["start"] + int(o),
