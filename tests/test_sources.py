@@ -87,6 +87,20 @@ def test_staging_uses_the_configured_checkpoint_dir(spark):
     assert all(root in f for f in st.inputFiles())
 
 
+def test_staged_folders_can_be_dropped(spark):
+    import os
+
+    from wardcast import session
+    session.drop_staged(spark)
+    st = session.stage_table(spark.range(4), "drop-me")
+    extra = session.shared_folder(spark, "drop-me-too")
+    spark.range(2).write.parquet(extra)
+    folders = [os.path.dirname(st.inputFiles()[0]).replace("file://", ""), extra.replace("file:", "")]
+    assert all(os.path.isdir(f) for f in folders)
+    assert session.drop_staged(spark) == 2 and not any(os.path.exists(f) for f in folders)
+    assert session.drop_staged(spark) == 0
+
+
 def _csv(path, rows):
     import gzip
     with gzip.open(path, "wt") as f:

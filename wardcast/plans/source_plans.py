@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import functions as F
 
 from wardcast.plans.common import dec_rounded
-from wardcast.session import ensure_checkpoint_dir
+from wardcast.session import shared_folder
 from wardcast.sources import datasets as D
 from wardcast.sources.tables import read_table, table_path
 from wardcast.streaming import manifest as M
@@ -44,7 +43,7 @@ def _exports(spark, sf, at: str) -> list[tuple]:
 def manifest_load(spark, sf):
     """S3: exports of two tables loaded through a manifest; the second load of
     the same manifest finds nothing new."""
-    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardcast-stage/exports-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "exports")
     files, dest = _exports(spark, sf, f"{at}/src"), f"{at}/dest"
     M.load(spark, files, CONTRACTS, dest)
     again = M.load(spark, files, CONTRACTS, dest).groupBy("table").agg(F.count("*").alias("reloaded"))

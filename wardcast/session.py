@@ -89,6 +89,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared checkpoint folder, known to ``drop_staged``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardcast-stage/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the folders this process has staged so far and return their
     number.  To be called when no result that reads them is needed any more."""
@@ -109,9 +116,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     storage, not in executor memory).
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/wardcast-stage/{label}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    path = shared_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
     # the schema is known: skip footer inference on the read-back
     return spark.read.schema(df.schema).parquet(path)
