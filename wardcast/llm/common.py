@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, stage_table
+from ..session import shared_folder, stage_table
 
 #: ASCII white space: space, tab, newline, vertical tab, form feed, carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -29,7 +27,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardcast-stage/{label}-{uuid.uuid4().hex}"
+    return shared_folder(spark, label)
 
 
 def broadcast_if_small(staged: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
