@@ -626,6 +626,6 @@ cs AS (
 raw AS (
   SELECT *, c3 AS b3, c2 - 3 * c3 * 1998 AS b2, c1 - 2 * c2 * 1998 + 3 * c3 * 1998.0 * 1998 AS b1,
     c0 - c1 * 1998 + c2 * 1998.0 * 1998 - c3 * 1998.0 * 1998 * 1998 AS b0 FROM cs)
-SELECT series_id, n, CAST(3 AS INTEGER) AS k, {sg('1 - sse / sst', 6)} AS r2, {sg('sqrt(sse / (n - 4))', 6)} AS sigma,
+SELECT series_id, n, CAST(3 AS INTEGER) AS k, {sg('1 - sse / sst', 4)} AS r2, {sg('sqrt(sse / (n - 4))', 4)} AS sigma,
   {sg('b0', 3)} AS b0, {sg('b1', 3)} AS b1, {sg('b2', 3)} AS b2, {sg('b3', 3)} AS b3
 FROM raw"""
