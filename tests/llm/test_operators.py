@@ -1,5 +1,6 @@
 """The operators against plain Python on a table of awkward cases."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -52,6 +53,43 @@ def test_quality_thresholds_follow_groups(spark):
     assert kept == {i for i in range(300) if i % 50}
 
 
+def _fence(values):
+    """Upper fence of a group's values by the rule, None where it tells none."""
+    b = sorted(v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0) for v in values)
+    q50, q90 = (b[-(-k * len(b) // 10) - 1] for k in (5, 9))
+    nonzero = [x for x in b if x]
+    if len(b) < quality.MIN_ROWS:
+        return None
+    if q90 > q50:
+        return q90 + 3 * (q90 - q50)
+    return nonzero[(len(nonzero) + 1) // 2 - 1] - 1 if q90 == 0 and len(nonzero) >= 5 else None
+
+
+def test_quality_fences_move_with_the_data(spark):
+    """Each measure's fence is that of its group's values; other groups' rows do not move it."""
+    rng = random.Random(5)
+    schema = "lang string, source string, n_words long, m_avg_word long, m_symbols long, m_dup_lines long, m_repeats long"
+
+    def rows(source, n, scale, share):
+        return [("en", source, 50, rng.randrange(400, 400 + scale), rng.randrange(1, 9 * scale) if rng.random() < share else 0,
+                 rng.randrange(1, scale) if rng.random() < share else 0, rng.randrange(scale)) for _ in range(n)]
+
+    a, b, few = rows("a", 400, 100, 0.06), rows("b", 400, 300, 0.4), rows("few", 20, 50, 0.5)
+
+    def fences(data):
+        got = quality.thresholds(spark.createDataFrame(data, schema)).collect()
+        return {r.source: r.asDict() for r in got}
+
+    got = fences(a + b + few)
+    for i, m in enumerate(("avg_word", "symbols", "dup_lines", "repeats")):
+        for name, data in (("a", a), ("b", b), ("few", a + b + few)):
+            assert got[name][f"{m}_hi"] == _fence([r[3 + i] for r in data])
+        assert got["a"][f"{m}_hi"] != got["b"][f"{m}_hi"]
+    wider = fences([(*r[:3], *(2 * v for v in r[3:])) for r in a] + b + few)
+    assert wider["b"] == got["b"] and all(wider["a"][f"{m}_hi"] > got["a"][f"{m}_hi"] for m in ("symbols", "dup_lines", "repeats"))
+    assert all(v is None for k, v in fences(few)["few"].items() if k not in ("lang", "source"))
+
+
 def test_sketch_bucket_error(spark):
     v = spark.range(1, 5000).select(F.col("id").alias("v"), quality._bucket(F.col("id")).alias("b")).collect()
     assert all(r.b <= r.v and (r.v - r.b) * 64 <= r.v for r in v)

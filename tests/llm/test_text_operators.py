@@ -305,7 +305,7 @@ def test_quotes_of_lines_and_sentences(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
     from tokenizers import Tokenizer
-    from wardcast.llm import quality
+    from wardcast.llm import quality, secrets
     # one text per doc_id: which of two texts under one id stays is settled by their hashes
     rows = [r[:5] for r in documents(11)[:-1] if r[0] is not None]
     for i in range(900, 903):
@@ -335,7 +335,16 @@ def test_pipeline(spark, tmp_path):
     assert len(out) == len(got) and set(out) == {i for i, _ in left if i not in bad}
     assert all(out[i] == e for i, e in expected.items())
     masked = set(out) - set(expected)
-    assert masked and all(out[i][3] == B.sha(dict(left)[i].replace('password = "hunter2hunter2', "[SECRET]")) for i in masked)
+    texts, planted = dict(left), {900, 901, 902}
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs.filter(docs.doc_id.isin(sorted(masked)))).collect()}
+    for i in masked:
+        text, at = "", 0                    # union of the reported spans, each masked once
+        for s in spans[i]:
+            if s.start >= at:
+                text += texts[i][at:s.start] + secrets.MASK
+            at = max(at, s.end)
+        assert out[i][3] == B.sha(text + texts[i][at:])
+    assert planted <= masked and all(out[i][3] == B.sha(texts[i].replace('password = "hunter2hunter2', "[SECRET]")) for i in planted)
 
 
 def test_pipeline_empty(spark, tmp_path):

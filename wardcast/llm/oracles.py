@@ -13,20 +13,28 @@ AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _quality() -> str:
-    measures = {"avg_word": ("word_chars", 100, "n_words", 60), "symbols": ("n_symbols", 10000, "word_chars", 100),
-                "dup_lines": ("n_dup_lines", 1000, "n_lines", 120), "repeats": ("n_repeat_words", 1000, "n_words", 70)}
-    ratio = ", ".join(f"CASE WHEN {d} > 0 THEN {k} * {n} // {d} ELSE 0 END AS m_{m}" for m, (n, k, d, _) in measures.items())
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, m_{m} AS v, {s} AS spread FROM cnt WHERE n_words > 0"
-                              for m, (*_, s) in measures.items())
+    measures = {"avg_word": ("word_chars", 100, "n_words"), "symbols": ("n_symbols", 10000, "word_chars"),
+                "dup_lines": ("n_dup_lines", 1000, "n_lines"), "repeats": ("n_repeat_words", 1000, "n_words")}
+    ratio = ", ".join(f"CASE WHEN {d} > 0 THEN {k} * {n} // {d} ELSE 0 END AS m_{m}" for m, (n, k, d) in measures.items())
+    bucket = "(({0} >> greatest(length(bin({0})) - 7, 0)) << greatest(length(bin({0})) - 7, 0))"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {bucket.format('m_' + m)} AS b FROM cnt WHERE n_words > 0"
+                              for m in measures)
 
     def level(keys):
         by = "".join(f"{k}, " for k in keys)
-        return (f"SELECT {by}measure, max(spread) AS spread, max(total) AS total, "
-                "min(b) FILTER (WHERE 4 * cum >= total) AS q1, min(b) FILTER (WHERE 4 * cum >= 3 * total) AS q3 "
-                f"FROM (SELECT {by}measure, b, max(spread) AS spread, sum(count(*)) OVER (PARTITION BY {by}measure ORDER BY b) AS cum, "
-                f"sum(count(*)) OVER (PARTITION BY {by}measure) AS total FROM buckets GROUP BY {by}measure, b) GROUP BY {by}measure")
-
-    inside = " AND ".join(f"coalesce(m_{m} BETWEEN lo['{m}'] AND hi['{m}'], true)" for m in measures)
+        return f"""SELECT {by}measure,
+    CASE WHEN total < 100 THEN NULL WHEN q90 > q50 THEN q90 + 3 * (q90 - q50)
+         WHEN q90 = 0 AND nonzero >= 5 THEN half - 1 END AS hi,
+    CASE WHEN total >= 100 AND q10 < q50 AND measure = 'avg_word' THEN q10 - 3 * (q50 - q10) END AS lo
+  FROM (
+    SELECT {by}measure, count(*) AS total, count(*) FILTER (WHERE b > 0) AS nonzero,
+           list(b ORDER BY b)[(count(*) + 9) // 10] AS q10, list(b ORDER BY b)[(count(*) + 1) // 2] AS q50,
+           list(b ORDER BY b)[(9 * count(*) + 9) // 10] AS q90,
+           (list(b ORDER BY b) FILTER (WHERE b > 0))[(count(*) FILTER (WHERE b > 0) + 1) // 2] AS half
+    FROM buckets GROUP BY {by}measure)"""
+
+    inside = " AND ".join(f"coalesce({bucket.format('m_' + m)} <= hi['{m}'], true) AND coalesce({bucket.format('m_' + m)} >= lo['{m}'], true)"
+                          for m in measures)
     return f"""WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
@@ -48,23 +56,16 @@ cnt0 AS (
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
   FROM w LEFT JOIN rep USING (rid)),
 cnt AS (SELECT *, {ratio} FROM cnt0),
-buckets AS (
-  SELECT lang, source, measure, spread,
-         (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b
-  FROM ({long})),
+buckets AS ({long}),
 own AS ({level(["lang", "source"])}),
 lng AS ({level(["lang"])}),
 crp AS ({level([])}),
-pick AS (
-  SELECT o.lang, o.source, o.measure, o.spread,
-    CASE WHEN o.total >= 100 THEN o.q1 WHEN l.total >= 100 THEN l.q1 ELSE c.q1 END AS q1,
-    CASE WHEN o.total >= 100 THEN o.q3 WHEN l.total >= 100 THEN l.q3 ELSE c.q3 END AS q3
-  FROM own o JOIN lng l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
-  JOIN crp c ON c.measure = o.measure),
 fence AS (
-  SELECT lang, source, map_from_entries(list((measure, q1 - 3 * greatest(q3 - q1, spread)))) AS lo,
-         map_from_entries(list((measure, q3 + 3 * greatest(q3 - q1, spread)))) AS hi
-  FROM pick GROUP BY lang, source)
+  SELECT o.lang, o.source, map_from_entries(list((o.measure, coalesce(o.lo, l.lo, c.lo)))) AS lo,
+         map_from_entries(list((o.measure, coalesce(o.hi, l.hi, c.hi)))) AS hi
+  FROM own o JOIN lng l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+  JOIN crp c ON c.measure = o.measure
+  GROUP BY o.lang, o.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {inside} AS kept

@@ -7,9 +7,17 @@ bits, so a quantile is off by less than 1/64 of its value).  Two sketches
 merge by adding counts, so a source holding a third of the rows is combined
 map-side, and the sketches of a language and of the whole corpus are sums of
 the smaller ones.  The fences read from the sketches are joined back to the
-measured rows.  A fence is never nearer to its quartile than ``FENCE`` times
-the measure's least spread, a constant: where a group's interquartile range
-is smaller (every group of 100+ rows of sf0.1), the constant decides.
+measured rows.
+
+No constant decides where a fence lies.  The upper fence is the 90th
+percentile plus ``FENCE`` times its distance from the median (mean word
+length has a lower one alike, from the 10th).  A measure that is 0 in nine of
+ten rows of a group has no such distance; there a row goes whose value
+reaches the median of the group's non-zero rows.  So at most a tenth of a
+group lies beyond a fence of its own.  A group whose sketch gives no fence
+(under ``MIN_ROWS`` rows, no spread, under ``MIN_NONZERO`` non-zero rows)
+takes its language's, then the corpus's; without any, the measure rejects
+nothing.  Values are compared by their buckets.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null lang or source is a group of its own; repeated rows are measured and
@@ -27,16 +35,16 @@ from .common import WS_CHARS, WS_CLASS, broadcast_if_small, let, stage, words
 SYMBOLS = "#*$%&|<>"
 
 #: Measures that the sketches hold, as integers: (name, numerator, scale,
-#: denominator, least spread).  The spread keeps a fence open when most
-#: documents of a group share one value.
+#: denominator, whether low values are fenced as well).
 MEASURES = (
-    ("avg_word", "word_chars", 100, "n_words", 60),
-    ("symbols", "n_symbols", 10_000, "word_chars", 100),
-    ("dup_lines", "n_dup_lines", 1_000, "n_lines", 120),
-    ("repeats", "n_repeat_words", 1_000, "n_words", 70),
+    ("avg_word", "word_chars", 100, "n_words", True),
+    ("symbols", "n_symbols", 10_000, "word_chars", False),
+    ("dup_lines", "n_dup_lines", 1_000, "n_lines", False),
+    ("repeats", "n_repeat_words", 1_000, "n_words", False),
 )
-FENCE = 3          # fences lie this many interquartile ranges beyond the quartiles
-MIN_ROWS = 100     # a smaller group takes its language's sketch, then the corpus's
+FENCE = 3          # fences lie this many distances from the median beyond the outer tenths
+MIN_ROWS = 100     # a smaller group takes its language's fences, then the corpus's
+MIN_NONZERO = 5    # so many non-zero rows tell their median
 WINDOW_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -122,45 +130,43 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n")))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: rows, and q1/q3 of every measure.  A window holds
-    the buckets of one sketch, a few hundred at most."""
+def _fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """One row per group: ``tag``_measure_lo and _hi of every measure, null
+    where the group's sketch tells none.  A window holds the buckets of one
+    sketch, a few hundred at most."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "measure")
-    cum = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("cum"),
-                        F.sum("n").over(w).alias("total"))
-    out = [F.max("total").alias("rows")]
-    for name, *_ in MEASURES:
-        of = F.col("measure") == name
-        out += [F.min(F.when(of & (4 * F.col("cum") >= F.col("total")), F.col("bucket"))).alias(f"{name}_q1"),
-                F.min(F.when(of & (4 * F.col("cum") >= 3 * F.col("total")), F.col("bucket"))).alias(f"{name}_q3")]
-    return cum.groupBy(*keys).agg(*out)
+    cum = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("cum"), F.sum("n").over(w).alias("total"),
+                        F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(w).alias("zeros"))
+    bucket, cum_n, total, zeros = (F.col(c) for c in ("bucket", "cum", "total", "zeros"))
+    per = cum.groupBy(*keys, "measure").agg(
+        F.max(total).alias("total"), F.max(total - zeros).alias("nonzero"),
+        *[F.min(F.when(10 * cum_n >= k * total, bucket)).alias(f"q{k}0") for k in (1, 5, 9)],
+        F.min(F.when((bucket > 0) & (2 * (cum_n - zeros) >= total - zeros), bucket)).alias("half"))
+    known = F.col("total") >= MIN_ROWS
+    hi = (F.when(known & (F.col("q90") > F.col("q50")), F.col("q90") + FENCE * (F.col("q90") - F.col("q50")))
+          .when(known & (F.col("q90") == 0) & (F.col("nonzero") >= MIN_NONZERO), F.col("half") - 1))
+    lo = F.when(known & (F.col("q10") < F.col("q50")), F.col("q10") - FENCE * (F.col("q50") - F.col("q10")))
+    per = per.select(*keys, "measure", hi.alias("hi"), lo.alias("lo"))
+    return per.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("measure") == name, F.col(e))).alias(f"{tag}_{name}_{e}")
+        for name, *_, both in MEASURES for e in (("lo", "hi") if both else ("hi",))])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """One row per (lang, source): lowest and highest value of each measure
-    that passes.  Groups under ``MIN_ROWS`` rows use their language's merged
-    sketch, or the corpus's where that is small as well."""
+    that passes, from the group's sketch, its language's merged sketch, or
+    the corpus's, whichever tells it first (null: open)."""
     sketch = stage(sketches(measured), "quality-sketches")
-    names = [f"{m[0]}_{q}" for m in MEASURES for q in ("q1", "q3")]
-
-    def level(keys, tag):
-        q = _quartiles(sketch, keys)
-        return q.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in ("rows", *names)])
-
-    own, lang = level(["lang", "source"], "g"), level(["lang"], "l")
-    corpus = level([], "c")
+    own, lang = _fences(sketch, ["lang", "source"], "g"), _fences(sketch, ["lang"], "l")
+    corpus = _fences(sketch, [], "c")
+    wide = [c for c in lang.columns if c != "lang"]
     rows = (own.alias("o").join(lang.alias("l"), F.expr("o.lang <=> l.lang"), "left")
-            .select("o.*", *[F.col(f"l.l_{c}") for c in ("rows", *names)])
+            .select("o.*", *[F.col(f"l.{c}") for c in wide])
             .crossJoin(F.broadcast(corpus)))  # one row
-    pick = {c: F.when(F.col("g_rows") >= MIN_ROWS, F.col(f"g_{c}"))
-            .when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}")) for c in names}
-    out = []
-    for name, _, _, _, spread in MEASURES:
-        q1, q3 = pick[f"{name}_q1"], pick[f"{name}_q3"]
-        reach = FENCE * F.greatest(q3 - q1, F.lit(spread))
-        out += [(q1 - reach).alias(f"{name}_lo"), (q3 + reach).alias(f"{name}_hi")]
-    return stage(rows.select("lang", "source", *out), "quality-thresholds")
+    ends = [c[2:] for c in wide]
+    return stage(rows.select("lang", "source", *[
+        F.coalesce(*[F.col(f"{t}_{e}") for t in "glc"]).alias(e) for e in ends]), "quality-thresholds")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -169,14 +175,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def judged(measured: DataFrame) -> DataFrame:
-    fences = broadcast_if_small(thresholds(measured))
+    fences = thresholds(measured)
+    ends = [c for c in fences.columns if c not in ("lang", "source")]
     joined = (measured.alias("m").join(
-        fences.alias("t"), F.expr("m.lang <=> t.lang and m.source <=> t.source"), "left")
-        .select("m.*", *[f"t.{m[0]}_{e}" for m in MEASURES for e in ("lo", "hi")]))
+        broadcast_if_small(fences).alias("t"), F.expr("m.lang <=> t.lang and m.source <=> t.source"), "left")
+        .select("m.*", *[f"t.{e}" for e in ends]))
     inside = F.lit(True)
-    for name, *_ in MEASURES:
-        inside = inside & F.coalesce(
-            F.col(f"m_{name}").between(F.col(f"{name}_lo"), F.col(f"{name}_hi")), F.lit(True))
+    for e in ends:
+        name, side = e.rsplit("_", 1)
+        v = _bucket(F.col(f"m_{name}"))
+        inside = inside & F.coalesce(v <= F.col(e) if side == "hi" else v >= F.col(e), F.lit(True))
     return joined.select("*", base_failed().alias("base_failed"),
                          (~base_failed() & inside).alias("kept"))
 
