@@ -1,8 +1,10 @@
 """The operators against plain Python on a table of awkward cases."""
 
+import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +357,54 @@ def test_id_store_numbers_occurrences_over_all_parts(spark, monkeypatch, tmp_pat
     assert len(rows) == len(got)
     for r in rows:
         assert got[r.doc_id, r.nth].start == r.start and got[r.doc_id, r.nth].n_tokens == len(r.ids)
+
+
+def test_word_codec_encodes_each_piece_once():
+    """Words that differ in case or punctuation only cost the tokenizer nothing more; ids are the library's."""
+    from tokenizers import Tokenizer
+    with open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    whole, codec = Tokenizer.from_str(source), idstore.WordCodec(source)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return whole_pieces.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    whole_pieces, codec.pieces = codec.pieces, Counting()
+    codec.encode(["Été Wort, wort. WORT", "wort (Wort) été"])
+    assert sorted("\n".join(asked).split("\n")) == sorted([".", ",", "(", ")", "wort", "Ã©tÃ©"]) and not codec.known
+    codec.pieces = whole_pieces
+
+    odd = "".join(map(chr, range(1, 0x250))) + "́̇ 　KÅΣςﬁ\U0001f600漢"
+    texts = [f"a{c}b {c} X{c}{c}'s" for c in odd]
+    texts += ["", " ", "\n", "don't DON'T we'll 'S !'s 'still", "a <|endoftext|> b", "x<|startoftext|>y <|STARTOFTEXT|>", "İ Å"]
+    small = idstore.WordCodec(source, cache=40)               # forgets all the time
+    for c in (codec, small):
+        for at in range(0, len(texts), 50):
+            got = [np.frombuffer(b, "<u4").tolist() for b in c.encode(texts[at:at + 50])]
+            assert got == [e.ids for e in whole.encode_batch_fast(texts[at:at + 50], add_special_tokens=False)]
+    # a file whose pre-tokenizer is another one goes through the whole tokenizer
+    other = json.loads(source)
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[\p{L}]+|[^\s\p{L}]+"}
+    codec, whole = idstore.WordCodec(json.dumps(other)), Tokenizer.from_str(json.dumps(other))
+    assert codec.pieces is None
+    assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode(texts)] == [
+        e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_worker_holds_one_operators_state(monkeypatch):
+    """Workers are used again: what an operator left there is dropped when another begins."""
+    import weakref
+    from wardcast.llm import common
+    monkeypatch.setattr(common, "_HELD", {})
+    with open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    codec = weakref.ref(bpe.codec_for(source))
+    assert bpe.codec_for(source) is codec()
+    with open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = weakref.ref(idstore.codec_for(f.read()))
+    assert codec() is None and len(common._HELD) == 1
+    common.drop_held()
+    assert words() is None and not common._HELD

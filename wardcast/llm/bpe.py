@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import WS_CHARS
+from .common import WS_CHARS, held
 
 CACHE_FRAGMENTS = 400_000
 BATCH_CHARS = 2_000_000   # characters of text cut at a time
@@ -203,16 +203,9 @@ class FragmentCodec:
                 size, cut = 0, []
 
 
-_CODECS: dict[str, FragmentCodec] = {}
-
-
 def codec_for(source: str) -> FragmentCodec:
     """One codec per worker process and tokenizer."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = FragmentCodec(source)
-    return _CODECS[key]
+    return held(("fragments", hashlib.sha256(source.encode()).hexdigest()), lambda: FragmentCodec(source))
 
 
 def _arrays(texts: list[str], codec: FragmentCodec, outputs) -> list[pa.Array]:

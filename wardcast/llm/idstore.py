@@ -29,12 +29,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import broadcast_if_small
+from .bpe import byte_alphabet
+from .common import broadcast_if_small, held
 
 END_ID = 2
 SHARD_DOCS = 4096
@@ -42,7 +44,9 @@ SHARD_IDS = 1_000_000
 CACHE_WORDS = 600_000
 BUCKET_KEYS = 4
 
-_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+BATCH_BYTES = 8_000_000       # of text encoded at a time
+NO_ID = 0xFFFFFFFF            # no tokenizer gives it
+WORD_END = struct.pack("<I", NO_ID)
 _U64 = np.uint64
 
 SHARD_FIELDS = [("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()),
@@ -118,23 +122,57 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- encoding
 
+#: normalizer and pre-tokenizer whose effect on plain words is known: each
+#: word is lowered and cut by PIECES, each piece's bytes go to the model
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: letters and numbers of Latin 1; NFC leaves all its characters alone
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN_WORDS = re.compile("[\n\x21-\x7e\xa1-\xff]*")
+PIECES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\n{_L}{_N}]+")
+
+
 class WordCodec:
     """Ids of a text as bytes.  The tokenizer drops white space, so words
-    are encoded on their own; each distinct one once while the bounded cache
-    holds it."""
+    are encoded on their own; Arrow tells the words of many texts apart, so
+    that Python sees distinct ones only.
+
+    Words of Latin 1 are lowered and cut into pieces here, if the file's
+    normalizer and pre-tokenizer are the known ones, and the library's model
+    encodes each distinct piece once while the bounded cache holds it (its
+    older half goes when the younger is full); all others go through the
+    whole tokenizer, each distinct one once while their cache holds it."""
 
     def __init__(self, source: str, cache: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [a for a in json.loads(source).get("added_tokens", [])]
+        spec = json.loads(source)
+        special = [a for a in spec.get("added_tokens", [])]
         self.added = [a["content"] for a in special]
         exact = [a for a in special if not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"])]
         self.mark = exact[0] if exact else None
+        self.pieces = None
+        self.bytes = {b: c for c, b in byte_alphabet().items() if b != 10}
+        model = spec["model"]
+        end = model.get("end_of_word_suffix")
+        if (spec.get("normalizer") == PLAIN_NORMALIZER and spec.get("pre_tokenizer") == PLAIN_SPLIT and len(exact) == len(special)
+                and model["type"] == "BPE" and not any(model.get(f) for f in ("dropout", "unk_token", "continuing_subword_prefix"))
+                and end and all(c in model["vocab"] and c + end in model["vocab"] for c in byte_alphabet())):
+            self.pieces = Tokenizer(self.tokenizer.model)     # the model is shared
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            # the last token of a piece has the suffix, and no other
+            self.last = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+            self.last[[i for t, i in model["vocab"].items() if t.endswith(end)]] = True
         self.limit = cache
-        self.known: dict[str, bytes] = {}
+        self.young, self.old = {"\n": WORD_END}, {}     # piece: its ids
+        self.known: dict[str, bytes] = {}               # other word: its ids
 
     def _learn_joined(self, words: list[str]) -> None:
         """Encode words in one call, an added token between them: those are
@@ -148,38 +186,92 @@ class WordCodec:
         for w, a, z in zip(words, [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)]):
             self.known[w] = raw[a:z]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_WORDS(t) for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.known)
+    def _learn(self, wanted: list[str]) -> None:
+        """Encode words that are not plain."""
+        new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = wanted
-        plain, other = list(new), []
-        text = "\n".join(plain)
-        if self.mark is None or any(a in text for a in self.added):
-            marked = [self.mark is None or any(a in w for a in self.added) for w in plain]
-            other = [w for w, m in zip(plain, marked) if m]
-            plain = [w for w, m in zip(plain, marked) if not m]
-        for i in range(0, len(plain), 20_000):
-            self._learn_joined(plain[i:i + 20_000])
+        marked = [self.mark is None or any(a in w for a in self.added) for w in new]
+        other, new = [w for w, m in zip(new, marked) if m], [w for w, m in zip(new, marked) if not m]
+        for i in range(0, len(new), 20_000):
+            self._learn_joined(new[i:i + 20_000])
         for i in range(0, len(other), 10_000):
             part = other[i:i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
 
-
-_CODECS: dict[str, WordCodec] = {}
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        """Encode pieces, all new ones in one call: each is a word of the
+        model's, whose last token tells it from the next."""
+        if len(self.young) + len(wanted) > self.limit // 2:
+            self.young, self.old = {"\n": WORD_END}, self.young
+        new = []
+        for p in wanted.difference(self.young):
+            if p in self.old:
+                self.young[p] = self.old[p]
+            else:
+                new.append(p)
+        if not new:
+            return
+        # the bytes of each piece as the model's characters; no piece has a new line
+        text = "\n".join(new).encode().decode("latin-1").translate(self.bytes)
+        ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("pieces and their ids do not match")
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        for p, a, z in zip(new, [0, *ends], ends):
+            self.young[p] = raw[a:z]
+
+    def _is_plain(self, text: str) -> bool:
+        """The words of the text can be cut here."""
+        return self.pieces is not None and PLAIN_WORDS.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def _words(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes): word i of the n words, each with a new line
+        behind it, has ids[starts[i]:starts[i] + sizes[i]]."""
+        rest, plain = [], np.ones(n, dtype=bool)
+        if not self._is_plain(text):
+            words = text.split("\n")[:-1]
+            plain = np.fromiter(map(self._is_plain, words), bool, n)
+            rest = [w for w, p in zip(words, plain.tolist()) if not p]
+            text = "".join([f"{w}\n" for w, p in zip(words, plain.tolist()) if p])
+        cut = PIECES.findall(text.lower())
+        self._learn_pieces(set(cut))
+        ids = np.frombuffer(b"".join(map(self.young.__getitem__, cut)), dtype="<u4")
+        marks = np.flatnonzero(ids == NO_ID)
+        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        starts[plain] = np.concatenate([[0], marks + 1])[:len(marks)]
+        sizes[plain] = marks - starts[plain]
+        if rest:
+            self._learn(rest)
+            raws = [self.known[w] for w in rest]
+            sizes[~plain] = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            starts[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(raws), dtype="<u4")])
+        return ids, starts, sizes
+
+    def encode(self, texts) -> list[bytes]:
+        """Texts: a list of strings or an Arrow column without nulls."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        cut = pc.ascii_split_whitespace(texts)      # at the six characters of ASCII white space
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py()
+        ids, starts, sizes = self._words(lines + "\n" if len(words) else "", len(words))
+        at = coded.indices.to_numpy()
+        # word after word: where its ids stand, less where they go
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        upto = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        bounds = (4 * np.concatenate([[0], ends])[np.concatenate([[0], upto])]).astype(np.int64).tolist()
+        return [out[a:z] for a, z in zip(bounds, bounds[1:])]
 
 
 def codec_for(source: str) -> WordCodec:
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = WordCodec(source)
-    return _CODECS[key]
+    return held(("words", hashlib.sha256(source.encode()).hexdigest()), lambda: WordCodec(source))
 
 
 # ---------------------------------------------------------------- shards
@@ -226,6 +318,15 @@ class Shard:
         return self.payload[4 * int(offset):4 * (int(offset) + int(count))]
 
 
+def _by_bytes(b: pa.RecordBatch):
+    """The batch in slices of about BATCH_BYTES of text (its third column)."""
+    sizes = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
+    turns = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+    for a, z in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows]):
+        if z > a:
+            yield b.slice(a, z - a)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Write shards and parts under ``path``.  One shuffle, by key ranges."""
     spark = docs.sparkSession
@@ -239,21 +340,21 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     schema = pa.schema(SHARD_FIELDS)
 
     def run(batches):
-        part, seq, start, held = TaskContext.get().partitionId(), 0, 0, 0
+        part, seq, start, n_held = TaskContext.get().partitionId(), 0, 0, 0
         docs_, nths, hashes, payloads = [], [], [], []
         codec, last, nth = codec_for(source.value), object(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, keys, texts = (c.to_pylist() for c in b.slice(at, 512).columns)
-                for d, k, p in zip(ids, keys, codec.encode(texts)):
+            for some in _by_bytes(b):
+                ids, keys = (some.column(i).to_pylist() for i in (0, 1))
+                for d, k, p in zip(ids, keys, codec.encode(some.column(2))):
                     nth = nth + 1 if d == last else 0
                     last = d
                     docs_.append(d), nths.append(nth), hashes.append(k), payloads.append(p + end)
-                    held += len(p) // 4 + 1
-                    if held >= SHARD_IDS or len(docs_) >= SHARD_DOCS:
+                    n_held += len(p) // 4 + 1
+                    if n_held >= SHARD_IDS or len(docs_) >= SHARD_DOCS:
                         yield pa.RecordBatch.from_pylist(
                             [make_shard(part, seq, start, docs_, nths, hashes, payloads)], schema=schema)
-                        seq, start, held = seq + 1, start + held, 0
+                        seq, start, n_held = seq + 1, start + n_held, 0
                         docs_, nths, hashes, payloads = [], [], [], []
         if docs_:
             yield pa.RecordBatch.from_pylist(
