@@ -300,7 +300,7 @@ def document_sums(grouped: DataFrame, counts: DataFrame, broadcast_rows: int = B
         if held > broadcast_rows:
             break
         least = 1 << (r["level"] - 1)
-    often, seldom = F.broadcast(counts.filter(F.col("n") >= least)), counts.filter(F.col("n") < least)
+    often, seldom = F.broadcast(counts.filter(F.col("n") >= least)), counts.filter(F.col("n") < least).hint("merge")
     each = grouped.select("uid", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select(
         "uid", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
 
