@@ -205,6 +205,24 @@ def kept_ids(rows):
     return want
 
 
+def test_join_table_grows_with_the_repeated_shingles(spark, monkeypatch):
+    """Twice as many repeated shingles as the least table has places: texts of
+    their own still have no signatures, and the table comes in pieces."""
+    rnd = random.Random(5)
+    alone, twice = ([" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(120)) for _ in range(n)] for c, n in (("a", 60), ("b", 280)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(alone + twice + [t + " more" for t in twice])],
+                                 "doc_id long, text string").repartition(5).cache()
+    monkeypatch.setattr(ngramjoin, "ORDER_BITS", 14)
+    monkeypatch.setattr(ngramjoin, "PIECE_BITS", 14, raising=False)
+    levels = ngramjoin._level_table(ngramjoin._profile(docs))
+    signed = ngramjoin._signature_rows(docs, levels).select("hi", "lo").collect()
+    digests = {ngramjoin.digest(ngramjoin.word_list(t)) for t in twice + [t + " more" for t in twice]}
+    assert {tuple(r) for r in signed} == digests
+    assert levels[0] == 17 and len(levels[1]) == 8
+    got = {r.doc_id: r.component_id for r in ngramjoin.join(docs).collect()}
+    assert got == {i: i - 280 if i >= 340 else i for i in range(620)}
+
+
 def test_deduplicate(docs, rows):
     kept = ngramjoin.deduplicate(docs)
     assert kept.columns == docs.columns
