@@ -133,6 +133,24 @@ def test_redaction(docs, rows):
     assert plain <= {(r.doc_id, r.text) for r in out.collect()}
 
 
+def test_redaction_searches_the_texts_once(spark, docs, monkeypatch):
+    """The patterns do not tell again which texts have spans; either way gives the same rows."""
+    other = spark.createDataFrame([(None, "password = hunter2hunter2"), (None, "password = hunter2hunter2"),
+                                   (7, "password = hunter2hunter2"), (7, None), (7, "plain"), (None, None)],
+                                  "doc_id long, text string").repartition(3)
+    for table in (docs, other):
+        once = secrets.redact(table)
+        assert "RLIKE" not in once._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(secrets, "HASHES", -1)
+            again = secrets.redact(table)
+        assert "RLIKE" in again._jdf.queryExecution().optimizedPlan().toString()
+        same(map(tuple, once.collect()), map(tuple, again.collect()))
+    got = [(r.doc_id, r.text) for r in secrets.redact(other).collect()]
+    assert len(got) == 6 and sum(t is not None and secrets.MASK in t for _, t in got) == 3
+    assert {t for _, t in got if t and secrets.MASK not in t} == {"plain"}
+
+
 def test_decontamination(spark, docs, rows):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontam.digest(decontam.match(docs, items)).collect()

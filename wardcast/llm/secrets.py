@@ -26,6 +26,7 @@ from .common import apart, cut_spans, stage
 
 REACH = 200
 MASK = "[SECRET]"
+HASHES = 2_000_000            # hashes of texts (single longs) that are broadcast at most
 
 #: kind -> (pattern, group whose length counts, least length); fixed values of the base rule
 BASE = {
@@ -131,15 +132,22 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents with every reported span replaced by ``mask`` and
     n_chars set to the new length where anything was replaced.  Only
-    documents that may have parts are shuffled."""
-    key, found = apart(docs, "secret_doc", "secret_spans")     # names the table does not have
-    merged = (find_parts(docs).groupBy("doc")
-              .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found)))
-    suspect = has_parts(F.col("text"))
-    hot = docs.filter(suspect).withColumn(key, _doc()).join(merged.withColumnRenamed("doc", key), key, "left")
+    documents that may have spans are shuffled: by the hashes of the texts
+    that have, so that the patterns search each text once, or by the
+    patterns where those are too many to broadcast."""
+    key, found, hit = apart(docs, "secret_doc", "secret_spans", "secret_text")     # names the table does not have
+    merged = stage(find_parts(docs).groupBy(F.col("doc").alias(key))
+                   .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found)), "secret-spans")
+    if merged.count() <= HASHES:
+        texts = F.broadcast(merged.select(F.col(key)["text_key"].alias(hit)).distinct())
+        hot, clean = (docs.join(texts, F.xxhash64("text") == F.col(hit), how) for how in ("left_semi", "left_anti"))
+    else:
+        suspect = has_parts(F.col("text"))
+        hot, clean = docs.filter(suspect), docs.filter(~suspect)
+    hot = hot.withColumn(key, _doc()).join(merged, key, "left")
     masked = cut_spans(F.col("text"), F.col(found), mask)
     new = F.coalesce(masked, F.col("text"))
     cols = [new.alias("text") if c == "text"
             else F.when(F.col(found).isNotNull(), F.length(new).cast(t)).otherwise(F.col(c)).alias(c)
             if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return docs.filter(~suspect).unionByName(hot.select(*cols))
+    return clean.unionByName(hot.select(*cols))
